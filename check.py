@@ -41,7 +41,6 @@ def main() -> int:
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     spark = local_session("check")
-    spark.conf.set("spark.ui.showConsoleProgress", "false")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{args.sf_dir}/{t}.parquet'")
