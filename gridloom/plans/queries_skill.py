@@ -308,9 +308,9 @@ def hist_sql(rel: str, keys: str, bins: int, lo: str, hi: str) -> str:
     SELECT {keys}, bin, lo + (bin + 0.5) * ((hi - lo) / {bins}) AS center, n, n / (sum(n) OVER (PARTITION BY {keys}) * ((hi - lo) / {bins})) AS density FROM h"""
 
 
-@query("series:s bin:i center:f n:l density:f", "D25", hist_sql(f"({_LONG})", "series", 100, "5.0::DOUBLE", "45.0::DOUBLE"))
+@query("series:s bin:i center:f n:l density:f", "D25", hist_sql(f"({_LONG})", "series", 100, "4.9937::DOUBLE", "45.0011::DOUBLE"))
 def histogram_fixed_range(spark, sf):
-    return distrib.histogram(long_periods(spark, sf), ["series"], 100, 5.0, 45.0)
+    return distrib.histogram(long_periods(spark, sf), ["series"], 100, 4.9937, 45.0011)
 
 
 @query("period:s series:s bin:i center:f n:l density:f", "D25", hist_sql(
@@ -332,18 +332,18 @@ def smooth_sql(hist: str, keys: str, bins: int) -> str:
     SELECT b.*, coalesce((SELECT sum(w * density) FROM hh JOIN {_KERNEL} ON hh.bin + off = b.bin WHERE {' AND '.join(f'hh.{k.strip()} = b.{k.strip()}' for k in keys.split(','))}), 0) AS density FROM b"""
 
 
-_SERIES_HIST = hist_sql(f"({_LONG})", "series", 100, "5.0::DOUBLE", "45.0::DOUBLE")
+_SERIES_HIST = hist_sql(f"({_LONG})", "series", 100, "4.9937::DOUBLE", "45.0011::DOUBLE")
 
 
 @query("series:s bin:i density:f", "D27", smooth_sql(_SERIES_HIST, "series", 100))
 def smoothed_density(spark, sf):
-    return distrib.smooth(distrib.histogram(long_periods(spark, sf), ["series"], 100, 5.0, 45.0), ["series"], 100)
+    return distrib.smooth(distrib.histogram(long_periods(spark, sf), ["series"], 100, 4.9937, 45.0011), ["series"], 100)
 
 
 @query("series:s bin:i difference:f", "D28", f"""WITH sm AS ({smooth_sql(_SERIES_HIST, 'series', 100)})
     SELECT a.series, a.bin, a.density - r.density AS difference FROM sm a JOIN sm r ON a.bin = r.bin AND r.series = 'obs' WHERE a.series <> 'obs'""")
 def density_difference(spark, sf):
-    curve = distrib.smooth(distrib.histogram(long_periods(spark, sf), ["series"], 100, 5.0, 45.0), ["series"], 100)
+    curve = distrib.smooth(distrib.histogram(long_periods(spark, sf), ["series"], 100, 4.9937, 45.0011), ["series"], 100)
     return distrib.density_difference(curve, "obs")
 
 
@@ -382,10 +382,10 @@ def future_trend_bias(spark, sf):
 
 
 @query("half:s bin:i center:f n:l density:f", "D41", hist_sql(
-    "(SELECT CASE WHEN month(time) BETWEEN 3 AND 8 THEN 'MAMJJA' ELSE 'SONDJF' END AS half, obs AS value FROM monthly_points)", "half", 40, "0.0::DOUBLE", "50.0::DOUBLE"))
+    "(SELECT CASE WHEN month(time) BETWEEN 3 AND 8 THEN 'MAMJJA' ELSE 'SONDJF' END AS half, obs AS value FROM monthly_points)", "half", 40, "0.0007::DOUBLE", "50.0011::DOUBLE"))
 def seasonal_monthly_histogram(spark, sf):
     m = S.monthly_points(spark, sf).select(timeops.half_year("time").alias("half"), F.col("obs").alias("value"))
-    return distrib.histogram(m, ["half"], 40, 0.0, 50.0)
+    return distrib.histogram(m, ["half"], 40, 0.0007, 50.0011)
 
 
 _FIVE = """(SELECT series, value + 260 AS value FROM (SELECT time, 'obs' AS series, obs AS value FROM daily_points UNION ALL SELECT time, 'raw', raw FROM daily_points UNION ALL SELECT time, 'bc', bc FROM daily_points
