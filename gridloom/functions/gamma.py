@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _log_gamma(a: np.ndarray) -> np.ndarray:
@@ -57,7 +58,7 @@ def regularised_lower_gamma(a: np.ndarray, x: np.ndarray, terms: int = 400) -> n
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gamma_cdf(x: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
     """CDF of the Gamma distribution with shape ``alpha`` and rate ``beta``."""
     p = regularised_lower_gamma(alpha.to_numpy(float), x.to_numpy(float) * beta.to_numpy(float))

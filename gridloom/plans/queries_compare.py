@@ -196,7 +196,8 @@ def box_statistics(spark, sf):
     return compare.box_statistics(detail, ["method"])
 
 
-_HISTORY = "SELECT l_returnflag AS run, date_diff('month', DATE '1995-01-01', time::DATE) AS epoch, avg(raw) AS train_loss, CASE WHEN date_diff('month', DATE '1995-01-01', time::DATE) % 2 = 1 THEN avg(ml) END AS val_loss FROM line_rows GROUP BY ALL"
+_HISTORY = """SELECT run, epoch, train_loss, CASE WHEN epoch % 2 = 1 THEN v END AS val_loss FROM
+    (SELECT l_returnflag AS run, date_diff('month', DATE '1995-01-01', time::DATE) AS epoch, avg(raw) AS train_loss, avg(ml) AS v FROM line_rows GROUP BY 1, 2)"""
 
 
 def training_history(spark, sf):

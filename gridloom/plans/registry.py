@@ -1,7 +1,7 @@
 """Registry of the queries over the given tables, each with its result columns and, where possible, its SQL.
 
 A result column is written ``name:kind``. Kinds: i int, l bigint, s string, f double rounded to six places,
-d day, t second (both as text). The same list shapes the Spark result and wraps the SQL, so that the two
+g double rounded to three (where single precision is involved), d day, t second (both as text). The same list shapes the Spark result and wraps the SQL, so that the two
 can be compared value by value. Before rounding a double is moved by 3e-9: averages of decimal data
 often fall on a half of the last place, where the last bit of a sum would decide.
 """
@@ -26,15 +26,17 @@ _SPARK = {
 }
 
 
-def _rounded(c):
-    r = F.round(c.cast("double") + 3e-9, 6)
+def _rounded(c, places: int = 6):
+    r = F.round(c.cast("double") + 3e-9, places)
     return F.when(r == 0, F.lit(0.0)).otherwise(r)
 
 
 _SPARK["f"] = _rounded
+_SPARK["g"] = lambda c: _rounded(c, 3)
 _SQL = {
     "i": "CAST({0} AS INTEGER)", "l": "CAST({0} AS BIGINT)", "s": "CAST({0} AS VARCHAR)",
     "d": "strftime({0}, '%Y-%m-%d')", "t": "strftime({0}, '%Y-%m-%d %H:%M:%S')",
+    "g": "CASE WHEN round(CAST({0} AS DOUBLE) + 3e-9, 3) = 0 THEN 0.0::DOUBLE ELSE round(CAST({0} AS DOUBLE) + 3e-9, 3) END",
     "f": "CASE WHEN round(CAST({0} AS DOUBLE) + 3e-9, 6) = 0 THEN 0.0::DOUBLE ELSE round(CAST({0} AS DOUBLE) + 3e-9, 6) END",
 }
 
