@@ -88,16 +88,15 @@ def count_le(xs, x, bits: int = 13) -> Column:
     )
 
 
-def interpolate(x, xs, ys, index=None) -> Column:
+def interpolate(x, xs, ys, index) -> Column:
     """Piecewise linear value at ``x`` through the nodes (xs, ys), both ascending arrays of equal length.
 
+    ``index`` is ``count_le(xs, x)``; keep it in a column of its own, so that it is searched once per row.
     Beyond the first or last node the offset of that node is kept: y_end + (x - x_end).
-    ``index`` may carry a precomputed ``count_le(xs, x)``.
     """
     x, xs, ys = col(x), col(xs), col(ys)
     n = F.size(xs)
-    i = count_le(xs, x) if index is None else col(index)
-    k = F.greatest(F.lit(1), F.least(i, n - 1))
+    k = F.greatest(F.lit(1), F.least(col(index), n - 1))
     x0, x1 = F.try_element_at(xs, k), F.try_element_at(xs, k + 1)
     y0, y1 = F.try_element_at(ys, k), F.try_element_at(ys, k + 1)
     inside = y0 + F.coalesce(F.try_divide(x - x0, x1 - x0), F.lit(0.0)) * (y1 - y0)
@@ -108,3 +107,9 @@ def interpolate(x, xs, ys, index=None) -> Column:
         .when(x >= last_x, last_y + (x - last_x))
         .otherwise(inside)
     )
+
+
+def interpolate_each(targets, xs, ys, bits: int = 13) -> Column:
+    """:func:`interpolate` for every entry of the array ``targets``."""
+    located = F.transform(col(targets), lambda y: F.struct(y.alias("y"), count_le(xs, y, bits).alias("k")))
+    return F.transform(located, lambda s: interpolate(s["y"], xs, ys, s["k"]))

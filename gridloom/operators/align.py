@@ -135,7 +135,7 @@ def cross_period_repeat(samples: DataFrame, pairs: DataFrame, floor: float) -> D
     """
     left = samples.select(F.col("time").alias("left_time"), "iy", "ix", F.col("value").alias("l"))
     right = samples.select(F.col("time").alias("right_time"), "iy", "ix", F.col("value").alias("r"))
-    met = attach(left, pairs, "left_time").join(right, ["right_time", "iy", "ix"])
+    met = attach(left, pairs, "left_time", derived=True).join(right, ["right_time", "iy", "ix"])
     diff = met.groupBy("left_time", "right_time").agg(F.avg(F.abs(F.col("l") - F.col("r"))).alias("mean_abs_diff"))
     days = samples.select(F.col("time").alias("_t")).distinct()
     known = (

@@ -12,9 +12,10 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.columns import col, digamma, interpolate, trigamma
+from gridloom.functions.columns import col, count_le, digamma, interpolate, interpolate_each, trigamma
 from gridloom.functions.gamma import gamma_cdf
 from gridloom.operators.ecdf import exact_quantiles, quantile_table
+from gridloom.operators.ordering import positions
 from gridloom.session import attach, materialise
 
 CELL = ["iy", "ix"]
@@ -29,7 +30,7 @@ def median_fill(df: DataFrame, value: str, keys=CELL, name: str = "filled", mini
     med = exact_quantiles(df, keys, value, [0.5], cuts=15).select(*keys, F.col("quantiles")[0].alias("_med"))
     size = df.groupBy(*keys).agg(F.count(value).alias("_n"))
     small = size.join(med, keys, "left")
-    out = attach(df, small, keys, "left")
+    out = attach(df, small, keys, "left", derived=True)
     enough = F.col("_n") >= minimum
     return out.withColumn(name, F.when(enough, F.coalesce(F.col(value), F.col("_med")))).drop("_med", "_n")
 
@@ -61,25 +62,25 @@ def fit_cdft(bundle: DataFrame, keys=CELL, periods=(TRAIN, "test_hist", "test_fu
     wide = nodes.groupBy(*keys).agg(
         pick("obs").alias("_obs"), pick(f"sim_{TRAIN}").alias("_hist"), *[pick(f"sim_{p}").alias(f"_{p}") for p in periods]
     ).join(means, keys)
+    # Moving both simulated ranges is the same as moving the observed quantile the other way and back.
     if delta_shift == "additive":
-        moved = lambda c: F.transform(c, lambda x: x + (F.col("_mo") - F.col("_ms")))
+        there, back = (lambda y: y - (F.col("_mo") - F.col("_ms"))), (lambda z: z + (F.col("_mo") - F.col("_ms")))
     elif delta_shift == "multiplicative":
-        moved = lambda c: F.transform(c, lambda x: x * F.try_divide(F.col("_mo"), F.col("_ms")))
+        there, back = (lambda y: y * F.try_divide(F.col("_ms"), F.col("_mo"))), (lambda z: z * F.try_divide(F.col("_mo"), F.col("_ms")))
     elif delta_shift == "none":
-        moved = lambda c: c
+        there = back = lambda y: y
     else:
         raise ValueError(f"unknown delta_shift '{delta_shift}'")
     per_period = F.explode(F.array(*[F.struct(F.lit(p).alias("period"), F.col(f"_{p}").alias("xs")) for p in periods])).alias("_p")
     long = wide.select(*keys, "_mo", "_ms", "_obs", "_hist", per_period).where("_p.xs is not null and _obs is not null and _hist is not null")
-    shifted = long.select(*keys, "_p.period", "_p.xs", "_obs", moved(F.col("_hist")).alias("_h"), moved(F.col("_p.xs")).alias("_x"))
-    zs = F.transform("_obs", lambda y: interpolate(y, "_h", "_x"))
-    return shifted.select(*keys, "period", "xs", zs.alias("zs"))
+    zs = F.transform(interpolate_each(F.transform("_obs", there), "_hist", "_p.xs", bits=(steps + 1).bit_length()), back)
+    return long.select(*keys, "_p.period", "_p.xs", zs.alias("zs"))
 
 
 def apply_transfer(bundle: DataFrame, transfer: DataFrame, keys=CELL, value: str = "sim", name: str = "corrected") -> DataFrame:
     """Map ``value`` through the transfer table of its keys and period; NULL stays NULL."""
-    joined = attach(bundle, transfer, [*keys, "period"], "left")
-    return joined.withColumn(name, interpolate(value, "xs", "zs")).drop("xs", "zs")
+    joined = attach(bundle, transfer, [*keys, "period"], "left", derived=True).withColumn("_k", count_le("xs", F.col(value)))
+    return joined.withColumn(name, interpolate(value, "xs", "zs", "_k")).drop("xs", "zs", "_k")
 
 
 def cdft(bundle: DataFrame, keys=CELL, steps: int = 100, delta_shift: str = "additive", periods=(TRAIN, "test_hist", "test_future")) -> DataFrame:
@@ -99,7 +100,7 @@ def guarded_cdft(bundle: DataFrame, keys=CELL, steps: int = 100, minimum: int =
     good = bundle.groupBy(*keys).agg(
         F.count_if(in_train & pair).alias("_nt"), F.count_if((F.col("period") == "test_hist") & F.col("sim").isNotNull()).alias("_nh")
     ).where((F.col("_nt") >= minimum) & (F.col("_nh") >= minimum)).select(*keys)
-    kept = attach(bundle, good, keys, "left_semi")
+    kept = attach(bundle, good, keys, "left_semi", derived=True)
     train = kept.where(in_train & pair).withColumn("filled", F.col("sim"))
     tests = median_fill(kept.where(~in_train), "sim", [*keys, "period"], minimum=1)
     fit_rows = train.unionByName(tests).drop("sim").withColumnRenamed("filled", "sim")
@@ -154,11 +155,12 @@ def _delta_map(rows: DataFrame, keys, axes, steps: int) -> DataFrame:
         *keys, "period", "axis", F.struct(F.col("_x").alias("xs"), F.transform(
             F.arrays_zip("_x", "_o", "_h"), lambda e: e["_x"] + (e["_o"] - e["_h"])).alias("zs")).alias("t"))
     wide = table.groupBy(*keys, "period").agg(*[F.max(F.when(F.col("axis") == a, F.col("t"))).alias(f"_t_{a}") for a in axes])
-    mapped = attach(rows, wide, [*keys, "period"], "left")
+    mapped = attach(rows, wide, [*keys, "period"], "left", derived=True)
     sim = F.col("kind") == "sim"
-    return mapped.withColumns({
-        a: F.when(sim, interpolate(a, F.col(f"_t_{a}.xs"), F.col(f"_t_{a}.zs"))).otherwise(F.col(a)) for a in axes
-    }).drop(*[f"_t_{a}" for a in axes])
+    located = mapped.withColumns({f"_k_{a}": count_le(F.col(f"_t_{a}.xs"), F.col(a), (steps + 1).bit_length()) for a in axes})
+    return located.withColumns({
+        a: F.when(sim, interpolate(a, F.col(f"_t_{a}.xs"), F.col(f"_t_{a}.zs"), f"_k_{a}")).otherwise(F.col(a)) for a in axes
+    }).drop(*[f"_t_{a}" for a in axes], *[f"_k_{a}" for a in axes])
 
 
 def mbcn(bundle: DataFrame, keys=CELL, n_rotations: int = 6, seed: int = 0, steps: int = 50) -> DataFrame:
@@ -196,9 +198,6 @@ def mbcn(bundle: DataFrame, keys=CELL, n_rotations: int = 6, seed: int = 0, step
 
 def rank_rows(df: DataFrame, keys, value: str) -> DataFrame:
     """Add ``_rank`` (1-based, ties by time) within each group, by buckets along the value order."""
-    from gridloom.functions.columns import count_le
-    from gridloom.operators.ordering import positions
-
     keys = list(keys)
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [(i + 1) / 16 for i in range(15)], 320).alias("_cuts"))
     placed = df.join(cuts, keys).withColumn("_place", F.coalesce(count_le("_cuts", F.col(value), bits=4), F.lit(0))).drop("_cuts")
@@ -218,10 +217,11 @@ def gamma_fit(df: DataFrame, keys, value: str = "value", threshold: float = 1.0,
     gap = F.ln("_m") - F.col("_l")
     fit = sums.withColumn("_s", F.when(gap > 1e-12, gap))
     s = F.col("_s")
-    fit = fit.withColumn("alpha", (3.0 - s + F.sqrt((s - 3.0) * (s - 3.0) + 24.0 * s)) / (12.0 * s))
-    for _ in range(iterations):
-        a = F.col("alpha")
-        fit = fit.withColumn("alpha", a - (F.ln(a) - digamma(a) - s) / (1.0 / a - trigamma(a)))
+    start = (3.0 - s + F.sqrt((s - 3.0) * (s - 3.0) + 24.0 * s)) / (12.0 * s)
+    steps = F.array(*[F.lit(i) for i in range(iterations)])
+    # A fold over the iterations keeps the expression small; chained columns would be multiplied out.
+    newton = F.aggregate(steps, start, lambda a, _: a - (F.ln(a) - digamma(a) - s) / (1.0 / a - trigamma(a)))
+    fit = fit.withColumn("alpha", newton)
     return fit.select(*keys, "n_wet", "alpha", (F.col("alpha") / F.col("_m")).alias("beta"))
 
 
@@ -239,7 +239,7 @@ def repair_aberrant(field: DataFrame, value: str, keys=("time",), threshold: flo
         limit = F.lit(float(threshold))
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     bad = field.where(F.col(value) > limit).select(*keys, F.col("iy").alias("_y"), F.col("ix").alias("_x"))
-    looked = bad.withColumn("iy", F.col("_y") + F.explode(around)).withColumn("ix", F.col("_x") + F.explode(around))
+    looked = bad.withColumn("iy", F.explode(F.transform(around, lambda d: F.col("_y") + d))).withColumn("ix", F.explode(F.transform(around, lambda d: F.col("_x") + d)))
     local = looked.join(field.select(*keys, *CELL, F.col(value).alias("_v")), [*keys, *CELL])
     means = local.groupBy(*keys, F.col("_y").alias("iy"), F.col("_x").alias("ix")).agg(F.avg("_v").alias("_mean"))
     return field.join(means, [*keys, *CELL], "left").withColumn(value, F.coalesce(F.col("_mean"), F.col(value))).drop("_mean")
@@ -254,7 +254,7 @@ def gamma_parameters(df: DataFrame, value: str = "value", threshold: float = 1.0
 
 def gamma_weighted_mae(pairs: DataFrame, parameters: DataFrame, keys=(), pred: str = "pred", truth: str = "y", ignore: float | None = None) -> DataFrame:
     """Masked mean of abs(y - p) + F(y)^2 * max(0, y - p), F the gamma CDF of the cell; NULL parameters are 1."""
-    joined = attach(pairs, parameters.select(*CELL, "alpha", "beta"), CELL, "left")
+    joined = attach(pairs, parameters.select(*CELL, "alpha", "beta"), CELL, "left", derived=True)
     y, p = F.col(truth), F.col(pred)
     keep = y.isNotNull() & p.isNotNull()
     if ignore is not None:

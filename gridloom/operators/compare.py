@@ -167,7 +167,7 @@ def best_run(history: DataFrame) -> DataFrame:
 def reference_mean_field(field: DataFrame, part: str, cell=("iy", "ix")) -> DataFrame:
     """Average over parts (files) of each part's first time step."""
     first = field.groupBy(part).agg(F.min("time").alias("time"))
-    return attach(field, first, [part, "time"]).groupBy(*cell).agg(F.avg("value").alias("value"))
+    return attach(field, first, [part, "time"], derived=True).groupBy(*cell).agg(F.avg("value").alias("value"))
 
 
 def direct_predictions(samples: DataFrame, channel_order: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.ecdf import exact_quantiles
@@ -31,7 +31,7 @@ def histogram(df: DataFrame, keys, bins: int, lo=None, hi=None, value: str = "va
     data = df.where(F.col(value).isNotNull())
     if lo is None:
         span = data.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        data = attach(data, span, keys)
+        data = attach(data, span, keys, derived=True)
         lo, hi = "_lo", "_hi"
     else:
         data = data.withColumns({"_lo": F.lit(float(lo)), "_hi": F.lit(float(hi))})
@@ -39,10 +39,10 @@ def histogram(df: DataFrame, keys, bins: int, lo=None, hi=None, value: str = "va
         data.withColumn("bin", bin_index(value, "_lo", "_hi", bins)).where("bin is not null")
         .groupBy(*keys, "_lo", "_hi", "bin").agg(F.count(F.lit(1)).alias("n"))
     )
-    total = counted.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    # At most ``bins`` rows per group reach this window.
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
     width = (F.col("_hi") - F.col("_lo")) / bins
-    joined = attach(counted, total, keys) if keys else counted.withColumn("_total", total.select("_total").scalar())
-    return joined.select(
+    return counted.withColumn("_total", F.sum("n").over(whole)).select(
         *keys, "bin", (F.col("_lo") + (F.col("bin") + 0.5) * width).alias("center"), "n",
         (F.col("n") / (F.col("_total") * width)).alias("density"),
     )
@@ -86,7 +86,7 @@ def density_difference(densities: DataFrame, reference: str, series: str = "seri
     """Density of every other series minus that of the reference, per bin."""
     ref = densities.where(F.col(series) == reference).select(*keys, "bin", F.col("density").alias("_ref"))
     other = densities.where(F.col(series) != reference)
-    return attach(other, ref, [*keys, "bin"]).select(*keys, series, "bin", (F.col("density") - F.col("_ref")).alias("difference"))
+    return other.join(ref, [*keys, "bin"]).select(*keys, series, "bin", (F.col("density") - F.col("_ref")).alias("difference"))
 
 
 def quantile_bias(df: DataFrame, reference: str, series: str = "series", keys=(), value: str = "value",
@@ -94,7 +94,7 @@ def quantile_bias(df: DataFrame, reference: str, series: str = "series", keys=()
     """Quantiles of every series minus those of the reference series."""
     q = exact_quantiles(df, [*keys, series], value, probs)
     ref = q.where(F.col(series) == reference).select(*keys, F.col("quantiles").alias("_ref"))
-    joined = attach(q.where(F.col(series) != reference), ref, list(keys)) if keys else (
+    joined = q.where(F.col(series) != reference).join(ref, list(keys)) if keys else (
         q.where(F.col(series) != reference).withColumn("_ref", ref.select("_ref").scalar())
     )
     return joined.select(*keys, series, *[(F.col("quantiles")[i] - F.col("_ref")[i]).alias(f"{n}_bias") for i, n in enumerate(names)])

@@ -32,7 +32,7 @@ def _is_x(df: DataFrame):
 
 def standardise(df: DataFrame, stats: DataFrame) -> DataFrame:
     """(x - mean) / std per input channel; targets stay as they are."""
-    out = attach(df, stats.select("channel", F.col("mean").alias("_m"), F.col("std").alias("_s")), "channel", "left")
+    out = attach(df, stats.select("channel", F.col("mean").alias("_m"), F.col("std").alias("_s")), "channel", "left", derived=True)
     z = F.try_divide(F.col("value") - F.col("_m"), F.col("_s"))
     return out.withColumn("value", F.when(_is_x(df), z).otherwise(F.col("value"))).drop("_m", "_s")
 
@@ -44,7 +44,7 @@ def minmax(df: DataFrame, stats: DataFrame, target_channel: str, output_norm: bo
     """
     ranges = stats.select("channel", F.col("min").alias("_lo"), F.col("max").alias("_hi"))
     own = F.when(_is_x(df), F.col("channel")).otherwise(F.lit(target_channel))
-    out = attach(df.withColumn("_own", own), ranges.withColumnRenamed("channel", "_own"), "_own", "left")
+    out = attach(df.withColumn("_own", own), ranges.withColumnRenamed("channel", "_own"), "_own", "left", derived=True)
     z = F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     y = F.col("value")
     if output_norm:
@@ -64,7 +64,7 @@ def inverse_minmax(df: DataFrame, stats: DataFrame, target_channel: str, output_
 
 
 def inverse_minmax_inputs(df: DataFrame, stats: DataFrame) -> DataFrame:
-    out = attach(df, stats.select("channel", F.col("min").alias("_lo"), F.col("max").alias("_hi")), "channel", "left")
+    out = attach(df, stats.select("channel", F.col("min").alias("_lo"), F.col("max").alias("_hi")), "channel", "left", derived=True)
     raw = F.col("value") * (F.col("_hi") - F.col("_lo")) + F.col("_lo")
     return out.withColumn("value", F.when(_is_x(df), raw).otherwise(F.col("value"))).drop("_lo", "_hi")
 

@@ -160,7 +160,7 @@ def _nearest_in_ring(points: DataFrame, grid: DataFrame, width: float, point: st
 
 def scatter_points(values: DataFrame, cells: DataFrame, keys=("time",), point: str = "point_id", value: str = "value") -> DataFrame:
     """Put point values on their nearest cells; where points collide the highest point id wins."""
-    placed = attach(values, cells, point)
+    placed = attach(values, cells, point, derived=True)
     return placed.groupBy(*keys, "iy", "ix").agg(F.max_by(value, point).alias(value))
 
 

@@ -68,10 +68,13 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def attach(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS, derived: bool = False) -> DataFrame:
     """Join a fact to a dimension: broadcast if its size was checked, otherwise a shuffle join.
 
-    The shuffle join is left to AQE, which splits partitions swollen by a hot key.
+    The shuffle join is left to AQE, which splits partitions swollen by a hot key. A ``derived`` dimension
+    costs a pass over the facts; it is written out first, so that the size check does not repeat the pass.
     """
+    if derived:
+        small = materialise(small, "dimension")
     side = F.broadcast(small) if fits_broadcast(small, max_rows) else small
     return big.join(side, on, how)

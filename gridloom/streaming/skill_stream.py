@@ -26,7 +26,7 @@ def skill_from_sums(sums: DataFrame, keys=("run",)) -> DataFrame:
 
 def watermarked(stream: DataFrame, delay: str = "30 days", time: str = "time") -> DataFrame:
     """Bound the state: windows older than the watermark are final and leave the state store."""
-    return stream.withWatermark(time, delay)
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
 
 
 def start_skill_stream(stream: DataFrame, path: str, keys=("run",), delay: str = "30 days", step: str = "1 day", checkpoint: str | None = None, **trigger):
