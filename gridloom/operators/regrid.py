@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.geometry import axis_bounds
-from gridloom.session import attach
+from gridloom.session import attach, materialise
 
 WEIGHTS = ("src_iy", "src_ix", "dst_iy", "dst_ix", "w")
 
@@ -127,18 +127,20 @@ def nearest_cells(points: DataFrame, grid: DataFrame, bucket: float, point: str
 
     Points look into the buckets around their own, ring by ring: first the 3 x 3 neighbourhood, which decides
     for every point whose hit lies within one bucket width. The rest (points far from the grid) look into
-    neighbourhoods doubled in width, by coarser buckets, until every point is settled.
+    neighbourhoods of coarser buckets, four times as wide each round, until every point is settled.
     """
     settled = None
-    todo, width = points, bucket
+    todo, width = points.select(point, "lon", "lat"), bucket
     while True:
-        found = _nearest_in_ring(todo, grid, width, point)
-        good = found.where(F.col("_d2") <= F.lit(width * width))
+        # Each round is written out: the next one starts from its rows, not from all rounds before it.
+        found = materialise(_nearest_in_ring(todo, grid, width, point), "nearest")
+        good = found.where(F.col("_d2") <= F.lit(width * width)).select(point, "iy", "ix")
         settled = good if settled is None else settled.unionByName(good)
-        todo = todo.join(good.select(point), point, "left_anti")
-        if width > 720.0 or todo.isEmpty():
-            return settled.select(point, "iy", "ix")
-        width *= 2
+        rest = todo.join(good.select(point), point, "left_anti")
+        if width > 720.0 or rest.isEmpty():
+            return settled
+        todo = materialise(rest, "nearest-rest")
+        width *= 4
 
 
 def _nearest_in_ring(points: DataFrame, grid: DataFrame, width: float, point: str) -> DataFrame:
