@@ -92,7 +92,7 @@ def interpolate(x, xs, ys, index) -> Column:
     """Piecewise linear value at ``x`` through the nodes (xs, ys), both ascending arrays of equal length.
 
     ``index`` is ``count_le(xs, x)``; keep it in a column of its own, so that it is searched once per row.
-    Beyond the first or last node the offset of that node is kept: y_end + (x - x_end).
+    Beyond the first or last node the offset of that node is kept: y_end + (x - x_end). NULL gives NULL.
     """
     x, xs, ys = col(x), col(xs), col(ys)
     n = F.size(xs)
@@ -103,7 +103,8 @@ def interpolate(x, xs, ys, index) -> Column:
     first_x, last_x = F.try_element_at(xs, F.lit(1)), F.try_element_at(xs, n)
     first_y, last_y = F.try_element_at(ys, F.lit(1)), F.try_element_at(ys, n)
     return (
-        F.when(x < first_x, first_y + (x - first_x))
+        F.when(x.isNull(), None)
+        .when(x < first_x, first_y + (x - first_x))
         .when(x >= last_x, last_y + (x - last_x))
         .otherwise(inside)
     )

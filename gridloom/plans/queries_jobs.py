@@ -330,7 +330,7 @@ def nodes_sql(sorted_list: str, n: str, m: int) -> str:
 
 def interp_sql(x: str, xs: str, ys: str, n: int, e: str = "e") -> str:
     k = f"greatest(1, least(len(list_filter({xs}, lambda {e}: {e} <= {x})), {n - 1}))"
-    return f"""CASE WHEN {x} < {xs}[1] THEN {ys}[1] + ({x} - {xs}[1]) WHEN {x} >= {xs}[{n}] THEN {ys}[{n}] + ({x} - {xs}[{n}])
+    return f"""CASE WHEN {x} IS NULL THEN NULL WHEN {x} < {xs}[1] THEN {ys}[1] + ({x} - {xs}[1]) WHEN {x} >= {xs}[{n}] THEN {ys}[{n}] + ({x} - {xs}[{n}])
       ELSE {ys}[{k}] + coalesce(({x} - {xs}[{k}]) / nullif({xs}[{k} + 1] - {xs}[{k}], 0), 0) * ({ys}[{k} + 1] - {ys}[{k}]) END"""
 
 
