@@ -199,8 +199,8 @@ def mbcn(bundle: DataFrame, keys=CELL, n_rotations: int = 6, seed: int = 0, step
 def rank_rows(df: DataFrame, keys, value: str) -> DataFrame:
     """Add ``_rank`` (1-based, ties by time) within each group, by buckets along the value order."""
     keys = list(keys)
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [(i + 1) / 16 for i in range(15)], 320).alias("_cuts"))
-    placed = df.join(cuts, keys).withColumn("_place", F.coalesce(count_le("_cuts", F.col(value), bits=4), F.lit(0))).drop("_cuts")
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [(i + 1) / 64 for i in range(63)], 1280).alias("_cuts"))
+    placed = df.join(cuts, keys).withColumn("_place", F.coalesce(count_le("_cuts", F.col(value), bits=6), F.lit(0))).drop("_cuts")
     return positions(placed, keys, [value, "time"], F.col("_place"), "_rank").drop("_place")
 
 

@@ -17,25 +17,22 @@ def calendar_bucket(time, unit: str = "year") -> Column:
     return F.date_trunc(unit, col(time))
 
 
-def previous_row(df: DataFrame, keys, time: str, columns, unit: str = "year", suffix: str = "_prev") -> DataFrame:
+def previous_row(df: DataFrame, keys, time: str, columns, unit: str = "month", suffix: str = "_prev") -> DataFrame:
     """Add ``<column>_prev`` from the preceding row of the same series (``lag`` by one)."""
-    keys, columns = list(keys), list(columns)
-    bucketed = df.withColumn("_bucket", calendar_bucket(time, unit))
-    payload = F.struct(F.col(time).alias("_at"), *[F.col(c) for c in columns])
+    keys, columns = list(keys), [c for c in columns if c != time]
+    bucketed = df.withColumns({"_bucket": calendar_bucket(time, unit), "_carry": F.lit(False)})
+    # The last row of each bucket also enters the next bucket of its series, as a row to look back to. A union
+    # rather than a join: both branches then read the same exchange.
+    known = {*keys, "_bucket", time, *columns}
     tails = (
-        bucketed.groupBy(*keys, "_bucket")
-        .agg(F.max_by(payload, F.col(time)).alias("_tail"))
-        .withColumn("_carry", F.lag("_tail").over(_over(keys, "_bucket")))
-        .select(*keys, "_bucket", "_carry")
-    )
-    inside = F.lag(payload).over(Window.partitionBy(*keys, "_bucket").orderBy(time))
-    joined = bucketed.withColumn("_inside", inside).join(tails, [*keys, "_bucket"])
-    prev = F.coalesce(F.col("_inside"), F.col("_carry"))
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        *[prev[c].alias(c + suffix) for c in columns if c != time],
-        prev["_at"].alias(time + suffix),
+        bucketed.groupBy(*keys, "_bucket").agg(F.max(time).alias(time), *[F.max_by(c, time).alias(c) for c in columns])
+        .withColumn("_bucket", F.lead("_bucket").over(_over(keys, "_bucket"))).where("_bucket is not null")
+        .withColumns({f.name: F.lit(None).cast(f.dataType) for f in df.schema.fields if f.name not in known})
+        .withColumn("_carry", F.lit(True))
     )
+    along = Window.partitionBy(*keys, "_bucket").orderBy(time)
+    looked = bucketed.unionByName(tails).withColumns({c + suffix: F.lag(c).over(along) for c in [*columns, time]})
+    return looked.where("not _carry").drop("_bucket", "_carry")
 
 
 def positions(df: DataFrame, keys, order, bucket: Column, name: str = "position") -> DataFrame:

@@ -86,21 +86,15 @@ def skill_summary(pairs: DataFrame, keys=()) -> DataFrame:
         F.avg(F.when(F.col("season") == "all", F.col("corr"))).alias("corr_temporal_mean"),
     )
     v = variability_bias(pairs, keys).groupBy(*group).agg(F.avg("variability").alias("variability_mean"))
-    frame = season_frame(pairs, keys)
+    # A series without any pair has no row here; one with pairs has all three seasons.
+    every = F.explode(F.array(*[F.lit(x) for x in SEASONS])).alias("season")
+    frame = t.where("season = 'all'").select(*keys, every)
     return frame.join(t, group, "left").join(c, group, "left").join(v, group, "left").select(
         *group, "rmse_temporal_mean", "rmse_spatial_mean", "bias_spatial_mean", "bias_spatial_std",
         "corr_spatial_mean", "corr_temporal_mean", "variability_mean",
     )
 
 
-def season_frame(df: DataFrame, keys=()) -> DataFrame:
-    """The three seasons for every value of ``keys``, whether they hold data or not."""
-    seasons = F.explode(F.array(*[F.lit(s) for s in SEASONS])).alias("season")
-    if keys:
-        return df.select(*keys).distinct().select(*keys, seasons)
-    return df.agg(F.count(F.lit(1)).alias("_n")).select(seasons)
-
-
 def monthly_pairs(pairs: DataFrame, keys=(), skipna: bool = True) -> DataFrame:
     return monthly_mean(valid_pairs(pairs, "obs", "pred"), [*keys, *CELL], ["obs", "pred"], skipna=skipna)
 

@@ -91,7 +91,8 @@ def half_year(time) -> Column:
 
 def with_seasons(df: DataFrame, time: str = "time", name: str = "season") -> DataFrame:
     """Each row once under ``all`` and once under its season, if it has one."""
-    return df.withColumn(name, F.explode(F.array_compact(F.array(F.lit("all"), season(time)))))
+    own = season(time)
+    return df.withColumn(name, F.explode(F.when(own.isNull(), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), own))))
 
 
 def select_times(field: DataFrame, requests: DataFrame, keys=("iy", "ix"), value: str = "value") -> DataFrame:

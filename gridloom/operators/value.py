@@ -17,7 +17,10 @@ def _keyed(df: DataFrame, keys):
     """Ungrouped calls get one constant-valued group column, so that every step is a keyed join."""
     if keys:
         return df, list(keys), False
-    return df.withColumn("_series", F.when(F.col("time").isNotNull(), "all")), ["_series"], True
+    # Not NULL, so that joining on it adds no filter below the shared exchanges; not a literal, which Spark
+    # would fold, turning the joins into products.
+    name = F.coalesce(F.when(F.col("time").isNotNull(), "all"), F.lit("all"))
+    return df.withColumn("_series", name), ["_series"], True
 
 
 def long_series(pairs: DataFrame, keys=()) -> DataFrame:
