@@ -63,3 +63,8 @@ def gamma_cdf(x: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
     """CDF of the Gamma distribution with shape ``alpha`` and rate ``beta``."""
     p = regularised_lower_gamma(alpha.to_numpy(float), x.to_numpy(float) * beta.to_numpy(float))
     return pd.Series(np.where(x.isna(), np.nan, p)).where(~x.isna())
+
+
+def register(spark) -> None:
+    """Make the vectorised functions callable by name from SQL."""
+    spark.udf.register("gamma_cdf", gamma_cdf)

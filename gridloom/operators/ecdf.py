@@ -56,6 +56,8 @@ def ranked_values(df: DataFrame, keys, value: str, weights: dict[str, Column] |
     if wanted is not None:
         c = names[0]
         borders = borders.where(wanted(F.col(f"_{c}_offset"), F.col(f"_{c}_size"), F.col(f"{c}_total")))
+    if not keys:
+        borders = F.broadcast(borders)  # one row per bucket: at most cuts + 1
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
     run = inside.rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -97,7 +99,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs, name: str = "quantil
     return _as_array(exploded.select(*keys, F.col("_hit.i").alias("_i"), q.alias("_q")), keys, name)
 
 
-def quantile_table(df: DataFrame, keys, value: str, steps: int, name: str = "nodes", cuts: int = 15) -> DataFrame:
+def quantile_table(df: DataFrame, keys, value: str, steps: int, name: str = "nodes", cuts: int = 63) -> DataFrame:
     """Per group the quantiles at 0, 1/steps, ..., 1 as an ascending array of steps + 1 nodes, plus ``n``.
 
     The node numbers a value covers follow from integer arithmetic, so the cost does not grow with steps.
@@ -125,11 +127,12 @@ def quantile_table(df: DataFrame, keys, value: str, steps: int, name: str = "nod
     )
 
 
-def wasserstein(df: DataFrame, keys, value: str, is_first: Column, name: str = "wasserstein") -> DataFrame:
+def wasserstein(df: DataFrame, keys, value: str, is_first: Column, name: str = "wasserstein", cuts: int = 255) -> DataFrame:
     """Wasserstein-1 distance between the rows where ``is_first`` holds and the others, per group."""
     ranked = ranked_values(
         df, keys, value,
         weights={"a": F.when(is_first, 1).otherwise(0), "b": F.when(is_first, 0).otherwise(1)},
+        cuts=cuts,
     )
     fa = (F.col("a_before") + F.col("a")) / F.col("a_total")
     fb = (F.col("b_before") + F.col("b")) / F.col("b_total")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import align, compare, quality, skill, timeops
 from gridloom.operators.ordering import calendar_bucket, positions
 from gridloom.plans import standins as S
-from gridloom.plans.queries_skill import MAP, SUMMARY, corr_sql, lag_sql, summary_sql, value_sql, map_sql, marginal_sql
+from gridloom.plans.queries_skill import SUMMARY, corr_sql, summary_sql, value_sql
 from gridloom.plans.registry import query
 
 

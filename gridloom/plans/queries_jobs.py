@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.operators import biascorr, masks, normalise, samples, scoring, signal, skill, timeops
-from gridloom.operators.geometry import crop
-from gridloom.operators.regrid import bilinear_weights, chain_weights, conservative_weights
+from gridloom.functions import gamma
+from gridloom.operators import biascorr, normalise, samples, scoring, skill, timeops
+from gridloom.operators.regrid import chain_weights, conservative_weights
 from gridloom.plans import composites
 from gridloom.plans import standins as S
 from gridloom.plans.queries_compare import xy_samples
@@ -66,8 +66,7 @@ def concatenated_files(spark, sf):
 @query("o_orderkey:l part:s", "A4", "SELECT o_orderkey, CASE WHEN year(o_orderdate) <= 1996 THEN 'p1995_1996' WHEN year(o_orderdate) <= 1999 THEN 'p1997_1999' ELSE 'p2000_2005' END AS part FROM orders")
 def file_spans(spark, sf):
     orders = S.table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
-    spans = F.explode(F.array(*[F.struct(F.lit(f"p{a}_{b}").alias("part"), F.lit(a).alias("start_year"), F.lit(b).alias("end_year")) for a, b in ((1995, 1996), (1997, 1999), (2000, 2005))]))
-    manifest = S.table(spark, sf, "region").limit(1).select(spans.alias("m")).select("m.*")
+    manifest = spark.createDataFrame([(f"p{a}_{b}", a, b) for a, b in ((1995, 1996), (1997, 1999), (2000, 2005))], "part string, start_year int, end_year int")
     return catalog.in_span(manifest, orders)
 
 
@@ -442,6 +441,13 @@ def training_shapes(spark, sf):
     return biascorr.training_mismatch(p.where("obs is not null"), p)
 
 
+@query("time:d iy:i ix:i p:f", "J5", f"SELECT time, iy, ix, 1 - exp(-value / 2) * (1 + value / 2) AS p FROM ({_AMOUNTS})")
+def gamma_cdf_by_name(spark, sf):
+    gamma.register(spark)
+    # Shape 2 has a closed form to compare with.
+    return amounts(spark, sf).selectExpr("time", "iy", "ix", "gamma_cdf(value, 2D, 0.5D) AS p")
+
+
 @query("period:s gamma_mae:f", "D35")
 def gamma_weighted_mae(spark, sf):
     a = amounts(spark, sf)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.functions.columns import safe_corr
 from gridloom.operators import align, distrib, ecdf, signal, skill, timeops, value
 from gridloom.plans import standins as S
 from gridloom.plans.registry import query
@@ -56,12 +55,12 @@ def skill_against_model_truth(spark, sf):
     return skill.skill_summary(S.daily_points(spark, sf).select("time", "iy", "ix", F.col("ml").alias("obs"), F.col("raw").alias("pred")))
 
 
-@query("time:d iy:i ix:i obs:f pred:f", "C1", "SELECT time, iy, ix, obs, pred FROM valid_points JOIN (SELECT time, iy, ix FROM daily_points WHERE time >= '1996-06-01') USING (time, iy, ix)")
+@query("time:d iy:i ix:i obs:f pred:f", "C1 K5", "SELECT time, iy, ix, obs, pred FROM valid_points JOIN (SELECT time, iy, ix FROM daily_points WHERE time >= '1996-06-01') USING (time, iy, ix)")
 def aligned_pairs(spark, sf):
     p = S.daily_points(spark, sf)
     obs = p.where("obs is not null").select("time", "iy", "ix", "obs")
     pred = timeops.filter_dates(p.select("time", "iy", "ix", F.col("raw").alias("pred")), "1996-06-01")
-    return align.align(obs, pred)
+    return align.require_rows(align.align(obs, pred), "no common time and cell")
 
 
 @query("time:d rmse:f corr:f", "D12", f"SELECT time, sqrt(avg((pred - obs) * (pred - obs))) AS rmse, {corr_sql('pred', 'obs')} AS corr FROM valid_points GROUP BY 1")
