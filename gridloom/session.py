@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows up to which a dimension table (weights, grid, statistics) is broadcast. At about 100 bytes a row
-# this is some 20 MB on each executor; beyond it the join stays a shuffle join that AQE can split.
+# Rows and bytes up to which a dimension table (weights, grid, statistics) is broadcast: some 20 MB on each
+# executor; beyond it the join stays a shuffle join that AQE can split.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 24_000_000
 
 
 def local_session(app: str = "gridloom", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -34,7 +38,8 @@ def local_session(app: str = "gridloom", cores: str = "8", shuffle_partitions: i
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests, a laptop) is a temporary folder used instead.
+    Only when the setting is absent and the session is local (tests, a laptop) is a temporary folder used
+    instead, removed at exit; on a cluster each executor would write to a disk of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -42,7 +47,11 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="gridloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -63,18 +72,30 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``max_rows`` rows; counts no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _bytes(name: str, kind: T.DataType):
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.size(F.col(f"`{name}`")), F.lit(0)) * 8 + 24
+    return F.lit(8)
 
 
-def attach(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS, derived: bool = False) -> DataFrame:
-    """Join a fact to a dimension: broadcast if its size was checked, otherwise a shuffle join.
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the table stays below both limits; reads no further than ``max_rows`` rows."""
+    width = sum((_bytes(f.name, f.dataType) for f in df.schema.fields), F.lit(16))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
+
+
+def attach(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS,
+           derived: bool = False, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a fact to a dimension: broadcast if its size was checked in rows and bytes, otherwise a shuffle join.
 
     The shuffle join is left to AQE, which splits partitions swollen by a hot key. A ``derived`` dimension
     costs a pass over the facts; it is written out first, so that the size check does not repeat the pass.
     """
     if derived:
         small = materialise(small, "dimension")
-    side = F.broadcast(small) if fits_broadcast(small, max_rows) else small
+    side = F.broadcast(small) if fits_broadcast(small, max_rows, max_bytes) else small
     return big.join(side, on, how)
