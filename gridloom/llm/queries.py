@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, mixing, secrets
+from gridloom.llm import exact_dedup, mixing, packing, secrets, telephony, url_rules
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +35,12 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+@op()
+def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as stored telephony audio, read back and described."""
+    return telephony.stored_features(_table(spark, sf_dir, "documents"))
+
+
 def _rake_sql(cycles: int, power: float) -> str:
     steps, last = [], "seeded"
     for k in range(cycles):
@@ -128,3 +134,39 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the identifier that stays of its group of equal texts."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.content_sort(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@op()
+def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 1024 tokens. The vocabulary file is part of the environment."""
+    import public_tokenizers
+
+    cut = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return cut.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "continued", "continues")
+
+
+# The rules of the query (host, path, verdict).
+URL_RULES = (
+    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
+)
+
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return f"""
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
+rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_rules.UPPER}', '{url_rules.LOWER}') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+fits AS (SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+  arg_max(rule_verdict, length(rule_host || rule_path)) AS verdict FROM split, rules
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN fits USING (page_id)
+"""
+
+
+@op(_url_sql())
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the longest rule that fits its url."""
+    rules = spark.createDataFrame(list(URL_RULES), url_rules.RULES)
+    return url_rules.judge(_table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
