@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, mixing, packing, secrets, telephony, url_rules
+from gridloom.llm import exact_dedup, lattice_lm, mixing, packing, secrets, telephony, url_rules
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -170,3 +170,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by the longest rule that fits its url."""
     rules = spark.createDataFrame(list(URL_RULES), url_rules.RULES)
     return url_rules.judge(_table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
+@op()
+def op10_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the trained lattice, beside a word unigram."""
+    import public_tokenizers
+
+    return lattice_lm.score(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
