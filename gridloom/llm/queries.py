@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, lattice_lm, mixing, packing, secrets, telephony, url_rules
+from gridloom.llm import cotraining, exact_dedup, lattice_lm, mixing, packing, secrets, telephony, url_rules
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +41,14 @@ def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.stored_features(_table(spark, sf_dir, "documents"))
 
 
+@op()
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the scores of both views, the combined score and whether it is kept."""
+    docs = _table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, _table(spark, sf_dir, "labels"))
+    return cotraining.classify(docs, model).select("doc_id", "text_score", "metadata_score", "score", "kept")
+
+
 def _rake_sql(cycles: int, power: float) -> str:
     steps, last = [], "seeded"
     for k in range(cycles):
