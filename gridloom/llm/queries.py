@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import cotraining, exact_dedup, lattice_lm, mixing, ngram_join, packing, secrets, telephony, url_rules
+from gridloom.llm import cotraining, exact_dedup, lattice_lm, mixing, ngram_join, packing, secrets, suffix_dedup, telephony, url_rules
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,3 +192,9 @@ def op10_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the least identifier among its near copies (four-word shingles, 85 percent)."""
     return ngram_join.join(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@op()
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that lie in a repeated string of 400 bytes."""
+    return suffix_dedup.remove(_table(spark, sf_dir, "documents"))
