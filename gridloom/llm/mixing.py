@@ -71,6 +71,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = 8) -> Da
     return now
 
 
+def gaps(raked: DataFrame, margin: str) -> DataFrame:
+    """Target and reached share of each value of a margin. Targets that contradict each other over the cells that have
+    tokens cannot all be met; the margin scaled last is, and the others show here how far they are off."""
+    total = raked.agg(F.sum("weight")).first()[0] or 1.0
+    return raked.groupBy(margin).agg(F.max(f"target_{margin}").alias("target"), (F.sum("weight") / F.lit(total)).alias("reached"))
+
+
 def cell_probabilities(raked: DataFrame, budget: float) -> DataFrame:
     """Drawing probability of each cell: weight over tokens, scaled to at most one and to ``budget`` of all tokens at most."""
     ratio = F.when((F.col("tokens") > 0) & (F.col("weight") > 0), F.col("weight") / F.col("tokens")).otherwise(0.0)
