@@ -12,8 +12,8 @@ very many documents holds other shingles as a rule, so such passages make no lar
 
 Large groups of near copies are linked without forming their pairs: first every member of a bucket is verified against
 the bucket's first member, and components are built. Only buckets of three or more that still hold several components
-go to the R-trees, which return the pairs of different components that pass the bound; those are verified and join the
-components. Every link between different sets is thus either verified or within a component. Large buckets are
+go to the R-trees. Twice they return each member's nearest point of another component, which merges most of what is
+close, and then all pairs of different components that pass the bound; pairs are verified and join the components. Every link between different sets is thus either verified or within a component. Large buckets are
 indexed in blocks, and the members query each block.
 """
 
@@ -30,7 +30,10 @@ from gridloom.llm import textbytes as tb
 from gridloom.llm.graph import components
 from gridloom.session import fits_broadcast, materialise
 
-GROUPS = 64  # coordinates of a point
+GROUPS = 256  # coordinates of a point
+COARSE = 64  # coordinates of the boxes: sums of neighbouring ones
+HUGE = 65_535  # sets of this size could overflow a coordinate, so no bound is applied to them
+ROUNDS = 2  # rounds that look for the nearest point of another component only
 BLOCK = 4096  # members of a bucket indexed together
 _SHINGLE = tuple(np.uint64(2 * k + 1) for k in (0x4F1BBCDCBFA53E0A, 0x2545F4914F6CDD1C, 0x1B873593CC9E2D51, 0x38495AB5A1B2C3D4, 0x5851F42D4C957F2D))
 
@@ -89,10 +92,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarr
             if n >= words:
                 out.append(np.unique(joined[low : high - words + 1]))
             elif n:
-                whole = np.uint64(n)
+                whole = np.array([n], np.uint64)
                 for h in own[low:high]:
-                    whole = tb.mixed(np.array([whole * tb.BASE + h], np.uint64))[0]
-                out.append(np.array([whole], np.uint64))
+                    whole = tb.mixed(whole * tb.BASE + h)
+                out.append(whole)
             else:
                 out.append(np.zeros(0, np.uint64))
             low = high
@@ -101,7 +104,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarr
 
 def node_of(s: np.ndarray) -> tuple[int, int]:
     """Two hashes of a set: the first names the node, the second tells different sets with one name apart."""
-    a = tb.mixed(np.array([tb.mixed(s).sum() + np.uint64(len(s)) * tb.BASE, tb.mixed(s ^ tb.BASE).sum()], np.uint64)).view(np.int64)
+    sums = np.array([tb.mixed(s).sum(), tb.mixed(s ^ tb.BASE).sum()], np.uint64) + np.array([len(s), 0], np.uint64) * tb.BASE
+    a = tb.mixed(sums).view(np.int64)
     return int(a[0]), int(a[1])
 
 
@@ -121,45 +125,63 @@ def signatures(s: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, HUGE).astype(np.uint16)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Most shingles that sets with these points can share, row by row."""
+    return np.minimum(a, b).sum(-1, dtype=np.int64)
 
 
 class Tree:
-    """A packed R-tree over count vectors. Boxes need their upper corners alone, for the bound takes minima with them."""
+    """A packed R-tree over count vectors. Boxes need their upper corners alone, for the bound takes minima with them;
+    they are kept on coarser coordinates, and the full ones decide at the leaves."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, owners: np.ndarray, leaf: int = 16):
-        order = np.lexsort((*points.T[:3], points[:, : GROUPS // 2].sum(1), sizes))
-        self.order = order
+        coarse = self.folded(points)
+        order = np.lexsort((*coarse.T[:3], coarse[:, : COARSE // 2].sum(1), sizes))
+        self.order, self.leaf = order, leaf
         self.points, self.sizes, self.owners = points[order], sizes[order], owners[order]
-        self.levels = []  # from the leaves up: upper corner, least size, the one owner of all below or -1
-        top, least, owner, same = self.points, self.sizes, self.owners, np.ones(len(order), bool)
-        while True:
+        top, least, owner, same = coarse[order], self.sizes, self.owners, np.ones(len(order), bool)
+        self.levels = [(top, least, owner, same)]  # from the points up: upper corner, least size, the one owner below, if one
+        while len(top) > 1:
             heads = np.arange(0, len(top), leaf)
             low, high = np.minimum.reduceat(owner, heads), np.maximum.reduceat(owner, heads)
             same = (low == high) & np.logical_and.reduceat(same, heads)
             top, least, owner = np.maximum.reduceat(top, heads), np.minimum.reduceat(least, heads), low
             self.levels.append((top, least, owner, same))
-            if len(top) == 1:
-                break
-        self.leaf = leaf
-
-    def search(self, q: np.ndarray, size: int, owner: int, rule: Rule) -> np.ndarray:
-        """Places of points of other owners that can share enough shingles with a query of no larger size."""
-        at = np.zeros(1, np.int64)
-        for depth in range(len(self.levels) - 1, -2, -1):
-            if depth >= 0:
-                top, least, owners, same = self.levels[depth]
-                top, least, mine = top[at], least[at], same[at] & (owners[at] == owner)
-            else:
-                top, least, mine = self.points[at], self.sizes[at], self.owners[at] == owner
-            need = rule.least_overlap(size, np.maximum(least, size))
-            at = at[~mine & (np.minimum(top, q).sum(1) >= need)]
-            if depth < 0:
-                return self.order[at[self.sizes[at] >= size]]
-            width = len(self.levels[depth - 1][0]) if depth else len(self.points)
-            at = (at[:, None] * self.leaf + np.arange(self.leaf)).ravel()
-            at = at[at < width]
-        return at
+
+    @staticmethod
+    def folded(points: np.ndarray) -> np.ndarray:
+        return points.reshape(len(points), COARSE, -1).sum(2, dtype=np.int32)
+
+    def search(self, points: np.ndarray, sizes: np.ndarray, owners: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, bound) of all points of other owners, and of no smaller sets, that can share enough shingles
+        with a query. All queries go down the tree together."""
+        coarse = self.folded(points)
+        query, at = np.arange(len(points)), np.zeros(len(points), np.int64)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            top, least, owner, same = self.levels[depth]
+            if depth < len(self.levels) - 1:
+                query = np.repeat(query, self.leaf)
+                at = (at[:, None] * self.leaf + np.arange(self.leaf)).ravel()
+                inside = at < len(top)
+                query, at = query[inside], at[inside]
+            keep = np.zeros(len(at), bool)
+            for low in range(0, len(at), 8192):  # bounds the memory of a large frontier
+                q, k = query[low : low + 8192], at[low : low + 8192]
+                need = rule.least_overlap(sizes[q], np.maximum(least[k], sizes[q]))
+                keep[low : low + 8192] = (overlap_bound(coarse[q], top[k]) >= need) | (sizes[q] >= HUGE)
+            keep &= ~(same[at] & (owner[at] == owners[query]))
+            query, at = query[keep], at[keep]
+        large = self.sizes[at] >= sizes[query]
+        query, at = query[large], at[large]
+        bound = np.zeros(len(at), np.int64)
+        for low in range(0, len(at), 8192):
+            bound[low : low + 8192] = overlap_bound(points[query[low : low + 8192]], self.points[at[low : low + 8192]])
+        keep = (bound >= rule.least_overlap(sizes[query], self.sizes[at])) | (sizes[query] >= HUGE)
+        return query[keep], self.order[at[keep]], bound[keep]
 
 
 def described(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
@@ -255,56 +277,118 @@ def set_table(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text_
     return materialise(made.dropDuplicates(["node"]), "sets")
 
 
+def _points(values, rows: slice) -> np.ndarray:
+    return np.frombuffer(b"".join(values.slice(rows.start, rows.stop - rows.start).to_pylist()), np.uint16).reshape(-1, GROUPS)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Written table ``a, b`` of the pairs that link: bounded by their points first, then compared in full."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Written table ``a, b`` of the pairs that link. Points are compared first; only sets of pairs that pass are moved."""
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
                 na, nb = (part.column(k).to_numpy() for k in (2, 3))
-                pa_, pb = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.int32).reshape(-1, GROUPS) for k in (4, 5))
-                need = rule.least_overlap(na, nb)
-                keep = np.minimum(pa_, pb).sum(1) >= need
-                for k in np.flatnonzero(keep):
-                    x, y = (np.frombuffer(part.column(c)[int(k)].as_buffer(), np.uint64) for c in (6, 7))
-                    keep[k] = len(np.intersect1d(x, y, assume_unique=True)) >= need[k]
-                yield pa.record_batch([part.column(0).filter(pa.array(keep)), part.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"point_{c}"), F.col("shingles").alias(f"set_{c}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "point_a", "point_b", "set_a", "set_b")
-    return materialise(rows.mapInArrow(run, "a long, b long"), "links")
-
+                x, y = (_points(part.column(k), slice(0, part.num_rows)) for k in (4, 5))
+                keep = (overlap_bound(x, y) >= rule.least_overlap(na, nb)) | (np.minimum(na, nb) >= HUGE)
+                yield pa.record_batch([part.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
-def tree_pairs(members: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different components that the R-trees of their bucket leave. ``members``: bucket, count, node, n, point, root."""
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
+                keep[k] = len(np.intersect1d(x, y, assume_unique=True)) >= rule.least_overlap(len(x), len(y))
+            yield pa.record_batch([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+
+    point_of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"point_{c}"))
+    set_of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
+    rows = pairs.join(point_of("a"), "a").join(point_of("b"), "b").select("a", "b", "n_a", "n_b", "point_a", "point_b")
+    left = materialise(rows.mapInArrow(bounded, "a long, b long"), "bounded-pairs")
+    full = left.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "set_a", "set_b")
+    return materialise(full.mapInArrow(compared, "a long, b long"), "links")
+
+
+def tree_pairs(members: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
+    """Pairs of different components that the R-trees of their bucket leave: all of them, or each member's nearest alone.
+    ``members``: bucket, count, node, n, point, root."""
     blocks = F.ceil(F.col("count") / F.lit(BLOCK)).cast("int")
     rows = members.select("bucket", "node", "root", "n", "point", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     index = rows.where("block = own").select("bucket", "block", F.lit(0).alias("asks"), "node", "root", "n", "point")
-    asked = rows.select("bucket", "block", F.lit(1).alias("asks"), "node", "root", "n", "point")
+    # A bucket of one block asks with the rows that it indexes.
+    asked = rows.where(F.col("own") != F.col("block")).select("bucket", "block", F.lit(1).alias("asks"), "node", "root", "n", "point")
     sweep = index.unionByName(asked).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks")
 
+    def answers(tree: Tree, names: np.ndarray, node, root, n, points):
+        query, place, bound = tree.search(points, n, root, rule)
+        a, b = node[query], names[place]
+        order = (tree.sizes_by_place[place] > n[query]) | (b > a)  # the smaller set asks, of equal ones the lesser name
+        query, a, b, bound = query[order], a[order], b[order], bound[order]
+        if nearest and len(query):
+            best = np.lexsort((b, -bound, query))
+            first = best[np.flatnonzero(np.diff(query[best], prepend=-1))]
+            a, b = a[first], b[first]
+        return a, b
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, tree, names = None, [], None, []
+        at, held, tree, names = None, [], None, None
         for batch in batches:
-            found_a, found_b = [], []
-            for bucket, block, asks, node, root, n, vector in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != (bucket, block):
-                    at, held, tree = (bucket, block), [], None
-                q = np.frombuffer(vector, np.int32)
-                if not asks:
-                    held.append((node, root, n, q))
+            bucket, block, asks, node, root, n = (batch.column(k).to_numpy() for k in range(6))
+            found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            change = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)) + 1
+            for low, high in zip([0, *change], [*change, batch.num_rows]):
+                if low == high:
+                    continue
+                key = (bucket[low], block[low])
+                if at != key:
+                    if held and tree is None:
+                        tree, names, own = _grown(held)
+                        for out, column in zip((found_a, found_b), answers(tree, names, *own)):
+                            out.append(column)
+                    at, held, tree = key, [], None
+                rows_ = (node[low:high], root[low:high], n[low:high], _points(batch.column(6), slice(low, high)))
+                if not asks[low]:
+                    held.append(rows_)
                     continue
                 if tree is None:
-                    tree = Tree(np.stack([h[3] for h in held]), np.array([h[2] for h in held]), np.array([h[1] for h in held]))
-                    names = [h[0] for h in held]
-                for k in tree.search(q, n, root, rule):
-                    if held[k][2] > n or names[k] > node:  # the smaller set asks, of equal ones the lesser name
-                        found_a.append(node), found_b.append(names[k])
-            yield pa.record_batch([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+                    tree, names, own = _grown(held)
+                    for out, column in zip((found_a, found_b), answers(tree, names, *own)):
+                        out.append(column)
+                for out, column in zip((found_a, found_b), answers(tree, names, *rows_)):
+                    out.append(column)
+            yield _pairs(found_a, found_b)
+        if held and tree is None:
+            tree, names, own = _grown(held)
+            yield _pairs(*([c] for c in answers(tree, names, *own)))
 
     return sweep.mapInArrow(run, "a long, b long").distinct()
 
 
+def _grown(held: list) -> tuple[Tree, np.ndarray, tuple]:
+    node, root, n, points = (np.concatenate(c) for c in zip(*held))
+    tree = Tree(points, n, root)
+    tree.sizes_by_place = n
+    return tree, node, (node, root, n, points)
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    """The pairs, each once within the batch."""
+    both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+    return pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+
+def open_members(filed: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Members of the buckets of three or more that still hold several components; one bucket of those with the same
+    members. None if there is no such bucket."""
+    owned = filed.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    found = owned.groupBy("bucket").agg(
+        F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
+    ).where("count > 2 and low <> high")
+    found = materialise(found.groupBy("count", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "count"), "open-buckets")
+    if found.isEmpty():
+        return None
+    return owned.join(found, "bucket").join(sets.select("node", "n", "point"), "node")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: the least identifier that links reach.
 
@@ -327,16 +411,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     links = verified(near, sets, rule)
     roots = components(links)
 
-    # Buckets of three or more whose members lie in several components, one of those with the same members.
-    owned = filed.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    open_ = owned.groupBy("bucket").agg(
-        F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
-    ).where("count > 2 and low <> high")
-    open_ = materialise(open_.groupBy("count", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "count"), "open-buckets")
-    if not open_.isEmpty():
-        members = owned.join(open_, "bucket").join(sets.select("node", "n", "point"), "node")
-        pairs = materialise(tree_pairs(members, rule), "tree-pairs")
-        roots = components(links.unionByName(verified(pairs, sets, rule)))
+    # Nearest points first: they merge what is close, so that few pairs are left for the last round, which takes all.
+    for k in range(ROUNDS + 1):
+        members = open_members(filed, roots, sets)
+        if members is None:
+            break
+        pairs = materialise(tree_pairs(members, rule, nearest=k < ROUNDS), "tree-pairs")
+        links = links.unionByName(verified(pairs, sets, rule))
+        roots = components(links)
 
     least = reps.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = materialise(least, "rooted")

@@ -113,14 +113,20 @@ def test_parts_of_linked_sets_meet():
 
 
 def test_tree_returns_all_that_the_bound_allows():
-    rng, rule = np.random.default_rng(2), nj.Rule(4, 60)
-    base = rng.integers(0, 9, nj.GROUPS)
-    points = np.maximum(0, base + rng.integers(-2, 3, (500, nj.GROUPS))).astype(np.int32)
-    sizes, owners = points.sum(1), rng.integers(0, 5, 500)
+    rng, rule = np.random.default_rng(2), nj.Rule(4, 52)
+    base = rng.integers(0, 5, nj.GROUPS)
+    points = np.maximum(0, base + rng.integers(-2, 3, (500, nj.GROUPS))).astype(np.uint16)
+    sizes, owners = points.sum(1).astype(np.int64), rng.integers(0, 5, 500)
     tree = nj.Tree(points, sizes, owners, leaf=4)
-    for k in range(0, 500, 7):
-        want = (owners != owners[k]) & (sizes >= sizes[k]) & (np.minimum(points, points[k]).sum(1) >= rule.least_overlap(sizes[k], sizes))
-        assert sorted(tree.search(points[k], sizes[k], owners[k], rule)) == np.flatnonzero(want).tolist()
+    asked = np.arange(0, 500, 7)
+    query, place, bound = tree.search(points[asked], sizes[asked], owners[asked], rule)
+    got = sorted(zip(asked[query].tolist(), place.tolist(), bound.tolist()))
+    want = []
+    for k in asked:
+        least = np.minimum(points, points[k]).sum(1).astype(int)
+        hits = (owners != owners[k]) & (sizes >= sizes[k]) & (least >= rule.least_overlap(sizes[k], sizes))
+        want += [(int(k), int(j), int(least[j])) for j in np.flatnonzero(hits)]
+    assert got == want and len(want) > 100
 
 
 def test_components_of_random_graphs(spark):
