@@ -78,14 +78,18 @@ def trigamma(x) -> Column:
 
 
 def count_le(xs, x, bits: int = 13) -> Column:
-    """How many entries of the ascending array ``xs`` (shorter than 2**bits) are <= x, by binary search."""
+    """How many entries of the ascending array ``xs`` are <= x, by binary search.
+
+    The search takes ``bits`` steps; an array of 2**bits entries or more raises an error.
+    """
     xs, x = col(xs), col(x)
     steps = F.array(*[F.lit(1 << k) for k in range(bits - 1, -1, -1)])
-    return F.aggregate(
+    found = F.aggregate(
         steps,
         F.lit(0),
         lambda acc, s: F.when((acc + s <= F.size(xs)) & (F.try_element_at(xs, acc + s) <= x), acc + s).otherwise(acc),
     )
+    return F.when(F.size(xs) < 1 << bits, found).when(xs.isNotNull(), F.raise_error(F.lit(f"array of {1 << bits} entries or more: search with more bits")).cast("int"))
 
 
 def interpolate(x, xs, ys, index) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -17,43 +19,71 @@ def _log_gamma(a: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - shift
 
 
-def regularised_lower_gamma(a: np.ndarray, x: np.ndarray, terms: int = 400) -> np.ndarray:
-    """P(a, x): power series where x < a + 1, continued fraction (modified Lentz) elsewhere."""
+# Shape beyond which the uniform asymptotic form is exact to about 1e-10.
+LARGE_SHAPE = 1e5
+
+
+def _uniform(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """P(a, x) for large a: the normal integral of the deviance, and its first correction."""
+    mu = (x - a) / a
+    deviance = np.where(np.abs(mu) < 1e-3, mu * mu * (1 - mu * (2 / 3 - mu * (1 / 2 - mu * (2 / 5)))), 2 * (mu - np.log1p(np.maximum(mu, -1 + 1e-300))))
+    eta = np.sign(mu) * np.sqrt(np.maximum(deviance, 0.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        first = np.where(np.abs(eta) < 1e-2, -1 / 3 + eta * (1 / 12 - eta * (2 / 135 - eta / 864)), 1 / mu - 1 / eta)
+    z = eta * np.sqrt(a / 2)
+    erfc = np.frompyfunc(math.erfc, 1, 1)
+    return 0.5 * erfc(-z).astype(float) - np.exp(-z * z) / np.sqrt(2 * np.pi * a) * first
+
+
+def _converged(step, done, start, a: np.ndarray):
+    """Repeat ``step`` until ``done``; both forms need some ten square roots of the shape at most."""
+    for n in range(1, 200 + int(40 * math.sqrt(max(1.0, float(a.max()))))):
+        start = step(n, *start)
+        if done(*start):
+            return start
+    raise ArithmeticError("the incomplete gamma function did not converge")
+
+
+def regularised_lower_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """P(a, x): power series where x < a + 1, continued fraction (modified Lentz) elsewhere, both until they
+    converge; the uniform asymptotic form for large shapes."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     out = np.full(a.shape, np.nan)
     out[x <= 0] = 0.0
-    low = (x > 0) & (x < a + 1)
+    usable = (x > 0) & (a > 0) & np.isfinite(a)
+    out[usable & np.isinf(x)] = 1.0
+    usable &= np.isfinite(x)
+    large = usable & (a > LARGE_SHAPE)
+    if large.any():
+        out[large] = _uniform(a[large], x[large])
+    low = usable & ~large & (x < a + 1)
     if low.any():
         aa, xx = a[low], x[low]
-        term = 1.0 / aa
-        total = term.copy()
-        for n in range(1, terms):
-            term = term * xx / (aa + n)
-            total += term
-            if np.all(term < total * 1e-16):
-                break
+
+        def term(n, value, total):
+            value = value * xx / (aa + n)
+            return value, total + value
+
+        _, total = _converged(term, lambda value, total: np.all(value <= total * 1e-16), (1.0 / aa, 1.0 / aa), aa)
         out[low] = total * np.exp(-xx + aa * np.log(xx) - _log_gamma(aa))
-    high = x >= a + 1
-    high &= x > 0
+    high = usable & ~large & (x >= a + 1)
     if high.any():
         aa, xx = a[high], x[high]
         tiny = 1e-300
-        b = xx + 1.0 - aa
-        c = np.full(aa.shape, 1.0 / tiny)
-        d = 1.0 / b
-        h = d.copy()
-        for n in range(1, terms):
+
+        def fraction(n, b, c, d, h, step):
             an = -n * (n - aa)
             b = b + 2.0
             d = an * d + b
-            d[np.abs(d) < tiny] = tiny
+            d = np.where(np.abs(d) < tiny, tiny, d)
             c = b + an / c
-            c[np.abs(c) < tiny] = tiny
+            c = np.where(np.abs(c) < tiny, tiny, c)
             d = 1.0 / d
-            step = d * c
-            h *= step
-            if np.all(np.abs(step - 1.0) < 1e-15):
-                break
+            return b, c, d, h * (d * c), d * c
+
+        b = xx + 1.0 - aa
+        first = (b, np.full(aa.shape, 1.0 / tiny), 1.0 / b, 1.0 / b, np.zeros(aa.shape))
+        *_, h, _ = _converged(fraction, lambda b, c, d, h, step: np.all(np.abs(step - 1.0) < 1e-14), first, aa)
         out[high] = 1.0 - np.exp(-xx + aa * np.log(xx) - _log_gamma(aa)) * h
     return out
 

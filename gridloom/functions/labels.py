@@ -96,11 +96,15 @@ def display_label(model, labels: dict[str, str]) -> Column:
     )
 
 
-def variant_source(variant, aliases: dict[str, str], known) -> Column:
-    """Model source of a variant name: drop a ``_bc...`` suffix, then follow the alias; unknown names give NULL."""
+def variant_source(variant, aliases: dict[str, str], known, unknown: str = "error") -> Column:
+    """Model source of a variant name: drop a ``_bc...`` suffix, then follow the alias.
+
+    An unknown name is an error, so that no join loses its rows unseen; with ``unknown="null"`` it gives NULL.
+    """
     base = F.split_part(col(variant), F.lit("_bc"), F.lit(1))
     source = F.coalesce(F.try_element_at(literal_map(aliases), base), base)
-    return F.when(source.isin(list(known)), source)
+    other = F.lit(None).cast("string") if unknown == "null" else F.raise_error(F.concat(F.lit("unknown model source: "), source)).cast("string")
+    return F.when(source.isNull() | source.isin(list(known)), source).otherwise(other)
 
 
 def tag_label(tag) -> Column:

@@ -77,15 +77,16 @@ def fit_cdft(bundle: DataFrame, keys=CELL, periods=(TRAIN, "test_hist", "test_fu
     return long.select(*keys, "_p.period", "_p.xs", zs.alias("zs"))
 
 
-def apply_transfer(bundle: DataFrame, transfer: DataFrame, keys=CELL, value: str = "sim", name: str = "corrected") -> DataFrame:
-    """Map ``value`` through the transfer table of its keys and period; NULL stays NULL."""
-    joined = attach(bundle, transfer, [*keys, "period"], "left", derived=True).withColumn("_k", count_le("xs", F.col(value)))
+def apply_transfer(bundle: DataFrame, transfer: DataFrame, keys=CELL, value: str = "sim", name: str = "corrected", steps: int = 8190) -> DataFrame:
+    """Map ``value`` through the transfer table (of ``steps`` + 1 nodes at most) of its keys and period; NULL stays NULL."""
+    bits = (steps + 1).bit_length()
+    joined = attach(bundle, transfer, [*keys, "period"], "left", derived=True).withColumn("_k", count_le("xs", F.col(value), bits))
     return joined.withColumn(name, interpolate(value, "xs", "zs", "_k")).drop("xs", "zs", "_k")
 
 
 def cdft(bundle: DataFrame, keys=CELL, steps: int = 100, delta_shift: str = "additive", periods=(TRAIN, "test_hist", "test_future")) -> DataFrame:
     """CDF-t of (period, time, cell, obs, sim) rows: adds ``corrected`` for every period."""
-    return apply_transfer(bundle, fit_cdft(bundle, keys, periods, steps, delta_shift), keys)
+    return apply_transfer(bundle, fit_cdft(bundle, keys, periods, steps, delta_shift), keys, steps=steps)
 
 
 def guarded_cdft(bundle: DataFrame, keys=CELL, steps: int = 100, minimum: int = MIN_VALUES) -> DataFrame:
@@ -104,7 +105,7 @@ def guarded_cdft(bundle: DataFrame, keys=CELL, steps: int = 100, minimum: int =
     train = kept.where(in_train & pair).withColumn("filled", F.col("sim"))
     tests = median_fill(kept.where(~in_train), "sim", [*keys, "period"], minimum=1)
     fit_rows = train.unionByName(tests).drop("sim").withColumnRenamed("filled", "sim")
-    return apply_transfer(bundle, fit_cdft(fit_rows, keys, steps=steps), keys)
+    return apply_transfer(bundle, fit_cdft(fit_rows, keys, steps=steps), keys, steps=steps)
 
 
 def running_windows(time, width: int, step: int) -> Column:
@@ -126,7 +127,7 @@ def running_window_cdft(bundle: DataFrame, keys=CELL, width: int = 91, step: int
     fit_rows = bundle.withColumn("window", F.explode(running_windows("time", width, step)))
     transfer = fit_cdft(fit_rows, [*keys, "window"], steps=steps)
     own = bundle.withColumn("window", own_window("time", step))
-    return apply_transfer(own, transfer, [*keys, "window"])
+    return apply_transfer(own, transfer, [*keys, "window"], steps=steps)
 
 
 # --- two variables -------------------------------------------------------------------------------------

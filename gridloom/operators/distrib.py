@@ -19,8 +19,11 @@ REPORT_PROBS = {"p00": 0.0, "p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "
 
 
 def bin_index(value, lo, hi, bins: int) -> Column:
-    """Bin of a value in [lo, hi]; the upper edge belongs to the last bin, values outside give NULL."""
+    """Bin of a value in [lo, hi]; the upper edge belongs to the last bin, values outside give NULL.
+
+    A range without width is half a unit wide on both sides."""
     v, lo, hi = (c if isinstance(c, Column) else F.col(c) if isinstance(c, str) else F.lit(float(c)) for c in (value, lo, hi))
+    lo, hi = F.when(lo == hi, lo - 0.5).otherwise(lo), F.when(lo == hi, hi + 0.5).otherwise(hi)
     at = F.floor((v - lo) * float(bins) / (hi - lo)).cast("int")
     return F.when(v.between(lo, hi), F.least(at, F.lit(bins - 1)))
 
@@ -30,7 +33,8 @@ def histogram(df: DataFrame, keys, bins: int, lo=None, hi=None, value: str = "va
     keys = list(keys)
     data = df.where(F.col(value).isNotNull())
     if lo is None:
-        span = data.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        low, high = F.min(value), F.max(value)  # a constant group gets half a unit on both sides
+        span = data.groupBy(*keys).agg(F.when(low == high, low - 0.5).otherwise(low).alias("_lo"), F.when(low == high, high + 0.5).otherwise(high).alias("_hi"))
         data = attach(data, span, keys, derived=True)
         lo, hi = "_lo", "_hi"
     else:

@@ -130,10 +130,16 @@ def lattice(df: DataFrame, ny: int, nx: int) -> DataFrame:
 
 
 def pad(field: DataFrame, ny: int, nx: int, fill: float, keys=("time",), value: str = "value", divisor: int = 32) -> DataFrame:
-    """Raise both extents to a multiple of ``divisor``, the data centred and the rim filled."""
+    """Raise both extents to a multiple of ``divisor``, the data centred and the rim filled. A cell outside ny x nx is
+    an error."""
     top, left = pad_offset(ny, divisor), pad_offset(nx, divisor)
+
+    def moved(axis: str, size: int, offset: int):
+        stray = F.raise_error(F.concat(F.lit(f"{axis} outside 0..{size - 1}: "), F.coalesce(F.col(axis).cast("string"), F.lit("null")))).cast("int")
+        return F.when(F.col(axis).between(0, size - 1), (F.col(axis) + offset).cast("int")).otherwise(stray).alias(axis)
+
     shifted = field.select(
-        *keys, (F.col("iy") + top).cast("int").alias("iy"), (F.col("ix") + left).cast("int").alias("ix"),
+        *keys, moved("iy", ny, top), moved("ix", nx, left),
         F.col(value), F.lit(True).alias("_own"),
     )
     frame = lattice(field.select(*keys).distinct(), padded_size(ny, divisor), padded_size(nx, divisor))

@@ -130,14 +130,18 @@ def nearest_cells(points: DataFrame, grid: DataFrame, bucket: float, point: str
     neighbourhoods of coarser buckets, four times as wide each round, until every point is settled.
     """
     settled = None
-    todo, width = points.select(point, "lon", "lat"), bucket
+    # A point without a position has no nearest cell; an empty grid has none at all.
+    todo, width = points.where("lon is not null and lat is not null").select(point, "lon", "lat"), bucket
+    grid = grid.where("lon is not null and lat is not null")
+    if grid.isEmpty():
+        return grid.select(F.lit(None).cast(dict(points.dtypes)[point]).alias(point), "iy", "ix").limit(0)
     while True:
         # Each round is written out: the next one starts from its rows, not from all rounds before it.
         found = materialise(_nearest_in_ring(todo, grid, width, point), "nearest")
         good = found.where(F.col("_d2") <= F.lit(width * width)).select(point, "iy", "ix")
         settled = good if settled is None else settled.unionByName(good)
         rest = todo.join(good.select(point), point, "left_anti")
-        if width > 720.0 or rest.isEmpty():
+        if rest.isEmpty():
             return settled
         todo = materialise(rest, "nearest-rest")
         width *= 4

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.geometry import pad_offset, padded_size
@@ -52,16 +52,18 @@ def score(packed: DataFrame, model: Callable, n_channels: int, ny: int, nx: int,
 
 
 def score_fields(samples: DataFrame, model: Callable, channels: list[str], stats: DataFrame, target_channel: str, mask: DataFrame, ny: int, nx: int,
-                 fill: float = 0.0, output_norm: bool = True, output_range: str = "zero_one", draws: int = 1, seed: int = 0, batch: int = 32) -> DataFrame:
+                 fill: float = 0.0, output_norm: bool = True, output_range: str = "zero_one", draws: int = 1, seed: int = 0, batch: int = 32,
+                 seed_of: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Normalise, mask, fill, pad, predict, unpad, clip, de-normalise and re-mask; (time, iy, ix, value).
 
     ``mask`` lists the (iy, ix) cells of the target footprint. With several ``draws`` a stochastic model
-    is run once per draw, seeded by time and draw, and the mean is returned.
+    is run once per draw, seeded by time and draw (a hash, or ``seed_of(time, draw)``), and the mean is returned.
     """
     inputs = prepare_inputs(samples, stats, target_channel, mask, fill)
     packed = pack(inputs, channels, ny, nx)
     per_draw = packed.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    seeded = per_draw.withColumn("seed", F.xxhash64(F.lit(seed), F.col("time"), F.col("draw")))
+    own_seed = seed_of(F.col("time"), F.col("draw")).cast("bigint") if seed_of else F.xxhash64(F.lit(seed), F.col("time"), F.col("draw"))
+    seeded = per_draw.withColumn("seed", own_seed)
     out = score(seeded, model, len(channels), ny, nx, fill, batch)
     if draws > 1:
         out = out.groupBy("time", "iy", "ix").agg(F.avg("value").alias("value"))

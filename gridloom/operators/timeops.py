@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import col, day_number
@@ -205,16 +205,30 @@ def batches(times: DataFrame, size: int, time: str = "time") -> DataFrame:
     return order.withColumn("batch", F.floor((F.col("position") - 1) / size).cast("bigint"))
 
 
-def nearest_in_time(field: DataFrame, requests: DataFrame, keys=("iy", "ix"), value: str = "value", reach_days: int = 1) -> DataFrame:
-    """For each request (at, keys) the value nearest in time, ties to the earlier one.
+def nearest_in_time(field: DataFrame, requests: DataFrame, keys=("iy", "ix"), value: str = "value") -> DataFrame:
+    """For each request (at, keys) the value nearest in time, however far, ties to the earlier one.
 
-    Candidates are met by day number: each request looks at its own day and ``reach_days`` on each side.
+    Requests and field rows meet in calendar months of their series. A request looks back and ahead within its month;
+    where the month has nothing on a side, the last or first row of the nearest month that has one is carried to it.
     """
     keys = list(keys)
-    looked = requests.withColumn(
-        "_day", F.explode(F.sequence(day_number("at") - reach_days, day_number("at") + reach_days))
-    )
-    joined = field.withColumn("_day", day_number("time")).join(looked, [*keys, "_day"])
-    gap = F.abs(F.unix_micros(F.col("time").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")))
-    rank = F.struct(gap.alias("gap"), F.col("time"))
-    return joined.groupBy("at", *keys).agg(F.min_by("time", rank).alias("time"), F.min_by(value, rank).alias(value))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    hit = F.struct(F.col("time"), F.col(value).alias("value"))
+    rows = field.where(F.col("time").isNotNull()).select(*keys, micros("time").alias("_us"), calendar_bucket("time", "month").cast("timestamp").alias("_bucket"), F.lit(0).alias("_asks"), hit.alias("_hit"), F.lit(None).cast(dict(requests.dtypes)["at"]).alias("at"))
+    asked = requests.select(*keys, "at").distinct().select(*keys, micros("at").alias("_us"), calendar_bucket("at", "month").cast("timestamp").alias("_bucket"), F.lit(1).alias("_asks"), F.lit(None).cast(rows.schema["_hit"].dataType).alias("_hit"), "at")
+    both = rows.unionByName(asked)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_us", "_asks")
+    near = both.withColumns({
+        "_back": F.last("_hit", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+        "_ahead": F.first("_hit", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
+    }).where("_asks = 1")
+    # One row per series and month.
+    months = both.groupBy(*keys, "_bucket").agg(F.min_by("_hit", F.when(F.col("_asks") == 0, F.col("_us"))).alias("_first"), F.max_by("_hit", F.when(F.col("_asks") == 0, F.col("_us"))).alias("_last"))
+    along = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_bucket")
+    months = months.select(
+        *keys, "_bucket", F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    found = near.join(months, [*keys, "_bucket"]).withColumns({"_back": F.coalesce("_back", "_earlier"), "_ahead": F.coalesce("_ahead", "_later")})
+    gap = lambda c: F.abs(micros(f"{c}.time") - F.col("_us"))
+    best = F.when(F.col("_ahead").isNull() | (gap("_back") <= gap("_ahead")), F.col("_back")).otherwise(F.col("_ahead"))
+    return found.withColumn("_best", best).where("_best is not null").select("at", *keys, F.col("_best.time").alias("time"), F.col("_best.value").alias(value))

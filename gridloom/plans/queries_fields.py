@@ -321,7 +321,7 @@ def display_labels(spark, sf):
 def variant_names(spark, sf):
     variant = F.when(F.col("p_size") % 3 == 0, "gcm_bc_two_step").when(F.col("p_size") % 3 == 1, "model_b").otherwise("unknown")
     return S.table(spark, sf, "part").select(
-        "p_partkey", L.variant_source(variant, {"gcm": "model_a", "rcm": "model_b"}, ["model_a", "model_b"]).alias("source"), L.tag_label("p_name").alias("tag"),
+        "p_partkey", L.variant_source(variant, {"gcm": "model_a", "rcm": "model_b"}, ["model_a", "model_b"], unknown="null").alias("source"), L.tag_label("p_name").alias("tag"),
         L.variable_group(F.replace("p_name", F.lit(" "), F.lit(" , "))).alias("grouped"))
 
 
@@ -431,7 +431,7 @@ def nearest_scatter(spark, sf):
     WITH q AS (SELECT event_id, iy, ix, time + INTERVAL 3 HOUR AS "at" FROM event_points WHERE event_type = 'click'),
     p AS (SELECT iy, ix, time, avg(value) AS value FROM event_points WHERE event_type <> 'click' GROUP BY 1, 2, 3)
     SELECT event_id, arg_min(p.time, (abs(epoch_us(p.time) - epoch_us("at")), p.time)) AS time, arg_min(value, (abs(epoch_us(p.time) - epoch_us("at")), p.time)) AS value
-    FROM q JOIN p USING (iy, ix) WHERE abs(date_diff('day', p.time::DATE, "at"::DATE)) <= 1 GROUP BY event_id""")
+    FROM q JOIN p USING (iy, ix) GROUP BY event_id""")
 def nearest_in_time(spark, sf):
     e = S.event_points(spark, sf)
     requests = e.where("event_type = 'click'").select("event_id", "iy", "ix", (F.col("time") + F.expr("INTERVAL '3' HOUR")).alias("at"))

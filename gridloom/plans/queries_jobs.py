@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.functions import gamma
-from gridloom.operators import biascorr, normalise, samples, scoring, skill, timeops
+from gridloom.operators import biascorr, geometry, normalise, samples, scoring, skill, timeops
 from gridloom.operators.regrid import chain_weights, conservative_weights
 from gridloom.plans import composites
 from gridloom.plans import standins as S
@@ -448,7 +448,15 @@ def gamma_cdf_by_name(spark, sf):
     return amounts(spark, sf).selectExpr("time", "iy", "ix", "gamma_cdf(value, 2D, 0.5D) AS p")
 
 
-@query("period:s gamma_mae:f", "D35")
+_GAMMA_TERMS = 400  # enough for the shapes and values of these tables
+
+
+@query("period:s gamma_mae:f", "D35", f"""
+    WITH am AS ({_AMOUNTS}), a AS (SELECT year(time) AS year, iy, ix, value FROM am), {gamma_sql('a', 'year, iy, ix')}, r1 AS {_repair_sql('gfit', 'alpha')}, r2 AS {_repair_sql('r1', 'beta')},
+    par AS (SELECT iy, ix, coalesce(avg(alpha), 1) AS a, coalesce(avg(beta), 1) AS b FROM r2 GROUP BY 1, 2),
+    s AS (SELECT period, value AS y, value * raw / coalesce(obs, raw) AS p, a, value * b AS x FROM am JOIN period_points USING (time, iy, ix) JOIN par USING (iy, ix)),
+    c AS (SELECT *, exp(a * ln(x) - x - lgamma(a + 1)) * list_sum(list_transform(range(0, {_GAMMA_TERMS}), lambda n: exp(n * ln(x) - lgamma(a + n + 1) + lgamma(a + 1)))) AS f FROM s)
+    SELECT period, avg(abs(y - p) + f * f * greatest(0, y - p)) AS gamma_mae FROM c GROUP BY 1""")
 def gamma_weighted_mae(spark, sf):
     a = amounts(spark, sf)
     scored = a.join(S.daily_points(spark, sf), ["time", "iy", "ix"]).select("time", "iy", "ix", F.col("value").alias("y"), (F.col("value") * F.col("raw") / F.coalesce("obs", "raw")).alias("pred"))
@@ -464,9 +472,9 @@ def last_channel(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 
 def jittered(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """A stochastic model: the last channel plus seeded noise of zero mean."""
-    noise = np.stack([np.random.default_rng(abs(int(s))).normal(0.0, 0.05, x.shape[2:]) for s in seed])
-    return x[:, -1] + noise
+    """A stochastic model: the last channel plus noise that is arithmetic in the seed and the place, so SQL can follow."""
+    place = np.arange(x.shape[2])[:, None] * 5 + np.arange(x.shape[3])[None, :] * 3
+    return x[:, -1] + ((seed.reshape(-1, 1, 1) * 7 + place) % 11 - 5) / 100.0
 
 
 def scoring_inputs(spark, sf):
@@ -476,31 +484,36 @@ def scoring_inputs(spark, sf):
     return rows, dict(channels=CHANNELS, stats=stats, target_channel="raw input", mask=mask, ny=S.NY, nx=S.NX)
 
 
-@query("iy:i ix:i n:l mean:g", "J1", """
-    WITH d AS (SELECT DISTINCT time FROM tile_points), c AS (SELECT DISTINCT iy, ix FROM tile_points WHERE obs IS NOT NULL), lo AS (SELECT min(raw::FLOAT) AS m FROM tile_points)
-    SELECT c.iy, c.ix, count(*) AS n, avg(coalesce(raw, m)) AS mean FROM c JOIN d ON true JOIN lo ON true LEFT JOIN tile_points p ON p.time = d.time AND p.iy = c.iy AND p.ix = c.ix GROUP BY 1, 2""")
+_FILLED = """d AS (SELECT DISTINCT time FROM tile_points), c AS (SELECT DISTINCT iy, ix FROM tile_points WHERE obs IS NOT NULL), lo AS (SELECT min(raw::FLOAT)::DOUBLE AS m, max(raw::FLOAT)::DOUBLE AS top FROM tile_points),
+    every AS (SELECT d.time, c.iy, c.ix, raw, obs, m, top, coalesce(((raw::FLOAT::DOUBLE - m) / (top - m))::FLOAT::DOUBLE, 0) * (top - m) + m AS filled FROM c JOIN d ON true JOIN lo ON true LEFT JOIN tile_points p ON p.time = d.time AND p.iy = c.iy AND p.ix = c.ix)"""
+_RIM = geometry.pad_offset(S.NY)
+
+
+@query("time:d iy:i ix:i value:g", "J1", f"WITH {_FILLED} SELECT time, iy, ix, filled AS value FROM every")
 def field_scoring(spark, sf):
     rows, settings = scoring_inputs(spark, sf)
-    scored = scoring.score_fields(rows, last_channel, **settings)
-    return scored.groupBy("iy", "ix").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    return scoring.score_fields(rows, last_channel, **settings)
 
 
-@query("iy:i ix:i n:l mean:g", "J2")
+@query("time:d iy:i ix:i value:g", "J2", f"""
+    WITH {_FILLED}, draws AS (SELECT *, date_diff('day', DATE '1970-01-01', time::DATE) * 4 + draw AS seed FROM every, range(1, 5) r(draw))
+    SELECT time, iy, ix, avg(filled + ((seed * 7 + (iy + {_RIM}) * 5 + (ix + {_RIM}) * 3) % 11 - 5) / 100.0 * (top - m)) AS value FROM draws GROUP BY 1, 2, 3""")
 def ensemble_scoring(spark, sf):
     rows, settings = scoring_inputs(spark, sf)
-    scored = scoring.score_fields(rows, jittered, draws=4, seed=3, **settings)
-    return scored.groupBy("iy", "ix").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    seed_of = lambda time, draw: F.unix_date(F.to_date(time)) * 4 + draw
+    return scoring.score_fields(rows, jittered, draws=4, seed_of=seed_of, **settings)
 
 
-@query("time:d iy:i ix:i input:g target:g prediction:g error:g", "J3")
+@query("time:d iy:i ix:i input:g target:g prediction:g error:g", "J3", f"""
+    WITH {_FILLED} SELECT time, iy, ix, raw AS input, obs AS target, filled AS prediction, filled - obs AS error FROM every WHERE time::DATE = '1998-07-15'""")
 def single_date_scoring(spark, sf):
     rows, settings = scoring_inputs(spark, sf)
     return scoring.score_date(rows, "1998-07-15", model=last_channel, **settings)
 
 
-@query("time:d iy:i ix:i value:f", "J4", "SELECT t.time, CAST(a.i AS INTEGER) AS iy, CAST(b.i AS INTEGER) AS ix, NULL::DOUBLE AS value FROM (SELECT DISTINCT l_shipdate AS time FROM lineitem) t, range(10) a(i), range(10) b(i)")
+@query("time:d iy:i ix:i value:f", "J4", "SELECT t.time, iy, ix, NULL::DOUBLE AS value FROM (SELECT DISTINCT l_shipdate AS time FROM lineitem) t, (SELECT DISTINCT iy, ix FROM grid_cells) g")
 def prediction_template(spark, sf):
-    return samples.prediction_template(S.line_rows(spark, sf).select("time"), S.NY, S.NX)
+    return samples.prediction_template(S.line_rows(spark, sf).select("time"), S.grid(spark, sf))
 
 
 # --- streams -------------------------------------------------------------------------------------------
@@ -519,8 +532,7 @@ def streaming_skill(spark, sf):
     source = S.table(spark, sf, "lineitem")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "lineitem.parquet*").parquet(sf)
     path = new_path(spark, "stream-sums")
-    # The archive arrives in no order of time, so nothing may count as late within its whole span.
-    skill_stream.start_skill_stream(difference_rows(stream), path, delay="3650 days").awaitTermination()
+    skill_stream.start_skill_stream(difference_rows(stream), path).awaitTermination()
     return skill_stream.latest_sums(spark, path)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.labels import date_from_sample_name, time_token
+from gridloom.operators.samples import inside_block
 
 _BLOCK_DDL = "path string, role string, channel_pos int, ny int, nx int, data array<float>"
 
@@ -50,13 +51,13 @@ def decode_archives(files: DataFrame) -> DataFrame:
 def encode_archives(samples: DataFrame, channels: list[str], ny: int, nx: int, frequency: str = "daily") -> DataFrame:
     """Long samples to (path, content), one archive per time; absent cells are NaN.
 
-    A group holds one sample: duplicates are averaged first, so its size is bounded by the grid.
+    A group holds one sample: duplicates are averaged first, so its size is bounded by the grid. A cell outside the
+    block or an unknown channel is an error.
     """
     order = F.create_map(*[F.lit(x) for i, c in enumerate(channels) for x in (c, i)])
     pos = F.when(F.col("role") == "y", F.lit(len(channels))).otherwise(F.try_element_at(order, F.col("channel")))
-    at = (pos * (ny * nx) + F.col("iy") * nx + F.col("ix")).alias("_at")
-    placed = samples.where(F.col("iy").between(0, ny - 1) & F.col("ix").between(0, nx - 1))
-    unique = placed.groupBy("time", at).agg(F.avg("value").cast("float").alias("_v")).where("_at is not null and _v is not null")
+    at = inside_block(pos * (ny * nx) + F.col("iy") * nx + F.col("ix"), pos.isNotNull(), ny, nx).alias("_at")
+    unique = samples.groupBy("time", at).agg(F.avg("value").cast("float").alias("_v")).where("_v is not null")
     packed = unique.groupBy(time_token("time", frequency).alias("token")).agg(F.collect_list(F.struct("_at", "_v")).alias("_e")).select(
         "token", F.transform("_e", lambda e: e["_at"]).alias("idx"), F.transform("_e", lambda e: e["_v"]).alias("val"))
     n = len(channels)

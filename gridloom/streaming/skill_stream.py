@@ -24,28 +24,22 @@ def skill_from_sums(sums: DataFrame, keys=("run",)) -> DataFrame:
     )
 
 
-def watermarked(stream: DataFrame, delay: str = "30 days", time: str = "time") -> DataFrame:
-    """Bound the state: windows older than the watermark are final and leave the state store."""
-    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+def start_skill_stream(stream: DataFrame, path: str, keys=("run",), step: str = "1 day", checkpoint: str | None = None, **trigger):
+    """Start a query that writes every batch's window sums below ``path``.
 
-
-def start_skill_stream(stream: DataFrame, path: str, keys=("run",), delay: str = "30 days", step: str = "1 day", checkpoint: str | None = None, **trigger):
-    """Start a query that appends every batch's changed window sums below ``path``.
-
-    Update mode emits only windows touched by the batch. A batch is written to its own folder and overwritten
-    on a replay, so a restart neither loses nor doubles rows.
+    The sums can be merged, so each batch is aggregated for itself: no state is kept, and a row counts however late it
+    comes. A batch is written to its own folder and overwritten on a replay, so a restart neither loses nor doubles rows.
     """
-    sums = difference_sums(watermarked(stream, delay), keys, step=step)
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        timed = batch.withColumn("time", F.col("time").cast("timestamp"))
+        difference_sums(timed, keys, step=step).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     checkpoint = checkpoint or new_path(stream.sparkSession, "stream-state")
-    return sums.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()
+    return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()
 
 
 def latest_sums(spark, path: str, keys=("run",)) -> DataFrame:
-    """The newest sums of every window."""
+    """The sums of every window over all batches so far."""
     rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    payload = F.struct("n", "sum_abs", "sum_sq", "max_abs")
-    return rows.groupBy("window_start", *keys).agg(F.max_by(payload, "batch").alias("s")).select("window_start", *keys, "s.*")
+    return rows.groupBy("window_start", *keys).agg(
+        F.sum("n").alias("n"), F.sum("sum_abs").alias("sum_abs"), F.sum("sum_sq").alias("sum_sq"), F.max("max_abs").alias("max_abs"))
