@@ -29,6 +29,26 @@ def paired_accumulator(pairs: DataFrame, keys, a: str = "pred", truth: str = "ob
     )
 
 
+def by_tag(df: DataFrame, keys, tags: dict, metrics, tag: str = "season") -> DataFrame:
+    """One aggregation of ``df`` for several overlapping subsets: a row per ``keys`` and tag that has rows.
+
+    ``tags`` maps names to conditions; ``metrics(only)`` gives aggregates by name, where ``only(column)`` is the column
+    within the subset. The rows are read and shuffled once, whatever the number of subsets.
+    """
+    keys = list(keys)
+    aggregates, shapes = [], []
+    for i, (name, holds) in enumerate(tags.items()):
+        found = metrics(lambda c, holds=holds: F.when(holds, F.col(c) if isinstance(c, str) else c))
+        aggregates += [F.count_if(holds).alias(f"_{i}_rows"), *[c.alias(f"_{i}_{m}") for m, c in found.items()]]
+        shapes.append(F.struct(F.lit(name).alias(tag), F.col(f"_{i}_rows").alias("_rows"), *[F.col(f"_{i}_{m}").alias(m) for m in found]))
+    wide = df.groupBy(*keys).agg(*aggregates).select(*keys, F.explode(F.array(*shapes)).alias("_tag"))
+    return wide.where("_tag._rows > 0").select(*keys, "_tag.*").drop("_rows")
+
+
+def season_tags(time: str = "time") -> dict:
+    return {"all": F.lit(True), **{s: F.coalesce(season(time) == s, F.lit(False)) for s in SEASONS[1:]}}
+
+
 def skill_by_time(pairs: DataFrame, keys=()) -> DataFrame:
     """RMSE over cells and spatial correlation for each time."""
     return valid_pairs(pairs, "obs", "pred").groupBy(*keys, "time").agg(
@@ -59,15 +79,15 @@ def mean_abs_increment(series: DataFrame, keys=(), value: str = "value") -> Data
 def variability_bias(pairs: DataFrame, keys=()) -> DataFrame:
     """Mean absolute increment of the prediction minus that of the observation, per season and cell."""
     steps = increments(valid_pairs(pairs, "obs", "pred"), keys, ["obs", "pred"])
-    return with_seasons(steps).groupBy(*keys, "season", *CELL).agg(
-        (F.avg(F.abs("d_pred")) - F.avg(F.abs("d_obs"))).alias("variability")
-    )
+    return by_tag(steps, [*keys, *CELL], season_tags(), lambda only: {
+        "variability": F.avg(F.abs(only("d_pred"))) - F.avg(F.abs(only("d_obs")))})
 
 
 def seasonal_skill(pairs: DataFrame, keys=()) -> tuple[DataFrame, DataFrame]:
     """Per-time and per-cell skill under the tags all / summer / winter."""
     by_time = with_seasons(skill_by_time(pairs, keys))
-    by_cell = skill_by_cell(with_seasons(pairs), [*keys, "season"])
+    by_cell = by_tag(valid_pairs(pairs, "obs", "pred"), [*keys, *CELL], season_tags(), lambda only: {
+        "rmse": rmse(only("pred"), only("obs")), "bias": F.avg(only("pred") - only("obs")), "corr": safe_corr(only("pred"), only("obs"))})
     return by_time, by_cell
 
 
@@ -106,24 +126,29 @@ def monthly_skill_summary(pairs: DataFrame, keys=()) -> DataFrame:
 def window_statistics(pairs: DataFrame, windows, method: str = "method") -> DataFrame:
     """Per window and method: days, bias, RMSE, MAE, means and three variability biases."""
     keys = ["window", method]
-    tagged = tag_windows(valid_pairs(pairs, "obs", "pred"), windows)
+    valid = valid_pairs(pairs, "obs", "pred")
     d = F.col("pred") - F.col("obs")
-    base = tagged.groupBy(*keys).agg(
-        F.countDistinct("time").alias("days"), F.avg(d).alias("mean_bias"), F.sqrt(F.avg(d * d)).alias("rmse"),
-        F.avg("pred").alias("mean_value"), F.avg("obs").alias("truth_mean"), F.avg(F.abs(d)).alias("mean_abs_error"),
+    # Sums per time first; windows are tagged on these few rows.
+    by_time = valid.groupBy(method, "time").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(d).alias("_d"), F.sum(d * d).alias("_d2"), F.sum(F.abs(d)).alias("_ad"),
+        F.sum("pred").alias("_sp"), F.sum("obs").alias("_so"), F.stddev_pop("pred").alias("_dp"), F.stddev_pop("obs").alias("_do"),
     )
-    steps = increments(tagged, keys, ["obs", "pred"]).groupBy(*keys).agg(
-        (F.avg(F.abs("d_pred")) - F.avg(F.abs("d_obs"))).alias("day_to_day_variability_bias")
-    )
-    by_time = tagged.groupBy(*keys, "time").agg(
-        (F.stddev_pop("pred") - F.stddev_pop("obs")).alias("_spread"), F.avg("pred").alias("_p"), F.avg("obs").alias("_o")
-    )
-    spatial = by_time.groupBy(*keys).agg(F.avg("_spread").alias("spatial_variability_bias"))
-    annual = (
-        by_time.groupBy(*keys, F.year("time").alias("_year")).agg(F.avg("_p").alias("_p"), F.avg("_o").alias("_o"))
-        .groupBy(*keys).agg((F.stddev_pop("_p") - F.stddev_pop("_o")).alias("annual_variability_bias"))
+    tagged = tag_windows(by_time, windows)
+    mean = lambda c: F.sum(c) / F.sum("_n")
+    base = tagged.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("days"), mean("_d").alias("mean_bias"), F.sqrt(mean("_d2")).alias("rmse"),
+        mean("_sp").alias("mean_value"), mean("_so").alias("truth_mean"), mean("_ad").alias("mean_abs_error"),
+        F.avg(F.col("_dp") - F.col("_do")).alias("spatial_variability_bias"),
     )
-    return base.join(steps, keys, "left").join(spatial, keys, "left").join(annual, keys, "left")
+    yearly = tagged.groupBy(*keys, F.year("time").alias("_year")).agg(F.avg(F.col("_sp") / F.col("_n")).alias("_p"), F.avg(F.col("_so") / F.col("_n")).alias("_o"))
+    annual = yearly.groupBy(*keys).agg((F.stddev_pop("_p") - F.stddev_pop("_o")).alias("annual_variability_bias"))
+    # A day's change lies in a window if the day before it in the series does too.
+    changes = previous_row(valid, [method, *CELL], "time", ["obs", "pred"])
+    day, before = F.to_date("time"), F.to_date("time_prev")
+    inside = {w: F.coalesce(day.between(F.lit(a).cast("date"), F.lit(b).cast("date")) & (before >= F.lit(a).cast("date")), F.lit(False)) for w, a, b in windows}
+    steps = by_tag(changes, [method], inside, lambda only: {
+        "day_to_day_variability_bias": F.avg(F.abs(only(F.col("pred") - F.col("pred_prev")))) - F.avg(F.abs(only(F.col("obs") - F.col("obs_prev"))))}, "window")
+    return base.join(steps, keys, "left").join(annual, keys, "left")
 
 
 def masked_errors(df: DataFrame, keys=(), pred: str = "pred", truth: str = "y", ignore: float | None = None, weight=None) -> DataFrame:

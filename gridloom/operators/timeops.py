@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.columns import col, day_number
 from gridloom.functions.labels import step_hours
 from gridloom.operators.ordering import calendar_bucket, positions, previous_row, running_total
+from gridloom.session import attach
 
 # Edges of the future windows; the last one is clipped to the end of the run.
 FUTURE_WINDOWS = [
@@ -67,13 +68,16 @@ def tag_windows(df: DataFrame, windows, time: str = "time", name: str = "window"
 
 
 def tag_windows_table(df: DataFrame, windows: DataFrame, time: str = "time") -> DataFrame:
-    """As :func:`tag_windows` for a table (window, start, end) of any size: equi join on the month, then filter."""
+    """As :func:`tag_windows` for a table (window, start, end) of any size: equi join on the month, then filter.
+
+    The windows are broadcast if their months are few enough; else AQE splits the months that hold most rows.
+    """
     months = windows.withColumn(
         "_month", F.explode(F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("INTERVAL '1' MONTH")))
     )
     day = F.to_date(F.col(time))
     return (
-        df.withColumn("_month", F.trunc(day, "month")).join(months, "_month")
+        attach(df.withColumn("_month", F.trunc(day, "month")), months, "_month")
         .where(day.between(F.col("start"), F.col("end"))).drop("_month", "start", "end")
     )
 
@@ -96,9 +100,12 @@ def with_seasons(df: DataFrame, time: str = "time", name: str = "season") -> Dat
 
 
 def select_times(field: DataFrame, requests: DataFrame, keys=("iy", "ix"), value: str = "value") -> DataFrame:
-    """For each requested ``at``: the value at exactly that time, else the first one of the same day."""
+    """For each requested ``at``: the value at exactly that time, else the first one of the same day.
+
+    The requested times are broadcast after a size check, so the field is not shuffled on the day.
+    """
     days = requests.select("at").distinct().withColumn("_day", F.to_date("at"))
-    joined = field.withColumn("_day", F.to_date("time")).join(days, "_day")
+    joined = attach(field.withColumn("_day", F.to_date("time")), days, "_day")
     rank = F.struct((F.col("time") != F.col("at")).alias("other"), F.col("time"))
     return joined.groupBy("at", *keys).agg(
         F.min_by(value, rank).alias(value), F.min_by("time", rank).alias("time")
