@@ -89,23 +89,41 @@ def cdft(bundle: DataFrame, keys=CELL, steps: int = 100, delta_shift: str = "add
     return apply_transfer(bundle, fit_cdft(bundle, keys, periods, steps, delta_shift), keys, steps=steps)
 
 
-def guarded_cdft(bundle: DataFrame, keys=CELL, steps: int = 100, minimum: int = MIN_VALUES) -> DataFrame:
-    """CDF-t with guards: pairwise valid training rows, median-filled test periods, a least number of values.
+def with_followers(transfer: DataFrame, follows: dict[str, str]) -> DataFrame:
+    """The transfer tables, those of a period handed on to the periods that follow it (``{new: fitted}``)."""
+    out = transfer
+    for new, fitted in follows.items():
+        out = out.unionByName(transfer.where(F.col("period") == fitted).withColumn("period", F.lit(new)))
+    return out
+
 
-    Cells with fewer than ``minimum`` training pairs or historical test values stay NULL; so do rows
-    without a simulated value.
+def fit_guarded_cdft(bundle: DataFrame, keys=CELL, steps: int = 100, minimum: int = MIN_VALUES) -> DataFrame:
+    """Transfer tables for the training and the historical test period, to be kept and applied to later data.
+
+    Training uses rows where obs and sim are both there; gaps of the test period take its median. Cells with
+    fewer than ``minimum`` training pairs or historical test values get no table.
     """
     keys = list(keys)
     in_train = F.col("period") == TRAIN
     pair = F.col("obs").isNotNull() & F.col("sim").isNotNull()
-    good = bundle.groupBy(*keys).agg(
-        F.count_if(in_train & pair).alias("_nt"), F.count_if((F.col("period") == "test_hist") & F.col("sim").isNotNull()).alias("_nh")
+    past = materialise(bundle.where(F.col("period").isin(TRAIN, "test_hist")).select(*keys, "period", "obs", "sim"), "fit-rows")
+    good = past.groupBy(*keys).agg(
+        F.count_if(in_train & pair).alias("_nt"), F.count_if(~in_train & F.col("sim").isNotNull()).alias("_nh")
     ).where((F.col("_nt") >= minimum) & (F.col("_nh") >= minimum)).select(*keys)
-    kept = attach(bundle, good, keys, "left_semi", derived=True)
+    kept = attach(past, good, keys, "left_semi", derived=True)
     train = kept.where(in_train & pair).withColumn("filled", F.col("sim"))
-    tests = median_fill(kept.where(~in_train), "sim", [*keys, "period"], minimum=1)
-    fit_rows = train.unionByName(tests).drop("sim").withColumnRenamed("filled", "sim")
-    return apply_transfer(bundle, fit_cdft(fit_rows, keys, steps=steps), keys, steps=steps)
+    test = median_fill(kept.where(~in_train), "sim", keys, minimum=1)
+    fit_rows = train.unionByName(test).drop("sim").withColumnRenamed("filled", "sim")
+    return materialise(fit_cdft(fit_rows, keys, (TRAIN, "test_hist"), steps), "transfer")
+
+
+def guarded_cdft(bundle: DataFrame, keys=CELL, steps: int = 100, minimum: int = MIN_VALUES) -> DataFrame:
+    """CDF-t fitted on the training and the historical test period; the future is mapped by the historical fit.
+
+    Cells without a fit stay NULL; so do rows without a simulated value.
+    """
+    transfer = with_followers(fit_guarded_cdft(bundle, keys, steps, minimum), {"test_future": "test_hist"})
+    return apply_transfer(bundle, transfer, list(keys), steps=steps)
 
 
 def running_windows(time, width: int, step: int) -> Column:

@@ -333,13 +333,13 @@ def interp_sql(x: str, xs: str, ys: str, n: int, e: str = "e") -> str:
       ELSE {ys}[{k}] + coalesce(({x} - {xs}[{k}]) / nullif({xs}[{k} + 1] - {xs}[{k}], 0), 0) * ({ys}[{k} + 1] - {ys}[{k}]) END"""
 
 
-def cdft_sql(fit: str, apply: str, m: int, keys: str = "iy, ix") -> str:
-    """CDF-t on quantile tables; ``fit`` and ``apply`` are relations (keys, period, obs, sim)."""
+def cdft_sql(fit: str, apply: str, m: int, keys: str = "iy, ix", follows: str = "SELECT * FROM tf WHERE false") -> str:
+    """CDF-t on quantile tables; ``fit`` and ``apply`` are relations (keys, period, obs, sim); ``follows`` adds tables."""
     return f"""s AS (SELECT {keys}, 'obs' AS series, obs AS v FROM {fit} WHERE period = 'train_hist' AND obs IS NOT NULL UNION ALL SELECT {keys}, period, sim FROM {fit} WHERE sim IS NOT NULL),
     l AS (SELECT {keys}, series, list_sort(list(v)) AS l, count(*) AS n, avg(v) AS mean FROM s GROUP BY ALL), q AS (SELECT {keys}, series, mean, {nodes_sql('l', 'n', m)} AS q FROM l),
     t AS (SELECT p.{keys.replace(', ', ', p.')}, p.series AS period, p.q AS xs, list_transform(p.q, lambda z: z + (o.mean - h.mean)) AS x2, list_transform(h.q, lambda z: z + (o.mean - h.mean)) AS h2, o.q AS o
       FROM q p JOIN q o USING ({keys}) JOIN q h USING ({keys}) WHERE p.series <> 'obs' AND o.series = 'obs' AND h.series = 'train_hist'),
-    tr AS (SELECT {keys}, period, xs, list_transform(o, lambda y: {interp_sql('y', 'h2', 'x2', m + 1)}) AS zs FROM t),
+    tf AS (SELECT {keys}, period, xs, list_transform(o, lambda y: {interp_sql('y', 'h2', 'x2', m + 1)}) AS zs FROM t), tr AS (SELECT * FROM tf UNION ALL {follows}),
     corrected AS (SELECT a.*, {interp_sql('sim', 'xs', 'zs', m + 1)} AS corrected FROM {apply} a LEFT JOIN tr USING ({keys}, period))"""
 
 
@@ -349,21 +349,22 @@ def cdft_correction(spark, sf):
 
 
 def sparse_bundle(spark, sf):
-    """Large quantities only, the limit rising with the cell, so that some cells fall below the guard."""
-    rows = S.line_rows(spark, sf).where("l_quantity > 20 + iy * 3 + ix").groupBy("time", "iy", "ix").agg(F.avg("obs").alias("obs"), F.avg("raw").alias("raw"))
+    """Small quantities are nulled, the limit rising with the cell, so that some cells fall below the guard."""
+    large = F.expr("l_quantity > 20 + iy * 3 + ix")
+    rows = S.line_rows(spark, sf).groupBy("time", "iy", "ix").agg(F.avg(F.when(large, F.col("obs"))).alias("obs"), F.avg(F.when(large, F.col("raw"))).alias("raw"))
     year = F.year("time")
     period = F.when(year <= 1998, "train_hist").when(year <= 2000, "test_hist").otherwise("test_future")
     return rows.select(period.alias("period"), "time", "iy", "ix", F.when(year <= 2000, six("obs")).alias("obs"), F.when(F.dayofyear("time") % 11 != 0, six("raw")).alias("sim"))
 
 
-_SPARSE = """SELECT CASE WHEN year(time) <= 1998 THEN 'train_hist' WHEN year(time) <= 2000 THEN 'test_hist' ELSE 'test_future' END AS period, time, iy, ix, CASE WHEN year(time) <= 2000 THEN round(avg(obs) + 3e-9, 6) END AS obs, CASE WHEN dayofyear(time) % 11 <> 0 THEN round(avg(raw) + 3e-9, 6) END AS sim
-    FROM line_rows WHERE l_quantity > 20 + iy * 3 + ix GROUP BY time, iy, ix"""
+_SPARSE = """SELECT CASE WHEN year(time) <= 1998 THEN 'train_hist' WHEN year(time) <= 2000 THEN 'test_hist' ELSE 'test_future' END AS period, time, iy, ix, CASE WHEN year(time) <= 2000 THEN round(avg(obs) FILTER (l_quantity > 20 + iy * 3 + ix) + 3e-9, 6) END AS obs, CASE WHEN dayofyear(time) % 11 <> 0 THEN round(avg(raw) FILTER (l_quantity > 20 + iy * 3 + ix) + 3e-9, 6) END AS sim
+    FROM line_rows GROUP BY time, iy, ix"""
 
 
 @query("period:s time:d iy:i ix:i corrected:f", "F2 E10", f"""WITH b AS ({_SPARSE}), good AS (SELECT iy, ix FROM b GROUP BY 1, 2 HAVING count(*) FILTER (period = 'train_hist' AND obs IS NOT NULL AND sim IS NOT NULL) >= 10 AND count(sim) FILTER (period = 'test_hist') >= 10),
     kept AS (SELECT * FROM b SEMI JOIN good USING (iy, ix)), fitted AS (SELECT * FROM kept WHERE period = 'train_hist' AND obs IS NOT NULL AND sim IS NOT NULL UNION ALL
-      SELECT period, time, iy, ix, obs, coalesce(sim, quantile_cont(sim, 0.5) OVER (PARTITION BY iy, ix, period)) FROM kept WHERE period <> 'train_hist'),
-    {cdft_sql('fitted', 'b', 100)} SELECT * FROM corrected""")
+      SELECT period, time, iy, ix, obs, coalesce(sim, quantile_cont(sim, 0.5) OVER (PARTITION BY iy, ix, period)) FROM kept WHERE period = 'test_hist'),
+    {cdft_sql('fitted', 'b', 100, follows="SELECT * REPLACE ('test_future' AS period) FROM tf WHERE period = 'test_hist'")} SELECT * FROM corrected""")
 def guarded_cdft(spark, sf):
     return biascorr.guarded_cdft(sparse_bundle(spark, sf))
 
