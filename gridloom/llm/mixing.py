@@ -53,20 +53,25 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return raised.select(margin, (F.col("raised") / F.lit(total)).alias(f"target_{margin}"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = 8) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = 8, trim: float | None = None) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with the raked share ``weight``; each cycle is written, so lineage stays short.
 
     ``targets`` holds per margin a table of its values and ``target_<margin>``. A value without a target gets
-    weight zero; a target for a value without tokens is not met, and the others are scaled to sum to one.
+    weight zero; a target for a value without tokens is not met, and the others are scaled to sum to one. With ``trim``
+    no cell's weight exceeds so many times its share of the tokens: each cycle ends with the cut, and the next spreads
+    what was cut over the other cells.
     """
     now = cells
     for margin, table in targets.items():
         now = now.join(table, margin, "left")
     now = materialise(now.withColumn("weight", F.col("tokens").cast("double")), "rake")
+    total = (now.agg(F.sum("tokens")).first()[0] or 1) if trim else 1
     for _ in range(cycles):
         for margin in targets:
             sums = F.sum("weight").over(Window.partitionBy(margin))
             now = now.withColumn("weight", F.when(sums > 0, F.col("weight") * F.coalesce(F.col(f"target_{margin}"), F.lit(0.0)) / sums).otherwise(0.0))
+        if trim:
+            now = now.withColumn("weight", F.least("weight", F.col("tokens") * F.lit(trim / total)))
         now = materialise(now, "rake")
     return now
 
@@ -96,7 +101,7 @@ def draw(id_col: str, seed: int) -> Column:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", powers: dict[str, float] | None = None,
-    targets: dict[str, DataFrame] | None = None, budget: float = 1.0, cycles: int = 8, seed: int = 0,
+    targets: dict[str, DataFrame] | None = None, budget: float = 1.0, cycles: int = 8, seed: int = 0, trim: float | None = None,
 ) -> DataFrame:
     """``docs`` with ``topic, tokens, weight, probability, sampled`` appended (columns of these names are replaced).
 
@@ -110,7 +115,7 @@ def mix(
     full = described(docs, text_col)
     slim = full.groupBy(F.col("_mix_source").alias("source"), F.col("_mix_lang").alias("lang"), F.col("_mix_topic").alias("topic"))
     cells = materialise(slim.agg(F.sum("_mix_tokens").alias("tokens")), "cells")
-    chances = cell_probabilities(rake(cells, targets or {m: tempered(cells, m, powers[m]) for m in MARGINS}, cycles), budget)
+    chances = cell_probabilities(rake(cells, targets or {m: tempered(cells, m, powers[m]) for m in MARGINS}, cycles, trim), budget)
     chances = chances.select(
         F.col("source").alias("_mix_source"), F.col("lang").alias("_mix_lang"), F.col("topic").alias("_mix_topic"),
         F.col("weight").alias("_mix_weight"), F.col("probability").alias("_mix_p"),

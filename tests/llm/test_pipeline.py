@@ -63,6 +63,7 @@ def test_mixture(stages):
         for m in mixing.MARGINS:
             target = cells.groupby(m).tokens.sum() ** pipeline.POWERS[m]
             cells["w"] *= cells[m].map(target / target.sum()) / cells[m].map(cells.groupby(m).w.sum())
+        cells["w"] = np.minimum(cells.w, cells.tokens * pipeline.TRIM / cells.tokens.sum())
     ratio = cells.w / cells.tokens
     cells["p"] = ratio * min(1 / ratio.max(), cells.tokens.sum() / cells.w.sum())
     facts = facts.merge(cells.drop(columns="tokens"), on=["source", "lang", "topic"])
