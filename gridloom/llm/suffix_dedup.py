@@ -30,7 +30,7 @@ from gridloom.session import fits_broadcast, materialise
 GRAM = 64
 SHALLOW = 96  # bytes sorted by the multikey quicksort
 CROWD = 20_000  # anchors of one gram sorted in one task at most
-BUNCH = 6 << 20  # bytes of contexts sorted together
+BUNCH = 3 << 20  # bytes of contexts sorted together
 
 
 def text_name(body) -> tuple[int, int]:
