@@ -11,7 +11,7 @@ part in common, shingle by shingle; the hash of a part is a bucket. A part of on
 very many documents holds other shingles as a rule, so such passages make no large buckets.
 
 Large groups of near copies are linked without forming their pairs: first every member of a bucket is verified against
-the bucket's first member, and components are built. Only buckets of three or more that still hold several components
+the bucket's first member, if the two share as many buckets as a link needs, and components are built. Only buckets of three or more that still hold several components
 go to the R-trees. Twice they return each member's nearest point of another component, which merges most of what is
 close, and then all pairs of different components that pass the bound; pairs are verified and join the components. Every link between different sets is thus either verified or within a component. Large buckets are
 indexed in blocks, and the members query each block.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import textbytes as tb
 from gridloom.llm.graph import components
-from gridloom.session import fits_broadcast, materialise
+from gridloom.session import attach, fits_broadcast, materialise
 
 GROUPS = 256  # coordinates of a point
 COARSE = 64  # coordinates of the boxes: sums of neighbouring ones
@@ -109,19 +109,22 @@ def node_of(s: np.ndarray) -> tuple[int, int]:
     return int(a[0]), int(a[1])
 
 
-def signatures(s: np.ndarray, rule: Rule) -> np.ndarray:
-    """The buckets of a set: one per part with shingles. If so many parts are empty that all parts left untouched by
-    the differences could be empty ones, the empty parts are buckets too."""
-    out = [np.zeros(0, np.uint64)]
+def signatures(s: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a set, one per part with shingles, and for each how many buckets of its class a set that links
+    must share with this one: the parts left untouched by the differences, less the empty ones. If all of those
+    could be empty, the empty parts are buckets too."""
+    out, least = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     for c, parts, differ in rule.classes(len(s)):
         part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         heads = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
         salt = tb.mixed((part[heads] + np.uint64(1)) * tb.BASE + np.uint64(c))
         out.append(tb.mixed(np.add.reduceat(s, heads) + salt))
+        least.append(np.full(len(heads), max(1, len(heads) - differ), np.int32))
         if len(heads) <= differ:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[heads])
             out.append(tb.mixed(tb.mixed((empty + np.uint64(1)) * tb.BASE + np.uint64(c))))
-    return np.concatenate(out) >> np.uint64(16)
+            least.append(np.ones(len(empty), np.int32))
+    return np.concatenate(out) >> np.uint64(16), np.concatenate(least)
 
 
 def point(s: np.ndarray) -> np.ndarray:
@@ -200,7 +203,7 @@ def described(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFr
 
 
 def buckets(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
-    """Written table ``bucket, first, node`` of all buckets with two nodes or more.
+    """Written table ``bucket, first, node, least`` of all buckets with two nodes or more.
 
     A task files each of its sets once, so copies do not multiply; a bucket is read as a sorted run, never held. One
     bucket has at most one row per node, while a node has a row in each of its parts.
@@ -210,22 +213,26 @@ def buckets(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
         for batch in batches:
             data, offsets = tb.column(batch.column(0))
             for i, j in tb.slices(offsets):
-                rows, nodes = [np.zeros(0, np.uint64)], []
+                rows, nodes, least = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int32)]
                 for s in shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.words):
                     if len(s) and (node := node_of(s)[0]) not in seen:
                         seen.add(node)
-                        rows.append(signatures(s, rule))
+                        for column, values in zip((rows, least), signatures(s, rule)):
+                            column.append(values)
                         nodes.append(np.full(len(rows[-1]), node, np.int64))
-                yield pa.record_batch([pa.array(np.concatenate(rows).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *nodes]))], names=["bucket", "node"])
+                yield pa.record_batch(
+                    [pa.array(np.concatenate(rows).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *nodes])), pa.array(np.concatenate(least))],
+                    names=["bucket", "node", "least"],
+                )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, first, before, told = None, 0, 0, True
         for batch in batches:
-            b, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            b, n, least = (c.to_numpy() for c in batch.columns)
             if not len(b):
                 continue
             if bucket is not None:  # go on with the run of the last batch
-                b, n = np.concatenate([[bucket], b]), np.concatenate([[before], n])
+                b, n, least = np.concatenate([[bucket], b]), np.concatenate([[before], n]), np.concatenate([[0], least])
             lead = 0 if bucket is None else 1
             new = np.empty(len(b), bool)
             new[0], new[1:] = True, b[1:] != b[:-1]
@@ -246,43 +253,49 @@ def buckets(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
             starts = np.flatnonzero(new)
             yield pa.record_batch(
                 [pa.array(np.concatenate([b[starts[lead_rows]], b[more]])), pa.array(np.concatenate([firsts[lead_rows], head[more]])),
-                 pa.array(np.concatenate([firsts[lead_rows], n[more]]))],
-                names=["bucket", "first", "node"],
+                 pa.array(np.concatenate([firsts[lead_rows], n[more]])), pa.array(np.concatenate([np.zeros(len(lead_rows), np.int32), least[more]]).astype(np.int32))],
+                names=["bucket", "first", "node", "least"],
             )
             last = run_of[-1]
             told = bool((more & (run_of == last)).any()) or (bool(lead) and last == 0 and told)
             bucket, first, before = b[-1], firsts[last], n[-1]
 
-    filed = docs.select(text_col).mapInArrow(file, "bucket long, node long")
+    filed = docs.select(text_col).mapInArrow(file, "bucket long, node long, least int")
     runs = filed.repartition("bucket").sortWithinPartitions("bucket", "node")
-    return materialise(runs.mapInArrow(scan, "bucket long, first long, node long"), "buckets")
+    return materialise(runs.mapInArrow(scan, "bucket long, first long, node long, least int"), "buckets")
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """Written table ``node, n, point, shingles`` of the wanted nodes (``node, rep``: a document that has the set)."""
+def set_table(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """Written table of the wanted nodes (``node, rep``: a document that has the set): ``node, n, point``, or the whole
+    sets as ``node, shingles``. Only the texts of the named documents are read into shingles."""
+    names, shape = (["node", "shingles"], "node long, shingles binary") if whole else (["node", "n", "point"], "node long, n long, point binary")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                sets = [s for s in shingles(*tb.column(batch.column(0).slice(i, 512)), rule.words) if len(s)]
-                yield pa.record_batch(
-                    [pa.array([node_of(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([point(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["node", "n", "point", "shingles"],
-                )
-
+            for i in range(0, batch.num_rows, 256):
+                sets = [s for s in shingles(*tb.column(batch.column(0).slice(i, 256)), rule.words) if len(s)]
+                nodes = pa.array([node_of(s)[0] for s in sets], pa.int64())
+                if whole:
+                    columns = [nodes, pa.array([s.tobytes() for s in sets], pa.binary())]
+                else:
+                    columns = [nodes, pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary())]
+                yield pa.record_batch(columns, names=names)
+
+    wanted = materialise(wanted, "wanted")
     reps = wanted.select(F.col("rep").alias("_rep")).distinct()
     reps = F.broadcast(reps) if fits_broadcast(reps, 2_000_000, 64_000_000) else reps
     some = docs.join(reps, docs[id_col].eqNullSafe(F.col("_rep")), "left_semi").select(text_col)
-    made = some.mapInArrow(run, "node long, n long, point binary, shingles binary").join(wanted.select("node"), "node", "left_semi")
-    return materialise(made.dropDuplicates(["node"]), "sets")
+    made = attach(some.mapInArrow(run, shape), wanted.select("node"), "node", "left_semi", max_rows=2_000_000, max_bytes=64_000_000)
+    return materialise(made.dropDuplicates(["node"]), "sets" if whole else "points")
 
 
 def _points(values, rows: slice) -> np.ndarray:
     return np.frombuffer(b"".join(values.slice(rows.start, rows.stop - rows.start).to_pylist()), np.uint16).reshape(-1, GROUPS)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Written table ``a, b`` of the pairs that link. Points are compared first; only sets of pairs that pass are moved."""
+def verified(pairs: DataFrame, points: DataFrame, sets_of, rule: Rule) -> DataFrame:
+    """Written table ``a, b`` of the pairs that link. Points are compared first; ``sets_of`` makes the sets of the nodes of
+    the pairs that pass."""
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
@@ -300,10 +313,11 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 keep[k] = len(np.intersect1d(x, y, assume_unique=True)) >= rule.least_overlap(len(x), len(y))
             yield pa.record_batch([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
-    point_of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"point_{c}"))
-    set_of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
+    point_of = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"point_{c}"))
     rows = pairs.join(point_of("a"), "a").join(point_of("b"), "b").select("a", "b", "n_a", "n_b", "point_a", "point_b")
     left = materialise(rows.mapInArrow(bounded, "a long, b long"), "bounded-pairs")
+    sets = sets_of(left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct())
+    set_of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
     full = left.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "set_a", "set_b")
     return materialise(full.mapInArrow(compared, "a long, b long"), "links")
 
@@ -376,7 +390,7 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
 
-def open_members(filed: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
+def open_members(filed: DataFrame, roots: DataFrame, points: DataFrame) -> DataFrame | None:
     """Members of the buckets of three or more that still hold several components; one bucket of those with the same
     members. None if there is no such bucket."""
     owned = filed.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
@@ -386,7 +400,7 @@ def open_members(filed: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFra
     found = materialise(found.groupBy("count", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "count"), "open-buckets")
     if found.isEmpty():
         return None
-    return owned.join(found, "bucket").join(sets.select("node", "n", "point"), "node")
+    return owned.join(found, "bucket").join(points, "node")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -404,20 +418,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     if not reps.where("low <> high").isEmpty():
         raise RuntimeError("two shingle sets share a 64-bit name; change the constants of the shingle hash")
     filed = buckets(docs, rule, text_col)
-    near = filed.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    near = materialise(near, "near")
-    named = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    sets = set_table(docs, named.join(reps, "node").select("node", "rep"), rule, id_col, text_col)
-    links = verified(near, sets, rule)
+    # A pair that shares fewer buckets than a link needs meets again, if it can link, in a bucket of three or more.
+    near = filed.where("first <> node").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.min("least").alias("least"))
+    near = materialise(near.where("shared >= least").select("a", "b"), "near")
+    # Points are needed of those pairs, and of all members of buckets of three or more.
+    crowded = filed.groupBy("bucket").agg(F.count("*").alias("count")).where("count > 2").select("bucket")
+    named = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(filed.join(crowded, "bucket").select("node")).distinct()
+    points = set_table(docs, named.join(reps, "node").select("node", "rep"), rule, id_col, text_col, whole=False)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return set_table(docs, nodes.join(reps, "node").select("node", "rep"), rule, id_col, text_col, whole=True)
+
+    links = verified(near, points, sets_of, rule)
     roots = components(links)
 
     # Nearest points first: they merge what is close, so that few pairs are left for the last round, which takes all.
     for k in range(ROUNDS + 1):
-        members = open_members(filed, roots, sets)
+        members = open_members(filed, roots, points)
         if members is None:
             break
         pairs = materialise(tree_pairs(members, rule, nearest=k < ROUNDS), "tree-pairs")
-        links = links.unionByName(verified(pairs, sets, rule))
+        links = links.unionByName(verified(pairs, points, sets_of, rule))
         roots = components(links)
 
     least = reps.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))

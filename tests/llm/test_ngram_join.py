@@ -107,7 +107,10 @@ def test_parts_of_linked_sets_meet():
                     both = len(np.intersect1d(a, b))
                     links = len(b) and 100 * both >= 85 * (len(a) + len(b) - both)
                     if links and (len(a) != both or len(b) != both):
-                        assert len(np.intersect1d(nj.signatures(a, rule), nj.signatures(b, rule)))
+                        (sa, la), (sb, lb) = nj.signatures(a, rule), nj.signatures(b, rule)
+                        shared = np.intersect1d(sa, sb)
+                        assert len(shared)
+                        assert len(shared) >= min(la[np.isin(sa, shared)].min(), lb[np.isin(sb, shared)].min())
                 if gone > 3 and not links:
                     break
 
