@@ -143,6 +143,22 @@ def test_marginals_of_the_expected_sample(spark):
     assert all(abs(r.target - r.reached) < 1e-5 for m in powers for r in mixing.gaps(raked, m).collect())
 
 
+@pytest.mark.parametrize("small", [mixing.SMALL, 0])
+def test_margins_that_depend_on_each_other_are_met(spark, small):
+    shares = {("en", "relation"): 270, ("en", "state"): 40, ("de", "relation"): 30, ("de", "state"): 90, ("es", "relation"): 20, ("es", "event"): 30, ("es", "state"): 10}
+    cells = spark.createDataFrame([(f"s{k}", l, t, n * (1 + k)) for (l, t), n in shares.items() for k in range(2)], "source string, lang string, topic string, tokens long")
+    raked = mixing.rake(cells, {m: mixing.tempered(cells, m, 0.5) for m in mixing.MARGINS}, tolerance=1e-4, small=small)
+    assert all(r.reached == pytest.approx(r.target, rel=2e-4) for m in mixing.MARGINS for r in mixing.gaps(raked, m).collect())
+
+
+def test_contradicting_targets_warn(spark):
+    cells = spark.createDataFrame([("a", "x", "other", 10), ("b", "y", "other", 10)], "source string, lang string, topic string, tokens long")
+    targets = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, target_source double"), "lang": mixing.tempered(cells, "lang", 1.0)}
+    with pytest.warns(UserWarning, match="raking"):
+        raked = mixing.rake(cells, targets)
+    assert max(abs(r.target - r.reached) for r in mixing.gaps(raked, "source").collect()) > 0.3
+
+
 def test_given_targets_budget_and_missing_values(spark):
     rows = [(k, "w " * 10, s, l) for k, (s, l) in enumerate([("a", "x"), ("a", "y"), ("b", "x"), (None, "y")] * 50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
