@@ -70,6 +70,15 @@ def test_mixture(stages):
     assert set(after) == set(facts.doc_id[facts.lot < facts.p]) and 0 < len(after) < len(before)
 
 
+def test_mixture_meets_its_targets(stages):
+    mixed = mixing.mix(stages[3], powers=pipeline.POWERS).toPandas()
+    expected = mixed.tokens * mixed.probability
+    for m in mixing.MARGINS:
+        want = mixed.groupby(m).tokens.sum() ** pipeline.POWERS[m]
+        assert np.allclose(expected.groupby(mixed[m]).sum() / expected.sum(), want / want.sum(), rtol=1e-4), m
+    assert {r.doc_id for r in stages[4].select("doc_id").collect()} == set(mixed.doc_id[mixed.sampled])
+
+
 def test_packing(stages):
     t = Tokenizer.from_file(vocabularies.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
