@@ -129,7 +129,7 @@ FROM bodies LEFT JOIN per USING (row_id)
 
 @op(_secret_sql())
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document the secrets of the base rules, and opaque tokens that belong to one owner alone."""
+    """Per document the secrets of the base rules and opaque tokens, with counts of the verdicts."""
     return secrets.digest(*secrets.scan(_table(spark, sf_dir, "documents")))
 
 

@@ -1,15 +1,17 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Candidates are found by regular expressions in every whole text. Their values are hashed, and each hash is counted
-over distinct repositories and owners: a value under many owners is a copied example, one under a single owner looks
-live. Long opaque tokens that no base rule covers are reported (kind ``owner``) if they look like credentials and
-belong to one owner alone.
+over distinct repositories, owners and texts: a value under many owners or in many different texts is a copied example,
+one in few texts of a single owner looks live. Long opaque tokens that no base rule covers are reported (kind ``owner``) if
+they look like credentials, whatever their verdict.
 
 Positions come from the pieces between the matches: their lengths and those of the matches, summed in order.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 KINDS = ("assign", "access", "hex", "owner")
 # Kind, pattern, group that holds the value, least length of the value.
 RULES = ((0, ASSIGN, 2, 6), (1, ACCESS, 0, 20), (2, HEX, 0, 24), (3, OPAQUE, 0, 20))
+COPIED_TEXTS = 20  # different texts from which a value counts as a copied example even under one owner
 RAW = "array<struct<kind:int,piece:int,gap:int,size:int,value:string,valued:boolean>>"
 
 
@@ -48,7 +51,8 @@ def _found(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository: Column) -> DataFrame:
-    """One written row per document: ``row_id, id, owner, repository, raw`` (all matches of all rules)."""
+    """One written row per document: ``row_id, id, owner, repository, text_key, raw`` (a digest of a text with matches, and all
+    matches of all rules)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return materialise(
         docs.select(
@@ -56,6 +60,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repos
             F.col(f"`{id_col}`").alias("id"),
             F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
             F.coalesce(repository.cast("string"), F.lit("")).alias("repository"),
+            F.when(reduce(Column.__or__, [text.rlike(rule[1]) for rule in RULES]), F.md5(text)).alias("text_key"),
             F.concat(*[_found(text, *rule) for rule in RULES]).alias("raw"),
         ),
         "secret-candidates",
@@ -63,16 +68,19 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repos
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """Distinct repositories and owners per value hash.
+    """Distinct repositories, owners and texts per value hash.
 
     Map-side combine reduces the rows of a hash to one per repository before anything is counted, so a value
-    copied into a third of all documents costs one row per repository and task.
+    copied into a third of all documents costs one row per repository and task; texts are told apart dealt by value and
+    text, and their counts combined likewise.
     """
     pairs = spans.groupBy("hash", "owner", "repository").agg(F.count("*").alias("uses"))
     owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("uses").alias("uses"))
-    return owners.groupBy("hash").agg(
+    counts = owners.groupBy("hash").agg(
         F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("uses").alias("uses")
     )
+    texts = spans.select("hash", "text_key").distinct().groupBy("hash").agg(F.count("*").alias("texts"))
+    return counts.join(texts, "hash")
 
 
 def scan(
@@ -82,11 +90,13 @@ def scan(
     owner: Column | None = None,
     repository: Column | None = None,
     copied_owners: int = 3,
+    copied_texts: int = COPIED_TEXTS,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, spans).
 
-    ``spans``: row_id, id, kind, start, end (code points, end exclusive), value, owners, repositories, uses and
-    ``verdict``: ``owner_specific`` (one owner), ``copied_example`` (``copied_owners`` or more) or ``shared``.
+    ``spans``: row_id, id, kind, start, end (code points, end exclusive), value, owners, repositories, uses,
+    texts (different ones; copies of a text count once) and ``verdict``: ``copied_example`` (``copied_owners`` owners or
+    ``copied_texts`` texts, or more), ``owner_specific`` (one owner) or ``shared``. Spans of every verdict are listed.
     ``documents``: row_id, id of every row, those without findings too. By default the owner is the ``source`` and a
     repository is a source and language. A null text counts as empty; null owners are one owner of their own; rows
     that repeat an identifier are scanned each for itself; an empty table gives empty results.
@@ -95,8 +105,8 @@ def scan(
     if repository is None:
         repository = F.concat_ws("/", F.col("source"), F.col("lang"))
     found = candidates(docs, id_col, text_col, owner, repository)
-    flat = found.where(F.size("raw") > 0).select("row_id", "id", "owner", "repository", F.explode("raw").alias("m")).select(
-        "row_id", "id", "owner", "repository", "m.*"
+    flat = found.where(F.size("raw") > 0).select("row_id", "id", "owner", "repository", "text_key", F.explode("raw").alias("m")).select(
+        "row_id", "id", "owner", "repository", "text_key", "m.*"
     )
     ordered = Window.partitionBy("row_id", "kind").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
@@ -118,11 +128,11 @@ def scan(
     )
     counts = ownership(kept)
     judged = kept.join(counts, "hash")  # a hot hash is split by AQE; the other side has one row for it
-    judged = judged.where((F.col("kind") < 3) | (F.col("owners") == 1)).select(
+    judged = judged.select(
         "row_id", "id", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1).alias("kind"),
-        F.col("kind").alias("kind_order"), "start", "end", "value", "owners", "repositories", "uses",
-        F.when(F.col("owners") == 1, "owner_specific").when(F.col("owners") >= copied_owners, "copied_example")
-        .otherwise("shared").alias("verdict"),
+        F.col("kind").alias("kind_order"), "start", "end", "value", "owners", "repositories", "uses", "texts",
+        F.when((F.col("owners") >= copied_owners) | (F.col("texts") >= copied_texts), "copied_example")
+        .when(F.col("owners") == 1, "owner_specific").otherwise("shared").alias("verdict"),
     )
     return found.select("row_id", "id"), judged
 

@@ -116,6 +116,17 @@ def test_verdicts(spark):
     assert by[9, "owner"].verdict == "owner_specific" and (10, "owner") not in by
 
 
+def test_shared_and_copied_opaque_tokens_are_listed(spark):
+    live, copied, filler = "Lv1Lv1Lv1Lv1Lv1Lv1Lv1", "Cp2Cp2Cp2Cp2Cp2Cp2Cp2", "Fi3Fi3Fi3Fi3Fi3Fi3Fi3"
+    rows = [(1, f"key {live} end", "o1", "en"), (2, f"key {live} end", "o2", "en")] + [(10 + k, f"see {copied} {k}", f"o{k}", "en") for k in range(3)]
+    rows += [(100 + k, f"put {filler} {k}", "hot", "en") for k in range(secrets.COPIED_TEXTS)] + [(200 + k, "use Rp4Rp4Rp4Rp4Rp4Rp4Rp4", "hot", "en") for k in range(2 * secrets.COPIED_TEXTS)]
+    documents, spans = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))
+    by = {r.id: (r.kind, r.verdict, r.owners, r.texts) for r in spans.collect()}
+    assert len(by) == len(rows) and by[1] == by[2] == ("owner", "shared", 2, 1) and by[10] == ("owner", "copied_example", 3, 3)
+    assert by[100] == ("owner", "copied_example", 1, secrets.COPIED_TEXTS) and by[200] == ("owner", "owner_specific", 1, 1)
+    assert all(r.n_owner == 1 and r.spans for r in secrets.digest(documents, spans).collect())
+
+
 def test_secrets_in_odd_and_empty_tables(odd, no_docs):
     assert secrets.digest(*secrets.scan(no_docs)).count() == 0
     assert secrets.digest(*secrets.scan(odd)).count() == odd.count()
