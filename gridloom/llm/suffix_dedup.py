@@ -73,6 +73,43 @@ def anchors(data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
 
 
+def settled(data: np.ndarray, span: int, found: tuple) -> tuple[tuple, list[tuple[int, int]]]:
+    """Anchors without the inner windows of runs of a period below 64, and the runs' first and last window starts.
+
+    In a run of period p and at least ``span + p`` bytes every window equals the one p bytes before or behind it, and one
+    of the first p. Only these stay, for comparison with other places.
+    """
+    gram, pos, lo, hi = found
+    step = np.diff(pos)
+    links = np.flatnonzero((gram[1:] == gram[:-1]) & (step > 0) & (step < GRAM))
+    if not len(links):
+        return found, []
+    heads = np.flatnonzero(np.append(True, (np.diff(links) > 1) | (np.diff(step[links]) != 0)))
+    runs, cuts = [], []
+    for i, j in zip(links[heads], links[np.append(heads[1:], len(links)) - 1] + 1):
+        period, first, end = int(step[i]), int(pos[i]), int(pos[j]) + GRAM
+        ahead = data[end : end + span + GRAM]
+        differ = np.flatnonzero(ahead != data[end - period : end - period + len(ahead)])
+        end += int(differ[0]) if len(differ) else len(ahead)
+        if end - first < span + period or not np.array_equal(data[first : end - period], data[first + period : end]):
+            continue
+        runs.append((first, end - span))
+        if cuts and first + period <= cuts[-1][1] + 1:
+            cuts[-1] = (cuts[-1][0], max(cuts[-1][1], end - span))
+        else:
+            cuts.append((first + period, end - span))
+    if not runs:
+        return found, []
+    low, high = np.array(cuts, np.int64).T
+    starts = np.unique(np.concatenate([lo, low, high + 1]))
+    starts = starts[starts <= hi[-1]]
+    ends = np.append(starts[1:] - 1, hi[-1])
+    cut = np.searchsorted(low, starts, "right") - 1
+    keep = (cut < 0) | (starts > high[cut])
+    source = (np.searchsorted(lo, starts, "right") - 1)[keep]
+    return (gram[source], pos[source], starts[keep], ends[keep]), runs
+
+
 class BlindTrie:
     """Orders strings of one length that share a prefix: inner nodes know only where their strings branch."""
 
@@ -219,7 +256,10 @@ ANCHOR = "gram long, name long, pos long, lo long, hi long"
 
 
 def shared_anchors(docs: DataFrame, text_col: str, span: int) -> DataFrame:
-    """Written table of the anchors whose gram occurs at two anchors or more; each text counts once."""
+    """Written table of the anchors whose gram occurs at two anchors or more; each text counts once.
+
+    Rows with ``pos`` -1 are runs of a short period; their windows ``lo`` to ``hi`` are repeated in any case.
+    """
     names = [c.split()[0] for c in ANCHOR.split(", ")]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,15 +273,22 @@ def shared_anchors(docs: DataFrame, text_col: str, span: int) -> DataFrame:
                     if len(body) < span or (name := text_name(body)[0]) in seen:
                         continue
                     seen.add(name)
-                    gram, *places = anchors(body, span)
+                    (gram, *places), runs = settled(body, span, anchors(body, span))
                     for column, values in zip(found, (gram, np.full(len(gram), name), *places)):
                         column.append(values)
+                    if runs:
+                        for column, values in zip(found, (np.full(len(runs), name), np.full(len(runs), name), np.full(len(runs), -1), *np.array(runs, np.int64).T)):
+                            column.append(values)
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in found], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, told = None, False  # the last row so far, and whether its gram has occurred before
         for batch in batches:
             rows = [c.to_numpy() for c in batch.columns]
+            run = rows[2] < 0
+            if run.any():
+                yield pa.record_batch([pa.array(c[run]) for c in rows], names=names)
+                rows = [c[~run] for c in rows]
             if held is not None:
                 rows = [np.concatenate([[h], c]) for h, c in zip(held, rows)]
             if not len(rows[0]):
@@ -280,8 +327,10 @@ def _contexts(docs: DataFrame, listed: DataFrame, id_col: str, text_col: str, sp
                 columns = [c[mine] for c in columns]
                 size = columns[4] + span - columns[3]
                 ends = np.concatenate([[0], np.cumsum(size)])
-                around = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(tb.gathered(body, columns[3], size)))])
-                yield pa.record_batch([*map(pa.array, columns), around.cast(pa.binary())], names=[*names, "around"])
+                for i, j in tb.slices(ends):
+                    part, bounds = [c[i:j] for c in columns], ends[i : j + 1] - ends[i]
+                    around = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(tb.gathered(body, part[3], size[i:j])))])
+                    yield pa.record_batch([*map(pa.array, part), around.cast(pa.binary())], names=[*names, "around"])
 
     some = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     ids = listed.select(F.col("doc_id").alias("_listed"))
@@ -379,6 +428,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     if not texts.where("low <> high").isEmpty():
         raise RuntimeError("two texts share a 64-bit name; change the digest")
     found = shared_anchors(docs, text_col, span)
+    periodic = found.where("pos < 0").select("name", F.col("lo").alias("first"), F.col("hi").alias("last"))
+    found = found.where("pos >= 0")
     crowds = materialise(found.groupBy("gram").count().where(F.col("count") > crowd).select("gram"), "crowds")
     listed = found.join(texts.select("name", "rep"), "name").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("gram", "name", "pos", "lo", "hi")).alias("anchors"))
     contexts = _contexts(docs, materialise(listed, "listed"), id_col, text_col, span)
@@ -390,7 +441,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     else:
         runs = _sorted_repeats(contexts, span)
     whole = texts.where("copies > 1").select("name", F.lit(0).cast("long").alias("first"), (F.col("n") - span).alias("last"))
-    lists = runs.unionByName(whole).groupBy("name").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("ranges"))
+    lists = runs.unionByName(whole).unionByName(periodic).groupBy("name").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("ranges"))
     lists = materialise(lists, "repeats")
     return slim.select("doc_id", "name").distinct().join(lists, "name")
 

@@ -63,6 +63,31 @@ def test_repeats_within_one_text_and_a_common_passage(spark):
     check(spark, texts, 400, crowd=5, parts=7)
 
 
+def test_long_runs_have_few_and_bounded_contexts(spark):
+    n, rng = 3_000_000, random.Random(2)
+    texts = [(0, "z" * n), (1, "y" + "-=" * 1000 + "z" * 400), (2, "z" * 399 + "y"), (3, "".join(rng.choice("abc") for _ in range(500)) + "0" * n), (4, "-=" * 199 + "-+")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in sd.remove(frame).collect()}
+    assert got == {0: (n, 1), 1: (2400, 1), 2: (0, 0), 3: (n, 1), 4: (0, 0)}
+    body = np.frombuffer(texts[3][1].encode(), np.uint8)
+    kept, runs = sd.settled(body, 400, sd.anchors(body, 400))
+    assert len(kept[0]) < 100 and runs[0][0] <= 600 and runs[-1][1] == len(body) - 400
+    lines = np.frombuffer(("-" * 300 + "\n").encode() * 100, np.uint8)  # many contexts of one text come in slices
+    name = sd.text_name(lines)[0]
+    listed = spark.createDataFrame([(0, [(1, name, k, k, k) for k in range(20_000)])], "doc_id long, anchors array<struct<gram:long,name:long,pos:long,lo:long,hi:long>>")
+    docs = spark.createDataFrame([(0, lines.tobytes().decode())], "doc_id long, text string")
+    sizes = sd._contexts(docs, listed, "doc_id", "text", 400).selectExpr("around = encode(substring(repeat(concat(repeat('-', 300), '\n'), 100), int(lo) + 1, 400), 'utf-8') as fits").groupBy("fits").count().collect()
+    assert [(r.fits, r["count"]) for r in sizes] == [(True, 20_000)]
+
+
+@pytest.mark.parametrize("crowd", [sd.CROWD, 3])
+def test_runs_of_short_periods_equal_brute_force(spark, crowd):
+    rng = random.Random(5)
+    units = ["a", "ab", "abc", "x" * 20 + "y", "".join(rng.choice("abcd") for _ in range(63)), "q" * 63 + "r"]
+    texts = [(k, "".join((u := rng.choice(units)) * (rng.choice([60, 99, 101, 130, 180, 300, 900]) // len(u) + 1) + rng.choice(["", "!", "a", "--"]) for _ in range(rng.randint(1, 5)))) for k in range(60)]
+    assert check(spark, texts, 100, crowd) > 1000
+
+
 def test_every_window_has_one_anchor_inside_it():
     data = np.frombuffer(("".join(passages(random.Random(3), 40, 3000))).encode(), np.uint8)
     _, pos, lo, hi = sd.anchors(data, 400)
