@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import cotraining, exact_dedup, lattice_lm, mixing, ngram_join, packing, secrets, suffix_dedup, telephony, url_rules
+from gridloom.llm import cotraining, exact_dedup, lattice_lm, merkle, mixing, ngram_join, packing, secrets, suffix_dedup, telephony, url_rules
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -198,3 +198,65 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes that lie in a repeated string of 400 bytes."""
     return suffix_dedup.remove(_table(spark, sf_dir, "documents"))
+
+
+# CRC-32 in SQL: the table of its polynomial, and the checksum of a text's UTF-8 bytes over that table.
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i))"
+
+
+def _crc_sql(text: str) -> str:
+    return (
+        f"xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex({text}), '..'), lambda h: ('0x' || h)::BIGINT), "
+        "lambda a, b: xor(a >> 8, crc_table[1 + (xor(a, b) & 255)]), 4294967295::BIGINT))"
+    )
+
+
+def _merkle_sql(depth: int, top_depth: int) -> str:
+    """Trees of at most ``16 ** depth`` leaves and ``16 ** top_depth`` sources, level by level."""
+    parts = []
+
+    def tree(name: str, depth: int, first: str) -> None:
+        """Levels name_0.. (tree, idx, n, h), each node with its run as a list, its slot in it, and its parent's idx."""
+        parts.append(f"{name}_0 AS ({first})")
+        for k in range(depth):
+            parts.append(f"{name}_run_{k} AS (SELECT tree, idx // 16 AS run, list(h ORDER BY idx) AS members, any_value(n) AS n FROM {name}_{k} WHERE n > 1 GROUP BY ALL)")
+            parts.append(f"{name}_{k + 1} AS (SELECT tree, run AS idx, (n + 15) // 16 AS n, sha256(array_to_string(members, '')) AS h FROM {name}_run_{k})")
+        parts.append(f"{name}_roots AS (" + " UNION ALL ".join(f"SELECT tree, h AS root FROM {name}_{k} WHERE n = 1" for k in range(depth + 1)) + ")")
+
+    def climb(name: str, depth: int, start: str) -> str:
+        """From (key, tree, idx, proof, fold) up to the root: siblings added to proof, fold hashed with them."""
+        parts.append(f"{name}_up_0 AS ({start})")
+        for k in range(depth):
+            left, right = "coalesce(array_to_string(members[1:idx % 16], ''), '')", "coalesce(array_to_string(members[idx % 16 + 2:], ''), '')"
+            parts.append(
+                f"{name}_up_{k + 1} AS (SELECT key, u.tree, idx // 16 AS idx, CASE WHEN members IS NULL THEN proof ELSE proof || {left} || {right} END AS proof, "
+                f"CASE WHEN members IS NULL THEN fold ELSE sha256({left} || fold || {right}) END AS fold "
+                f"FROM {name}_up_{k} u LEFT JOIN {name}_run_{k} r ON r.tree = u.tree AND r.run = u.idx // 16)"
+            )
+        return f"{name}_up_{depth}"
+
+    field = lambda v: f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    parts.append(f"crc AS (SELECT {CRC_TABLE} AS crc_table)")
+    parts.append(
+        f"leaves AS (SELECT *, {leaf('text')} AS h, {leaf('changed')} AS changed_h FROM (SELECT *, row_number() OVER () AS key, coalesce('+' || source, '') AS tree, "
+        f"CASE WHEN {_crc_sql('doc_id::VARCHAR')} % 5 = 0 THEN translate(text, '{url_rules.UPPER}', '{url_rules.LOWER}') ELSE text END AS changed FROM documents, crc))"
+    )
+    parts.append("placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, key) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves)")
+    tree("low", depth, "SELECT tree, idx, n, h FROM placed")
+    tree("top", top_depth, "SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, root AS h FROM low_roots")
+    parts.append("tops AS (SELECT tree, root, row_number() OVER (ORDER BY tree) - 1 AS place FROM low_roots)")
+    done = climb("low", depth, "SELECT key, tree, idx, '' AS proof, changed_h AS fold FROM placed")
+    done = climb("top", top_depth, f"SELECT key, '' AS tree, place AS idx, proof, fold FROM {done} JOIN tops USING (tree)")
+    levels = lambda name, depth: " + ".join(f"(CASE WHEN {name} > {16 ** k} THEN 1 ELSE 0 END)" for k in range(depth))
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, p.h AS leaf, t.root AS subroot, r.root, sha256(u.proof) AS proof_sha256, u.fold AS folded_root, u.fold = r.root AS verified, p.idx,
+  ({levels('p.n', depth)} + {levels('(SELECT count(*) FROM tops)', top_depth)})::INTEGER AS depth
+FROM placed p JOIN tops t ON t.tree = p.tree JOIN {done} u USING (key), top_roots r
+"""
+
+
+@op(_merkle_sql(5, 2))
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its leaf, its source's root, the root, its proof, and the root it folds to after tampering."""
+    return merkle.check_rows(_table(spark, sf_dir, "documents"))
