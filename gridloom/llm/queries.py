@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import cotraining, exact_dedup, lattice_lm, merkle, mixing, ngram_join, packing, secrets, suffix_dedup, telephony, url_rules
+from gridloom.llm import cotraining, exact_dedup, hard_negatives, lattice_lm, merkle, mixing, ngram_join, packing, secrets, suffix_dedup, telephony, url_rules
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -260,3 +260,22 @@ FROM placed p JOIN tops t ON t.tree = p.tree JOIN {done} u USING (key), top_root
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its leaf, its source's root, the root, its proof, and the root it folds to after tampering."""
     return merkle.check_rows(_table(spark, sf_dir, "documents"))
+
+
+@op("""
+WITH whole AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+  list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM whole a JOIN whole b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positive AS (SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER w::INTEGER AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 10
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every hundredth vector, for each of its positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), label=label, anchor=F.col("vec_id") % 100 == 0)
