@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import cotraining, exact_dedup, hard_negatives, lattice_lm, merkle, mixing, ngram_join, packing, secrets, suffix_dedup, telephony, url_rules
+from gridloom.llm import cotraining, exact_dedup, hard_negatives, hash_ring, lattice_lm, merkle, mixing, ngram_join, packing, secrets, suffix_dedup, telephony, url_rules
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -279,3 +279,43 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hard negatives of every hundredth vector, for each of its positives."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), label=label, anchor=F.col("vec_id") % 100 == 0)
+
+
+def _ring_sql(shards: int) -> str:
+    """The ring's rounds one after another; loads are counts of rows, rooms without slack."""
+    digits = hash_ring.DIGITS
+    key = "coalesce(doc_id::VARCHAR, '')"
+    place = lambda name: f"('0x' || substr(md5({name}), 1, {digits}))::BIGINT"
+    parts = [
+        f"crc AS (SELECT {CRC_TABLE} AS crc_table)",
+        f"points AS (SELECT point, min(shard) AS shard FROM (SELECT s AS shard, {place('s || chr(58) || c')} AS point FROM range({shards}) a(s), range({hash_ring.POINTS}) b(c)) GROUP BY point)",
+        "arcs AS (SELECT row_number() OVER (ORDER BY point) - 1 AS arc, point, shard FROM points)",
+        # Shards in the order in which they follow an arc: by the distance of their next point.
+        "turns AS (SELECT arc, shard, row_number() OVER (PARTITION BY arc ORDER BY steps) - 1 AS turn FROM (SELECT a.arc, b.shard, "
+        "min((b.arc - a.arc + (SELECT count(*) FROM arcs)) % (SELECT count(*) FROM arcs)) AS steps FROM arcs a, arcs b GROUP BY ALL))",
+        f"slim AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce({_crc_sql('text')}, 0) AS text_crc32, "
+        f"{place(key)} AS place FROM documents, crc)",
+        "met AS (SELECT slim.*, coalesce(arcs.arc, 0) AS arc FROM slim ASOF LEFT JOIN arcs ON slim.place <= arcs.point)",
+        "keys AS (SELECT *, row_number() OVER (PARTITION BY arc ORDER BY place, doc_id, size, text_crc32) - 1 AS idx FROM met)",
+        "left_0 AS (SELECT arc, count(*) AS rest, 0::BIGINT AS low FROM keys GROUP BY arc)",
+        f"room_0 AS (SELECT s AS shard, (SELECT count(*) FROM keys) // {shards} + (CASE WHEN s < (SELECT count(*) FROM keys) % {shards} THEN 1 ELSE 0 END) AS room FROM range({shards}) a(s))",
+    ]
+    for k in range(shards):
+        parts.append(
+            f"ask_{k} AS MATERIALIZED (SELECT arc, rest, low, shard, least(rest, greatest(0, room - coalesce(sum(rest) OVER (PARTITION BY shard ORDER BY arc "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS take FROM left_{k} JOIN turns USING (arc) JOIN room_{k} USING (shard) WHERE turn = {k})"
+        )
+        parts.append(f"room_{k + 1} AS (SELECT shard, room - coalesce((SELECT sum(take) FROM ask_{k} a WHERE a.shard = r.shard), 0) AS room FROM room_{k} r)")
+        parts.append(f"left_{k + 1} AS (SELECT arc, rest - take AS rest, low + take AS low FROM ask_{k} WHERE take < rest)")
+    parts.append("cut AS (" + " UNION ALL ".join(f"SELECT arc, low, low + take AS high, shard FROM ask_{k} WHERE take > 0" for k in range(shards)) + ")")
+    return "WITH " + ",\n".join(parts) + """
+SELECT doc_id, size, text_crc32, 'rows' AS law, c.shard::INTEGER AS shard, row_number() OVER (PARTITION BY c.shard ORDER BY k.arc, idx) - 1 AS slot,
+  NULL::INTEGER AS grown_shard, a.shard::INTEGER AS home
+FROM keys k JOIN cut c ON c.arc = k.arc AND idx >= low AND idx < high JOIN arcs a ON a.arc = k.arc
+"""
+
+
+@op(_ring_sql(16))
+def op12_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard of sixteen and its slot there; counts differ by one at most."""
+    return hash_ring.described(_table(spark, sf_dir, "documents"))
