@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +64,48 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
+_open = threading.local()
+
+
+class Scratch:
+    """Tables written within a block, removed at its end but for those kept."""
+
+    def __init__(self):
+        self.written: list[tuple[str, DataFrame]] = []
+
+    def keep(self, *tables: DataFrame) -> None:
+        """The tables outlive this block; they belong to the block around it, if there is one."""
+        ours = [(p, t) for p, t in self.written if any(t is k for k in tables)]
+        self.written = [(p, t) for p, t in self.written if not any(t is k for k in tables)]
+        around = _open.blocks[:-1] if _open.blocks and _open.blocks[-1] is self else []
+        if around:
+            around[-1].written += ours
+
+    def remove(self) -> None:
+        for path, table in self.written:
+            jvm = table.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        self.written = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Remove what ``materialise`` writes within the block, unless it is kept, when the block ends or fails.
+
+    What a result still reads must be kept: a table is read when the result is, not when it is planned.
+    """
+    if not hasattr(_open, "blocks"):
+        _open.blocks = []
+    block = Scratch()
+    _open.blocks.append(block)
+    try:
+        yield block
+    finally:
+        block.remove()
+        _open.blocks.remove(block)
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut lineage by writing the rows to the shared folder and reading them back.
 
@@ -69,7 +114,10 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if getattr(_open, "blocks", None):
+        _open.blocks[-1].written.append((path, out))
+    return out
 
 
 def _bytes(name: str, kind: T.DataType):
