@@ -2,20 +2,19 @@
 
 Token totals are gathered once per (source, language, topic) cell. The cell weights are then raked: scaled in turn
 so that the sums per source, per language and per topic meet their targets, until all are met. A document is
-drawn with the ratio of its cell's raked weight to the cell's tokens, scaled such that no probability exceeds one;
-the expected tokens of the sample then have exactly the raked marginals.
+expected in the sample as often as the ratio of its cell's raked weight to the cell's tokens says: the whole part as
+repeats, the fraction as the probability of one more. The expected tokens then have exactly the raked marginals.
 """
 
 from __future__ import annotations
 
 import warnings
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import fits_broadcast, materialise
+from gridloom.session import attach, fits_broadcast, materialise
 
 MARGINS = ("source", "lang", "topic")
 # The term that marks each topic, in order of precedence.
@@ -94,25 +93,33 @@ def _here(now: DataFrame, margins: list[str]):
 
 
 def _written(now: DataFrame, margins: list[str]):
-    """The same for a table of any size: each cycle is written, so lineage stays short, and one aggregate gives the gap."""
+    """The same for a table of any size. A weight is the tokens times one factor per margin; a step sums the cells by one
+    margin, map-side first, and writes that margin's new factors, a row per value. The cells stay as they are."""
+    factors: dict[str, DataFrame] = {}
+
+    def weighted(without: str | None = None) -> DataFrame:
+        out, weight = now.drop("weight"), F.col("tokens").cast("double")
+        for m, table in factors.items():
+            if m != without:
+                out = attach(out, table, m)
+                weight = weight * F.col(f"factor_{m}")
+        return out.withColumn("weight", weight).drop(*[f"factor_{m}" for m in factors])
+
     def cycle() -> float:
-        nonlocal now
+        worst = 0.0
         for m in margins:
-            sums = F.sum("weight").over(Window.partitionBy(m))
-            now = now.withColumn("weight", F.when(sums > 0, F.col("weight") * F.coalesce(F.col(f"target_{m}"), F.lit(0.0)) / sums).otherwise(0.0))
-        now = materialise(now, "rake")
-        parts = [
-            now.groupBy(m).agg(F.sum("weight").alias("have"), F.max(f"target_{m}").alias("want"), F.sum("tokens").alias("tokens"))
-            .where("want > 0 and tokens > 0").select(F.lit(m).alias("margin"), "have", "want")
-            for m in margins
-        ]
-        sums = reduce(DataFrame.unionByName, parts)
-        totals = sums.groupBy("margin").agg(F.sum("have").alias("all_have"), F.sum("want").alias("all_want"))
-        share = F.when(F.col("all_have") > 0, F.col("have") / F.col("all_have")).otherwise(0.0)
-        off = F.abs(share / (F.col("want") / F.col("all_want")) - 1)
-        return sums.join(F.broadcast(totals), "margin").agg(F.max(off)).first()[0] or 0.0
-
-    return cycle, lambda: now
+            old = factors[m].select(m, F.col(f"factor_{m}").alias("old")) if m in factors else now.select(m, F.lit(1.0).alias("old")).distinct()
+            sums = weighted(without=m).groupBy(m).agg(F.sum("weight").alias("sum"), F.coalesce(F.max(f"target_{m}"), F.lit(0.0)).alias("goal"))
+            sums = materialise(sums.join(old, m), "rake-sums")
+            want = F.when(F.col("sum") > 0, F.col("goal")).otherwise(0.0)
+            totals = sums.agg(F.sum(F.col("sum") * F.col("old")).alias("have"), F.sum(want).alias("want")).first()
+            if totals["have"] and totals["want"]:
+                off = F.abs(F.col("sum") * F.col("old") / F.lit(totals["have"]) / (want / F.lit(totals["want"])) - 1)
+                worst = max(worst, sums.where(want > 0).agg(F.max(off)).first()[0] or 0.0)
+            factors[m] = materialise(sums.select(m, F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias(f"factor_{m}")), "rake-factors")
+        return worst
+
+    return cycle, lambda: materialise(weighted().select(*now.columns), "rake")
 
 
 def rake(
@@ -151,14 +158,16 @@ def gaps(raked: DataFrame, margin: str) -> DataFrame:
     return raked.groupBy(margin).agg(F.max(f"target_{margin}").alias("target"), (F.sum("weight") / F.lit(total)).alias("reached"))
 
 
-def cell_probabilities(raked: DataFrame, budget: float) -> DataFrame:
-    """Drawing probability of each cell: weight over tokens, scaled to at most one and to ``budget`` of all tokens at most."""
+def cell_copies(raked: DataFrame, rate: float, repeats: bool = True) -> DataFrame:
+    """``expected``: how many copies of a document of each cell the sample should hold, weight over tokens, such that the
+    sample has ``rate`` of all tokens. Without ``repeats`` no cell may exceed one copy: all are scaled down until the
+    densest cell has one, which keeps the margins and may leave fewer tokens than ``rate``."""
     ratio = F.when((F.col("tokens") > 0) & (F.col("weight") > 0), F.col("weight") / F.col("tokens")).otherwise(0.0)
     rates = raked.withColumn("ratio", ratio)
     top, mass, tokens = rates.agg(F.max("ratio"), F.sum("weight"), F.sum("tokens")).first()
-    rate = min(1.0 / top, budget * tokens / mass) if top else 0.0
-    chance = F.when(F.col("ratio") > 0, F.least(F.lit(1.0), F.col("ratio") * F.lit(rate))).otherwise(0.0)
-    return materialise(rates.select(*MARGINS, F.col("tokens").alias("cell_tokens"), "weight", chance.alias("probability")), "mixture")
+    scale = (rate * tokens / mass if repeats else min(1.0 / top, rate * tokens / mass)) if top else 0.0
+    expected = F.col("ratio") * F.lit(scale)
+    return materialise(rates.select(*MARGINS, "weight", (expected if repeats else F.least(F.lit(1.0), expected)).alias("expected")), "mixture")
 
 
 def draw(id_col: str, seed: int) -> Column:
@@ -169,31 +178,40 @@ def draw(id_col: str, seed: int) -> Column:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", powers: dict[str, float] | None = None,
-    targets: dict[str, DataFrame] | None = None, budget: float = 1.0, cycles: int = CYCLES, seed: int = 0,
+    targets: dict[str, DataFrame] | None = None, rate: float = 1.0, repeats: bool = True, cycles: int = CYCLES, seed: int = 0,
 ) -> DataFrame:
-    """``docs`` with ``topic, tokens, weight, probability, sampled`` appended (columns of these names are replaced).
+    """``docs`` with ``topic, tokens, weight, expected, copies`` appended (columns of these names are replaced).
 
-    Targets default to tempered shares (``powers``, 0.7 for each margin). Documents without tokens have probability
-    zero. Null sources and languages form groups of their own; rows that repeat an identifier are drawn together; an
-    empty table gives an empty result.
+    Targets default to tempered shares (``powers``, 0.7 for each margin). ``expected`` is the calibrated number of copies:
+    the sample holds ``rate`` of all tokens, with the raked shares. Its whole part is taken for certain and its fraction is
+    the probability of one more, so ``copies`` is 0 for documents left out, and 2 or more for repeats. Without
+    ``repeats`` it is a plain probability, and the densest cell bounds how much of the corpus a sample can hold.
+
+    Documents without tokens have no copies. Null sources and languages form groups of their own; rows that repeat an
+    identifier are drawn together; an empty table gives an empty result.
     """
     powers = powers or {m: 0.7 for m in MARGINS}
-    added = ("topic", "tokens", "weight", "probability", "sampled")
+    added = ("topic", "tokens", "weight", "expected", "copies")
     own = [c for c in docs.columns if c not in added]
     full = described(docs, text_col)
     slim = full.groupBy(F.col("_mix_source").alias("source"), F.col("_mix_lang").alias("lang"), F.col("_mix_topic").alias("topic"))
     cells = materialise(slim.agg(F.sum("_mix_tokens").alias("tokens")), "cells")
-    chances = cell_probabilities(rake(cells, targets or {m: tempered(cells, m, powers[m]) for m in MARGINS}, cycles), budget)
-    chances = chances.select(
-        F.col("source").alias("_mix_source"), F.col("lang").alias("_mix_lang"), F.col("topic").alias("_mix_topic"),
-        F.col("weight").alias("_mix_weight"), F.col("probability").alias("_mix_p"),
-    )
-    if fits_broadcast(chances):
-        chances = F.broadcast(chances)
-    out = full.join(chances, ["_mix_source", "_mix_lang", "_mix_topic"], "left")
-    chance = F.when(F.col("_mix_tokens") > 0, F.coalesce(F.col("_mix_p"), F.lit(0.0))).otherwise(0.0)
+    raked = rake(cells, targets or {m: tempered(cells, m, powers[m]) for m in MARGINS}, cycles)
+    chances = cell_copies(raked, rate, repeats).select(
+        *[F.col(m).alias(f"_mix_{m}") for m in MARGINS], F.col("weight").alias("_mix_weight"), F.col("expected").alias("_mix_expected"))
+    out = attach(full, chances, ["_mix_source", "_mix_lang", "_mix_topic"], "left")
+    expected = F.when(F.col("_mix_tokens") > 0, F.coalesce(F.col("_mix_expected"), F.lit(0.0))).otherwise(0.0)
+    whole = F.floor(expected)
     return out.select(
         *[F.col(f"`{c}`") for c in own], F.col("_mix_topic").alias("topic"), F.col("_mix_tokens").alias("tokens"),
-        F.coalesce(F.col("_mix_weight"), F.lit(0.0)).alias("weight"), chance.alias("probability"),
-        (draw(id_col, seed) < chance).alias("sampled"),
+        F.coalesce(F.col("_mix_weight"), F.lit(0.0)).alias("weight"), expected.alias("expected"),
+        (whole + (draw(id_col, seed) < expected - whole).cast("bigint")).alias("copies"),
     )
+
+
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mixture itself: the rows of ``docs``, columns unchanged, each as often as it was drawn."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_row")
+    slim = docs.select(whole, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), "source", "lang")
+    mixed = mix(slim, "id", "text", **options).where("copies > 0")
+    return mixed.select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_mix_row.*")

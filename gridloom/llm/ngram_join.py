@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import textbytes as tb
 from gridloom.llm.graph import components
-from gridloom.session import attach, fits_broadcast, materialise
+from gridloom.session import attach, fits_broadcast, materialise, scratch
 
 GROUPS = 256  # coordinates of a point
 COARSE = 64  # coordinates of the boxes: sums of neighbouring ones
@@ -268,7 +268,7 @@ def buckets(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
 def set_table(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text_col: str, whole: bool) -> DataFrame:
     """Written table of the wanted nodes (``node, rep``: a document that has the set): ``node, n, point``, or the whole
     sets as ``node, shingles``. Only the texts of the named documents are read into shingles."""
-    names, shape = (["node", "shingles"], "node long, shingles binary") if whole else (["node", "n", "point"], "node long, n long, point binary")
+    names, shape = (["node", "shingles"], "node long, shingles array<long>") if whole else (["node", "n", "point"], "node long, n long, point binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +276,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text_
                 sets = [s for s in shingles(*tb.column(batch.column(0).slice(i, 256)), rule.words) if len(s)]
                 nodes = pa.array([node_of(s)[0] for s in sets], pa.int64())
                 if whole:
-                    columns = [nodes, pa.array([s.tobytes() for s in sets], pa.binary())]
+                    columns = [nodes, _lists(sets)]
                 else:
                     columns = [nodes, pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary())]
                 yield pa.record_batch(columns, names=names)
@@ -289,6 +289,11 @@ def set_table(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text_
     return materialise(made.dropDuplicates(["node"]), "sets" if whole else "points")
 
 
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
 def _points(values, rows: slice) -> np.ndarray:
     return np.frombuffer(b"".join(values.slice(rows.start, rows.stop - rows.start).to_pylist()), np.uint16).reshape(-1, GROUPS)
 
@@ -305,21 +310,15 @@ def verified(pairs: DataFrame, points: DataFrame, sets_of, rule: Rule) -> DataFr
                 keep = (overlap_bound(x, y) >= rule.least_overlap(na, nb)) | (np.minimum(na, nb) >= HUGE)
                 yield pa.record_batch([part.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
-                keep[k] = len(np.intersect1d(x, y, assume_unique=True)) >= rule.least_overlap(len(x), len(y))
-            yield pa.record_batch([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
-
     point_of = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"point_{c}"))
     rows = pairs.join(point_of("a"), "a").join(point_of("b"), "b").select("a", "b", "n_a", "n_b", "point_a", "point_b")
     left = materialise(rows.mapInArrow(bounded, "a long, b long"), "bounded-pairs")
     sets = sets_of(left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct())
     set_of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
-    full = left.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "set_a", "set_b")
-    return materialise(full.mapInArrow(compared, "a long, b long"), "links")
+    full = left.join(set_of("a"), "a").join(set_of("b"), "b")
+    shared, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+    # Row by row on columns: two sets at a time are in memory, however large they are.
+    return materialise(full.where(shared * (100 + rule.percent) >= sizes * rule.percent).select("a", "b"), "links")
 
 
 def tree_pairs(members: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
@@ -411,7 +410,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     are documents of their own; a null identifier is no candidate for the least one unless there is no other; an empty
     table gives an empty result.
     """
-    rule = Rule(words, percent)
+    with scratch() as block:
+        slim, least = _classes(docs, Rule(words, percent), id_col, text_col)
+        block.keep(slim, least)
+    return slim.join(least, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
+
+
+def _classes(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the documents with their nodes, and ``node, component_id``."""
     slim = described(docs, rule, id_col, text_col)
     reps = materialise(slim.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.min("check").alias("low"), F.max("check").alias("high")), "nodes")
@@ -420,33 +428,43 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     filed = buckets(docs, rule, text_col)
     # A pair that shares fewer buckets than a link needs meets again, if it can link, in a bucket of three or more.
     near = filed.where("first <> node").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.min("least").alias("least"))
-    near = materialise(near.where("shared >= least").select("a", "b"), "near")
+    near = materialise(near.where("shared >= least").select("a", "b", "shared"), "near")
     # Points are needed of those pairs, and of all members of buckets of three or more.
     crowded = filed.groupBy("bucket").agg(F.count("*").alias("count")).where("count > 2").select("bucket")
     named = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(filed.join(crowded, "bucket").select("node")).distinct()
     points = set_table(docs, named.join(reps, "node").select("node", "rep"), rule, id_col, text_col, whole=False)
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        return set_table(docs, nodes.join(reps, "node").select("node", "rep"), rule, id_col, text_col, whole=True)
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; what it takes to find out is removed."""
+        def sets_of(nodes: DataFrame) -> DataFrame:
+            return set_table(docs, nodes.join(reps, "node").select("node", "rep"), rule, id_col, text_col, whole=True)
+
+        with scratch() as block:
+            out = verified(pairs, points, sets_of, rule)
+            block.keep(out)
+        return out
 
-    links = verified(near, points, sets_of, rule)
+    # Each node's likeliest partner first, which joins most of a group of copies; then the pairs that are still apart.
+    best = near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    links = linked(best)
+    roots = components(links)
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = near.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    links = links.unionByName(linked(apart.select("a", "b").join(best, ["a", "b"], "left_anti")))
     roots = components(links)
 
-    # Nearest points first: they merge what is close, so that few pairs are left for the last round, which takes all.
+    # Nearest points next: they merge what is close, so that few pairs are left for the last round, which takes all.
     for k in range(ROUNDS + 1):
         members = open_members(filed, roots, points)
         if members is None:
             break
         pairs = materialise(tree_pairs(members, rule, nearest=k < ROUNDS), "tree-pairs")
-        links = links.unionByName(verified(pairs, points, sets_of, rule))
+        links = links.unionByName(linked(pairs))
         roots = components(links)
 
     least = reps.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = materialise(least, "rooted")
-    least = least.join(least.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
-    return slim.join(least, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    return slim, materialise(least.join(least.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id"), "classes")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

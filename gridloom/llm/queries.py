@@ -49,16 +49,8 @@ def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.classify(docs, model).select("doc_id", "text_score", "metadata_score", "score", "kept")
 
 
-def _rake_sql(cycles: int, power: float) -> str:
-    steps, last = [], "seeded"
-    for k in range(cycles):
-        for m in mixing.MARGINS:
-            name = f"step_{k}_{m}"
-            steps.append(
-                f"{name} AS (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {m}) > 0 "
-                f"THEN weight * target_{m} / sum(weight) OVER (PARTITION BY {m}) ELSE 0 END AS weight) FROM {last})"
-            )
-            last = name
+def _rake_sql(power: float, rate: float) -> str:
+    """Raking as a recursion over cycles, until no margin is off by more than the tolerance."""
     targets = ", ".join(
         f"target_{m} AS (SELECT {m}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER () AS target_{m} FROM cells GROUP BY {m})"
         for m in mixing.MARGINS
@@ -67,31 +59,44 @@ def _rake_sql(cycles: int, power: float) -> str:
     best = "greatest(" + ", ".join(counts.values()) + ")"
     topic = f"CASE WHEN {best} = 0 THEN 'other' " + " ".join(f"WHEN {c} = {best} THEN '{n}'" for n, c in counts.items()) + " END"
     joins = " ".join(f"JOIN target_{m} USING ({m})" for m in mixing.MARGINS)
+    scaled = "raked"
+    for m in mixing.MARGINS:
+        scaled = (
+            f"(SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {m}) > 0 THEN weight * target_{m} / sum(weight) OVER (PARTITION BY {m}) "
+            f"ELSE 0 END AS weight) FROM {scaled} WHERE gap > {mixing.TOLERANCE})"
+        )
+    off = ", ".join(f"CASE WHEN target_{m} > 0 THEN abs(sum(weight) OVER (PARTITION BY {m}) / (sum(weight) OVER ()) / target_{m} - 1) ELSE 0 END" for m in mixing.MARGINS)
     return f"""
-WITH bodies AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS body FROM documents),
+WITH RECURSIVE bodies AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS body FROM documents),
 slim AS (SELECT doc_id, source, lang, {topic} AS topic, len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM bodies),
-cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM slim GROUP BY ALL),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM slim GROUP BY ALL),
 {targets},
-seeded AS (SELECT *, tokens AS weight FROM cells {joins}),
-{", ".join(steps)},
-rates AS (SELECT source, lang, topic, weight, CASE WHEN tokens > 0 AND weight > 0 THEN weight / tokens ELSE 0 END AS ratio,
-          sum(tokens) OVER () / sum(weight) OVER () AS per_weight FROM {last}),
-chances AS (SELECT source, lang, topic, weight, least(1.0, ratio * least(1.0 / max(ratio) OVER (), per_weight)) AS chance FROM rates),
-drawn AS (SELECT doc_id, source, lang, topic, tokens, weight, CASE WHEN tokens > 0 THEN chance ELSE 0 END AS chance,
+seeded AS MATERIALIZED (SELECT *, tokens AS weight, 1e9::DOUBLE AS gap, 0 AS k FROM cells {joins}),
+raked AS (SELECT * FROM seeded UNION ALL
+  SELECT * EXCLUDE (apart) REPLACE (max(apart) OVER () AS gap, k + 1 AS k) FROM (SELECT *, greatest({off}) AS apart FROM {scaled}) WHERE k < {mixing.CYCLES}),
+done AS (SELECT * FROM raked WHERE k = (SELECT max(k) FROM raked)),
+rates AS (SELECT source, lang, topic, weight, CASE WHEN tokens > 0 AND weight > 0 THEN weight / tokens ELSE 0 END
+  * ({rate} * sum(tokens) OVER () / sum(weight) OVER ()) AS expected FROM done),
+drawn AS (SELECT doc_id, source, lang, topic, tokens, weight, CASE WHEN tokens > 0 THEN expected ELSE 0 END AS expected,
           ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / pow(16, 12) AS lot
-          FROM slim JOIN chances USING (source, lang, topic))
-SELECT doc_id, source, lang, topic, tokens, round(weight, 9) AS weight, round(chance, 9) AS probability, lot < chance AS sampled FROM drawn
+          FROM slim JOIN rates USING (source, lang, topic))
+SELECT doc_id, source, lang, topic, tokens, round(weight, 9) AS weight, round(expected, 9) AS expected,
+  floor(expected)::BIGINT + (CASE WHEN lot < expected - floor(expected) THEN 1 ELSE 0 END) AS copies FROM drawn
 """
 
 
-@op(_rake_sql(8, 0.7))
+# Of the query: powers of the target shares, and tokens of the sample as a share of those of the corpus.
+MIX_POWER, MIX_RATE = 0.7, 0.5
+
+
+@op(_rake_sql(MIX_POWER, MIX_RATE))
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its cell's raked weight, its drawing probability and whether it was drawn."""
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    """Every document with its cell's raked weight, the copies expected of it and the copies drawn."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), powers={m: MIX_POWER for m in mixing.MARGINS}, rate=MIX_RATE)
     group = lambda c: F.coalesce(F.col(c), F.lit("(none)")).alias(c)
     return mixed.select(
         "doc_id", group("source"), group("lang"), "topic", "tokens", F.round("weight", 9).alias("weight"),
-        F.round("probability", 9).alias("probability"), "sampled",
+        F.round("expected", 9).alias("expected"), "copies",
     )
 
 
@@ -113,16 +118,18 @@ placed AS (SELECT *, sum(gap + size) OVER (PARTITION BY row_id, kind ORDER BY i)
 spans AS (SELECT row_id, doc_id, source, lang, kind, value, stop - size AS start, stop FROM placed WHERE length(value) >= least),
 free AS (SELECT * FROM spans WHERE kind < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT EXISTS (
   SELECT 1 FROM spans b WHERE b.row_id = spans.row_id AND b.kind < 3 AND b.start < spans.stop AND b.stop > spans.start))),
-owned AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM free GROUP BY value),
-judged AS (SELECT free.*, owners, ['assign', 'access', 'hex', 'owner'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS line
-  FROM free JOIN owned USING (value) WHERE kind < 3 OR owners = 1),
+owned AS (SELECT value, count(DISTINCT coalesce(free.source, '')) AS owners, count(DISTINCT body) AS texts FROM free JOIN bodies USING (row_id) GROUP BY value),
+judged AS (SELECT free.*, owners, texts, CASE WHEN owners >= 3 OR texts >= {secrets.COPIED_TEXTS} THEN 'copied_example' WHEN owners = 1 THEN 'owner_specific'
+  ELSE 'shared' END AS verdict, ['assign', 'access', 'hex', 'owner'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS line
+  FROM free JOIN owned USING (value)),
 per AS (SELECT row_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   string_agg(line, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(line, ',' ORDER BY start, kind) AS spans,
-  count(*) FILTER (kind = 3) AS n_owner, count(*) FILTER (owners = 1) AS n_owner_specific, count(*) FILTER (owners >= 3) AS n_copied_example
+  count(*) FILTER (kind = 3) AS n_owner, count(*) FILTER (verdict = 'owner_specific') AS n_owner_specific, count(*) FILTER (verdict = 'copied_example') AS n_copied_example,
+  string_agg(line || ':' || owners || ':' || texts || ':' || verdict, ',' ORDER BY start, kind) AS verdicts
   FROM judged GROUP BY row_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
   coalesce(spans, '') AS spans, coalesce(n_owner, 0) AS n_owner, coalesce(n_owner_specific, 0) AS n_owner_specific,
-  coalesce(n_copied_example, 0) AS n_copied_example
+  coalesce(n_copied_example, 0) AS n_copied_example, coalesce(verdicts, '') AS verdicts
 FROM bodies LEFT JOIN per USING (row_id)
 """
 

@@ -138,11 +138,12 @@ def scan(
 
 
 def digest(documents: DataFrame, spans: DataFrame) -> DataFrame:
-    """One row per document: counts, all spans as text and the hash of the base spans."""
-    def joined(only_base: bool) -> Column:
+    """One row per document: counts, all spans as text, the hash of the base spans, and ``verdicts``, all spans with
+    their value's owners, texts and verdict."""
+    def joined(only_base: bool, *more: str) -> Column:
         rows = F.sort_array(F.collect_list(F.when(
             F.col("kind_order") < 3 if only_base else F.lit(True),
-            F.struct("start", "kind_order", F.concat_ws(":", "kind", "start", "end").alias("line")),
+            F.struct("start", "kind_order", F.concat_ws(":", "kind", "start", "end", *more).alias("line")),
         )))
         return F.array_join(F.transform(rows, lambda x: x["line"]), ",")
 
@@ -150,7 +151,7 @@ def digest(documents: DataFrame, spans: DataFrame) -> DataFrame:
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS],
         F.count(F.when(F.col("verdict") == "owner_specific", 1)).alias("n_owner_specific"),
         F.count(F.when(F.col("verdict") == "copied_example", 1)).alias("n_copied_example"),
-        joined(True).alias("base"), joined(False).alias("spans"),
+        joined(True).alias("base"), joined(False).alias("spans"), joined(False, "owners", "texts", "verdict").alias("verdicts"),
     )
     zero = F.lit(0).cast("bigint")
     return documents.join(per, "row_id", "left").select(
@@ -159,4 +160,5 @@ def digest(documents: DataFrame, spans: DataFrame) -> DataFrame:
         F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
         *[F.coalesce(F.col(c), zero).alias(c) for c in ("n_owner", "n_owner_specific", "n_copied_example")],
+        F.coalesce("verdicts", F.lit("")).alias("verdicts"),
     )

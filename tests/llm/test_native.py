@@ -82,7 +82,7 @@ RULES = [
 
 
 def expected(rows):
-    spans, owners = [], {}
+    spans, owners, texts = [], {}, {}
     for k, (_, text, source, _) in enumerate(rows):
         found = [(m.start(), n, m.end(), kind, m[g]) for n, (kind, p, g, least) in enumerate(RULES) for m in p.finditer(text or "") if len(m[g]) >= least]
         base = [f for f in found if f[1] < 3]
@@ -90,14 +90,21 @@ def expected(rows):
         spans.append(sorted(found))
         for f in found:
             owners.setdefault(f[4], set()).add(source or "")
+            texts.setdefault(f[4], set()).add(text)
+
+    def verdict(value):
+        if len(owners[value]) >= 3 or len(texts[value]) >= secrets.COPIED_TEXTS:
+            return "copied_example"
+        return "owner_specific" if len(owners[value]) == 1 else "shared"
+
     out = []
     for (i, *_), found in zip(rows, spans):
-        found = [f for f in found if f[1] < 3 or len(owners[f[4]]) == 1]
         line = lambda fs: ",".join(f"{f[3]}:{f[0]}:{f[2]}" for f in fs)
         base = [f for f in found if f[1] < 3]
         c = Counter(f[3] for f in found)
         out.append((i, c["assign"], c["access"], c["hex"], hashlib.sha256(line(base).encode()).hexdigest(), line(found), c["owner"],
-                    sum(len(owners[f[4]]) == 1 for f in found), sum(len(owners[f[4]]) >= 3 for f in found)))
+                    sum(verdict(f[4]) == "owner_specific" for f in found), sum(verdict(f[4]) == "copied_example" for f in found),
+                    ",".join(f"{f[3]}:{f[0]}:{f[2]}:{len(owners[f[4]])}:{len(texts[f[4]])}:{verdict(f[4])}" for f in found)))
     return out
 
 
@@ -113,7 +120,8 @@ def test_verdicts(spark):
     frame = spark.createDataFrame(CASES, "doc_id long, text string, source string, lang string")
     by = {(r.id, r.kind): r for r in secrets.scan(frame)[1].collect()}
     assert (by[6, "assign"].verdict, by[6, "assign"].owners, by[6, "assign"].repositories) == ("copied_example", 3, 3)
-    assert by[9, "owner"].verdict == "owner_specific" and (10, "owner") not in by
+    assert by[9, "owner"].verdict == "owner_specific"
+    assert (by[10, "owner"].verdict, by[10, "owner"].owners) == ("shared", 2)
 
 
 def test_shared_and_copied_opaque_tokens_are_listed(spark):
@@ -141,13 +149,16 @@ def test_marginals_of_the_expected_sample(spark):
     mixed = mixing.mix(docs, powers=powers)
     assert plain(mixed)
     got = mixed.toPandas()
-    got["expected"] = got.tokens * got.probability
-    assert got.probability.max() == pytest.approx(1.0)
+    got["mass"] = got.tokens * got.expected
+    assert got.mass.sum() == pytest.approx(got.tokens.sum()) and got.expected.max() > 1
+    assert ((got.copies == np.floor(got.expected)) | (got.copies == np.floor(got.expected) + 1)).all()
     for m, power in powers.items():
-        have = got.groupby(m).expected.sum() / got.expected.sum()
+        have = got.groupby(m).mass.sum() / got.mass.sum()
         want = got.groupby(m).tokens.sum() ** power
         assert np.allclose(have, want / want.sum(), rtol=1e-4), m
-    assert got.sampled.mean() == pytest.approx(got.probability.mean(), abs=0.03)
+    assert got.copies.mean() == pytest.approx(got.expected.mean(), abs=0.03)
+    drawn = mixing.sample(docs, powers=powers).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    assert drawn.to_dict() == got[got.copies > 0].set_index("doc_id").copies.to_dict()
     cells = got.groupby(["source", "lang", "topic"], as_index=False).tokens.sum()
     cells = spark.createDataFrame(cells)
     raked = mixing.rake(cells, {m: mixing.tempered(cells, m, powers[m]) for m in powers})
@@ -174,21 +185,22 @@ def test_given_targets_budget_and_missing_values(spark):
     rows = [(k, "w " * 10, s, l) for k, (s, l) in enumerate([("a", "x"), ("a", "y"), ("b", "x"), (None, "y")] * 50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     targets = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.5), ("absent", 0.2)], "source string, target_source double")}
-    got = mixing.mix(docs, targets=targets, budget=0.25).toPandas()
-    assert got[got.source.isna()].probability.max() == 0 and not got[got.source.isna()].sampled.any()
-    expected = got.tokens * got.probability
+    got = mixing.mix(docs, targets=targets, rate=0.25).toPandas()
+    assert got[got.source.isna()].expected.max() == 0 and not got[got.source.isna()].copies.any()
+    expected = got.tokens * got.expected
     assert expected.sum() == pytest.approx(0.25 * got.tokens.sum())
     assert expected[got.source == "a"].sum() == pytest.approx(expected[got.source == "b"].sum())
 
 
 def test_mixing_odd_and_empty_tables(odd, no_docs):
     got = mixing.mix(odd)
-    assert got.columns == [c for c in odd.columns if c not in ("tokens", "weight")] + ["topic", "tokens", "weight", "probability", "sampled"]
+    assert got.columns == [c for c in odd.columns if c not in ("tokens", "weight")] + ["topic", "tokens", "weight", "expected", "copies"]
     rows = got.collect()
-    assert len(rows) == odd.count() and all(0 <= r.probability <= 1 and (r.tokens > 0 or not r.sampled) for r in rows)
-    assert {r.sampled for r in rows if r.doc_id == 5 and r.source == rows[0].source} in ({True}, {False}, set())
+    assert len(rows) == odd.count() and all(r.expected >= 0 and (r.tokens > 0 or not r.copies) for r in rows)
     assert mixing.mix(no_docs).count() == 0
-    assert [mixing.mix(odd, seed=s).where("sampled").count() for s in (1, 1)] == [mixing.mix(odd, seed=1).where("sampled").count()] * 2
+    plain_draw = mixing.mix(odd, repeats=False, seed=1).collect()
+    assert max(r.expected for r in plain_draw) <= 1 and {r.copies for r in plain_draw} <= {0, 1}
+    assert mixing.sample(odd).columns == odd.columns and mixing.sample(no_docs).count() == 0
 
 
 def test_topics(spark):
