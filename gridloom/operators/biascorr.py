@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import col, count_le, digamma, interpolate, interpolate_each, trigamma
 from gridloom.functions.gamma import gamma_cdf
-from gridloom.operators.ecdf import exact_quantiles, quantile_table
-from gridloom.operators.ordering import positions
+from gridloom.operators.ecdf import LARGEST, exact_quantiles, quantile_table, ranked_values
 from gridloom.session import attach, materialise
 
 CELL = ["iy", "ix"]
@@ -27,7 +26,7 @@ MIN_VALUES = 10
 def median_fill(df: DataFrame, value: str, keys=CELL, name: str = "filled", minimum: int = MIN_VALUES) -> DataFrame:
     """Add ``filled``: the value, or the median of its group; groups below ``minimum`` values get NULL."""
     keys = list(keys)
-    med = exact_quantiles(df, keys, value, [0.5], cuts=15).select(*keys, F.col("quantiles")[0].alias("_med"))
+    med = exact_quantiles(df, keys, value, [0.5]).select(*keys, F.col("quantiles")[0].alias("_med"))
     size = df.groupBy(*keys).agg(F.count(value).alias("_n"))
     small = size.join(med, keys, "left")
     out = attach(df, small, keys, "left", derived=True)
@@ -155,72 +154,139 @@ def rotation_angles(n: int, seed: int) -> list[float]:
     return [rng.uniform(0.0, math.pi) for _ in range(n)]
 
 
-def _delta_map(rows: DataFrame, keys, axes, steps: int) -> DataFrame:
-    """One step of quantile delta mapping of each axis, per cell.
+def _delta_tables(rows: DataFrame, keys, steps: int) -> DataFrame:
+    """Transfer tables of quantile delta mapping of both axes: (keys, period, xs_u, zs_u, xs_v, zs_v).
 
-    ``rows``: (keys, period, time, kind in obs/sim, axes...). Simulated training values move to the observed
-    quantile of their rank; those of other periods keep their distance to the training quantile.
+    ``rows``: (keys, period, time, kind in obs/sim, u, v). Simulated training values move to the observed quantile of
+    their rank; those of other periods keep their distance to the training quantile.
     """
     keys = list(keys)
     group = F.when(F.col("kind") == "obs", "obs").otherwise(F.concat(F.lit("sim_"), F.col("period")))
-    long = rows.where((F.col("kind") == "sim") | (F.col("period") == TRAIN)).select(*keys, group.alias("series"), *axes).unpivot(
-        [*keys, "series"], list(axes), "axis", "value")
-    nodes = quantile_table(long, [*keys, "axis", "series"], "value", steps)
-    pick = lambda s: F.max(F.when(F.col("series") == s, F.col("nodes")))
+    long = rows.select(*keys, group.alias("series"), "u", "v").unpivot([*keys, "series"], ["u", "v"], "axis", "value")
+    nodes = materialise(quantile_table(long, [*keys, "axis", "series"], "value", steps), "nodes")
+    pick = lambda s: F.max(F.when(F.col("series") == s, F.col("nodes")))
     base = nodes.where(F.col("series").isin("obs", f"sim_{TRAIN}")).groupBy(*keys, "axis").agg(pick("obs").alias("_o"), pick(f"sim_{TRAIN}").alias("_h"))
     own = nodes.where(F.col("series") != "obs").select(*keys, "axis", F.replace(F.col("series"), F.lit("sim_"), F.lit("")).alias("period"), F.col("nodes").alias("_x"))
     # Corrected node = own node + (observed node - historical node) at the same probability.
-    table = own.join(base, [*keys, "axis"]).select(
-        *keys, "period", "axis", F.struct(F.col("_x").alias("xs"), F.transform(
-            F.arrays_zip("_x", "_o", "_h"), lambda e: e["_x"] + (e["_o"] - e["_h"])).alias("zs")).alias("t"))
-    wide = table.groupBy(*keys, "period").agg(*[F.max(F.when(F.col("axis") == a, F.col("t"))).alias(f"_t_{a}") for a in axes])
-    mapped = attach(rows, wide, [*keys, "period"], "left", derived=True)
-    sim = F.col("kind") == "sim"
-    located = mapped.withColumns({f"_k_{a}": count_le(F.col(f"_t_{a}.xs"), F.col(a), (steps + 1).bit_length()) for a in axes})
-    return located.withColumns({
-        a: F.when(sim, interpolate(a, F.col(f"_t_{a}.xs"), F.col(f"_t_{a}.zs"), f"_k_{a}")).otherwise(F.col(a)) for a in axes
-    }).drop(*[f"_t_{a}" for a in axes], *[f"_k_{a}" for a in axes])
-
-
-def mbcn(bundle: DataFrame, keys=CELL, n_rotations: int = 6, seed: int = 0, steps: int = 50) -> DataFrame:
-    """Two-variable correction by random rotations and quantile delta mapping, then rank reordering.
-
-    ``bundle``: (period, time, keys, obs_u, obs_v, sim_u, sim_v). Adds corrected_u and corrected_v: the values
-    of the one-variable mapping, put in the order of the rotated result, so that each variable keeps its own
-    corrected distribution while the pair takes over the observed dependence. Rows lacking a simulated
-    component stay NULL. Each rotation is written to the shared folder, so lineage does not grow with it.
+    zs = F.transform(F.arrays_zip("_x", "_o", "_h"), lambda e: e["_x"] + (e["_o"] - e["_h"]))
+    table = own.join(base, [*keys, "axis"]).select(*keys, "period", "axis", F.col("_x").alias("xs"), zs.alias("zs"))
+    return table.groupBy(*keys, "period").agg(
+        *[F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{c}_{a}") for a in "uv" for c in ("xs", "zs")])
+
+
+def _map_axes(rows: DataFrame, tables: DataFrame, keys, steps: int, fitted: str = "period", where=None) -> DataFrame:
+    """``u`` and ``v`` of the rows (of those that meet ``where``) mapped by the table of their keys and ``fitted`` period."""
+    known = tables.withColumnRenamed("period", fitted)
+    joined = attach(rows, known, [*keys, fitted], "left")
+    joined = joined.withColumns({f"_k_{a}": count_le(f"xs_{a}", F.col(a), (steps + 1).bit_length()) for a in "uv"})
+    new = {a: interpolate(a, F.col(f"xs_{a}"), F.col(f"zs_{a}"), f"_k_{a}") for a in "uv"}
+    if where is not None:
+        new = {a: F.when(where, e).otherwise(F.col(a)) for a, e in new.items()}
+    return joined.withColumns(new).select(*rows.columns)
+
+
+def _turned(rows: DataFrame, angle: float) -> DataFrame:
+    c, s = math.cos(angle), math.sin(angle)
+    return rows.withColumns({"u": F.col("u") * c + F.col("v") * s, "v": F.col("v") * c - F.col("u") * s})
+
+
+def fit_mbcn(bundle: DataFrame, keys=CELL, angles=None, n_rotations: int = 6, seed: int = 0, steps: int = 50, minimum: int = MIN_VALUES) -> DataFrame:
+    """The chain of a two-variable correction, written, to be kept and applied to any data: (step, angle, keys, period,
+    xs_u, zs_u, xs_v, zs_v). Steps from 0 on are rotations with their transfer tables; step -1 maps without rotation.
+
+    ``bundle``: (period, time, keys, obs_u, obs_v, sim_u, sim_v), of which the training and the historical test period
+    are read. Training uses rows with all four values; gaps of the test period take the median of their variable.
+    Cells with fewer than ``minimum`` training rows, or rows with both variables in the test period, get no chain.
+    ``angles`` fixes the rotations; by default they are drawn from ``seed``. Each step is written, as the next is fitted
+    on what it gives.
     """
     keys = list(keys)
+    in_train = F.col("period") == TRAIN
+    both = F.col("sim_u").isNotNull() & F.col("sim_v").isNotNull()
+    four = both & F.col("obs_u").isNotNull() & F.col("obs_v").isNotNull()
+    values = ["obs_u", "obs_v", "sim_u", "sim_v"]
+    past = materialise(bundle.where(F.col("period").isin(TRAIN, "test_hist")).select(*keys, "period", "time", *values), "fit-rows")
+    good = past.groupBy(*keys).agg(F.count_if(in_train & four).alias("_nt"), F.count_if(~in_train & both).alias("_nh"))
+    kept = attach(past, good.where((F.col("_nt") >= minimum) & (F.col("_nh") >= minimum)).select(*keys), keys, "left_semi", derived=True)
+    train, ident = kept.where(in_train & four), [*keys, "period", "time"]
+    test = _filled(kept.where(~in_train), [*keys, "period"]).select(*ident, F.lit("sim").alias("kind"), "u", "v")
+    pair = lambda k: train.select(*ident, F.lit(k).alias("kind"), F.col(f"{k}_u").alias("u"), F.col(f"{k}_v").alias("v"))
+    state = materialise(pair("obs").unionByName(pair("sim")).unionByName(test), "mbcn-start")
+    chain = materialise(_delta_tables(state, keys, steps), "mbcn-single").select(F.lit(-1).alias("step"), F.lit(0.0).alias("angle"), "*")
+    for i, angle in enumerate(rotation_angles(n_rotations, seed) if angles is None else angles):
+        turned = _turned(state, angle)
+        tables = materialise(_delta_tables(turned, keys, steps), f"mbcn-{i}")
+        chain = chain.unionByName(tables.select(F.lit(i).alias("step"), F.lit(angle).alias("angle"), "*"))
+        state = materialise(_turned(_map_axes(turned, tables, keys, steps, where=F.col("kind") == "sim"), -angle), f"mbcn-state-{i}")
+    return materialise(chain, "mbcn-chain")
+
+
+def _filled(rows: DataFrame, keys) -> DataFrame:
+    """``u`` and ``v``: the simulated variables, gaps filled with the median of the group; rows of a group without any value of
+    a variable are left out."""
+    out = median_fill(median_fill(rows, "sim_u", keys, "u", 1), "sim_v", keys, "v", 1)
+    return out.where("u is not null and v is not null")
+
+
+def predict_mbcn(chain: DataFrame, rows: DataFrame, keys=CELL, follows: dict[str, str] | None = None, steps: int = 50) -> DataFrame:
+    """``rows`` (period, time, keys, sim_u, sim_v) with corrected_u and corrected_v, by a fitted chain.
+
+    Rows need not have been part of the fit: a period in ``follows`` (by default the future, after the historical test
+    period) is mapped by the tables of the period it follows. The values are those of the one-variable mapping, put
+    in the order of the rotated result within cell and period, so that each variable keeps its own corrected
+    distribution while the pair takes over the observed dependence. Gaps take the median of their variable while ranks are
+    formed, and rows with a gap, or of a cell without a chain, are NULL in the end.
+    """
+    keys, follows = list(keys), {"test_future": "test_hist"} if follows is None else follows
     ident = [*keys, "period", "time"]
-    obs = bundle.where((F.col("period") == TRAIN) & F.col("obs_u").isNotNull() & F.col("obs_v").isNotNull()).select(
-        *ident, F.lit("obs").alias("kind"), F.col("obs_u").alias("u"), F.col("obs_v").alias("v"))
-    sim = bundle.where(F.col("sim_u").isNotNull() & F.col("sim_v").isNotNull()).select(
-        *ident, F.lit("sim").alias("kind"), F.col("sim_u").alias("u"), F.col("sim_v").alias("v"))
-    start = materialise(obs.unionByName(sim), "mbcn-start")
+    fitted = F.col("period")
+    for new, old in follows.items():
+        fitted = F.when(F.col("period") == new, old).otherwise(fitted)
+    plan = sorted((r.step, r.angle) for r in chain.select("step", "angle").distinct().collect())  # one row per step
+    tables = lambda k: chain.where(F.col("step") == k).drop("step", "angle")
+    known = attach(rows.select(*ident, "sim_u", "sim_v"), tables(-1).select(*keys).distinct(), keys, "left_semi", derived=True)
+    start = materialise(_filled(known, [*keys, "period"]).select(*ident, fitted.alias("_fit"), "u", "v"), "mbcn-rows")
+    single = _map_axes(start, tables(-1), keys, steps, "_fit")
     state = start
-    for i, angle in enumerate(rotation_angles(n_rotations, seed)):
-        c, s = math.cos(angle), math.sin(angle)
-        turned = state.withColumns({"u": F.col("u") * c + F.col("v") * s, "v": F.col("v") * c - F.col("u") * s})
-        moved = _delta_map(turned, keys, ("u", "v"), steps)
-        back = moved.withColumns({"u": F.col("u") * c - F.col("v") * s, "v": F.col("v") * c + F.col("u") * s})
-        state = materialise(back, f"mbcn-{i}")
-    single = _delta_map(start, keys, ("u", "v"), steps).where("kind = 'sim'").select(*ident, F.col("u").alias("su"), F.col("v").alias("sv"))
-    rotated = state.where("kind = 'sim'").select(*ident, F.col("u").alias("ru"), F.col("v").alias("rv"))
-    out = rotated
-    for axis in ("u", "v"):
-        order = rank_rows(rotated, [*keys, "period"], f"r{axis}").select(*ident, "_rank")
-        values = rank_rows(single, [*keys, "period"], f"s{axis}").select(*keys, "period", "_rank", F.col(f"s{axis}").alias(f"corrected_{axis}"))
-        placed = order.join(values, [*keys, "period", "_rank"]).drop("_rank")
-        out = out.join(placed, ident)
-    return bundle.join(out.select(*ident, "corrected_u", "corrected_v"), ident, "left")
-
-
-def rank_rows(df: DataFrame, keys, value: str) -> DataFrame:
-    """Add ``_rank`` (1-based, ties by time) within each group, by buckets along the value order."""
+    for k, angle in plan:
+        if k >= 0:
+            state = _turned(_map_axes(_turned(state, angle), tables(k), keys, steps, "_fit"), -angle)
+    both = single.select(*ident, F.col("u").alias("su"), F.col("v").alias("sv")).join(
+        state.select(*ident, F.round("u", 9).alias("ru"), F.round("v", 9).alias("rv")), ident)
+    both = materialise(both.where("ru is not null and rv is not null"), "mbcn-mapped")
+    out = both.select(*ident)
+    for axis in "uv":
+        order = rank_rows(both.select(*ident, f"r{axis}"), [*keys, "period"], f"r{axis}").select(*ident, "_rank")
+        values = rank_rows(both.select(*ident, F.round(f"s{axis}", 9).alias("_s"), f"s{axis}"), [*keys, "period"], "_s")
+        values = values.select(*keys, "period", "_rank", F.col(f"s{axis}").alias(f"corrected_{axis}"))
+        out = out.join(order.join(values, [*keys, "period", "_rank"]).drop("_rank"), ident)
+    whole = F.col("sim_u").isNotNull() & F.col("sim_v").isNotNull()
+    return rows.join(out, ident, "left").withColumns({f"corrected_{a}": F.when(whole, F.col(f"corrected_{a}")) for a in "uv"})
+
+
+def mbcn(bundle: DataFrame, keys=CELL, n_rotations: int = 6, seed: int = 0, steps: int = 50, angles=None, minimum: int = MIN_VALUES) -> DataFrame:
+    """Two-variable correction by rotations and quantile delta mapping, then rank reordering: ``fit_mbcn`` on the training and
+    historical periods, ``predict_mbcn`` on all, the future by the historical fit."""
+    chain = fit_mbcn(bundle, keys, angles, n_rotations, seed, steps, minimum)
+    return predict_mbcn(chain, bundle, keys, steps=steps)
+
+
+def rank_rows(df: DataFrame, keys, value: str, largest: int = LARGEST) -> DataFrame:
+    """Add ``_rank`` (1-based, ties by time) within each group.
+
+    Ranks follow from the running counts of the different values. Rows that tie are ranked among themselves by the running
+    counts of their times, which are cut as values are, so a value that a third of the rows share stays in no one task.
+    Times must tell the rows of a group apart.
+    """
     keys = list(keys)
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [(i + 1) / 64 for i in range(63)], 1280).alias("_cuts"))
-    placed = df.join(cuts, keys).withColumn("_place", F.coalesce(count_le("_cuts", F.col(value), bits=6), F.lit(0))).drop("_cuts")
-    return positions(placed, keys, [value, "time"], F.col("_place"), "_rank").drop("_place")
+    counts = ranked_values(df, keys, value, largest=largest).select(*keys, value, F.col("n").alias("_ties"), F.col("n_before").alias("_below"))
+    placed = materialise(df.join(counts, [*keys, value]), "ranks")
+    alone = placed.where("_ties = 1").withColumn("_rank", F.col("_below") + 1)
+    tied = placed.where("_ties > 1").withColumn("_at", F.unix_micros(F.col("time").cast("timestamp")))
+    times = ranked_values(tied, [*keys, value], "_at", largest=largest).select(*keys, value, "_at", F.col("n_before").alias("_earlier"))
+    tied = tied.join(times, [*keys, value, "_at"]).withColumn("_rank", F.col("_below") + F.col("_earlier") + 1)
+    names = [*df.columns, "_rank"]
+    return alone.select(*names).unionByName(tied.select(*names))
 
 
 # --- gamma ---------------------------------------------------------------------------------------------

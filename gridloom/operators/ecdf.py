@@ -1,10 +1,11 @@
 """Exact distributed empirical distributions: quantiles, quantile tables and Wasserstein distances.
 
-The built-in ``percentile`` gathers every distinct value of a group in one task. Here values are first
-counted per (group, value), then dealt to buckets that follow the value order. Bucket borders come from a
-bounded ``approx_percentile`` sketch, so buckets are balanced whatever the distribution; they decide
-only where work runs, never the result. Running counts are exact: within a bucket by a window, across
-buckets by a table with one row per bucket.
+The built-in ``percentile`` gathers every distinct value of a group in one task. Here values are first counted per
+(group, value), map-side first, and the counts written. A group of few different values is then ranked by one window.
+A larger one is cut along the value order into buckets, and a bucket that is still too large is cut again: how often
+follows from the counts, so no task ranks more than ``LARGEST`` values, whatever share of the rows a group holds. Cuts come
+from a bounded sketch; they decide only where work runs, never the result. Running counts are exact: within a bucket by
+a window, across buckets by a table with one row per bucket.
 """
 
 from __future__ import annotations
@@ -13,42 +14,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import col, count_le
-
-
-def ranked_values(df: DataFrame, keys, value: str, weights: dict[str, Column] | None = None,
-                  wanted=None, cuts: int = 63) -> DataFrame:
+from gridloom.session import attach, materialise
+
+LARGEST = 262_144  # different values that one task ranks
+CUTS = 63  # a bucket is cut into up to CUTS + 1
+
+
+def _buckets(counts: DataFrame, keys: list[str], value: str, largest: int) -> tuple[DataFrame, list[str]]:
+    """``counts`` with bucket columns such that no (keys, buckets) has more than ``largest`` rows, and their names."""
+    placed, names = counts, []
+    probs = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
+    while True:
+        group = [*keys, *names]
+        sizes = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+        if (sizes.agg(F.max("_size")).first()[0] or 0) <= largest:
+            return placed, names
+        name = f"_bucket{len(names)}"
+        cuts = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"), F.percentile_approx(F.col(value), probs, 20 * (CUTS + 1)).alias("_cuts"))
+        # Structs compare null keys as equal.
+        key = F.struct(*[F.col(c) for c in group]) if group else F.lit(0)
+        cuts = cuts.where(F.col("_size") > largest).select(key.alias("_group"), "_cuts")
+        cut = attach(placed.withColumn("_group", key), cuts, "_group", "left", derived=True)
+        bucket = F.coalesce(count_le("_cuts", F.col(value), bits=CUTS.bit_length()), F.lit(0))
+        placed = materialise(cut.withColumn(name, bucket).drop("_group", "_cuts"), "value-buckets")
+        names.append(name)
+
+
+def ranked_values(df: DataFrame, keys, value: str, weights: dict[str, Column] | None = None, wanted=None,
+                  following=(), largest: int = LARGEST) -> DataFrame:
     """One row per (keys, value) with, for every counter c, ``c`` (rows at this value), ``c_before`` (rows
-    below it), ``c_total``, and ``next_value`` (the next larger value of the group, NULL at the end).
+    below it), ``c_total``, and ``next_value`` (the next larger value of the group, NULL at the end). For every counter in
+    ``following``, ``c_next`` is the next larger value that the counter counts.
 
     ``weights`` maps counter names to per-row integer columns (default: ``n`` = 1 each).
-    ``wanted(before, size, total)`` may give a condition on bucket level; buckets that fail it are dropped
-    before any sorting.
+    ``wanted(before, size, total)`` may give a condition on bucket level for the first counter; buckets that fail it are
+    dropped before any sorting.
     """
-    keys = list(keys)
-    weights = weights or {"n": F.lit(1)}
-    names = list(weights)
-    v = F.col(value)
+    keys, weights = list(keys), weights or {"n": F.lit(1)}
+    names, v = list(weights), F.col(value)
     counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(*[F.sum(w).cast("bigint").alias(c) for c, w in weights.items()])
-    probs = [(i + 1) / (cuts + 1) for i in range(cuts)]
-    # The filter keeps the counters in the plan, so that both readers share one exchange.
-    cut_table = counts.where(F.col(names[0]) >= 0).groupBy(*keys).agg(F.percentile_approx(v, probs, 20 * (cuts + 1)).alias("_cuts"))
-    if keys:
-        placed = counts.join(cut_table, keys)
-    else:
-        placed = counts.withColumn("_cuts", cut_table.select("_cuts").scalar())
-    # coalesce: a non-null bucket spares a null filter that would be pushed below the shared exchange.
-    bucket = F.coalesce(count_le("_cuts", v, bits=cuts.bit_length()), F.lit(0))
-    placed = placed.withColumn("_bucket", bucket).drop("_cuts")
-
-    per_bucket = placed.groupBy(*keys, "_bucket").agg(
-        F.min(v).alias("_low"), *[F.sum(c).alias(f"_{c}_size") for c in names]
-    )
-    along = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_bucket")
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    placed, buckets = _buckets(materialise(counts, "value-counts"), keys, value, largest)
+    group = [*keys, *buckets]
+    inside = Window.partitionBy(*group).orderBy(value)
+    run = inside.rowsBetween(Window.unboundedPreceding, -1)
+    # The nearest counted value above, as the last one seen on the way down.
+    down = Window.partitionBy(*group).orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = lambda c: F.last(F.when(F.col(c) > 0, v), ignorenulls=True).over(down)
+    if not buckets:
+        whole = Window.partitionBy(*keys)
+        return placed.select(
+            *keys, value, *names, F.lead(v).over(inside).alias("next_value"), *[above(c).alias(f"{c}_next") for c in following],
+            *[F.coalesce(F.sum(c).over(run), F.lit(0)).alias(f"{c}_before") for c in names], *[F.sum(c).over(whole).alias(f"{c}_total") for c in names],
+        )
+
+    per_bucket = placed.groupBy(*group).agg(
+        F.min(v).alias("_low"), *[F.sum(c).alias(f"_{c}_size") for c in names], *[F.min(F.when(F.col(c) > 0, v)).alias(f"_{c}_low") for c in following])
+    along, back = (Window.partitionBy(*keys).orderBy(*order) for order in (buckets, [F.col(b).desc() for b in buckets]))
+    whole, before = Window.partitionBy(*keys), along.rowsBetween(Window.unboundedPreceding, -1)
+    key = F.struct(*[F.col(c) for c in group]).alias("_group")
     borders = per_bucket.select(
-        *keys, "_bucket",
-        F.lead("_low").over(along).alias("_next_low"),
+        key, F.lead("_low").over(along).alias("_next_low"),
+        *[F.last(f"_{c}_low", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_{c}_next_low") for c in following],
         *[F.coalesce(F.sum(f"_{c}_size").over(before), F.lit(0)).alias(f"_{c}_offset") for c in names],
         *[F.sum(f"_{c}_size").over(whole).alias(f"{c}_total") for c in names],
         *[F.col(f"_{c}_size") for c in names],
@@ -56,56 +82,56 @@ def ranked_values(df: DataFrame, keys, value: str, weights: dict[str, Column] |
     if wanted is not None:
         c = names[0]
         borders = borders.where(wanted(F.col(f"_{c}_offset"), F.col(f"_{c}_size"), F.col(f"{c}_total")))
-    if not keys:
-        borders = F.broadcast(borders)  # one row per bucket: at most cuts + 1
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    run = inside.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        placed.join(borders, [*keys, "_bucket"])
-        .select(
-            *keys, value, *names,
-            F.coalesce(F.lead(v).over(inside), F.col("_next_low")).alias("next_value"),
-            *[(F.col(f"_{c}_offset") + F.coalesce(F.sum(c).over(run), F.lit(0))).alias(f"{c}_before") for c in names],
-            *[F.col(f"{c}_total") for c in names],
-        )
+    return attach(placed.withColumn("_group", key), borders, "_group", derived=True).select(
+        *keys, value, *names, F.coalesce(F.lead(v).over(inside), F.col("_next_low")).alias("next_value"),
+        *[F.coalesce(above(c), F.col(f"_{c}_next_low")).alias(f"{c}_next") for c in following],
+        *[(F.col(f"_{c}_offset") + F.coalesce(F.sum(c).over(run), F.lit(0))).alias(f"{c}_before") for c in names],
+        *[F.col(f"{c}_total") for c in names],
     )
 
 
-def exact_quantiles(df: DataFrame, keys, value: str, probs, name: str = "quantiles", cuts: int = 63) -> DataFrame:
-    """Per group the exact linearly interpolated quantiles, as an array in the order of ``probs``.
-
-    Groups without any value give no row.
-    """
-    keys, probs = list(keys), [float(p) for p in probs]
-    p_array = F.array(*[F.lit(p) for p in probs])
-
-    def rank(p, total):
-        return F.floor(p * (total - 1).cast("double")).cast("bigint")
+def _rank(p, total):
+    return F.floor(p * (total - 1).cast("double")).cast("bigint")
 
-    def wanted(offset, size, total):
-        return F.exists(p_array, lambda p: (rank(p, total) >= offset) & (rank(p, total) < offset + size))
 
-    ranked = ranked_values(df, keys, value, wanted=wanted, cuts=cuts)
-    start, end, total, v = F.col("n_before"), F.col("n_before") + F.col("n"), F.col("n_total"), F.col(value)
+def quantiles_of(ranked: DataFrame, keys, value: str, probs, counter: str = "n", following: str = "next_value", name: str = "quantiles") -> DataFrame:
+    """Per group the exact linearly interpolated quantiles of the rows that ``counter`` counts, from ranked values;
+    ``following`` is the column with the next larger value of that counter."""
+    p_array = F.array(*[F.lit(float(p)) for p in probs])
+    start, v, total = F.col(f"{counter}_before"), F.col(value), F.col(f"{counter}_total")
+    end = start + F.col(counter)
     hits = F.filter(
         F.transform(p_array, lambda p, i: F.struct(i.alias("i"), p.alias("p"))),
-        lambda h: (rank(h["p"], total) >= start) & (rank(h["p"], total) < end),
+        lambda h: (_rank(h["p"], total) >= start) & (_rank(h["p"], total) < end),
     )
     exploded = ranked.withColumn("_hit", F.explode(hits))
     exact = F.col("_hit.p") * (total - 1).cast("double")
-    lower = rank(F.col("_hit.p"), total)
-    upper_value = F.when(lower + 1 < end, v).otherwise(F.coalesce(F.col("next_value"), v))
+    lower = _rank(F.col("_hit.p"), total)
+    upper_value = F.when(lower + 1 < end, v).otherwise(F.coalesce(F.col(following), v))
     q = v + (exact - lower.cast("double")) * (upper_value - v)
     return _as_array(exploded.select(*keys, F.col("_hit.i").alias("_i"), q.alias("_q")), keys, name)
 
 
-def quantile_table(df: DataFrame, keys, value: str, steps: int, name: str = "nodes", cuts: int = 63) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, value: str, probs, name: str = "quantiles", largest: int = LARGEST) -> DataFrame:
+    """Per group the exact linearly interpolated quantiles, as an array in the order of ``probs``.
+
+    Groups without any value give no row.
+    """
+    p_array = F.array(*[F.lit(float(p)) for p in probs])
+
+    def wanted(offset, size, total):
+        return F.exists(p_array, lambda p: (_rank(p, total) >= offset) & (_rank(p, total) < offset + size))
+
+    return quantiles_of(ranked_values(df, keys, value, wanted=wanted, largest=largest), list(keys), value, probs, name=name)
+
+
+def quantile_table(df: DataFrame, keys, value: str, steps: int, name: str = "nodes", largest: int = LARGEST) -> DataFrame:
     """Per group the quantiles at 0, 1/steps, ..., 1 as an ascending array of steps + 1 nodes, plus ``n``.
 
     The node numbers a value covers follow from integer arithmetic, so the cost does not grow with steps.
     """
     keys = list(keys)
-    ranked = ranked_values(df, keys, value, cuts=cuts)
+    ranked = ranked_values(df, keys, value, largest=largest)
     m = F.lit(steps).cast("bigint")
     start, end, v = F.col("n_before"), F.col("n_before") + F.col("n"), F.col(value)
     span = (F.col("n_total") - 1).cast("bigint")
@@ -127,13 +153,13 @@ def quantile_table(df: DataFrame, keys, value: str, steps: int, name: str = "nod
     )
 
 
-def wasserstein(df: DataFrame, keys, value: str, is_first: Column, name: str = "wasserstein", cuts: int = 255) -> DataFrame:
-    """Wasserstein-1 distance between the rows where ``is_first`` holds and the others, per group."""
-    ranked = ranked_values(
-        df, keys, value,
-        weights={"a": F.when(is_first, 1).otherwise(0), "b": F.when(is_first, 0).otherwise(1)},
-        cuts=cuts,
-    )
+def two_samples(is_first: Column) -> dict[str, Column]:
+    """Counters of the rows of two samples, for ``wasserstein_of``."""
+    return {"a": F.when(is_first, 1).otherwise(0), "b": F.when(is_first, 0).otherwise(1)}
+
+
+def wasserstein_of(ranked: DataFrame, keys, value: str, name: str = "wasserstein") -> DataFrame:
+    """Wasserstein-1 distance per group between the samples that the counters ``a`` and ``b`` count."""
     fa = (F.col("a_before") + F.col("a")) / F.col("a_total")
     fb = (F.col("b_before") + F.col("b")) / F.col("b_total")
     step = F.coalesce(F.col("next_value") - F.col(value), F.lit(0.0))
@@ -142,6 +168,11 @@ def wasserstein(df: DataFrame, keys, value: str, is_first: Column, name: str = "
     )
 
 
+def wasserstein(df: DataFrame, keys, value: str, is_first: Column, name: str = "wasserstein", largest: int = LARGEST) -> DataFrame:
+    """Wasserstein-1 distance between the rows where ``is_first`` holds and the others, per group."""
+    return wasserstein_of(ranked_values(df, keys, value, weights=two_samples(is_first), largest=largest), keys, value, name)
+
+
 def _as_array(rows: DataFrame, keys, name: str) -> DataFrame:
     # At most one entry per requested quantile, so the list is bounded by the request.
     return rows.groupBy(*keys).agg(

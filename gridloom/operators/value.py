@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import rmse, safe_corr
 from gridloom.operators.align import valid_pairs
-from gridloom.operators.ecdf import exact_quantiles, wasserstein
+from gridloom.operators.ecdf import quantiles_of, ranked_values, two_samples, wasserstein_of
 from gridloom.operators.ordering import previous_row
+from gridloom.session import materialise
 
 CELL = ["iy", "ix"]
 
@@ -33,11 +34,13 @@ def marginal_metrics(pairs: DataFrame, keys=()) -> DataFrame:
     moments = df.groupBy(*keys).agg(
         (F.avg("pred") - F.avg("obs")).alias("bias"), F.try_divide(F.stddev_pop("pred"), F.stddev_pop("obs")).alias("std_ratio")
     )
-    series = long_series(df, keys)
-    q = exact_quantiles(series, [*keys, "series"], "value", [0.05, 0.5, 0.95])
-    sign = F.when(F.col("series") == "pred", 1.0).otherwise(-1.0)
-    qb = q.groupBy(*keys).agg(*[F.sum(sign * F.col("quantiles")[i]).alias(f"{n}_bias") for i, n in enumerate(["q5", "q50", "q95"])])
-    w = wasserstein(series, keys, "value", F.col("series") == "obs")
+    # One ranking of both series, with a counter for each.
+    ranked = materialise(ranked_values(long_series(df, keys), keys, "value", two_samples(F.col("series") == "obs"), following=("a", "b")), "ranked")
+    probs, names = [0.05, 0.5, 0.95], ["q5", "q50", "q95"]
+    of = lambda c, name: quantiles_of(ranked, keys, "value", probs, c, f"{c}_next", name)
+    qb = of("a", "_q_obs").join(of("b", "_q_pred"), keys)
+    qb = qb.select(*keys, *[(F.col("_q_pred")[i] - F.col("_q_obs")[i]).alias(f"{n}_bias") for i, n in enumerate(names)])
+    w = wasserstein_of(ranked, keys, "value")
     out = moments.join(qb, keys).join(w, keys)
     return out.drop("_series") if bare else out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -377,12 +379,69 @@ def running_window_cdft(spark, sf):
     return biascorr.running_window_cdft(bundle(spark, sf), width=150, step=91, steps=20)
 
 
-@query("period:s time:d iy:i ix:i corrected_u:f corrected_v:f", "F4")
-def two_variable_correction(spark, sf):
+def pair_bundle(spark, sf):
+    """Two observed and two simulated variables; gaps differ between the simulated ones, and some cells lack most days."""
     p = S.period_points(spark, sf)
-    month = F.date_trunc("month", "time").alias("time")
-    m = p.groupBy("period", month, "iy", "ix").agg(F.avg("obs").alias("obs_u"), F.avg(F.col("ml") * 0.5 + F.col("obs")).alias("obs_v"), F.avg("raw").alias("sim_u"), F.avg("bc").alias("sim_v"))
-    return biascorr.mbcn(m, n_rotations=3, seed=11, steps=20)
+    past, day = F.col("period") != "test_future", F.dayofyear("time")
+    seen = (F.col("iy") + F.col("ix")) % 7 != 3
+    return p.select(
+        "period", "time", "iy", "ix", F.when(past, six("obs")).alias("obs_u"), F.when(past, F.round(F.col("ml") * 0.5 + F.col("obs") + 3e-9, 6)).alias("obs_v"),
+        F.when((day % 13 != 0) & (seen | (day < 30)), six("raw")).alias("sim_u"), F.when((day + F.col("ix")) % 11 != 0, six("bc")).alias("sim_v"),
+    )
+
+
+_PAIRS = """SELECT period, time, iy, ix, CASE WHEN period <> 'test_future' THEN round(obs + 3e-9, 6) END AS obs_u, CASE WHEN period <> 'test_future' THEN round(ml * 0.5 + obs + 3e-9, 6) END AS obs_v,
+    CASE WHEN dayofyear(time) % 13 <> 0 AND ((iy + ix) % 7 <> 3 OR dayofyear(time) < 30) THEN round(raw + 3e-9, 6) END AS sim_u, CASE WHEN (dayofyear(time) + ix) % 11 <> 0 THEN round(bc + 3e-9, 6) END AS sim_v FROM period_points"""
+
+
+def mbcn_sql(pairs: str, angles, m: int) -> str:
+    """The two-variable correction of relation ``pairs``, the future by the historical fit: relation ``corrected``."""
+    four = "obs_u IS NOT NULL AND obs_v IS NOT NULL AND sim_u IS NOT NULL AND sim_v IS NOT NULL"
+    fill = lambda c, by: f"coalesce({c}, quantile_cont({c}, 0.5) OVER (PARTITION BY iy, ix, {by}))"
+    ctes = [
+        f"good AS (SELECT iy, ix FROM {pairs} GROUP BY 1, 2 HAVING count(*) FILTER (period = 'train_hist' AND {four}) >= 10 AND count(*) FILTER (period = 'test_hist' AND sim_u IS NOT NULL AND sim_v IS NOT NULL) >= 10)",
+        f"kept AS (SELECT * FROM {pairs} SEMI JOIN good USING (iy, ix))",
+        f"whole AS (SELECT period, time, iy, ix, {fill('sim_u', 'period')} AS u, {fill('sim_v', 'period')} AS v FROM kept)",
+        "fit_0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT period, time, iy, ix, '{k}' AS kind, {k}_u AS u, {k}_v AS v FROM kept WHERE period = 'train_hist' AND {four}" for k in ("obs", "sim"))
+        + " UNION ALL SELECT period, time, iy, ix, 'sim', u, v FROM whole WHERE period = 'test_hist' AND u IS NOT NULL AND v IS NOT NULL)",
+        "new_0 AS MATERIALIZED (SELECT *, CASE WHEN period = 'test_future' THEN 'test_hist' ELSE period END AS fitted FROM whole WHERE u IS NOT NULL AND v IS NOT NULL)",
+    ]
+
+    def tables(name: str, rows: str) -> None:
+        ctes.append(f"{name}_l AS (SELECT iy, ix, CASE WHEN kind = 'obs' THEN 'obs' ELSE period END AS series, list_sort(list(u)) AS lu, list_sort(list(v)) AS lv, count(*) AS n FROM {rows} GROUP BY ALL)")
+        ctes.append(f"{name}_q AS (SELECT iy, ix, series, {nodes_sql('lu', 'n', m)} AS qu, {nodes_sql('lv', 'n', m)} AS qv FROM {name}_l)")
+        moved = lambda a: f"list_transform(range(1, {m + 2}), lambda i: p.q{a}[i] + (o.q{a}[i] - h.q{a}[i]))"
+        ctes.append(f"{name} AS MATERIALIZED (SELECT p.iy, p.ix, p.series AS fitted, p.qu AS xu, {moved('u')} AS zu, p.qv AS xv, {moved('v')} AS zv FROM {name}_q p JOIN {name}_q o USING (iy, ix) JOIN {name}_q h USING (iy, ix) "
+                    "WHERE p.series <> 'obs' AND o.series = 'obs' AND h.series = 'train_hist')")
+
+    mapped = lambda a: interp_sql(a, f"x{a}", f"z{a}", m + 1)
+    for i, angle in enumerate(angles):
+        c, s = repr(math.cos(angle)) + "::DOUBLE", repr(math.sin(angle)) + "::DOUBLE"
+        turn = lambda rel, more: f"(SELECT {more}, u * {c} + v * {s} AS u, v * {c} - u * {s} AS v FROM {rel})"  # noqa: B023, E731
+        ctes.append(f"turned_{i} AS MATERIALIZED {turn(f'fit_{i}', 'period, time, iy, ix, kind')}")
+        tables(f"t_{i}", f"turned_{i}")
+        back = f"u * {c} - v * {s} AS u, v * {c} + u * {s} AS v"
+        ctes.append(f"fit_{i + 1} AS MATERIALIZED (SELECT period, time, iy, ix, kind, {back} FROM (SELECT period, time, iy, ix, kind, CASE WHEN kind = 'obs' THEN u ELSE {mapped('u')} END AS u, "
+                    f"CASE WHEN kind = 'obs' THEN v ELSE {mapped('v')} END AS v FROM turned_{i} r JOIN t_{i} t USING (iy, ix) WHERE t.fitted = r.period))")
+        ctes.append(f"new_{i + 1} AS MATERIALIZED (SELECT period, time, iy, ix, fitted, {back} FROM (SELECT period, time, iy, ix, fitted, {mapped('u')} AS u, {mapped('v')} AS v FROM {turn(f'new_{i}', 'period, time, iy, ix, fitted')} JOIN t_{i} USING (iy, ix, fitted)))")
+    tables("t_single", "fit_0")
+    place = lambda e: f"row_number() OVER (PARTITION BY iy, ix, period ORDER BY round({e}, 9), time)"
+    ctes.append(f"single AS (SELECT period, time, iy, ix, {mapped('u')} AS u, {mapped('v')} AS v FROM new_0 JOIN t_single USING (iy, ix, fitted))")
+    ctes.append(f"by_single AS MATERIALIZED (SELECT *, {place('u')} AS ru, {place('v')} AS rv FROM single)")
+    ctes.append(f"by_chain AS MATERIALIZED (SELECT period, time, iy, ix, {place('u')} AS ru, {place('v')} AS rv FROM new_{len(angles)})")
+    ctes.append("ordered AS (SELECT c.period, c.time, c.iy, c.ix, a.u AS cu, b.v AS cv FROM by_chain c JOIN by_single a ON a.iy = c.iy AND a.ix = c.ix AND a.period = c.period AND a.ru = c.ru "
+                "JOIN by_single b ON b.iy = c.iy AND b.ix = c.ix AND b.period = c.period AND b.rv = c.rv)")
+    ctes.append(f"corrected AS (SELECT p.*, CASE WHEN sim_u IS NOT NULL AND sim_v IS NOT NULL THEN cu END AS corrected_u, CASE WHEN sim_u IS NOT NULL AND sim_v IS NOT NULL THEN cv END AS corrected_v FROM {pairs} p LEFT JOIN ordered USING (period, time, iy, ix))")
+    return ", ".join(ctes)
+
+
+# Of the query: rotations in radians, the defaults of the operator otherwise.
+PAIR_ANGLES = (0.4, 1.1, 1.9, 2.6, 0.8, 2.2)
+
+
+@query("period:s time:d iy:i ix:i corrected_u:f corrected_v:f", "F4", f"WITH b AS MATERIALIZED ({_PAIRS}), {mbcn_sql('b', PAIR_ANGLES, 50)} SELECT * FROM corrected")
+def two_variable_correction(spark, sf):
+    return biascorr.mbcn(pair_bundle(spark, sf), angles=PAIR_ANGLES)
 
 
 def _psi(x: str, tri: bool = False) -> str:
