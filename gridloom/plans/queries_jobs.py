@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.functions import gamma
-from gridloom.operators import biascorr, geometry, normalise, samples, scoring, skill, timeops
+from gridloom.operators import biascorr, cellwise, geometry, normalise, samples, scoring, skill, timeops
 from gridloom.operators.regrid import chain_weights, conservative_weights
 from gridloom.plans import composites
 from gridloom.plans import standins as S
@@ -16,7 +16,7 @@ from gridloom.plans.queries_compare import xy_samples
 from gridloom.plans.queries_fields import _APPLY, _CONSERVATIVE, _COARSE, coarse_grid
 from gridloom.plans.queries_skill import corr_sql
 from gridloom.plans.registry import query
-from gridloom.session import new_path
+from gridloom.session import materialise, new_path
 from gridloom.sources import archives, catalog, sinks
 from gridloom.streaming import skill_stream
 
@@ -444,6 +444,24 @@ def two_variable_correction(spark, sf):
     return biascorr.mbcn(pair_bundle(spark, sf), angles=PAIR_ANGLES)
 
 
+_LINES = """lines AS (SELECT iy, ix, regr_slope(obs, raw) AS slope, regr_intercept(obs, raw) AS intercept, regr_r2(obs, raw) AS r2, count(*) AS n FROM daily_points
+    WHERE obs IS NOT NULL AND raw IS NOT NULL{0} GROUP BY 1, 2 HAVING count(*) >= 10 AND var_pop(raw) > 1e-9)"""
+
+
+@query("iy:i ix:i slope:f intercept:f r2:f n:l", "J5", f"WITH {_LINES.format('')} SELECT * FROM lines")
+def fit_per_cell(spark, sf):
+    points = S.daily_points(spark, sf)
+    return cellwise.fit_per_group(points, ["iy", "ix"], cellwise.line_fit("raw", "obs", 10), cellwise.LINE, ["raw", "obs"], order=["time"])
+
+
+@query("time:d iy:i ix:i corrected:f", "J5", f"WITH {_LINES.format(' AND year(time) <= 1998')} SELECT time, iy, ix, slope * raw + intercept AS corrected FROM daily_points LEFT JOIN lines USING (iy, ix) WHERE year(time) > 1998")
+def fit_and_predict_per_cell(spark, sf):
+    points, year = S.daily_points(spark, sf), F.year("time")
+    fitted = cellwise.fit_per_group(points.where(year <= 1998), ["iy", "ix"], cellwise.line_fit("raw", "obs", 10), cellwise.LINE, ["raw", "obs"], order=["time"])
+    return cellwise.predict_per_group(
+        materialise(fitted, "lines"), points.where(year > 1998), ["iy", "ix"], cellwise.line_predict("raw", ["time"], "corrected"), "time timestamp, corrected double", ["time", "raw"])
+
+
 def _psi(x: str, tri: bool = False) -> str:
     y = f"({x} + 6.0)"
     if tri:

@@ -120,6 +120,25 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+@contextmanager
+def settings(spark: SparkSession, **values) -> Iterator[None]:
+    """SQL settings (``__`` for a dot) for what runs within the block, restored at its end."""
+    names = {k.replace("__", "."): str(v) for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def arrow_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20):
+    """Smaller batches between Spark and its Python workers, for rows with long texts: both sides hold a batch or two."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows, spark__sql__execution__arrow__maxBytesPerBatch=size)
+
+
 def _bytes(name: str, kind: T.DataType):
     """About how many bytes a value takes in memory."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
