@@ -13,33 +13,22 @@ so no key is hot, whatever the share of a tree. Levels are written, each an ``ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.order import numbered
-from gridloom.session import attach, materialise
+from gridloom.session import attach, materialise, settings
 
 ARITY = 16
 NODE = ("tree", "idx", "n", "digest")
 TOP = "top"
 
 
-@contextmanager
-def joined_in_place(spark: SparkSession) -> Iterator[None]:
+def joined_in_place(spark: SparkSession):
     """Lets joins on (tree, run, sibling) use a partitioning by (tree, run), which is even here: runs are short."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+    return settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false")
 
 
 def digest(*parts: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import textbytes as tb
 from gridloom.llm.graph import components
-from gridloom.session import attach, fits_broadcast, materialise, scratch
+from gridloom.session import arrow_batches, attach, fits_broadcast, materialise, scratch
 
 GROUPS = 256  # coordinates of a point
 COARSE = 64  # coordinates of the boxes: sums of neighbouring ones
@@ -191,12 +191,11 @@ def described(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFr
     """Written table ``doc_id, n, node, check``; node and check are null for a document without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingles(*tb.column(batch.column(1)), rule.words)
-            names = [node_of(s) if len(s) else (None, None) for s in sets]
-            yield pa.record_batch(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64())],
-                names=["doc_id", "n", "node", "check"],
-            )
+            data, offsets = tb.column(batch.column(1))
+            found = []  # a slice's sets are gone before the next one's are made
+            for i, j in tb.slices(offsets):
+                found += [(len(s), *(node_of(s) if len(s) else (None, None))) for s in shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.words)]
+            yield pa.record_batch([batch.column(0), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3))], names=["doc_id", "n", "node", "check"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return materialise(docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n long, node long, check long"), "shingle-sets")
@@ -410,7 +409,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     are documents of their own; a null identifier is no candidate for the least one unless there is no other; an empty
     table gives an empty result.
     """
-    with scratch() as block:
+    with scratch() as block, arrow_batches(docs.sparkSession):
         slim, least = _classes(docs, Rule(words, percent), id_col, text_col)
         block.keep(slim, least)
     return slim.join(least, "node", "left").select(
