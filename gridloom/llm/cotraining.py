@@ -2,11 +2,11 @@
 
 Two views of a page are classified apart: its text content (hashed byte trigrams) and its metadata (language, source,
 length and the layout figures of the page: letters, digits, signs, lines, repeated words and lines). Both logistic
-models start from a bounded sample of labelled rows. Over the rounds each model labels all unlabelled documents of
-which it is sure, and the other takes a damped Newton step on them together with the labelled rows; the step's sums
-are made by the cluster over every such document. Of several step lengths the best on labelled rows kept aside
-counts; a round that does not help there is undone.
-Finally both views are calibrated and weighted on those rows, and every document gets the combined probability.
+models start from a small seed of labelled rows. Over the rounds each model labels all unlabelled documents of which it
+is sure, and the other takes a damped Newton step on them together with the seed; the step's sums are made by the
+cluster over every such document. The views are calibrated and weighted on labelled rows of their own, and a third part
+of the labelled rows judges the rounds: of several step lengths the best counts there, and a round is undone, and the last,
+if it loses more than the standard error of what it changes. Every document gets the combined probability.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ GRAMS = 256  # buckets of the text view
 LANGS, SOURCES = 8, 32  # hashed one-hot entries of the metadata view
 FIGURES = 14
 META = FIGURES + LANGS + SOURCES
+JUDGES = 50  # labelled rows from which the standard error of a round's loss is trusted
 ADDED = ("text_score", "metadata_score", "score", "kept")
 
 _UPPER, _DIGIT, _SIGN, _OTHER = (np.zeros(256, bool) for _ in range(4))
@@ -105,6 +106,28 @@ def _probability(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _solved(x: np.ndarray, labels: np.ndarray, start: np.ndarray, ridge: float, centre: np.ndarray, steps: int) -> np.ndarray:
+    """Weights of a logistic regression pulled towards ``centre``, by Newton steps that are halved until they gain."""
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - labels * z).mean() + 0.5 * ridge * ((w - centre) ** 2).sum())
+
+    w, now = start, loss(start)
+    for _ in range(steps):
+        p = _probability(x @ w)
+        slope = x.T @ (p - labels) / len(labels) + ridge * (w - centre)
+        curve = (x * (p * (1 - p))[:, None]).T @ x / len(labels) + ridge * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        for _ in range(20):
+            if (then := loss(w - step)) < now:
+                break
+            step = step / 2
+        else:
+            break
+        w, now = w - step, then
+    return w
+
+
 @dataclass
 class View:
     """A logistic model on standardised columns."""
@@ -118,12 +141,7 @@ class View:
     def fit(rows: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, steps: int = 8) -> View:
         spread = rows.std(0)
         view = View(rows.mean(0), np.where(spread > 1e-6, spread, np.inf), np.zeros(rows.shape[1] + 1), ridge)
-        x = view.columns(rows)
-        for _ in range(steps):
-            p = _probability(x @ view.weight)
-            slope = x.T @ (p - labels) / len(labels) + ridge * view.weight
-            curve = (x * (p * (1 - p))[:, None]).T @ x / len(labels) + ridge * np.eye(len(slope))
-            view.weight = view.weight - np.linalg.solve(curve, slope)
+        view.weight = _solved(view.columns(rows), labels, view.weight, ridge, np.zeros_like(view.weight), steps)
         return view
 
     def columns(self, rows: np.ndarray) -> np.ndarray:
@@ -146,6 +164,16 @@ class View:
         return View(self.mean, self.scale, self.weight - damping * slope / curve, self.ridge)
 
 
+@dataclass
+class Round:
+    """What a round did: pseudo-labels that each view got from the other, the loss on the judging rows, whether it was kept."""
+
+    text_labels: int
+    metadata_labels: int
+    loss: float
+    kept: bool
+
+
 @dataclass
 class Model:
     """Both views and how their calibrated scores are combined."""
@@ -156,7 +184,7 @@ class Model:
     metadata_line: tuple[float, float] = (1.0, 0.0)
     mix: tuple[float, float, float] = (0.5, 0.5, 0.0)
     constant: float = 1.0
-    history: list[float] = field(default_factory=list)
+    history: list[Round] = field(default_factory=list)
 
     def logits(self, text: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.text(text), self.metadata(metadata)
@@ -169,29 +197,21 @@ class Model:
         return _probability(a), _probability(b), _probability(self.mix[0] * a + self.mix[1] * b + self.mix[2])
 
 
-def _line(columns: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _line(columns: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Slopes and level of a small logistic regression; slopes are pulled towards one over their number."""
-    x = np.c_[columns, np.ones(len(columns))]
     start = np.array([1.0 / columns.shape[1]] * columns.shape[1] + [0.0])
-    w = start.copy()
-    for _ in range(25):
-        p = _probability(x @ w)
-        slope = x.T @ (p - labels) / len(labels) + ridge * (w - start)
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(labels) + ridge * np.eye(len(w)), slope)
-    return w
+    return _solved(np.c_[columns, np.ones(len(columns))], labels, start, ridge, start, 25)
 
 
-def _loss(labels: np.ndarray, p: np.ndarray) -> float:
+def _losses(labels: np.ndarray, p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-6, 1 - 1e-6)
-    return float(-(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean())
+    return -(labels * np.log(p) + (1 - labels) * np.log(1 - p))
 
 
 def _calibrated(text: View, metadata: View, rows, labels: np.ndarray) -> Model:
     a, b = text(rows[0]), metadata(rows[1])
-    ta, tb_ = _line(a[:, None], labels), _line(b[:, None], labels)
-    model = Model(text, metadata, tuple(ta), tuple(tb_))
+    model = Model(text, metadata, tuple(_line(a[:, None], labels)), tuple(_line(b[:, None], labels)))
     model.mix = tuple(_line(np.c_[model.logits(*rows)], labels))
-    model.history.append(_loss(labels, model.scores(*rows)[2]))
     return model
 
 
@@ -212,15 +232,25 @@ def _matrix(values, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind).reshape(-1, width)
 
 
+def _parts(labels: np.ndarray, seed: int) -> list[np.ndarray]:
+    """Rows to learn from, to calibrate on and to judge by: up to ``seed`` rows, but no more than half, and the rest dealt in
+    turn. A part that would hold one class alone shares the rows of all."""
+    place = np.arange(len(labels))
+    learn = place < min(seed, -(-len(labels) // 2))
+    parts = [learn, ~learn & (place % 2 == 0), ~learn & (place % 2 == 1)]
+    return [p if len({*labels[p]}) == 2 else np.ones(len(labels), bool) for p in parts]
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    max_labelled: int = 12_000, rounds: int = 3, sure: float = 0.95, trust: float = 0.5, damping: float = 0.5,
+    max_labelled: int = 12_000, seed: int = 4_000, rounds: int = 4, sure: float = 0.95, trust: float = 1.0, damping: float = 0.5,
 ) -> Model:
     """Train both views. ``labels``: identifier and 0 / 1.
 
-    At most ``max_labelled`` labelled rows are used, those of the smallest identifier hashes; a quarter of them is
-    kept aside. Labels that contradict each other are averaged, null labels are left out. Pseudo-labels are given to
-    all other documents. Without labels, or with labels of one class alone, the model is that class's share.
+    At most ``max_labelled`` labelled rows are used, those of the smallest identifier hashes: up to ``seed`` of them, half at
+    most, to learn from, the others to calibrate and to judge rounds. Labels that contradict each other are averaged, null
+    labels are left out. Pseudo-labels are given to all other documents. ``history`` tells what each round exchanged and
+    whether it was kept. Without labels, or with labels of one class alone, the model is that class's share.
     """
     ident = F.col(f"`{id_col}`")
     gold = labels.where(ident.isNotNull() & F.col(label_col).isNotNull()).groupBy(ident.alias("id")).agg(F.avg(label_col).alias("label"))
@@ -234,28 +264,29 @@ def fit(
     known = known.sort_values(["key", "id"])
     y = known["label"].to_numpy()
     x = _matrix(known["text_view"], np.uint8, GRAMS).astype(float) / 255, _matrix(known["metadata_view"], np.float32, META).astype(float)
-    aside = np.arange(len(y)) % 4 == 3
-    if len({*y[aside]}) < 2 or len({*y[~aside]}) < 2:  # too few rows to keep any aside
-        aside = np.ones(len(y), bool)
-        learn = aside
-    else:
-        learn = ~aside
-    rows, rest = (x[0][learn], x[1][learn]), (x[0][aside], x[1][aside])
-    best = _calibrated(View.fit(rows[0], y[learn]), View.fit(rows[1], y[learn]), rest, y[aside])
+    learn, level, judge = _parts(y, seed)
+    of = lambda part: (x[0][part], x[1][part])
+
+    def judged(text: View, metadata: View) -> tuple[Model, np.ndarray]:
+        model = _calibrated(text, metadata, of(level), y[level])
+        return model, _losses(y[judge], model.scores(*of(judge))[2])
+
+    best, least = judged(View.fit(x[0][learn], y[learn]), View.fit(x[1][learn], y[learn]))
     for _ in range(rounds):
         sums = _exchange(table, best, sure)
-        own = best.text.sums(rows[0], y[learn]), best.metadata.sums(rows[1], y[learn])
-        steps = [damping / 5**k for k in range(4)]
+        own = best.text.sums(x[0][learn], y[learn]), best.metadata.sums(x[1][learn], y[learn])
         tried = [
-            _calibrated(best.text.moved(own[0], sums[0], trust, d), best.metadata.moved(own[1], sums[1], trust, d), rest, y[aside])
-            for d in steps
+            judged(best.text.moved(own[0], sums[0], trust, d), best.metadata.moved(own[1], sums[1], trust, d))
+            for d in (damping / 4**k for k in range(3))
         ]
-        model = min(tried, key=lambda m: m.history[-1])
-        model.history = best.history + model.history
-        if model.history[-1] >= best.history[-1]:
+        model, after = min(tried, key=lambda t: t[1].mean())
+        allowed = least.std() / np.sqrt(len(least)) if len(least) >= JUDGES else 0.0
+        kept = bool(after.mean() <= least.mean() + allowed)
+        model.history = [*best.history, Round(int(sums[0][2, 0]), int(sums[1][2, 0]), float(after.mean()), kept)]
+        if not kept:
             best.history = model.history
             break
-        best = model
+        best, least = model, min(least, after, key=np.mean)
     return best
 
 
