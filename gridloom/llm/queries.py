@@ -203,8 +203,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @op()
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes that lie in a repeated string of 400 bytes."""
-    return suffix_dedup.remove(_table(spark, sf_dir, "documents"))
+    """Every document without the bytes that lie in a repeated string of 400 bytes; shared passages from 256 bytes on are told."""
+    return suffix_dedup.remove(_table(spark, sf_dir, "documents"), floor=256)
 
 
 # CRC-32 in SQL: the table of its polynomial, and the checksum of a text's UTF-8 bytes over that table.

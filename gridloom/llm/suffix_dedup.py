@@ -446,43 +446,59 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     return slim.select("doc_id", "name").distinct().join(lists, "name")
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, crowd: int = CROWD, with_text: bool = False) -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, crowd: int = CROWD, with_text: bool = False,
+           floor: int | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row, and the remaining bytes ``kept`` if asked for.
 
+    With ``floor``, a length below ``span``, the same is done for strings of that length, of which nothing is removed:
+    ``n_repeated`` bytes lie in one that starts anywhere else, and ``longest_repeat`` is the longest stretch of them. It
+    tells of shared passages that are too short to be removed.
+
     A null text counts as empty. Texts shorter than ``span`` lose nothing. Rows that repeat identifier and text are copies
     of each other and both lose all; null identifiers are treated like any; an empty table gives an empty result.
     """
-    gone = repeats(docs, id_col, text_col, span, crowd).groupBy("doc_id").agg(F.collect_list(F.struct("name", "ranges")).alias("gone"))
-    gone = materialise(gone.withColumnRenamed("doc_id", "_gone_id").withColumn("entries", F.flatten(F.transform("gone", _flat))).drop("gone"), "removals")
+    found = repeats(docs, id_col, text_col, span, crowd).withColumn("short", F.lit(False))
+    if floor is not None:
+        found = found.unionByName(repeats(docs, id_col, text_col, floor, crowd).withColumn("short", F.lit(True)))
+    listed = lambda short: F.flatten(F.transform(F.collect_list(F.when(F.col("short") == short, F.struct("name", "ranges"))), _flat))
+    gone = materialise(found.groupBy(F.col("doc_id").alias("_gone_id")).agg(listed(False).alias("entries"), listed(True).alias("passages")), "removals")
     small = F.broadcast(gone) if fits_broadcast(gone, 1_000_000, 48_000_000) else gone
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("_text")).join(small, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left")
 
+    def cuts_of(flat, body, name: int, length: int) -> list[tuple[int, int]]:
+        at, out = 0, []
+        if flat.is_valid:
+            flat = flat.values.to_numpy()
+            while at < len(flat):  # name, number of values, values
+                if flat[at] == name:
+                    out = covered(flat[at + 2 : at + 2 + flat[at + 1]].tolist(), len(body), length)
+                at += 2 + int(flat[at + 1])
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.column(batch.column(1))
-            lists = batch.column(2)
-            removed, spans, digests, bodies = [], [], [], []
+            lists = batch.column(2), batch.column(3)
+            removed, spans, digests, bodies, shared, longest = [], [], [], [], [], []
             for k in range(batch.num_rows):
                 body = data[offsets[k] : offsets[k + 1]]
-                cuts = []
-                if lists[k].is_valid:
-                    flat, at, name = lists[k].values.to_numpy(), 0, text_name(body)[0]
-                    while at < len(flat):  # name, number of values, values
-                        if flat[at] == name:
-                            cuts = covered(flat[at + 2 : at + 2 + flat[at + 1]].tolist(), len(body), span)
-                        at += 2 + int(flat[at + 1])
+                name = text_name(body)[0] if lists[0][k].is_valid else 0
+                cuts, passages = cuts_of(lists[0][k], body, name, span), cuts_of(lists[1][k], body, name, floor)
                 kept = body.tobytes()
                 if cuts:
                     edges = [0, *(x for c in cuts for x in c), len(body)]
                     kept = b"".join(kept[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 removed.append(len(body) - len(kept)), spans.append(len(cuts)), digests.append(hashlib.sha256(kept).hexdigest())
+                shared.append(sum(b - a for a, b in passages)), longest.append(max((b - a for a, b in passages), default=0))
                 bodies.append(kept if with_text else None)
             columns = [batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.record_batch(columns + [pa.array(bodies, pa.binary())] * with_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
+            columns += [pa.array(bodies, pa.binary())] * with_text + [pa.array(c, pa.int64()) for c in (shared, longest)] * (floor is not None)
+            yield pa.record_batch(columns, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    shape = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return rows.select("doc_id", "_text", "entries").mapInArrow(run, shape)
+    shape = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + ", n_repeated long, longest_repeat long" * (floor is not None)
+    names = [c.split()[0] for c in shape.split(", ")]
+    return rows.select("doc_id", "_text", "entries", "passages").mapInArrow(run, shape)
 
 
 def _flat(entry: Column) -> Column:

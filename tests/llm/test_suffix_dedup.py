@@ -128,3 +128,19 @@ def test_odd_and_empty_tables(spark, odd, no_docs):
     assert sd.remove(no_docs).count() == 0
     rows = odd.select("text").collect()
     assert sum(r.n_removed for r in sd.remove(odd).collect()) == sum(w[1] for w in brute([(r.text or "").encode() for r in rows], 400))
+
+
+def test_shorter_passages_are_told_and_stay(spark):
+    """With a floor, what brute force would remove at that length is counted, and nothing else changes."""
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdefgh éß") for _ in range(300))
+    texts = [shared + passages(rng, 1, 500)[0], passages(rng, 1, 200)[0] + shared, passages(rng, 1, 700)[0], None, "", shared]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    raw = [(t or "").encode() for t in texts]
+    got = {r.doc_id: r for r in sd.remove(frame, span=400, floor=150).collect()}
+    plain = {r.doc_id: r for r in sd.remove(frame, span=400).collect()}
+    for k, (long, short) in enumerate(zip(brute(raw, 400), brute(raw, 150))):
+        r = got[k]
+        assert (r.n_removed, r.n_repeated) == (long[1], short[1]) and r.longest_repeat <= r.n_repeated
+        assert tuple(r)[:5] == tuple(plain[k])
+    assert got[0].longest_repeat >= 280 and got[2].n_repeated == 0 and got[3].longest_repeat == 0
