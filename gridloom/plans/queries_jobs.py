@@ -17,7 +17,7 @@ from gridloom.plans.queries_fields import _APPLY, _CONSERVATIVE, _COARSE, coarse
 from gridloom.plans.queries_skill import corr_sql
 from gridloom.plans.registry import query
 from gridloom.session import materialise, new_path
-from gridloom.sources import archives, catalog, sinks
+from gridloom.sources import archive_source, catalog, sinks
 from gridloom.streaming import skill_stream
 
 # --- sources and sinks ---------------------------------------------------------------------------------
@@ -106,8 +106,29 @@ def stacked_channels(spark, sf):
 @query("time:d role:s channel_pos:i iy:i ix:i value:f", "A6", f"""
     SELECT time, role, CASE channel WHEN 'raw input' THEN 1 ELSE 0 END AS channel_pos, iy, ix, value FROM ({_TILE_SAMPLES}) WHERE value IS NOT NULL""")
 def archive_roundtrip(spark, sf):
-    files = archives.encode_archives(tile_samples(spark, sf), CHANNELS, S.NY, S.NX)
-    return archives.decode_archives(files).where("value is not null")
+    return archive_source.scan_archives(spark, archive_folder(spark, sf)).where("value is not null")
+
+
+def archive_folder(spark, sf):
+    """Real files, one for each day."""
+    folder = new_path(spark, "archives")
+    archive_source.write_archives(tile_samples(spark, sf), folder, CHANNELS, S.NY, S.NX)
+    return folder
+
+
+@query("time:d role:s channel_pos:i iy:i ix:i value:f", "A6", f"""
+    SELECT time, role, CASE channel WHEN 'raw input' THEN 1 ELSE 0 END AS channel_pos, iy, ix, value FROM ({_TILE_SAMPLES}) WHERE value IS NOT NULL AND time >= '1997-03-05' AND time < '1998-11-02'""")
+def archive_window(spark, sf):
+    return archive_source.scan_archives(spark, archive_folder(spark, sf), "1997-03-05", "1998-11-01").where("value is not null")
+
+
+@query("date:s roles:s channels:i ny:i nx:i dtypes:s expected:s status:s", "A6 K2", f"""
+    SELECT strftime(time, '%Y-%m-%d') AS date, roles, 2 AS channels, {S.NY} AS ny, {S.NX} AS nx, 'float32' AS dtypes, CASE WHEN time < '2001-01-01' THEN 'x,y' ELSE 'x' END AS expected,
+    CASE WHEN roles = CASE WHEN time < '2001-01-01' THEN 'x,y' ELSE 'x' END THEN 'ok' ELSE 'fail' END AS status
+    FROM (SELECT time, CASE WHEN count(*) FILTER (role = 'y' AND value IS NOT NULL) > 0 THEN 'x,y' ELSE 'x' END AS roles FROM ({_TILE_SAMPLES}) GROUP BY 1 HAVING count(value) > 0)""")
+def archive_structure(spark, sf):
+    headers = archive_source.archive_headers(spark, archive_folder(spark, sf))
+    return archive_source.archive_structure(headers, "2000-12-31").withColumn("date", F.col("date").cast("string"))
 
 
 @query("token:s channel:s n:l total:f", "A7", f"""
