@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,10 @@ from gridloom.llm import textbytes as tb
 from gridloom.llm.graph import components
 from gridloom.session import arrow_batches, attach, fits_broadcast, materialise, scratch
 
-GROUPS = 256  # coordinates of a point
+GROUPS = 256  # coordinates of a small set's point; larger sets have more, so that about two shingles share one
 COARSE = 64  # coordinates of the boxes: sums of neighbouring ones
-HUGE = 65_535  # sets of this size could overflow a coordinate, so no bound is applied to them
+FINEST = 1 << 16
+FULL = 255  # the largest count that a coordinate holds
 ROUNDS = 2  # rounds that look for the nearest point of another component only
 BLOCK = 4096  # members of a bucket indexed together
 _SHINGLE = tuple(np.uint64(2 * k + 1) for k in (0x4F1BBCDCBFA53E0A, 0x2545F4914F6CDD1C, 0x1B873593CC9E2D51, 0x38495AB5A1B2C3D4, 0x5851F42D4C957F2D))
@@ -128,8 +130,20 @@ def signatures(s: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
-    return np.minimum(counts, HUGE).astype(np.uint16)
+    """The counts of a set's hash groups, a byte each. The number of groups is a power of two of about half the set's size. A
+    point with a larger count is full in every coordinate, which bounds nothing and so loses nothing."""
+    bits = GROUPS.bit_length() - 1
+    while 1 << bits < min(FINEST, len(s) // 2):
+        bits += 1
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return (counts if counts.max() <= FULL else np.full(len(counts), FULL)).astype(np.uint8)
+
+
+def folded(points: np.ndarray, width: int) -> np.ndarray:
+    """The points on fewer coordinates: sums of neighbouring ones."""
+    if points.shape[1] == width:
+        return points
+    return np.minimum(points.reshape(len(points), width, -1).sum(2, dtype=np.int64), 65_535).astype(np.uint16)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,7 +156,7 @@ class Tree:
     they are kept on coarser coordinates, and the full ones decide at the leaves."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, owners: np.ndarray, leaf: int = 16):
-        coarse = self.folded(points)
+        coarse = self.coarse(points)
         order = np.lexsort((*coarse.T[:3], coarse[:, : COARSE // 2].sum(1), sizes))
         self.order, self.leaf = order, leaf
         self.points, self.sizes, self.owners = points[order], sizes[order], owners[order]
@@ -156,13 +170,13 @@ class Tree:
             self.levels.append((top, least, owner, same))
 
     @staticmethod
-    def folded(points: np.ndarray) -> np.ndarray:
+    def coarse(points: np.ndarray) -> np.ndarray:
         return points.reshape(len(points), COARSE, -1).sum(2, dtype=np.int32)
 
     def search(self, points: np.ndarray, sizes: np.ndarray, owners: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, place, bound) of all points of other owners, and of no smaller sets, that can share enough shingles
         with a query. All queries go down the tree together."""
-        coarse = self.folded(points)
+        coarse = self.coarse(points)
         query, at = np.arange(len(points)), np.zeros(len(points), np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             top, least, owner, same = self.levels[depth]
@@ -175,15 +189,17 @@ class Tree:
             for low in range(0, len(at), 8192):  # bounds the memory of a large frontier
                 q, k = query[low : low + 8192], at[low : low + 8192]
                 need = rule.least_overlap(sizes[q], np.maximum(least[k], sizes[q]))
-                keep[low : low + 8192] = (overlap_bound(coarse[q], top[k]) >= need) | (sizes[q] >= HUGE)
+                keep[low : low + 8192] = overlap_bound(coarse[q], top[k]) >= need
             keep &= ~(same[at] & (owner[at] == owners[query]))
             query, at = query[keep], at[keep]
         large = self.sizes[at] >= sizes[query]
         query, at = query[large], at[large]
         bound = np.zeros(len(at), np.int64)
-        for low in range(0, len(at), 8192):
-            bound[low : low + 8192] = overlap_bound(points[query[low : low + 8192]], self.points[at[low : low + 8192]])
-        keep = (bound >= rule.least_overlap(sizes[query], self.sizes[at])) | (sizes[query] >= HUGE)
+        width = min(points.shape[1], self.points.shape[1])
+        mine, theirs, step = folded(points, width), folded(self.points, width), max(1, (1 << 21) // width)
+        for low in range(0, len(at), step):
+            bound[low : low + step] = overlap_bound(mine[query[low : low + step]], theirs[at[low : low + step]])
+        keep = bound >= rule.least_overlap(sizes[query], self.sizes[at])
         return query[keep], self.order[at[keep]], bound[keep]
 
 
@@ -293,8 +309,28 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
 
-def _points(values, rows: slice) -> np.ndarray:
-    return np.frombuffer(b"".join(values.slice(rows.start, rows.stop - rows.start).to_pylist()), np.uint16).reshape(-1, GROUPS)
+def _points(values: pa.Array) -> np.ndarray:
+    """Points as rows, on as many coordinates as the coarsest of them has."""
+    data, offsets = tb.column(values)
+    size = np.diff(offsets)
+    out = np.zeros((len(size), int(size.min(initial=FINEST)) if len(size) else GROUPS), np.uint16)
+    for width in np.unique(size):
+        rows = np.flatnonzero(size == width)
+        out[rows] = folded(data[offsets[rows][:, None] + np.arange(width)], out.shape[1])
+    return out
+
+
+def _pair_bounds(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Most shingles that the pairs can share, each on the coordinates of its coarser point."""
+    sizes = [pc.binary_length(c).to_numpy() for c in (a, b)]
+    width = np.minimum(*sizes)
+    out = np.zeros(len(a), np.int64)
+    for w in np.unique(width):
+        same = np.flatnonzero(width == w)
+        for rows in np.array_split(same, -(-len(same) * int(w) // (1 << 21)) or 1):
+            x, y = (folded(_points(c.take(pa.array(rows))), int(w)) for c in (a, b))
+            out[rows] = overlap_bound(x, y)
+    return out
 
 
 def verified(pairs: DataFrame, points: DataFrame, sets_of, rule: Rule) -> DataFrame:
@@ -302,12 +338,9 @@ def verified(pairs: DataFrame, points: DataFrame, sets_of, rule: Rule) -> DataFr
     the pairs that pass."""
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                na, nb = (part.column(k).to_numpy() for k in (2, 3))
-                x, y = (_points(part.column(k), slice(0, part.num_rows)) for k in (4, 5))
-                keep = (overlap_bound(x, y) >= rule.least_overlap(na, nb)) | (np.minimum(na, nb) >= HUGE)
-                yield pa.record_batch([part.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+            na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+            keep = pa.array(_pair_bounds(batch.column(4), batch.column(5)) >= rule.least_overlap(na, nb))
+            yield pa.record_batch([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
 
     point_of = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"point_{c}"))
     rows = pairs.join(point_of("a"), "a").join(point_of("b"), "b").select("a", "b", "n_a", "n_b", "point_a", "point_b")
@@ -357,7 +390,7 @@ def tree_pairs(members: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
                         for out, column in zip((found_a, found_b), answers(tree, names, *own)):
                             out.append(column)
                     at, held, tree = key, [], None
-                rows_ = (node[low:high], root[low:high], n[low:high], _points(batch.column(6), slice(low, high)))
+                rows_ = (node[low:high], root[low:high], n[low:high], _points(batch.column(6).slice(low, high - low)))
                 if not asks[low]:
                     held.append(rows_)
                     continue
@@ -376,6 +409,8 @@ def tree_pairs(members: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
 
 
 def _grown(held: list) -> tuple[Tree, np.ndarray, tuple]:
+    width = min(h[3].shape[1] for h in held)
+    held = [(*h[:3], folded(h[3], width)) for h in held]
     node, root, n, points = (np.concatenate(c) for c in zip(*held))
     tree = Tree(points, n, root)
     tree.sizes_by_place = n
