@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import rmse, safe_corr
 from gridloom.operators.align import valid_pairs
 from gridloom.operators.ecdf import quantiles_of, ranked_values, two_samples, wasserstein_of
 from gridloom.operators.ordering import previous_row
-from gridloom.session import materialise
+from gridloom.session import attach, materialise
 
 CELL = ["iy", "ix"]
 
@@ -98,14 +98,42 @@ def mean_spell_length(series: DataFrame, threshold: float, above: bool = True, k
     return runs.select(*group, F.coalesce(F.try_divide(F.col("_days"), F.col("_runs")), F.lit(0.0)).alias("mean_spell"))
 
 
-def seeded_sample(pairs: DataFrame, per_day: int, seed: int = 0) -> DataFrame:
-    """At most ``per_day`` cells of each day, chosen by a seeded hash; obs and pred keep their pairing.
+def seeded_sample(pairs: DataFrame, per_day: int, seed: int = 0, total: int | None = None, key: Column | None = None) -> DataFrame:
+    """At most ``per_day`` cells of each time step, chosen by a seeded hash; obs and pred keep their pairing.
 
-    A day is dealt to hash buckets first; each bucket keeps its own first ``per_day`` and only those meet.
+    ``total`` bounds all steps together: exactly min(total, what ``per_day`` leaves) rows are kept. It is dealt like water
+    poured over steps of unequal depth: every step gets the same number, or all it has if that is less; what is left
+    over goes one each to the first of the steps that have more, by time. ``key`` orders the cells of a step (by default a
+    hash of seed, time and cell); ties go by cell.
+
+    A step is dealt to hash buckets first; each bucket keeps its own first ``per_day`` and only those meet.
     """
-    h = F.xxhash64(F.lit(seed), F.col("time"), F.col("iy"), F.col("ix"))
-    hashed = pairs.withColumn("_h", h).withColumn("_part", F.pmod("_h", F.lit(64)))
+    h = F.xxhash64(F.lit(seed), F.col("time"), F.col("iy"), F.col("ix")) if key is None else key
+    hashed = pairs.withColumn("_h", h).withColumn("_part", F.pmod(F.xxhash64("_h", *CELL), F.lit(64)))
     first = Window.partitionBy("time", "_part").orderBy("_h", *CELL)
     kept = hashed.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_day)
     final = Window.partitionBy("time").orderBy("_h", *CELL)
-    return kept.withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= per_day).select(*pairs.columns)
+    ranked = kept.withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= per_day)
+    if total is None:
+        return ranked.select(*pairs.columns)
+    quotas = day_quotas(pairs.groupBy("time").agg(F.least(F.count(F.lit(1)), F.lit(per_day)).alias("rows")), total)
+    return attach(ranked, quotas, "time").where(F.col("_r") <= F.col("quota")).select(*pairs.columns)
+
+
+def day_quotas(sizes: DataFrame, total: int) -> DataFrame:
+    """``time, quota`` for (time, rows): quotas of at most ``rows`` that add up to min(total, all rows), as even as can be."""
+    sizes = materialise(sizes, "day-sizes")
+    # As many rows as there are different sizes, none above the cap per step.
+    days = sorted((r["rows"], r["n"]) for r in sizes.groupBy("rows").agg(F.count(F.lit(1)).alias("n")).collect())
+    level, below, above = 0, 0, sum(n for _, n in days)
+    for size, n in days:
+        if below + size * above > total:
+            break
+        level, below, above = size, below + size * n, above - n
+    if above:  # the water stands between two sizes
+        level, extra = divmod(max(0, total - below), above)
+    else:
+        extra = 0
+    quota = F.least(F.col("rows"), F.lit(level))
+    deeper = sizes.where(F.col("rows") > level).orderBy("time").limit(extra).select("time", F.lit(1).alias("more"))
+    return attach(sizes, deeper, "time", "left").select("time", (quota + F.coalesce("more", F.lit(0))).alias("quota"))

@@ -203,10 +203,19 @@ def mean_spell_length(spark, sf):
     return value.mean_spell_length(S.observed(spark, sf), 25.0)
 
 
-@query("time:d n:l", "E9", "SELECT time, least(count(*), 12) AS n FROM valid_points GROUP BY 1")
+# Of the query: cells a day, all cells together, and the factors of the arithmetic hash that orders the cells of a day.
+SAMPLE_PER_DAY, SAMPLE_TOTAL = 12, 20_000
+_SAMPLE_HASH = "(datediff('day', DATE '1970-01-01', time::DATE) * 7919 + iy * 104729 + ix * 1299709 + 7 * 15485863) % 1000003"
+
+
+@query("time:d iy:i ix:i obs:f pred:f", "E9", f"""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY time ORDER BY {_SAMPLE_HASH}, iy, ix) AS r FROM valid_points), n AS (SELECT time, least(count(*), {SAMPLE_PER_DAY}) AS n FROM valid_points GROUP BY 1),
+    levels AS (SELECT l, (SELECT sum(least(n, l)) FROM n) AS filled FROM range(0, {SAMPLE_PER_DAY + 1}) t(l)), level AS (SELECT max(l) AS l, max(filled) AS filled FROM levels WHERE filled <= {SAMPLE_TOTAL}),
+    quota AS (SELECT time, least(n, l) + (n > l AND row_number() OVER (PARTITION BY n > l ORDER BY time) <= {SAMPLE_TOTAL} - filled)::INT AS quota FROM n, level)
+    SELECT time, iy, ix, obs, pred FROM r JOIN quota USING (time) WHERE r <= quota""")
 def seeded_daily_sample(spark, sf):
-    kept = value.seeded_sample(S.pairs(spark, sf).where("obs is not null"), per_day=12, seed=7)
-    return kept.groupBy("time").agg(F.count(F.lit(1)).alias("n"))
+    key = (F.unix_date(F.to_date("time")) * F.lit(7919).cast("long") + F.col("iy") * 104729 + F.col("ix") * 1299709 + 7 * 15485863) % 1000003
+    return value.seeded_sample(S.pairs(spark, sf).where("obs is not null"), SAMPLE_PER_DAY, total=SAMPLE_TOTAL, key=key)
 
 
 # --- area means and signals ----------------------------------------------------------------------------

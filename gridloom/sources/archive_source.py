@@ -122,7 +122,9 @@ class PrunedArchiveReader(ArchiveReader):
                 at = f.value if f.value.tzinfo else f.value.replace(tzinfo=ZoneInfo(self.zone))
                 if isinstance(f, (ds.GreaterThan, ds.GreaterThanOrEqual, ds.EqualTo)):
                     self.low = max(filter(None, (self.low, at)))
-                if isinstance(f, (ds.LessThan, ds.LessThanOrEqual, ds.EqualTo)):
+                if isinstance(f, ds.LessThan):
+                    self.high = min(filter(None, (self.high, at)))
+                if isinstance(f, (ds.LessThanOrEqual, ds.EqualTo)):
                     self.up_to = min(filter(None, (self.up_to, at)))
             yield f
 

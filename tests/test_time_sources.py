@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import labels as L
-from gridloom.operators import quality, timeops
+from gridloom.operators import quality, timeops, value
 from gridloom.operators.align import inventory_diff, require_rows
-from gridloom.sources import archives, catalog, sinks
+from gridloom.sources import archive_source, archives, catalog, sinks
 
 DAY = dt.datetime
 
@@ -132,6 +132,104 @@ def test_sample_sink_skips_written_times(spark, frame, tmp_path):
     assert sorted((r.token, r.value) for r in sinks.read_samples(spark, path).collect()) == [("20000101", 1.0), ("20000102", 2.0)]
 
 
+SAMPLE = "time timestamp, role string, channel string, iy int, ix int, value float"
+
+
+def sample_row(day, value, period=None):
+    row = (DAY(2000, 1, day), "x", "c", 0, 0, value)
+    return row if period is None else (*row, period)
+
+
+def test_a_killed_run_is_redone(spark, frame, tmp_path):
+    """Rows written but not committed stay unseen, and the next run makes those times again, once."""
+    path = str(tmp_path / "s")
+    sinks.write_samples(frame([sample_row(1, 1.0)], SAMPLE), path)
+    commit, sinks._commit = sinks._commit, lambda *a: (_ for _ in ()).throw(KeyboardInterrupt)
+    try:
+        with pytest.raises(KeyboardInterrupt):
+            sinks.write_samples(frame([sample_row(2, 5.0), sample_row(3, 6.0)], SAMPLE), path)
+    finally:
+        sinks._commit = commit
+    assert [r.token for r in sinks.read_samples(spark, path).collect()] == ["20000101"]
+    broken = frame([sample_row(d, 7.0) for d in (2, 3, 4)], SAMPLE).repartition(3).withColumn("value", F.when(F.dayofmonth("time") == 4, F.raise_error(F.lit("lost")).cast("float")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_samples(broken, path)
+    last = sinks.write_samples(frame([sample_row(d, 8.0) for d in (1, 2, 3, 4)], SAMPLE), path)
+    assert sorted((r.token, r.value) for r in sinks.read_samples(spark, path).collect()) == [("20000101", 1.0), ("20000102", 8.0), ("20000103", 8.0), ("20000104", 8.0)]
+    assert len(sinks.sweep_samples(spark, path)) >= 1 and sinks.read_samples(spark, path).count() == 4
+    assert {r.attempt for r in sinks.committed(spark, path).where("token > '20000101'").collect()} == {last}
+
+
+def test_manifest_by_period_and_replacement(spark, frame, tmp_path):
+    path, ddl = str(tmp_path / "s"), SAMPLE + ", period string"
+    sinks.write_samples(frame([sample_row(1, 1.0, "hist"), sample_row(2, 2.0, "hist")], ddl), path)
+    sinks.write_samples(frame([sample_row(1, 9.0, "hist"), sample_row(1, 3.0, "future")], ddl), path)
+    got = lambda: sorted((r.period, r.token, r.value) for r in sinks.read_samples(spark, path).collect())
+    assert got() == [("future", "20000101", 3.0), ("hist", "20000101", 1.0), ("hist", "20000102", 2.0)]
+    sinks.write_samples(frame([sample_row(1, 4.0, "hist")], ddl), path, skip_existing=False)
+    assert ("hist", "20000101", 4.0) in got() and len(got()) == 3
+    with pytest.raises(FileNotFoundError):
+        sinks.read_samples(spark, str(tmp_path / "nothing"))
+
+
+def archive_rows():
+    return [(DAY(2000, 1, d), role, c, iy, ix, float(d * 10 + iy + ix)) for d in range(1, 8) for role, c in (("x", "a"), ("x", "b"), ("y", "t")) for iy in range(2) for ix in range(3) if d < 6 or role == "x"]
+
+
+def test_archive_source_prunes_by_name(spark, frame, tmp_path):
+    folder = str(tmp_path / "a")
+    archive_source.write_archives(frame(archive_rows(), SAMPLE), folder, ["a", "b"], 2, 3)
+    names = sorted(p.name for p in (tmp_path / "a").iterdir() if p.suffix == ".npz")
+    assert names == [f"sample_2000010{d}.npz" for d in range(1, 8)] and not [p for p in (tmp_path / "a").iterdir() if p.name.startswith(".sample")]
+    channel = {("x", "a"): 0, ("x", "b"): 1, ("y", "t"): 0}
+    want = sorted((t.day, role, channel[role, c], iy, ix, v) for t, role, c, iy, ix, v in archive_rows())
+    got = lambda df: sorted((r.time.day, r.role, r.channel_pos, r.iy, r.ix, r.value) for r in df.collect())
+    assert got(archive_source.scan_archives(spark, folder)) == want
+    (tmp_path / "a" / "sample_20000105.npz").write_bytes(b"no archive")  # not opened by a scan of other days
+    (tmp_path / "a" / "notes.txt").write_text("x")
+    part = archive_source.scan_archives(spark, folder, "2000-01-02", "2000-01-04")
+    assert got(part) == [w for w in want if 2 <= w[0] <= 4]
+    reader = archive_source.PrunedArchiveReader({"path": folder, "start": "2000-01-02"})
+    list(reader.pushFilters([archive_source.ds.LessThan(("time",), DAY(2000, 1, 4)), archive_source.ds.EqualTo(("role",), "x")]))
+    assert [at.day for p in reader.partitions() for _, at in p.value] == [2, 3, 4]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = archive_source.scan_archives(spark, folder).where("time < timestamp '2000-01-05' and time >= timestamp '2000-01-03'")
+        assert got(pushed) == [w for w in want if 3 <= w[0] <= 4]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_archive_headers(spark, frame, tmp_path):
+    folder = str(tmp_path / "a")
+    archive_source.write_archives(frame(archive_rows(), SAMPLE), folder, ["a", "b"], 2, 3)
+    np.savez(tmp_path / "a" / "sample_20000108.npz", x=np.zeros((2, 2, 3)), y=np.zeros((1, 2, 4), np.float32))
+    np.savez(tmp_path / "a" / "sample_20000109.npz", x=np.zeros(5, np.float32))
+    table = archive_source.archive_structure(archive_source.archive_headers(spark, folder), "2000-01-06").collect()
+    got = {r.date.day: (r.roles, r.channels, r.ny, r.nx, r.status) for r in table}
+    assert got[1] == ("x,y", 2, 2, 3, "ok") and got[6] == ("x", 2, 2, 3, "fail") and got[7] == ("x", 2, 2, 3, "ok")
+    assert got[8][-1] == got[9][-1] == "fail"
+
+
+def test_quotas_fill_uneven_days(spark, frame):
+    sizes = [3, 0, 10, 7, 7, 1, 12]
+    days = frame([(DAY(2000, 1, d + 1), n) for d, n in enumerate(sizes)], "time timestamp, rows int")
+    for total in (0, 1, 6, 13, 30, 39, 40, 100):
+        got = [r.quota for r in value.day_quotas(days, total).orderBy("time").collect()]
+        assert sum(got) == min(total, sum(sizes)) and all(q <= n for q, n in zip(got, sizes))
+        level = max(got)
+        assert all(q == n or q >= level - 1 for q, n in zip(got, sizes))
+
+
+def test_total_cap_is_met_exactly(frame):
+    rows = [(DAY(2000, 1, d), 0, i, float(i), float(-i)) for d, n in ((1, 3), (2, 40), (3, 25)) for i in range(n)]
+    pairs = frame(rows, "time timestamp, iy int, ix int, obs double, pred double")
+    for total, want in ((100, [3, 20, 20]), (30, [3, 14, 13]), (5, [2, 2, 1])):
+        kept = value.seeded_sample(pairs, 20, total=total).collect()
+        assert sorted(sum(r.time.day == d for r in kept) for d in (1, 2, 3)) == sorted(want)
+        assert all(r.obs == -r.pred for r in kept) and len({(r.time, r.ix) for r in kept}) == len(kept)
+
+
 def test_frozen_statistics(spark, frame, tmp_path):
     path = str(tmp_path / "st")
     with pytest.raises(FileNotFoundError):
