@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.columns import finite
 from gridloom.operators.geometry import axis_bounds
 from gridloom.session import attach, materialise
 
@@ -130,9 +131,9 @@ def nearest_cells(points: DataFrame, grid: DataFrame, bucket: float, point: str
     neighbourhoods of coarser buckets, four times as wide each round, until every point is settled.
     """
     settled = None
-    # A point without a position has no nearest cell; an empty grid has none at all.
-    todo, width = points.where("lon is not null and lat is not null").select(point, "lon", "lat"), bucket
-    grid = grid.where("lon is not null and lat is not null")
+    # A point without a (finite) position has no nearest cell; an empty grid has none at all.
+    placed = lambda df: df.withColumns({c: finite(c) for c in ("lon", "lat")}).where("lon is not null and lat is not null")
+    todo, width, grid = placed(points).select(point, "lon", "lat"), bucket, placed(grid)
     if grid.isEmpty():
         return grid.select(F.lit(None).cast(dict(points.dtypes)[point]).alias(point), "iy", "ix").limit(0)
     while True:
@@ -170,14 +171,20 @@ def scatter_points(values: DataFrame, cells: DataFrame, keys=("time",), point: s
     return placed.groupBy(*keys, "iy", "ix").agg(F.max_by(value, point).alias(value))
 
 
-def lapse_rate_correction(field: DataFrame, source_height: DataFrame, target_height: DataFrame, value: str = "value") -> DataFrame:
+def lapse_rate_correction(field: DataFrame, source_height: DataFrame, target_height: DataFrame, value: str = "value",
+                          source_weights: DataFrame | None = None, target_weights: DataFrame | None = None) -> DataFrame:
     """value + (target height on the source grid - source height) * lapse rate, for tas only.
 
-    Heights are (iy, ix, height) tables on the grid of the field; a missing height counts as 0.
+    Heights are (iy, ix, height) tables; a missing height counts as 0. Heights on other grids are first brought to the grid
+    of the field by their weights (bilinear as a rule).
     """
+    def heights(table: DataFrame, weights: DataFrame | None, name: str) -> DataFrame:
+        rows = table.select("iy", "ix", F.coalesce("height", F.lit(0.0)).alias("height"))
+        on_field = rows if weights is None else regrid(rows, weights, keys=(), values=("height",), renormalise=True)
+        return on_field.select("iy", "ix", F.col("height").alias(name))
+
     delta = (
-        target_height.select("iy", "ix", F.col("height").alias("_ht"))
-        .join(source_height.select("iy", "ix", F.col("height").alias("_hs")), ["iy", "ix"], "full_outer")
+        heights(target_height, target_weights, "_ht").join(heights(source_height, source_weights, "_hs"), ["iy", "ix"], "full_outer")
         .select("iy", "ix", (F.coalesce("_ht", F.lit(0.0)) - F.coalesce("_hs", F.lit(0.0))).alias("_dh"))
     )
     out = attach(field, delta, ["iy", "ix"], "left")

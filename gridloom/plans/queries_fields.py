@@ -68,12 +68,6 @@ def land_sea_mask(spark, sf):
     return masks.land_sea_mask(S.observed(spark, sf), mask, "era5")
 
 
-@query("time:d iy:i ix:i value:f", "B7", """
-    SELECT time, iy, ix, CASE WHEN region IN (3, 7, 11) THEN NULL ELSE obs END AS value FROM daily_points LEFT JOIN grid_cells USING (iy, ix)""")
-def region_mask(spark, sf):
-    return masks.null_regions(S.observed(spark, sf), S.grid(spark, sf).select("iy", "ix", "region"), (3, 7, 11))
-
-
 @query("time:d channel:s iy:i ix:i value:f", "B8", """
     SELECT time, 'ml input' AS channel, iy, ix, CASE WHEN obs IS NOT NULL THEN ml END AS value FROM daily_points
     UNION ALL SELECT time, 'raw input', iy, ix, CASE WHEN obs IS NOT NULL THEN raw END FROM daily_points""")
@@ -440,10 +434,36 @@ def nearest_in_time(spark, sf):
     return requests.join(found, ["at", "iy", "ix"])
 
 
+@query("time:d iy:i ix:i value:f", "B7", f"""WITH {_CONSERVATIVE}, hit AS (SELECT src_iy AS iy, src_ix AS ix, 1 AS hit FROM weights WHERE w > 0 GROUP BY 1, 2 HAVING bool_and(dst_iy * 4 + dst_ix IN (1, 5, 6, 11)))
+    SELECT time, iy, ix, CASE WHEN hit IS NULL THEN obs END AS value FROM daily_points LEFT JOIN hit USING (iy, ix)""")
+def region_mask(spark, sf):
+    """Regions come as a raster of a coarser grid, whose indicator is regridded."""
+    coarse, fine = coarse_grid(spark, sf), S.grid(spark, sf)
+    raster = coarse.select("iy", "ix", (F.col("iy") * 4 + F.col("ix")).alias("region"))
+    return masks.null_regions(S.observed(spark, sf), raster, (1, 5, 6, 11), regrid.conservative_weights(coarse, fine))
+
+
+@query("time:d iy:i ix:i value:f", "B7", """
+    SELECT time, iy, ix, CASE WHEN region IN (3, 7, 11) THEN NULL ELSE obs END AS value FROM daily_points LEFT JOIN grid_cells USING (iy, ix)""")
+def region_mask_own_grid(spark, sf):
+    return masks.null_regions(S.observed(spark, sf), S.grid(spark, sf).select("iy", "ix", "region"), (3, 7, 11))
+
+
+@query("time:d iy:i ix:i value:f", "C15", f"""WITH {_COARSE}, h AS (SELECT iy, ix, least(greatest(lon, (SELECT min(lon) FROM coarse)), (SELECT max(lon) FROM coarse)) AS x, least(greatest(lat, (SELECT min(lat) FROM coarse)), (SELECT max(lat) FROM coarse)) AS y FROM grid_cells)
+    SELECT time, iy, ix, obs + ((x * 2 - y * 4 + 10) - (x * 3 + y * 5)) * -0.0065 AS value FROM daily_points JOIN h USING (iy, ix)""")
+def lapse_rate(spark, sf):
+    """Both heights lie on the coarse grid, linear in its coordinates, which bilinear weights bring exactly to the field."""
+    coarse, fine = coarse_grid(spark, sf), S.grid(spark, sf)
+    height = lambda h: coarse.select("iy", "ix", h.alias("height"))
+    lon, lat, weights = F.col("lon"), F.col("lat"), regrid.bilinear_weights(coarse, fine)
+    field = S.observed(spark, sf).withColumn("variable", F.lit("tas"))
+    return regrid.lapse_rate_correction(field, height(lon * 3 + lat * 5), height(lon * 2 - lat * 4 + 10), source_weights=weights, target_weights=weights)
+
+
 @query("time:d iy:i ix:i value:f", "C15", """
     WITH m AS (SELECT avg(height) AS h FROM grid_cells)
     SELECT time, iy, ix, obs + (h - height) * -0.0065 AS value FROM daily_points JOIN grid_cells USING (iy, ix), m""")
-def lapse_rate(spark, sf):
+def lapse_rate_own_grid(spark, sf):
     g = S.grid(spark, sf)
     smooth = g.select("iy", "ix", g.agg(F.avg("height").alias("h")).scalar().alias("height"))
     field = S.observed(spark, sf).withColumn("variable", F.lit("tas"))
