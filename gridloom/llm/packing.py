@@ -111,6 +111,8 @@ def tokenised(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
             data, offsets = tb.column(batch.column(1))
             for i, j in tb.slices(offsets):
                 flat, counts = encoder.batch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                if len(flat) and int(flat.max()) > 0xFFFF:
+                    raise OverflowError("ids are kept in 16 bits; this vocabulary has larger ones")
                 body = np.ascontiguousarray(flat.astype("<u2"))
                 ends = np.cumsum(counts)
                 at = np.concatenate([[0], ends * 2])
