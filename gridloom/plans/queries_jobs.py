@@ -17,7 +17,7 @@ from gridloom.plans.queries_fields import _APPLY, _CONSERVATIVE, _COARSE, coarse
 from gridloom.plans.queries_skill import corr_sql
 from gridloom.plans.registry import query
 from gridloom.session import materialise, new_path
-from gridloom.sources import archive_source, catalog, sinks
+from gridloom.sources import archive_source, catalog, readers, sinks
 from gridloom.streaming import skill_stream
 
 # --- sources and sinks ---------------------------------------------------------------------------------
@@ -656,6 +656,77 @@ def source_reader(spark, sf):
     return composites.read_source(field, g, (36.0, 252.0, 8.0, 22.0), "era5", mask, "era5", g.select("iy", "ix", "height"), smooth)
 
 
+def source_catalog(spark, sf):
+    """Four sources twice a day: a reanalysis and observations, a model and a regional model with two scenarios."""
+    p = S.daily_points(spark, sf)
+    hours = F.explode(F.array(F.lit(0), F.lit(12))).alias("h")
+    rows = p.select("time", "iy", "ix", "obs", "raw", "bc", "ml", hours)
+
+    def part(source, variable, scenario, value, where="true"):
+        at = F.col("time").cast("timestamp") + F.make_dt_interval(hours=F.col("h"))
+        return rows.where(where).select(F.lit(source).alias("source"), F.lit(variable).alias("variable"), F.lit(scenario).alias("scenario"), F.lit("r1").alias("member"),
+                                        at.alias("time"), "iy", "ix", (value + F.col("h") / 12).alias("value"))
+
+    parts = [part("reanalysis_a", "tas", "historical", F.col("raw") + 250), part("station_a", "tas", "historical", F.col("obs"))]
+    for name, variable, value in (("model_a", "tas", F.col("ml") + 240), ("regional_a", "pr", (F.col("bc") - 20) / 86400)):
+        parts += [part(name, variable, "historical", value, "time < '1999-06-01'"), part(name, variable, "ssp585", value + 1, "time >= '1998-01-01'")]
+    out = parts[0]
+    for q in parts[1:]:
+        out = out.unionByName(q)
+    root = new_path(spark, "sources")
+    catalog.write_field(out, root)
+    return catalog.open_catalog(spark, root)
+
+
+SOURCES = {s.name: s for s in (
+    readers.Source("reanalysis_a", "reanalysis", "latlon", "era5"), readers.Source("model_a", "model", "gcm", "gcm"),
+    readers.Source("regional_a", "model", "rcm", "rcm"), readers.Source("station_a", "observation", "eobs", "eobs", "eobs"),
+)}
+_DOMAIN = (-110.0, 75.0, 6.0, 22.0)
+_DEGREES = "deg AS (SELECT iy, ix, (lon + 180) % 360 - 180 AS lon, lat, height FROM grid_cells)"
+_INSIDE = "lon BETWEEN -110 AND 75 AND lat BETWEEN 6 AND 22"
+
+
+def _kelvin(rows: str) -> str:
+    return f"SELECT r.* REPLACE (CASE WHEN m < 100 THEN value + 273.15 ELSE value END AS value) FROM ({rows}) r JOIN (SELECT time, avg(value) AS m FROM ({rows}) GROUP BY 1) USING (time)"
+
+
+_REANALYSIS = f"SELECT time, iy, ix, lon, lat, raw + 250.5 + (100 - coalesce(height, 0)) * -0.0065 AS value FROM daily_points JOIN deg USING (iy, ix) WHERE {_INSIDE} AND time >= '1996-02-01' AND time < '1999-02-01'"
+_MODEL = f"SELECT time, iy, ix, lon, lat, ml + 240.5 + CASE WHEN time >= '1999-01-01' THEN 1 ELSE 0 END AS value FROM daily_points JOIN deg USING (iy, ix) WHERE {_INSIDE} AND time >= '1997-02-01' AND time < '2000-02-01'"
+_STATION = f"SELECT time, iy, ix, lon, lat, CASE WHEN height > 0 THEN NULL ELSE obs + 0.5 END AS value FROM daily_points JOIN deg USING (iy, ix) WHERE {_INSIDE} AND time >= '1996-02-01' AND time < '1999-02-01'"
+
+
+def native_grid(spark, sf):
+    """Spelled as such files spell it, longitudes from 0 to 360."""
+    return S.grid(spark, sf).select("iy", "ix", F.col("lon").alias("longitude"), F.col("lat").alias("latitude"))
+
+
+@query("time:d iy:i ix:i lon:f lat:f value:f", "P1", f"WITH {_DEGREES} {_kelvin(_REANALYSIS)}")
+def read_reanalysis(spark, sf):
+    own = S.grid(spark, sf).select("iy", "ix", "height")
+    heights = (own, own.select("iy", "ix", F.lit(100.0).alias("height")), None, None)
+    return readers.read(source_catalog(spark, sf), SOURCES["reanalysis_a"], native_grid(spark, sf), "tas", "1996-02-01", "1999-01-31", _DOMAIN, heights=heights)
+
+
+@query("time:d iy:i ix:i lon:f lat:f value:f", "P1", f"WITH {_DEGREES} {_kelvin(_MODEL)}")
+def read_model(spark, sf):
+    return readers.read(source_catalog(spark, sf), SOURCES["model_a"], native_grid(spark, sf), "tas", "1997-02-01", "2000-01-31", _DOMAIN, split="1999-01-01")
+
+
+@query("time:d iy:i ix:i x:f y:f value:f", "P1", """
+    SELECT time, iy, ix, (ix * 12.5 - 50) * 1000 AS x, (iy * 12.5 + 25) * 1000 AS y, greatest((bc - 20) / 86400 + 0.5 + CASE WHEN time >= '1999-01-01' THEN 1 ELSE 0 END, 0) * 86400 AS value
+    FROM daily_points WHERE time >= '1998-11-01' AND time < '1999-04-01'""")
+def read_regional(spark, sf):
+    grid = S.grid(spark, sf).select("iy", "ix", (F.col("ix") * 12.5 - 50).alias("i"), (F.col("iy") * 12.5 + 25).alias("j"))
+    return readers.read(source_catalog(spark, sf), SOURCES["regional_a"], grid, "pr", "1998-11-01", "1999-03-31", split="1999-01-01")
+
+
+@query("time:d iy:i ix:i lon:f lat:f value:f", "P1", f"WITH {_DEGREES} {_kelvin(_STATION)}")
+def read_observation(spark, sf):
+    mask = S.grid(spark, sf).select("iy", "ix", (F.col("height") > 0).cast("double").alias("mask_value"))
+    return readers.read(source_catalog(spark, sf), SOURCES["station_a"], native_grid(spark, sf), "tas", "1996-02-01", "1999-01-31", _DOMAIN, mask=mask)
+
+
 _FINE = "fine AS (SELECT src_iy AS dst_iy, src_ix AS dst_ix, dst_iy AS src_iy, dst_ix AS src_ix, w / sum(w) OVER (PARTITION BY src_iy, src_ix) AS w FROM weights WHERE w > 0)"
 _BRIDGE = f"{_FINE}, bridge AS (SELECT a.src_iy, a.src_ix, b.dst_iy, b.dst_ix, sum(a.w * b.w) AS w FROM weights a JOIN fine b ON a.dst_iy = b.src_iy AND a.dst_ix = b.src_ix WHERE a.w > 0 GROUP BY 1, 2, 3, 4)"
 

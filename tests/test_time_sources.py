@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import labels as L
 from gridloom.operators import quality, timeops, value
 from gridloom.operators.align import inventory_diff, require_rows
-from gridloom.sources import archive_source, archives, catalog, sinks
+from gridloom.sources import archive_source, archives, catalog, readers, sinks
 
 DAY = dt.datetime
 
@@ -250,3 +250,31 @@ def test_quality_messages(frame):
     r = inventory_diff(e, frame([("b",), ("c",)], "k string"), "k").first()
     assert (r.missing_head, r.extra_head, r.status) == ("a", "c", "fail")
     assert inventory_diff(e, frame([("a",), ("b",), ("c",)], "k string"), "k", allow_extra=True).first().status == "ok"
+
+
+def test_readers_by_kind_and_their_errors(spark, frame, tmp_path):
+    ddl = "source string, variable string, scenario string, member string, time timestamp, iy int, ix int, value double"
+    rows = [("obs", "tas", "historical", "r1", DAY(2000, 1, 1, h), 0, x, float(x + h)) for h in (0, 12) for x in range(3)]
+    rows += [("rcm", "pr", s, "r1", DAY(y, 1, 1), 0, x, -1.0 if x == 0 else 1 / 86400) for s, y in (("historical", 2014), ("ssp585", 2015)) for x in range(3)]
+    catalog.write_field(frame(rows, ddl), str(tmp_path / "c"))
+    cat = catalog.open_catalog(spark, str(tmp_path / "c"))
+    grid = frame([(0, x, 350.0 + x * 8, 45.0) for x in range(3)], "iy int, ix int, longitude double, latitude double")
+    obs = readers.Source("obs", "observation", "eobs", "eobs", "eobs")
+    mask = frame([(0, 0, 1.0), (0, 1, 0.0)], "iy int, ix int, mask_value double")
+    got = readers.read(cat, obs, grid, "tas", "2000-01-01", "2000-01-01", (-11.0, 0.0, 40.0, 50.0), mask=mask).collect()
+    assert sorted((r.ix, r.lon, r.value) for r in got) == [(0, -10.0, None), (1, -2.0, pytest.approx(7.0 + 273.15))]
+    with pytest.raises(ValueError, match="no mask"):
+        readers.read(cat, obs, grid, "tas", "2000-01-01", "2000-01-01", None)
+    rcm = readers.Source("rcm", "model", "rcm", "rcm")
+    axes = frame([(0, x, 12.5 * x, 1.0) for x in range(3)], "iy int, ix int, x double, y double")
+    got = readers.read(cat, rcm, axes, "pr", "2014-01-01", "2015-12-31").collect()
+    assert len(got) == 6 and {(r.ix, r.x, r.value) for r in got} == {(0, 0.0, 0.0), (1, 12500.0, 1.0), (2, 25000.0, 1.0)}
+    with pytest.raises(ValueError, match="projected"):
+        readers.read(cat, rcm, grid, "pr", "2014-01-01", "2014-12-31")
+    with pytest.raises(KeyError, match="unknown source"):
+        readers.read(cat, readers.Source("none", "reanalysis", "latlon", "era5"), grid, "tas", "2000-01-01", "2000-01-02", (0, 1, 0, 1))
+    with pytest.raises(FileNotFoundError):
+        readers.read(cat, rcm, axes, "tas", "2014-01-01", "2014-12-31")
+    with pytest.raises(KeyError, match="kind"):
+        readers.read(cat, readers.Source("obs", "satellite", "latlon", "x"), grid, "tas", "2000-01-01", "2000-01-02")
+    assert (readers.family_of(axes), readers.family_of(grid)) == ("rcm", "latlon")
