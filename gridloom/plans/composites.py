@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import finite, geopotential_height
 from gridloom.operators import biascorr, compare, distrib, geometry, masks, regrid, samples, signal, skill, timeops
-from gridloom.session import attach
+from gridloom.session import attach, materialise
 from gridloom.sources import sinks
 
 
@@ -55,11 +55,25 @@ def correction_bundle(sim: DataFrame, reference: DataFrame, reference_to_sim: Da
     return sinks.build_bundle(sim, obs, periods)
 
 
-def corrected_samples(bundle: DataFrame, weights: DataFrame, static: DataFrame, channel: str, target: DataFrame | None = None, guarded: bool = False) -> DataFrame:
-    """Correct a bundle, bring it to the target grid and stack it as samples."""
+def corrected_samples(bundle: DataFrame, weights: DataFrame, static: DataFrame, channel: str, target: DataFrame | None = None, guarded: bool = False,
+                      pseudo_truth: DataFrame | None = None) -> DataFrame:
+    """Correct a bundle, bring it to the target grid and stack it as samples with their ``period``.
+
+    The target is ``target``, or for a perfect-model experiment ``pseudo_truth`` (time, iy, ix, value on the target grid),
+    of the times that the bundle has.
+    """
     corrected = biascorr.guarded_cdft(bundle) if guarded else biascorr.cdft(bundle)
-    series = corrected.select("time", "iy", "ix", F.col("corrected").alias("value"))
-    return samples.stack_channels({channel: regrid.regrid(series, weights, renormalise=True)}, static, target=target)
+    corrected = materialise(corrected.select("period", "time", "iy", "ix", F.col("corrected").alias("value")), "corrected")
+    # A time belongs to one period.
+    periods = corrected.groupBy("time").agg(F.min("period").alias("period"))
+    stacked = samples.stack_channels({channel: regrid.regrid(corrected, weights, renormalise=True)}, static, target=pseudo_truth if target is None else target)
+    return attach(stacked, periods, "time", derived=True)
+
+
+def write_and_read(built: DataFrame, path: str, frequency: str = "daily") -> DataFrame:
+    """Samples through the sink: what is committed there, each time once."""
+    sinks.write_samples(built, path, frequency)
+    return sinks.read_samples(built.sparkSession, path)
 
 
 def prepare_target(target: DataFrame, grid: DataFrame, geopotential: DataFrame, geopotential_grid: DataFrame, domain) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import gamma
 from gridloom.operators import biascorr, cellwise, geometry, normalise, samples, scoring, skill, timeops
-from gridloom.operators.regrid import chain_weights, conservative_weights
+from gridloom.operators.regrid import chain_weights, conservative_weights, regrid
 from gridloom.plans import composites
 from gridloom.plans import standins as S
 from gridloom.plans.queries_compare import xy_samples
@@ -742,30 +742,29 @@ def _renorm(rel: str, weights: str, v: str = "value") -> str:
     return f"SELECT time, dst_iy AS iy, dst_ix AS ix, sum(w * {v}) / sum(w) FILTER ({v} IS NOT NULL) AS value FROM {weights} JOIN {rel} src ON src.iy = src_iy AND src.ix = src_ix WHERE w > 0 GROUP BY 1, 2, 3"
 
 
-@query("role:s channel:s n:l mean:g", "P2", f"""WITH {_CONSERVATIVE}, {_BRIDGE}, r AS ({_renorm('monthly_points', 'bridge', 'raw')}), k AS (SELECT r.*, obs FROM r LEFT JOIN monthly_points USING (time, iy, ix))
-    SELECT 'x' AS role, 'raw input' AS channel, count(*) FILTER (obs IS NOT NULL) AS n, avg(value) FILTER (obs IS NOT NULL) AS mean FROM k UNION ALL SELECT 'y', 'target', count(obs), avg(obs) FROM monthly_points
-    UNION ALL SELECT 'x', 'elevation', count(*) FILTER (obs IS NOT NULL), avg(height) FILTER (obs IS NOT NULL) FROM k JOIN grid_cells USING (iy, ix)""")
+@query("time:d role:s channel:s iy:i ix:i value:g", "P2 A7", f"""WITH {_CONSERVATIVE}, {_BRIDGE}, r AS ({_renorm('daily_points', 'bridge', 'raw')}), k AS (SELECT r.*, obs FROM r LEFT JOIN daily_points USING (time, iy, ix))
+    SELECT time, 'x' AS role, 'raw input' AS channel, iy, ix, CASE WHEN obs IS NOT NULL THEN value::FLOAT END AS value FROM k UNION ALL SELECT time, 'y', 'target', iy, ix, obs::FLOAT FROM daily_points
+    UNION ALL SELECT time, 'x', 'elevation', iy, ix, CASE WHEN obs IS NOT NULL THEN height::FLOAT END FROM k JOIN grid_cells USING (iy, ix)""")
 def training_sample_build(spark, sf):
-    m = S.monthly_points(spark, sf)
-    field = lambda c: m.select("time", "iy", "ix", F.col(c).alias("value"))
+    p = S.daily_points(spark, sf)
+    field = lambda c: p.select("time", "iy", "ix", F.col(c).alias("value"))
     static = S.grid(spark, sf).select("iy", "ix", F.col("height").alias("value"))
     built = composites.training_samples(field("obs"), static, {"raw input": field("raw")}, bridge(spark, sf))
-    return built.groupBy("role", "channel").agg(F.count("value").alias("n"), F.avg(F.col("value").cast("double")).alias("mean"))
+    return composites.write_and_read(built, new_path(spark, "training"))
 
 
-@query("role:s channel:s n:l mean:g", "P3", f"""WITH {_CONSERVATIVE}, d AS (SELECT time, iy, ix, raw AS value, bc FROM daily_points), r AS ({_renorm('d', 'weights')}), b AS ({_renorm('d', 'weights', 'bc')}), o AS ({_renorm('daily_points', 'weights', 'obs')})
-    SELECT 'x' AS role, 'raw input' AS channel, count(value) AS n, avg(value) AS mean FROM r UNION ALL SELECT 'x', 'raw input corrected', count(value), avg(value) FROM b UNION ALL SELECT 'y', 'target', count(value), avg(value) FROM o WHERE time < '1999-01-01'
-    UNION ALL SELECT 'x', 'elevation', count(*), avg(iy * 100.0 + ix) FROM r""")
+@query("time:d role:s channel:s iy:i ix:i value:g", "P3 A7", f"""WITH {_CONSERVATIVE}, d AS (SELECT time, iy, ix, raw AS value, bc FROM daily_points), r AS ({_renorm('d', 'weights')}), b AS ({_renorm('d', 'weights', 'bc')}), o AS ({_renorm('daily_points', 'weights', 'obs')})
+    SELECT time, 'x' AS role, 'raw input' AS channel, iy, ix, value::FLOAT AS value FROM r UNION ALL SELECT time, 'x', 'raw input corrected', iy, ix, value::FLOAT FROM b UNION ALL SELECT time, 'y', 'target', iy, ix, value::FLOAT FROM o WHERE time < '1999-01-01'
+    UNION ALL SELECT time, 'x', 'elevation', iy, ix, (iy * 100.0 + ix)::FLOAT FROM r""")
 def simulation_sample_build(spark, sf):
     p = S.daily_points(spark, sf)
-    field = lambda c: p.select("time", "iy", "ix", F.col(c).alias("value"))
+    field = lambda c: p.select("time", "iy", "ix", F.col(c).alias("value"))
     coarse = coarse_grid(spark, sf)
     weights = conservative_weights(S.grid(spark, sf), coarse)
-    from gridloom.operators.regrid import regrid
     target = regrid(field("obs"), weights, renormalise=True)
     static = coarse.select("iy", "ix", (F.col("iy") * 100.0 + F.col("ix")).alias("value"))
     built = composites.simulation_samples(field("raw"), "daily", "daily", weights, static, "raw input", target, field("bc"), "1998-12-31")
-    return built.groupBy("role", "channel").agg(F.count("value").alias("n"), F.avg(F.col("value").cast("double")).alias("mean"))
+    return composites.write_and_read(built, new_path(spark, "simulation"))
 
 
 @query("period:s time:d iy:i ix:i obs:f sim:f", "P4", f"""WITH {_CONSERVATIVE}, {_BRIDGE}, o AS ({_renorm('monthly_points', 'bridge', 'obs')}), m AS (SELECT CASE WHEN year(time) <= 1998 THEN 'train_hist' WHEN year(time) <= 2000 THEN 'test_hist' ELSE 'test_future' END AS period, time, iy, ix, raw FROM monthly_points)
@@ -776,14 +775,16 @@ def correction_bundle_build(spark, sf):
     return composites.correction_bundle(field("raw"), field("obs"), bridge(spark, sf), S.PERIODS)
 
 
-@query("channel:s n:l mean:g", "P5", f"""WITH b AS ({_BUNDLE}), {cdft_sql('b', 'b', 100)}, {_CONSERVATIVE}, r AS ({_renorm('corrected', 'weights', 'corrected')})
-    SELECT 'tas input' AS channel, count(value) AS n, avg(value) AS mean FROM r UNION ALL SELECT 'elevation', count(*), avg(iy * 100.0 + ix) FROM r""")
+@query("period:s time:d role:s channel:s iy:i ix:i value:g", "P5 A7", f"""WITH b AS ({_BUNDLE}), {cdft_sql('b', 'b', 100)}, {_CONSERVATIVE}, r AS ({_renorm('corrected', 'weights', 'corrected')}), truth AS ({_renorm('daily_points', 'weights', 'ml')}),
+    spans AS (SELECT DISTINCT time, period FROM b) SELECT period, time, role, channel, iy, ix, value FROM (
+    SELECT time, 'x' AS role, 'tas input' AS channel, iy, ix, value::FLOAT AS value FROM r UNION ALL SELECT time, 'x', 'elevation', iy, ix, (iy * 100.0 + ix)::FLOAT FROM r UNION ALL SELECT time, 'y', 'target', iy, ix, value::FLOAT FROM truth) JOIN spans USING (time)""")
 def corrected_sample_build(spark, sf):
     coarse = coarse_grid(spark, sf)
     weights = conservative_weights(S.grid(spark, sf), coarse)
     static = coarse.select("iy", "ix", (F.col("iy") * 100.0 + F.col("ix")).alias("value"))
-    built = composites.corrected_samples(bundle(spark, sf), weights, static, "tas input")
-    return built.groupBy("channel").agg(F.count("value").alias("n"), F.avg(F.col("value").cast("double")).alias("mean"))
+    truth = regrid(S.daily_points(spark, sf).select("time", "iy", "ix", F.col("ml").alias("value")), weights, renormalise=True)
+    built = composites.corrected_samples(bundle(spark, sf), weights, static, "tas input", pseudo_truth=truth)
+    return composites.write_and_read(built, new_path(spark, "corrected"))
 
 
 @query("iy:i ix:i elevation:f n:l mean:f", "P6", f"""WITH {_COARSE}, e AS (SELECT coarse.iy AS iy, coarse.ix AS ix, (coarse.lon * 3 + coarse.lat * 5) * 9.80665 AS z FROM coarse), t AS (SELECT iy, ix, count(obs) AS n, avg(obs) AS mean FROM daily_points GROUP BY 1, 2)
