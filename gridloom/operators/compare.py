@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.labels import tag_label
 from gridloom.operators.align import valid_pairs
-from gridloom.operators.distrib import exact_quantiles
+from gridloom.operators.distrib import COMMON_BINS, COMMON_RANGE, bin_index, exact_quantiles
 from gridloom.operators.skill import monthly_skill_summary, skill_summary
 from gridloom.operators.value import value_summary
-from gridloom.session import attach
+from gridloom.session import attach, materialise
 
 QUANTILES = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
 
@@ -184,8 +184,25 @@ def uses_direct_predictions(test_name):
     return c.endswith("_raw") | c.startswith("baseline") | (c == "era5_raw")
 
 
-def comparison_suite(pairs: DataFrame, method: str = "method") -> DataFrame:
-    """Daily, monthly and distribution diagnostics of all methods as (method, block, season, metric, value)."""
+def density_block(pairs: DataFrame, method: str, lo: float, hi: float, bins: int) -> DataFrame:
+    """Densities of obs and pred of all methods on common bins, as (method, series, bin, density).
+
+    One aggregation counts the joint bins of obs and pred, at most (bins + 1) squared rows per method, which can be merged
+    over chunks; both margins follow from it. Values outside [lo, hi] fall into no bin; empty bins have density 0.
+    """
+    counts = pairs.groupBy(method, *[bin_index(c, lo, hi, bins).alias(f"bin_{c}") for c in ("obs", "pred")]).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts, "joint-bins")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("series"), F.col(f"bin_{c}").alias("bin")) for c in ("obs", "pred")])).alias("s")
+    sums = counts.select(method, each, "n").where("s.bin is not null").groupBy(method, "s.series").pivot("s.bin", list(range(bins))).agg(F.sum("n"))
+    filled = [F.coalesce(F.col(f"`{k}`"), F.lit(0)) for k in range(bins)]
+    width = (hi - lo) / bins
+    total = sum(filled[1:], filled[0])
+    return sums.select(method, "series", F.posexplode(F.transform(F.array(*filled), lambda n: n / (total * width))).alias("bin", "density"))
+
+
+def comparison_suite(pairs: DataFrame, method: str = "method", density_range: tuple[float, float] = COMMON_RANGE, bins: int = COMMON_BINS) -> DataFrame:
+    """Daily, monthly and distribution diagnostics and densities of all methods as (method, block, season, metric, value).
+    In the block ``density``, ``season`` names the series and ``metric`` the bin of ``density_range``."""
     keys = [method]
     names = ["rmse_temporal_mean", "rmse_spatial_mean", "bias_spatial_mean", "bias_spatial_std", "corr_spatial_mean", "corr_temporal_mean", "variability_mean"]
 
@@ -199,6 +216,8 @@ def comparison_suite(pairs: DataFrame, method: str = "method") -> DataFrame:
         long(skill_summary(pairs, keys), "daily", [method, "season"], names)
         .unionByName(long(monthly_skill_summary(pairs, keys), "monthly", [method, "season"], names))
         .unionByName(long(value, "value", [method], [c for c in value.columns if c != method]))
+        .unionByName(density_block(pairs, method, *density_range, bins).select(
+            method, F.lit("density").alias("block"), F.col("series").alias("season"), F.concat(F.lit("bin_"), F.col("bin")).alias("metric"), F.col("density").alias("value")))
     )
 
 
