@@ -36,7 +36,7 @@ COARSE = 64  # coordinates of the boxes: sums of neighbouring ones
 FINEST = 1 << 16
 FULL = 255  # the largest count that a coordinate holds
 ROUNDS = 2  # rounds that look for the nearest point of another component only
-BLOCK = 4096  # members of a bucket indexed together
+BLOCK = 2048  # members of a bucket indexed together
 _SHINGLE = tuple(np.uint64(2 * k + 1) for k in (0x4F1BBCDCBFA53E0A, 0x2545F4914F6CDD1C, 0x1B873593CC9E2D51, 0x38495AB5A1B2C3D4, 0x5851F42D4C957F2D))
 
 
@@ -287,8 +287,8 @@ def set_table(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                sets = [s for s in shingles(*tb.column(batch.column(0).slice(i, 256)), rule.words) if len(s)]
+            for i in range(0, batch.num_rows, 64):
+                sets = [s for s in shingles(*tb.column(batch.column(0).slice(i, 64)), rule.words) if len(s)]
                 nodes = pa.array([node_of(s)[0] for s in sets], pa.int64())
                 if whole:
                     columns = [nodes, _lists(sets)]
@@ -389,7 +389,7 @@ def tree_pairs(members: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
                         tree, names, own = _grown(held)
                         for out, column in zip((found_a, found_b), answers(tree, names, *own)):
                             out.append(column)
-                    at, held, tree = key, [], None
+                    at, held, tree, own = key, [], None, None
                 rows_ = (node[low:high], root[low:high], n[low:high], _points(batch.column(6).slice(low, high - low)))
                 if not asks[low]:
                     held.append(rows_)
@@ -398,6 +398,7 @@ def tree_pairs(members: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
                     tree, names, own = _grown(held)
                     for out, column in zip((found_a, found_b), answers(tree, names, *own)):
                         out.append(column)
+                    held, own = [], None  # the tree has its own copy of the points
                 for out, column in zip((found_a, found_b), answers(tree, names, *rows_)):
                     out.append(column)
             yield _pairs(found_a, found_b)
