@@ -149,3 +149,23 @@ def test_one_of_each_and_odd_tables(spark, odd, no_docs):
     kept = nj.one_of_each(odd)
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in odd.collect() if r.doc_id != 6)
+
+
+def test_points_of_all_sizes_bound_the_overlap():
+    """Points have more coordinates for larger sets; on the coarser of two the bound never falls below the overlap."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1, 40, 600, 700, 3000, 3300, 20_000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 2**64, len(s) // 10 + 1, dtype=np.uint64)])) for s in sets]
+    sets.append(np.arange(900, dtype=np.uint64))  # all in one group: a full point, which bounds nothing
+    points = [nj.point(s) for s in sets]
+    assert {len(p) for p in points} == {256, 512, 2048, 16_384} and (points[-1] == nj.FULL).all()
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    a, b = (pa.array([points[p[k]].tobytes() for p in pairs], pa.binary()) for k in (0, 1))
+    bounds = nj._pair_bounds(a, b)
+    for (i, j), bound in zip(pairs, bounds):
+        assert bound >= len(np.intersect1d(sets[i], sets[j]))
+    assert nj._points(pa.array([points[0].tobytes(), points[4].tobytes()], pa.binary())).shape == (2, 256)
+    far = nj._pair_bounds(pa.array([points[4].tobytes()], pa.binary()), pa.array([points[5].tobytes()], pa.binary()))[0]
+    assert far < nj.Rule(5, 80).least_overlap(3000, 3300)  # unlike large sets are told apart
