@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textbytes as tb
-from gridloom.session import materialise
+from gridloom.session import arrow_batches, materialise
 
 GRAMS = 256  # buckets of the text view
 LANGS, SOURCES = 8, 32  # hashed one-hot entries of the metadata view
@@ -252,6 +252,11 @@ def fit(
     labels are left out. Pseudo-labels are given to all other documents. ``history`` tells what each round exchanged and
     whether it was kept. Without labels, or with labels of one class alone, the model is that class's share.
     """
+    with arrow_batches(docs.sparkSession):
+        return _fitted(docs, labels, id_col, text_col, label_col, max_labelled, seed, rounds, sure, trust, damping)
+
+
+def _fitted(docs, labels, id_col, text_col, label_col, max_labelled, seed, rounds, sure, trust, damping) -> Model:
     ident = F.col(f"`{id_col}`")
     gold = labels.where(ident.isNotNull() & F.col(label_col).isNotNull()).groupBy(ident.alias("id")).agg(F.avg(label_col).alias("label"))
     gold = gold.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
