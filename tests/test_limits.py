@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import numpy as np
 import pytest
@@ -128,3 +129,30 @@ def test_unknown_sources_are_errors(frame):
 def test_wide_rows_are_not_broadcast(spark):
     assert session.fits_broadcast(spark.range(1000))
     assert not session.fits_broadcast(spark.range(1000).selectExpr("id", "sequence(1, 5000) as nodes"))
+
+
+def test_scratch_removes_what_is_not_kept(spark):
+    with session.scratch() as outer:
+        with session.scratch() as block:
+            gone, kept = session.materialise(spark.range(3), "gone"), session.materialise(spark.range(4), "kept")
+            block.keep(kept)
+        path = lambda df: df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert kept.count() == 4 and os.path.isdir(path(kept))
+        with pytest.raises(Exception, match="(?i)does not exist|not found"):
+            gone.collect()
+        where = path(kept)
+        assert len(outer.written) == 1
+    assert not os.path.exists(where)
+    outside = session.materialise(spark.range(5), "outside")
+    with pytest.raises(ZeroDivisionError), session.scratch():
+        session.materialise(spark.range(2), "x")
+        1 / 0
+    assert outside.count() == 5
+
+
+def test_settings_are_restored(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with session.arrow_batches(spark, rows=7):
+        assert spark.conf.get(name) == "7"
+    assert spark.conf.get(name) == before
