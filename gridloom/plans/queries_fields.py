@@ -406,7 +406,7 @@ def bridge_weights(spark, sf):
     totals = first.groupBy("src_iy", "src_ix").agg(F.sum("w").alias("t"))
     second = first.join(totals, ["src_iy", "src_ix"]).select(
         F.col("dst_iy").alias("src_iy"), F.col("dst_ix").alias("src_ix"), F.col("src_iy").alias("dst_iy"), F.col("src_ix").alias("dst_ix"), (F.col("w") / F.col("t")).alias("w"))
-    return regrid.chain_weights(first, second).groupBy("dst_iy", "dst_ix").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("n"))
+    return regrid.chain_weights(first, second).per_target()
 
 
 @query("time:d iy:i ix:i value:f", "C7", f"""WITH {_COARSE},

@@ -146,6 +146,26 @@ def test_chained_weights_equal_two_regrids(frame):
     assert [r[2] for r in once] == pytest.approx([r[2] for r in twice])
 
 
+def test_chain_keeps_two_tables_and_agrees_with_all_pairs(frame):
+    fine, mid = grid_of(frame, range(12), range(9)), grid_of(frame, [2, 5.5, 9], [2, 6])
+    chain = regrid.chain_weights(regrid.conservative_weights(fine, mid), regrid.conservative_weights(mid, fine))
+    pairs = chain.pairs()
+    want = sorted(values(pairs.groupBy("dst_iy", "dst_ix").agg(F.sum("w").alias("total"), F.count("w").alias("n")), "dst_iy", "dst_ix", "total", "n"))
+    got = sorted(values(chain.per_target(), "dst_iy", "dst_ix", "total", "n"))
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
+    # Far fewer rows than pairs.
+    assert chain.first.count() + chain.second.count() < pairs.count() / 5
+    # Gaps, a cell that is missing, one that stands twice, and a time without values.
+    field = fine.select("iy", "ix", F.explode(F.array(F.lit(1), F.lit(2))).alias("time"), F.when((F.col("iy") + F.col("ix")) % 3 != 0, F.col("lon") * F.col("lat") + 1).alias("value"))
+    field = field.withColumn("value", F.when(F.col("time") == 1, F.col("value"))).where("iy <> 4 or ix <> 4").unionByName(field.where("iy = 2 and ix = 3"))
+    for renormalise in (True, False):
+        both = [sorted(values(regrid.regrid(field, w, renormalise=renormalise), "time", "iy", "ix", "value"), key=str) for w in (chain, pairs)]
+        assert [r[:3] for r in both[0]] == [r[:3] for r in both[1]]
+        if renormalise:
+            assert [r[3] is None for r in both[0]] == [r[3] is None for r in both[1]]
+            assert [r[3] or 0.0 for r in both[0]] == pytest.approx([r[3] or 0.0 for r in both[1]])
+
+
 def test_nearest_reaches_far_points_and_last_wins(frame):
     grid = grid_of(frame, [0, 1], [0, 1])
     points = frame([(1, 0.1, 0.1), (2, 0.2, 0.2), (3, 60.0, 50.0)], "point_id int, lon double, lat double")
