@@ -26,7 +26,7 @@ MIN_VALUES = 10
 def median_fill(df: DataFrame, value: str, keys=CELL, name: str = "filled", minimum: int = MIN_VALUES) -> DataFrame:
     """Add ``filled``: the value, or the median of its group; groups below ``minimum`` values get NULL."""
     keys = list(keys)
-    med = exact_quantiles(df, keys, value, [0.5]).select(*keys, F.col("quantiles")[0].alias("_med"))
+    med = exact_quantiles(df, keys, value, [0.5], cells=True).select(*keys, F.col("quantiles")[0].alias("_med"))
     size = df.groupBy(*keys).agg(F.count(value).alias("_n"))
     small = size.join(med, keys, "left")
     out = attach(df, small, keys, "left", derived=True)
@@ -36,9 +36,9 @@ def median_fill(df: DataFrame, value: str, keys=CELL, name: str = "filled", mini
 
 def _series(bundle: DataFrame, keys, periods) -> DataFrame:
     """Long (keys, series, value): training obs, and sim of every period."""
-    obs = bundle.where(F.col("period") == TRAIN).select(*keys, F.lit("obs").alias("series"), F.col("obs").alias("value"))
-    sim = bundle.where(F.col("period").isin(*periods)).select(*keys, F.concat(F.lit("sim_"), F.col("period")).alias("series"), F.col("sim").alias("value"))
-    return obs.unionByName(sim).where("value is not null")
+    obs = F.struct(F.lit("obs").alias("series"), F.when(F.col("period") == TRAIN, F.col("obs")).alias("value"))
+    sim = F.struct(F.concat(F.lit("sim_"), F.col("period")).alias("series"), F.when(F.col("period").isin(*periods), F.col("sim")).alias("value"))
+    return bundle.select(*keys, F.explode(F.array(obs, sim)).alias("_s")).select(*keys, "_s.series", "_s.value").where("value is not null")
 
 
 def fit_cdft(bundle: DataFrame, keys=CELL, periods=(TRAIN, "test_hist", "test_future"), steps: int = 100, delta_shift: str = "additive") -> DataFrame:
@@ -52,7 +52,7 @@ def fit_cdft(bundle: DataFrame, keys=CELL, periods=(TRAIN, "test_hist", "test_fu
     """
     keys = list(keys)
     series = _series(bundle, keys, periods)
-    nodes = quantile_table(series, [*keys, "series"], "value", steps)
+    nodes = quantile_table(series, [*keys, "series"], "value", steps, cells=True)
     means = series.where(F.col("series").isin("obs", f"sim_{TRAIN}")).groupBy(*keys).agg(
         F.avg(F.when(F.col("series") == "obs", F.col("value"))).alias("_mo"),
         F.avg(F.when(F.col("series") != "obs", F.col("value"))).alias("_ms"),
@@ -84,7 +84,11 @@ def apply_transfer(bundle: DataFrame, transfer: DataFrame, keys=CELL, value: str
 
 
 def cdft(bundle: DataFrame, keys=CELL, steps: int = 100, delta_shift: str = "additive", periods=(TRAIN, "test_hist", "test_future")) -> DataFrame:
-    """CDF-t of (period, time, cell, obs, sim) rows: adds ``corrected`` for every period."""
+    """CDF-t of (period, time, cell, obs, sim) rows: adds ``corrected`` for every period.
+
+    The bundle is read several times and may be costly to make; it is written once.
+    """
+    bundle = materialise(bundle, "bundle")
     return apply_transfer(bundle, fit_cdft(bundle, keys, periods, steps, delta_shift), keys, steps=steps)
 
 
@@ -112,7 +116,7 @@ def fit_guarded_cdft(bundle: DataFrame, keys=CELL, steps: int = 100, minimum: in
     kept = attach(past, good, keys, "left_semi", derived=True)
     train = kept.where(in_train & pair).withColumn("filled", F.col("sim"))
     test = median_fill(kept.where(~in_train), "sim", keys, minimum=1)
-    fit_rows = train.unionByName(test).drop("sim").withColumnRenamed("filled", "sim")
+    fit_rows = materialise(train.unionByName(test).drop("sim").withColumnRenamed("filled", "sim"), "fit-filled")
     return materialise(fit_cdft(fit_rows, keys, (TRAIN, "test_hist"), steps), "transfer")
 
 
@@ -254,16 +258,25 @@ def predict_mbcn(chain: DataFrame, rows: DataFrame, keys=CELL, follows: dict[str
     both = single.select(*ident, F.col("u").alias("su"), F.col("v").alias("sv")).join(
         state.select(*ident, F.round("u", 9).alias("ru"), F.round("v", 9).alias("rv")), ident)
     both = materialise(both.where("ru is not null and rv is not null"), "mbcn-mapped")
-    out = both.select(*ident)
-    for axis in "uv":
-        order = rank_rows(both.select(*ident, f"r{axis}"), [*keys, "period"], f"r{axis}").select(*ident, "_rank")
-        values = rank_rows(both.select(*ident, F.round(f"s{axis}", 9).alias("_s"), f"s{axis}"), [*keys, "period"], "_s")
-        values = values.select(*keys, "period", "_rank", F.col(f"s{axis}").alias(f"corrected_{axis}"))
-        out = out.join(order.join(values, [*keys, "period", "_rank"]).drop("_rank"), ident)
+    out = _reordered(both, keys)
     whole = F.col("sim_u").isNotNull() & F.col("sim_v").isNotNull()
     return rows.join(out, ident, "left").withColumns({f"corrected_{a}": F.when(whole, F.col(f"corrected_{a}")) for a in "uv"})
 
 
+def _reordered(both: DataFrame, keys) -> DataFrame:
+    """(keys, period, time, corrected_u, corrected_v): within (keys, period) the single value ``s`` of the rank that the rotated value
+    ``r`` has, ties by time."""
+    group = [*keys, "period"]
+    ident = [*group, "time"]
+    out = both.select(*ident)
+    for axis in "uv":
+        order = rank_rows(both.select(*ident, f"r{axis}"), group, f"r{axis}").select(*ident, "_rank")
+        values = rank_rows(both.select(*ident, F.round(f"s{axis}", 9).alias("_s"), f"s{axis}"), group, "_s")
+        values = values.select(*group, "_rank", F.col(f"s{axis}").alias(f"corrected_{axis}"))
+        out = out.join(order.join(values, [*group, "_rank"]).drop("_rank"), ident)
+    return out
+
+
 def mbcn(bundle: DataFrame, keys=CELL, n_rotations: int = 6, seed: int = 0, steps: int = 50, angles=None, minimum: int = MIN_VALUES) -> DataFrame:
     """Two-variable correction by rotations and quantile delta mapping, then rank reordering: ``fit_mbcn`` on the training and
     historical periods, ``predict_mbcn`` on all, the future by the historical fit."""

@@ -156,7 +156,7 @@ def future_trend_bias(df: DataFrame, low: float, high: float, cell=("iy", "ix"))
         F.avg("value").alias("mean"), F.avg((F.col("value") < low).cast("double")).alias("cold_days"),
         F.avg((F.col("value") > high).cast("double")).alias("warm_days"),
     )
-    q = exact_quantiles(ok, keys, "value", [0.05, 0.95])
+    q = exact_quantiles(ok, keys, "value", [0.05, 0.95], cells=True)
     full = base.join(q, keys).select(*keys, "mean", F.col("quantiles")[0].alias("q05"), F.col("quantiles")[1].alias("q95"), "cold_days", "warm_days")
     sign = F.when(F.col("period") == "future", 1.0).otherwise(-1.0) * F.when(F.col("series") == "corrected", 1.0).otherwise(-1.0)
     names = ["mean", "q05", "q95", "cold_days", "warm_days"]

@@ -1,7 +1,8 @@
 """Exact distributed empirical distributions: quantiles, quantile tables and Wasserstein distances.
 
-The built-in ``percentile`` gathers every distinct value of a group in one task. Here values are first counted per
-(group, value), map-side first, and the counts written. A group of few different values is then ranked by one window.
+The built-in ``percentile`` gathers every distinct value of a group in one task. Where callers expect
+small groups and a count confirms it, quantiles come from their sorted values, a bounded array each. Else values are first
+counted per (group, value), map-side first, and the counts written. A group of few different values is then ranked by one window.
 A larger one is cut along the value order into buckets, and a bucket that is still too large is cut again: how often
 follows from the counts, so no task ranks more than ``LARGEST`` values, whatever share of the rows a group holds. Cuts come
 from a bounded sketch; they decide only where work runs, never the result. Running counts are exact: within a bucket by
@@ -17,6 +18,7 @@ from gridloom.functions.columns import col, count_le
 from gridloom.session import attach, materialise
 
 LARGEST = 262_144  # different values that one task ranks
+SMALL = 40_000  # rows of a group up to which they are sorted as one array: a century of days
 CUTS = 63  # a bucket is cut into up to CUTS + 1
 
 
@@ -90,6 +92,18 @@ def ranked_values(df: DataFrame, keys, value: str, weights: dict[str, Column] |
     )
 
 
+def small_groups(df: DataFrame, keys, largest: int = SMALL) -> bool:
+    """Whether no group has more than ``largest`` rows, by a count that is combined map-side."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    return (sizes.agg(F.max("_size")).first()[0] or 0) <= largest
+
+
+def _sorted_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, _all, _n): the sorted values of groups that are known to be small, by one shuffle of the values."""
+    rows = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(value))).alias("_all"))
+    return rows.withColumn("_n", F.size("_all").cast("bigint")).where("_n > 0")
+
+
 def _rank(p, total):
     return F.floor(p * (total - 1).cast("double")).cast("bigint")
 
@@ -112,12 +126,21 @@ def quantiles_of(ranked: DataFrame, keys, value: str, probs, counter: str = "n",
     return _as_array(exploded.select(*keys, F.col("_hit.i").alias("_i"), q.alias("_q")), keys, name)
 
 
-def exact_quantiles(df: DataFrame, keys, value: str, probs, name: str = "quantiles", largest: int = LARGEST) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, value: str, probs, name: str = "quantiles", largest: int = LARGEST, cells: bool = False) -> DataFrame:
     """Per group the exact linearly interpolated quantiles, as an array in the order of ``probs``.
 
-    Groups without any value give no row.
+    Groups without any value give no row. ``cells`` says that there are many groups, small ones as a rule: where a count finds
+    all of them small, values are sorted as one array each, which takes a single shuffle.
     """
     p_array = F.array(*[F.lit(float(p)) for p in probs])
+    if cells and keys and small_groups(df.where(F.col(value).isNotNull()), list(keys), min(largest, SMALL)):
+        def at(p):
+            lower = _rank(p, F.col("_n"))
+            v = F.element_at("_all", (lower + 1).cast("int"))
+            upper = F.coalesce(F.try_element_at("_all", (lower + 2).cast("int")), v)
+            return v + (p * (F.col("_n") - 1).cast("double") - lower.cast("double")) * (upper - v)
+
+        return _sorted_values(df, list(keys), value).select(*keys, F.transform(p_array, at).alias(name))
 
     def wanted(offset, size, total):
         return F.exists(p_array, lambda p: (_rank(p, total) >= offset) & (_rank(p, total) < offset + size))
@@ -125,12 +148,25 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs, name: str = "quantil
     return quantiles_of(ranked_values(df, keys, value, wanted=wanted, largest=largest), list(keys), value, probs, name=name)
 
 
-def quantile_table(df: DataFrame, keys, value: str, steps: int, name: str = "nodes", largest: int = LARGEST) -> DataFrame:
+def quantile_table(df: DataFrame, keys, value: str, steps: int, name: str = "nodes", largest: int = LARGEST, cells: bool = False) -> DataFrame:
     """Per group the quantiles at 0, 1/steps, ..., 1 as an ascending array of steps + 1 nodes, plus ``n``.
 
-    The node numbers a value covers follow from integer arithmetic, so the cost does not grow with steps.
+    The node numbers a value covers follow from integer arithmetic, so the cost does not grow with steps. ``cells`` as in
+    :func:`exact_quantiles`.
     """
     keys = list(keys)
+    if cells and keys and small_groups(df.where(F.col(value).isNotNull()), keys, min(largest, SMALL)):
+        every, step = F.sequence(F.lit(0).cast("bigint"), F.lit(steps).cast("bigint")), F.lit(steps).cast("bigint")
+
+        def node(i):
+            scaled = i * (F.col("_n") - 1)
+            lower = _floor_div(scaled, step)
+            v = F.element_at("_all", (lower + 1).cast("int"))
+            upper = F.coalesce(F.try_element_at("_all", (lower + 2).cast("int")), v)
+            return v + (scaled - lower * step).cast("double") / step.cast("double") * (upper - v)
+
+        return _sorted_values(df, keys, value).select(*keys, F.transform(every, node).alias(name), F.col("_n").alias("n"))
+
     ranked = ranked_values(df, keys, value, largest=largest)
     m = F.lit(steps).cast("bigint")
     start, end, v = F.col("n_before"), F.col("n_before") + F.col("n"), F.col(value)

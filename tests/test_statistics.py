@@ -37,6 +37,18 @@ def test_quantiles_are_exact_with_a_hot_group(spark):
     assert exact_quantiles(df, [], "v", probs).first().quantiles == pytest.approx(np.quantile(pdf.v, probs).tolist())
 
 
+def test_small_groups_sorted_as_arrays_give_the_same_quantiles(spark):
+    """Many small groups, one of them without values, one with a null key: by arrays as by counts, and from no more than one shuffle."""
+    pdf, _ = hot(spark)
+    df = spark.createDataFrame([(k, v) for k, v in zip(pdf.k, pdf.v.astype(float))] + [("none", None), (None, 2.0), (None, None), (None, 4.0)], "k string, v double")
+    probs = [0, 0.05, 0.5, 0.93, 1]
+    for cells in (lambda **k: exact_quantiles(df, ["k"], "v", probs, **k), lambda **k: quantile_table(df, ["k"], "v", 20, **k)):
+        arrays, counts, cut = ({r[0]: r[1:] for r in cells(**k).collect()} for k in ({"cells": True}, {}, {"cells": True, "largest": 100}))
+        assert arrays == counts and set(arrays) == {"hot", "one", "few", None}
+        assert {k: v[0] for k, v in cut.items()} == {k: pytest.approx(v[0]) for k, v in counts.items()}
+        assert cells(cells=True)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_wasserstein_against_brute_force(spark):
     pdf, df = hot(spark)
     pdf["first"] = np.arange(len(pdf)) % 3 == 0
