@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import col, count_le, digamma, interpolate, interpolate_each, trigamma
 from gridloom.functions.gamma import gamma_cdf
-from gridloom.operators.ecdf import LARGEST, exact_quantiles, quantile_table, ranked_values
+from gridloom.operators.ecdf import LARGEST, SMALL, exact_quantiles, quantile_table, ranked_values, small_groups
 from gridloom.session import attach, materialise
 
 CELL = ["iy", "ix"]
@@ -168,7 +168,7 @@ def _delta_tables(rows: DataFrame, keys, steps: int) -> DataFrame:
     keys = list(keys)
     group = F.when(F.col("kind") == "obs", "obs").otherwise(F.concat(F.lit("sim_"), F.col("period")))
     long = rows.select(*keys, group.alias("series"), "u", "v").unpivot([*keys, "series"], ["u", "v"], "axis", "value")
-    nodes = materialise(quantile_table(long, [*keys, "axis", "series"], "value", steps), "nodes")
+    nodes = materialise(quantile_table(long, [*keys, "axis", "series"], "value", steps, cells=True), "nodes")
     pick = lambda s: F.max(F.when(F.col("series") == s, F.col("nodes")))
     base = nodes.where(F.col("series").isin("obs", f"sim_{TRAIN}")).groupBy(*keys, "axis").agg(pick("obs").alias("_o"), pick(f"sim_{TRAIN}").alias("_h"))
     own = nodes.where(F.col("series") != "obs").select(*keys, "axis", F.replace(F.col("series"), F.lit("sim_"), F.lit("")).alias("period"), F.col("nodes").alias("_x"))
@@ -264,11 +264,20 @@ def predict_mbcn(chain: DataFrame, rows: DataFrame, keys=CELL, follows: dict[str
     return rows.join(out, ident, "left").withColumns({f"corrected_{a}": F.when(whole, F.col(f"corrected_{a}")) for a in "uv"})
 
 
-def _reordered(both: DataFrame, keys) -> DataFrame:
+def _reordered(both: DataFrame, keys, largest: int = SMALL) -> DataFrame:
     """(keys, period, time, corrected_u, corrected_v): within (keys, period) the single value ``s`` of the rank that the rotated value
-    ``r`` has, ties by time."""
+    ``r`` has, ties by time. Where all groups are small, both orders are sorted as arrays of a group, and meet by position."""
     group = [*keys, "period"]
     ident = [*group, "time"]
+    if small_groups(both, group, largest):
+        def of(axis):
+            order = F.array_sort(F.transform("_rows", lambda e: F.struct(e[f"r{axis}"].alias("r"), e["time"].alias("time"))))
+            values = F.array_sort(F.transform("_rows", lambda e: F.struct(F.round(e[f"s{axis}"], 9).alias("r"), e["time"].alias("time"), e[f"s{axis}"].alias("s"))))
+            return F.array_sort(F.zip_with(order, values, lambda o, v: F.struct(o["time"].alias("time"), v["s"].alias("s"))))
+
+        rows = both.dropna(subset=group).groupBy(*group).agg(F.collect_list(F.struct("time", "ru", "rv", "su", "sv")).alias("_rows"))
+        pairs = F.zip_with(of("u"), of("v"), lambda u, v: F.struct(u["time"].alias("time"), u["s"].alias("corrected_u"), v["s"].alias("corrected_v")))
+        return rows.select(*group, F.explode(pairs).alias("_p")).select(*group, "_p.*")
     out = both.select(*ident)
     for axis in "uv":
         order = rank_rows(both.select(*ident, f"r{axis}"), group, f"r{axis}").select(*ident, "_rank")
@@ -281,6 +290,7 @@ def _reordered(both: DataFrame, keys) -> DataFrame:
 def mbcn(bundle: DataFrame, keys=CELL, n_rotations: int = 6, seed: int = 0, steps: int = 50, angles=None, minimum: int = MIN_VALUES) -> DataFrame:
     """Two-variable correction by rotations and quantile delta mapping, then rank reordering: ``fit_mbcn`` on the training and
     historical periods, ``predict_mbcn`` on all, the future by the historical fit."""
+    bundle = materialise(bundle, "bundle")
     chain = fit_mbcn(bundle, keys, angles, n_rotations, seed, steps, minimum)
     return predict_mbcn(chain, bundle, keys, steps=steps)
 

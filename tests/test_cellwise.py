@@ -106,6 +106,21 @@ def test_ranks_under_ties(spark, largest):
     assert np.array_equal(got._rank, np.r_[np.arange(1, 301), np.arange(1, 31)])
 
 
+def test_reordering_by_arrays_and_by_ranks(spark):
+    """Ties in both orders, two cells, an uneven one."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"iy": 0, "ix": [0] * 60 + [1] * 7, "period": "test_hist", "time": pd.to_datetime("2000-01-01") + pd.to_timedelta(rng.permutation(67), "D")})
+    for c in ("ru", "rv", "su", "sv"):
+        pdf[c] = rng.integers(0, 9, 67) / 4
+    both = spark.createDataFrame(pdf)
+    a, b = (biascorr._reordered(both, ["iy", "ix"], n).toPandas().sort_values(["ix", "time"]).reset_index(drop=True) for n in (100, 50))
+    pd.testing.assert_frame_equal(a[sorted(a)], b[sorted(b)])
+    for axis in "uv":
+        for ix, g in pdf.groupby("ix"):
+            want = pd.Series(np.sort(g[f"s{axis}"]), index=g.sort_values([f"r{axis}", "time"]).time)
+            assert a[a.ix == ix].set_index("time")[f"corrected_{axis}"].to_dict() == want.to_dict()
+
+
 def pair_rows(spark, future=2.0):
     rng = np.random.default_rng(5)
     frames = []
