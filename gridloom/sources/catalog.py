@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.timeops import filter_dates
 from gridloom.schema import FIELD_DDL
-from gridloom.session import attach
+from gridloom.session import attach, settings
 
 # Fixed value: first day served by scenario runs.
 SCENARIO_START = "2015-01-01"
 HISTORICAL = "historical"
+OPEN_FILES = 64  # of one task while a field is written; beyond it Spark sorts by partition
 
 
-def write_field(field: DataFrame, root: str, mode: str = "append") -> None:
+def write_field(field: DataFrame, root: str, mode: str = "append", in_order: bool = False) -> None:
     """Store a field so that source, variable, scenario and year prune at the scan.
 
-    Rows are sorted by time within tasks, which makes the Parquet time statistics selective.
+    Rows are sorted by time within tasks (unless they come ``in_order``), which makes the Parquet time statistics selective. A
+    task keeps its files open side by side, so rows need no further sort by the names of their partition.
     """
     stamped = field.withColumn("year", F.year("time"))
-    stamped.sortWithinPartitions("source", "variable", "scenario", "year", "time").write.mode(mode).partitionBy(
-        "source", "variable", "scenario", "year").parquet(root)
+    stamped = stamped if in_order else stamped.sortWithinPartitions("time")
+    with settings(field.sparkSession, spark__sql__maxConcurrentOutputFileWriters=OPEN_FILES):
+        stamped.write.mode(mode).partitionBy("source", "variable", "scenario", "year").parquet(root)
 
 
 def open_catalog(spark: SparkSession, root: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import os
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from gridloom import session
 from gridloom.functions.columns import count_le
 from gridloom.functions.gamma import LARGE_SHAPE, regularised_lower_gamma
 from gridloom.functions.labels import variant_source
-from gridloom.operators import biascorr, distrib, geometry, regrid, samples, timeops
-from gridloom.sources import archives
+from gridloom.operators import biascorr, compare, distrib, geometry, regrid, samples, timeops
+from gridloom.plans import composites
+from gridloom.sources import archives, catalog
 from gridloom.streaming import skill_stream
 
 
@@ -156,3 +158,36 @@ def test_settings_are_restored(spark):
     with session.arrow_batches(spark, rows=7):
         assert spark.conf.get(name) == "7"
     assert spark.conf.get(name) == before
+
+
+def counted_pairs(spark):
+    """Pairs of two methods, and a counter of the rows that were made for those who read them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        made.add(1)
+        return ("ab"[i % 2], dt.datetime(2000 + i // 600, 1 + i // 50 % 12, 1 + i // 4 % 12), i // 2 % 2, 0, float(i % 17), float(i % 13))
+
+    rows = spark.sparkContext.parallelize(range(1800), 2).map(row)
+    return made, spark.createDataFrame(rows, "method string, time timestamp, iy int, ix int, obs double, pred double")
+
+
+def test_comparisons_make_their_pairs_once(spark):
+    made, pairs = counted_pairs(spark)
+    parts = composites.model_evaluation(pairs, [("w", "2000-01-01", "2002-12-31")], ("2000-01-01", "2000-12-31"), ("2002-01-01", "2002-12-31"))
+    assert all(p.count() for p in parts.values()) and made.value == 1800
+    made, pairs = counted_pairs(spark)
+    assert compare.comparison_suite(pairs, density_range=(0.0, 20.0), bins=4).count() and made.value == 1800
+
+
+def test_a_field_is_written_in_time_order_without_a_sort_by_partition(spark, tmp_path):
+    days = spark.range(400, numPartitions=1).selectExpr("timestamp_ntz'1999-06-01' + make_dt_interval(cast(399 - id as int)) as time")
+    both = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("source")
+    field = days.select(both, F.lit("tas").alias("variable"), F.lit("historical").alias("scenario"), F.lit("r1").alias("member"), "time", F.lit(0).alias("iy"), F.lit(0).alias("ix"), F.lit(1.0).alias("value"))
+    catalog.write_field(field, f"{tmp_path}/sorted")
+    catalog.write_field(field.sortWithinPartitions("time"), f"{tmp_path}/given", in_order=True)
+    for root in ("sorted", "given"):
+        files = sorted((tmp_path / root).rglob("*.parquet"))
+        assert len(files) == 4 and sum(len(pq.read_table(f, partitioning=None)) for f in files) == 800
+        assert all(pq.read_table(f, partitioning=None)["time"].to_pandas().is_monotonic_increasing for f in files)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
