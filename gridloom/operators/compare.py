@@ -202,8 +202,10 @@ def density_block(pairs: DataFrame, method: str, lo: float, hi: float, bins: int
 
 def comparison_suite(pairs: DataFrame, method: str = "method", density_range: tuple[float, float] = COMMON_RANGE, bins: int = COMMON_BINS) -> DataFrame:
     """Daily, monthly and distribution diagnostics and densities of all methods as (method, block, season, metric, value).
-    In the block ``density``, ``season`` names the series and ``metric`` the bin of ``density_range``."""
+    In the block ``density``, ``season`` names the series and ``metric`` the bin of ``density_range``. The pairs are written
+    once, as all blocks read them."""
     keys = [method]
+    pairs = materialise(pairs.select(method, "time", "iy", "ix", "obs", "pred"), "pairs")
     names = ["rmse_temporal_mean", "rmse_spatial_mean", "bias_spatial_mean", "bias_spatial_std", "corr_spatial_mean", "corr_temporal_mean", "variability_mean"]
 
     def long(df, block, ids, cols):

@@ -12,6 +12,7 @@ from gridloom.functions.columns import rmse, safe_corr
 from gridloom.operators.align import valid_pairs
 from gridloom.operators.ordering import previous_row
 from gridloom.operators.timeops import monthly_mean, season, tag_windows, with_seasons
+from gridloom.session import materialise
 
 CELL = ["iy", "ix"]
 SEASONS = ["all", "summer", "winter"]
@@ -120,7 +121,7 @@ def monthly_pairs(pairs: DataFrame, keys=(), skipna: bool = True) -> DataFrame:
 
 
 def monthly_skill_summary(pairs: DataFrame, keys=()) -> DataFrame:
-    return skill_summary(monthly_pairs(pairs, keys), keys)
+    return skill_summary(materialise(monthly_pairs(pairs, keys), "months"), keys)
 
 
 def window_statistics(pairs: DataFrame, windows, method: str = "method") -> DataFrame:
