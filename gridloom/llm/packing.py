@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import textbytes as tb
-from gridloom.session import fits_broadcast, new_path
+from gridloom.session import arrow_batches, fits_broadcast, new_path
 
 END = 0  # token behind each document
 
@@ -127,7 +127,8 @@ def tokenised(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(id_col, text_col).mapInArrow(run, f"part long, before long, doc_id {kind}, doc_tokens long, ids binary")
     path = new_path(spark, "tokens")
-    out.write.option("compression", "zstd").parquet(path)
+    with arrow_batches(spark):
+        out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(out.schema).parquet(path)
 
 
