@@ -12,8 +12,9 @@ very many documents holds other shingles as a rule, so such passages make no lar
 
 Large groups of near copies are linked without forming their pairs: first every member of a bucket is verified against
 the bucket's first member, if the two share as many buckets as a link needs, and components are built. Only buckets of three or more that still hold several components
-go to the R-trees. Twice they return each member's nearest point of another component, which merges most of what is
-close, and then all pairs of different components that pass the bound; pairs are verified and join the components. Every link between different sets is thus either verified or within a component. Large buckets are
+go to the R-trees. A bucket of one leaf, or of few pairs, returns all pairs of different components that pass the bound, and is settled. Of
+the others, the trees twice return each member's nearest point of another component, which merges most of what is
+close, and then all such pairs; pairs are verified and join the components. Every link between different sets is thus either verified or within a component. Large buckets are
 indexed in blocks, and the members query each block.
 """
 
@@ -35,7 +36,9 @@ GROUPS = 256  # coordinates of a small set's point; larger sets have more, so th
 COARSE = 64  # coordinates of the boxes: sums of neighbouring ones
 FINEST = 1 << 16
 FULL = 255  # the largest count that a coordinate holds
-ROUNDS = 2  # rounds that look for the nearest point of another component only
+ROUNDS = 2  # rounds that look for the nearest point of another component only, where a bucket has many pairs
+LEAF = 16  # points of a tree's leaf; a bucket of no more is a single leaf
+FEW = 8  # pairs for each asking member up to which a bucket gives all of its pairs at once
 BLOCK = 2048  # members of a bucket indexed together
 _SHINGLE = tuple(np.uint64(2 * k + 1) for k in (0x4F1BBCDCBFA53E0A, 0x2545F4914F6CDD1C, 0x1B873593CC9E2D51, 0x38495AB5A1B2C3D4, 0x5851F42D4C957F2D))
 
@@ -155,7 +158,7 @@ class Tree:
     """A packed R-tree over count vectors. Boxes need their upper corners alone, for the bound takes minima with them;
     they are kept on coarser coordinates, and the full ones decide at the leaves."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, owners: np.ndarray, leaf: int = 16):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, owners: np.ndarray, leaf: int = LEAF):
         coarse = self.coarse(points)
         order = np.lexsort((*coarse.T[:3], coarse[:, : COARSE // 2].sum(1), sizes))
         self.order, self.leaf = order, leaf
@@ -314,7 +317,10 @@ def _points(values: pa.Array) -> np.ndarray:
     data, offsets = tb.column(values)
     size = np.diff(offsets)
     out = np.zeros((len(size), int(size.min(initial=FINEST)) if len(size) else GROUPS), np.uint16)
-    for width in np.unique(size):
+    widths = np.unique(size)
+    if len(widths) == 1:
+        return data.reshape(out.shape).astype(np.uint16)
+    for width in widths:
         rows = np.flatnonzero(size == width)
         out[rows] = folded(data[offsets[rows][:, None] + np.arange(width)], out.shape[1])
     return out
@@ -333,6 +339,33 @@ def _pair_bounds(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
+def leaf_pairs(leaf: pa.RecordBatch, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of different components that can share enough shingles, of buckets that are one leaf each, lying one after
+    another. Columns as in ``tree_pairs``; the smaller set comes first, of equal ones the lesser name."""
+    bucket, node, root, n = (leaf.column(leaf.schema.get_field_index(c)).to_numpy() for c in ("bucket", "node", "root", "n"))
+    point = leaf.column(leaf.schema.get_field_index("point"))
+    firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, min(LEAF, len(bucket))):
+        i = np.flatnonzero((bucket[step:] == bucket[:-step]) & (root[step:] != root[:-step]))
+        j = i + step
+        turned = (n[j] < n[i]) | ((n[j] == n[i]) & (node[j] < node[i]))
+        firsts.append(np.where(turned, j, i))
+        seconds.append(np.where(turned, i, j))
+    i, j = np.concatenate(firsts), np.concatenate(seconds)
+    need = rule.least_overlap(n[i], n[j])
+    width, keep = pc.binary_length(point).to_numpy(), np.zeros(len(i), bool)
+    width = np.minimum(width[i], width[j])
+    for w in np.unique(width):
+        pairs = np.flatnonzero((width == w) & (n[i] >= need))
+        rows, at = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+        points, at = folded(_points(point.take(pa.array(rows))), int(w)), at.reshape(2, -1)
+        step = max(1, (1 << 21) // int(w))
+        for low in range(0, len(pairs), step):
+            some = slice(low, low + step)
+            keep[pairs[some]] = overlap_bound(points[at[0, some]], points[at[1, some]]) >= need[pairs[some]]
+    return node[i[keep]], node[j[keep]]
+
+
 def verified(pairs: DataFrame, points: DataFrame, sets_of, rule: Rule) -> DataFrame:
     """Written table ``a, b`` of the pairs that link. Points are compared first; ``sets_of`` makes the sets of the nodes of
     the pairs that pass."""
@@ -354,40 +387,50 @@ def verified(pairs: DataFrame, points: DataFrame, sets_of, rule: Rule) -> DataFr
 
 
 def tree_pairs(members: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
-    """Pairs of different components that the R-trees of their bucket leave: all of them, or each member's nearest alone.
+    """Pairs ``a, b`` of different components that the R-trees of their bucket leave: all of them, or, if ``nearest``, each member's
+    nearest alone where a bucket has many. Such a bucket is told in a row of its own (``open``), for not all of its pairs are here.
     ``members``: bucket, count, node, n, point, root."""
     blocks = F.ceil(F.col("count") / F.lit(BLOCK)).cast("int")
-    rows = members.select("bucket", "node", "root", "n", "point", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    index = rows.where("block = own").select("bucket", "block", F.lit(0).alias("asks"), "node", "root", "n", "point")
+    rows = members.select("bucket", "node", "root", "n", "point", (F.col("count") <= LEAF).alias("leaf"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    index = rows.where("block = own").select("bucket", "block", F.lit(0).alias("asks"), "node", "root", "n", "point", "leaf")
     # A bucket of one block asks with the rows that it indexes.
-    asked = rows.where(F.col("own") != F.col("block")).select("bucket", "block", F.lit(1).alias("asks"), "node", "root", "n", "point")
+    asked = rows.where(F.col("own") != F.col("block")).select("bucket", "block", F.lit(1).alias("asks"), "node", "root", "n", "point", "leaf")
     sweep = index.unionByName(asked).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks")
 
-    def answers(tree: Tree, names: np.ndarray, node, root, n, points):
+    def answers(bucket: int, tree: Tree, names: np.ndarray, node, root, n, points):
         query, place, bound = tree.search(points, n, root, rule)
         a, b = node[query], names[place]
         order = (tree.sizes_by_place[place] > n[query]) | (b > a)  # the smaller set asks, of equal ones the lesser name
         query, a, b, bound = query[order], a[order], b[order], bound[order]
-        if nearest and len(query):
+        if many := nearest and len(query) > FEW * len(n):
             best = np.lexsort((b, -bound, query))
             first = best[np.flatnonzero(np.diff(query[best], prepend=-1))]
             a, b = a[first], b[first]
-        return a, b
+        return a, b, np.full(int(many), bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, tree, names = None, [], None, None
+        at, held, tree, names, own, lone = None, [], None, None, None, None
         for batch in batches:
+            small = batch.column(7)
+            leaf, batch = batch.filter(small), batch.filter(pc.invert(small))
+            if leaf.num_rows:
+                if lone is not None:
+                    leaf = pa.concat_batches([lone, leaf])
+                ends = np.flatnonzero(np.diff(leaf.column(0).to_numpy()))
+                cut = int(ends[-1]) + 1 if len(ends) else 0  # the last bucket may go on in the next batch
+                yield _pairs(*([c] for c in leaf_pairs(leaf.slice(0, cut), rule)), [])
+                lone = leaf.slice(cut)
+            if not batch.num_rows:
+                continue
             bucket, block, asks, node, root, n = (batch.column(k).to_numpy() for k in range(6))
-            found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found = [], [], []
             change = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)) + 1
             for low, high in zip([0, *change], [*change, batch.num_rows]):
-                if low == high:
-                    continue
                 key = (bucket[low], block[low])
                 if at != key:
                     if held and tree is None:
                         tree, names, own = _grown(held)
-                        for out, column in zip((found_a, found_b), answers(tree, names, *own)):
+                        for out, column in zip(found, answers(at[0], tree, names, *own)):
                             out.append(column)
                     at, held, tree, own = key, [], None, None
                 rows_ = (node[low:high], root[low:high], n[low:high], _points(batch.column(6).slice(low, high - low)))
@@ -396,17 +439,19 @@ def tree_pairs(members: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
                     continue
                 if tree is None:
                     tree, names, own = _grown(held)
-                    for out, column in zip((found_a, found_b), answers(tree, names, *own)):
+                    for out, column in zip(found, answers(at[0], tree, names, *own)):
                         out.append(column)
                     held, own = [], None  # the tree has its own copy of the points
-                for out, column in zip((found_a, found_b), answers(tree, names, *rows_)):
+                for out, column in zip(found, answers(at[0], tree, names, *rows_)):
                     out.append(column)
-            yield _pairs(found_a, found_b)
+            yield _pairs(*found)
         if held and tree is None:
             tree, names, own = _grown(held)
-            yield _pairs(*([c] for c in answers(tree, names, *own)))
+            yield _pairs(*([c] for c in answers(at[0], tree, names, *own)))
+        if lone is not None:
+            yield _pairs(*([c] for c in leaf_pairs(lone, rule)), [])
 
-    return sweep.mapInArrow(run, "a long, b long").distinct()
+    return sweep.mapInArrow(run, "a long, b long, open long").distinct()
 
 
 def _grown(held: list) -> tuple[Tree, np.ndarray, tuple]:
@@ -418,10 +463,14 @@ def _grown(held: list) -> tuple[Tree, np.ndarray, tuple]:
     return tree, node, (node, root, n, points)
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    """The pairs, each once within the batch."""
-    both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-    return pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+def _pairs(a: list[np.ndarray], b: list[np.ndarray], left: list[np.ndarray]) -> pa.RecordBatch:
+    """The pairs, each once within the batch, and the buckets that have more of them."""
+    none = [np.zeros(0, np.int64)]
+    both = np.unique(np.stack([np.concatenate(none + a), np.concatenate(none + b)], 1), axis=0)
+    left = np.unique(np.concatenate(none + left))
+    blank = lambda k: pa.nulls(k, pa.int64())
+    pairs = [pa.concat_arrays([pa.array(both[:, k].copy()), blank(len(left))]) for k in (0, 1)]
+    return pa.record_batch([*pairs, pa.concat_arrays([blank(len(both)), pa.array(left)])], names=["a", "b", "open"])
 
 
 def open_members(filed: DataFrame, roots: DataFrame, points: DataFrame) -> DataFrame | None:
@@ -488,14 +537,20 @@ def _classes(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[D
     links = links.unionByName(linked(apart.select("a", "b").join(best, ["a", "b"], "left_anti")))
     roots = components(links)
 
-    # Nearest points next: they merge what is close, so that few pairs are left for the last round, which takes all.
+    # Buckets of few pairs give all of them at once. Of the others, nearest points next: they merge what is close, so that few
+    # pairs are left for the last round, which takes all.
     for k in range(ROUNDS + 1):
         members = open_members(filed, roots, points)
         if members is None:
             break
         pairs = materialise(tree_pairs(members, rule, nearest=k < ROUNDS), "tree-pairs")
-        links = links.unionByName(linked(pairs))
+        links = links.unionByName(linked(pairs.where("a is not null").select("a", "b")))
         roots = components(links)
+        # All pairs of the other buckets are settled: each is verified, or was within a component.
+        left = pairs.where("open is not null").select(F.col("open").alias("bucket")).distinct()
+        if left.isEmpty():
+            break
+        filed = materialise(filed.join(left, "bucket", "left_semi"), "filed-again")
 
     least = reps.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = materialise(least, "rooted")

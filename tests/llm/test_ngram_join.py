@@ -169,3 +169,57 @@ def test_points_of_all_sizes_bound_the_overlap():
     assert nj._points(pa.array([points[0].tobytes(), points[4].tobytes()], pa.binary())).shape == (2, 256)
     far = nj._pair_bounds(pa.array([points[4].tobytes()], pa.binary()), pa.array([points[5].tobytes()], pa.binary()))[0]
     assert far < nj.Rule(5, 80).least_overlap(3000, 3300)  # unlike large sets are told apart
+
+
+def groups_of_near_copies(spark):
+    """Groups of texts some of which link, over one shared passage in a part of them."""
+    rng, rows = random.Random(21), []
+    for g in range(30):
+        base = [f"w{rng.randrange(90)}" for _ in range(rng.choice([8, 30, 60, 150]))]
+        for c in range(rng.choice([3, 5, 24])):
+            rows.append(" ".join(edited(rng, base, rng.choice([1, 2, max(1, len(base) // 12)]))))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+@pytest.mark.parametrize("leaf,few,rounds", [(nj.LEAF, nj.FEW, 1), (2, nj.FEW, 1), (2, 0, 2)])
+def test_buckets_of_few_pairs_are_searched_once(spark, monkeypatch, leaf, few, rounds):
+    """Leaves and buckets of few pairs give all pairs in the first round; only the others are searched again."""
+    rows, frame = groups_of_near_copies(spark)
+    monkeypatch.setattr(nj, "LEAF", leaf)
+    monkeypatch.setattr(nj, "FEW", few)
+    calls, search = [], nj.tree_pairs
+
+    def counted(members, rule, nearest):
+        calls.append(members.select("bucket").distinct().count())
+        return search(members, rule, nearest)
+
+    monkeypatch.setattr(nj, "tree_pairs", counted)
+    assert got(frame, 5, 80) == brute(rows, 5, 80)
+    assert len(calls) == 1 if rounds == 1 else len(calls) >= 2 and calls[1] < calls[0]
+
+
+def test_leaf_pairs_are_all_that_the_bound_allows():
+    """Buckets of up to a leaf, lying one after another, with points of different sizes."""
+    import pyarrow as pa
+
+    rng, rule = np.random.default_rng(8), nj.Rule(5, 60)
+    sets, bucket = [], []
+    for b, count in enumerate([3, 16, 1, 7, 16, 2]):
+        base = np.unique(rng.integers(0, 2**64, 40 if b % 2 else 1100, dtype=np.uint64))
+        for _ in range(count):
+            sets.append(np.unique(np.concatenate([rng.permutation(base)[rng.integers(0, len(base) // 2) :], rng.integers(0, 2**64, len(base) // 9, dtype=np.uint64)])))
+            bucket.append(b)
+    root, node = rng.integers(0, 3, len(sets)), rng.permutation(len(sets)).astype(np.int64)
+    points = [nj.point(s).tobytes() for s in sets]
+    leaf = pa.record_batch([pa.array(c) for c in (bucket, node, root, [len(s) for s in sets])] + [pa.array(points, pa.binary())], names=["bucket", "node", "root", "n", "point"])
+    want = set()
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            first = (len(sets[i]), node[i]) < (len(sets[j]), node[j])
+            if bucket[i] == bucket[j] and root[i] != root[j] and first:
+                if nj._pair_bounds(pa.array([points[i]]), pa.array([points[j]]))[0] >= rule.least_overlap(len(sets[i]), len(sets[j])):
+                    want.add((int(node[i]), int(node[j])))
+    a, b = nj.leaf_pairs(leaf, rule)
+    assert sorted(zip(a.tolist(), b.tolist())) == sorted(want) and len(want) > 20
