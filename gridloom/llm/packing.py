@@ -21,6 +21,8 @@ from gridloom.llm import textbytes as tb
 from gridloom.session import arrow_batches, fits_broadcast, new_path
 
 END = 0  # token behind each document
+SLICE = 1 << 20  # bytes of text tokenised at once: their positions and hashes take some 50 times as much memory
+BATCH = 2 << 20  # bytes of a batch between Spark and a worker
 
 _SAFE_NEXT = np.zeros(256, bool)
 _SAFE_NEXT[0x21:0x7F] = True
@@ -103,31 +105,36 @@ class Encoder:
         return flat, np.diff(ends, prepend=0)
 
 
+def token_rows(batches: Iterator[pa.RecordBatch], encoder: Encoder, part: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``tokenised`` of one partition's identifiers and texts."""
+    before = 0
+    for batch in batches:
+        data, offsets = tb.column(batch.column(1))
+        for i, j in tb.slices(offsets, SLICE):
+            flat, counts = encoder.batch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if len(flat) and int(flat.max()) > 0xFFFF:
+                raise OverflowError("ids are kept in 16 bits; this vocabulary has larger ones")
+            body = np.ascontiguousarray(flat.astype("<u2"))
+            ends = np.cumsum(counts)
+            at = np.concatenate([[0], ends * 2])
+            blobs = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(body)])
+            yield pa.record_batch(
+                [pa.array(np.full(j - i, part)), pa.array(before + ends - counts), batch.column(0).slice(i, j - i), pa.array(counts), blobs.cast(pa.binary())],
+                names=["part", "before", "doc_id", "doc_tokens", "ids"],
+            )
+            before += int(ends[-1])
+
+
 def tokenised(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Written table ``part, before, doc_id, doc_tokens, ids``: ids as 16-bit values, tokens before in the partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = Encoder(ranks, pattern), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            data, offsets = tb.column(batch.column(1))
-            for i, j in tb.slices(offsets):
-                flat, counts = encoder.batch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if len(flat) and int(flat.max()) > 0xFFFF:
-                    raise OverflowError("ids are kept in 16 bits; this vocabulary has larger ones")
-                body = np.ascontiguousarray(flat.astype("<u2"))
-                ends = np.cumsum(counts)
-                at = np.concatenate([[0], ends * 2])
-                blobs = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(body)])
-                yield pa.record_batch(
-                    [pa.array(np.full(j - i, part)), pa.array(before + ends - counts), batch.column(0).slice(i, j - i), pa.array(counts), blobs.cast(pa.binary())],
-                    names=["part", "before", "doc_id", "doc_tokens", "ids"],
-                )
-                before += int(ends[-1])
+        return token_rows(batches, Encoder(ranks, pattern), TaskContext.get().partitionId())
 
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(id_col, text_col).mapInArrow(run, f"part long, before long, doc_id {kind}, doc_tokens long, ids binary")
     path = new_path(spark, "tokens")
-    with arrow_batches(spark):
+    with arrow_batches(spark, size=BATCH):
         out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(out.schema).parquet(path)
 

@@ -65,3 +65,22 @@ def test_mixed_characters(spark, reference):
 
 def test_empty_table(no_docs):
     assert packing.pack(no_docs, RANKS, PATTERN).count() == 0
+
+
+def test_memory_of_tokenising_is_bounded():
+    """A batch of 8 MB is worked through in slices whose arrays take a part of what those of 4 MB take."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.compute
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"word{k}" for k in range(500)], 1200)) for _ in range(1000)]
+    batch = pa.record_batch([pa.array(range(1000)), pa.array(texts)], names=["doc_id", "text"])
+    assert batch.nbytes > 8_000_000
+    encoder = packing.Encoder(RANKS, PATTERN)
+    tracemalloc.start()
+    counts = sum(pa.compute.sum(out.column(3)).as_py() for out in packing.token_rows(iter([batch]), encoder, 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts > 1_200_000 and peak < 90_000_000
