@@ -165,3 +165,35 @@ def test_a_stored_chain_gives_the_same(spark, tmp_path):
     a, b = (biascorr.predict_mbcn(c, df, steps=10).toPandas().sort_values(key) for c in (chain, spark.read.parquet(str(tmp_path / "chain"))))
     c = biascorr.mbcn(df, n_rotations=1, seed=4, steps=10).toPandas().sort_values(key)
     assert np.array_equal(a.corrected_u, b.corrected_u, equal_nan=True) and np.array_equal(a.corrected_u, c.corrected_u, equal_nan=True)
+
+
+def test_groups_are_whole_across_batches(spark):
+    """Groups end anywhere in the batches or go on over several; null and NaN keys, and nulls among whole numbers, stay each its own."""
+    rows = [(k, None if k % 5 == 0 else k // 7 * 1.5 if k % 5 < 4 else float("nan"), (1 << 60) + k, None if k == 3 else k % 2 == 0) for k in range(90)]
+    df = spark.createDataFrame(rows, "id long, g double, big long, odd boolean").withColumn("iy", F.when(F.col("id") % 3 > 0, F.lit((1 << 60)) + F.col("id") % 3))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        fits = cellwise.fit_per_group(df, ["g", "iy"], lambda r: {"least": int(r.big.min()), "n": len(r), "kind": f"{r.big.dtype} {r.odd.dtype}"},
+                                      "least long, n long, kind string", ["big", "odd"], ["id"]).collect()
+        some = df.withColumn("big", F.when(F.col("id") != 8, F.col("big")))
+        sums = cellwise.predict_per_group(df.groupBy("iy").agg(F.min("big").alias("low")), some, ["iy"], lambda p, r: pd.DataFrame({"id": r.id, "up": r.big - p.low.iloc[0]}), "id long, up double", ["id", "big"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k, g, big, _ in rows:
+        want.setdefault((str(g), (1 << 60) + k % 3 if k % 3 else None), []).append(big)
+    # A NaN key leaves Python as null, as it always did; its group is not that of the nulls.
+    assert sorted((r.least, r.n) for r in fits) == sorted((min(v), len(v)) for v in want.values())
+    assert {r.kind for r in fits if r.n and (1 << 60) + 3 != r.least} >= {"int64 bool"}
+    assert {r.iy for r in fits} == {None, (1 << 60) + 1, (1 << 60) + 2}
+    assert sorted(r.id for r in sums) == list(range(90))
+    assert {(r.id, r.up) for r in sums if r.id % 3 != 2} == {(k, float(k - k % 3)) for k in range(90) if k % 3 != 2}
+
+
+def test_many_small_groups_are_handed_over_together(spark):
+    """A batch of many groups, not one of each: the plan has no grouped or cogrouped map."""
+    _, df = points(spark)
+    fitted = cellwise.fit_per_group(df, ["iy"], cellwise.line_fit("x", "y"), cellwise.LINE, ["x", "y"])
+    got = cellwise.predict_per_group(fitted, df, ["iy"], cellwise.line_predict("x", ["time"]), "time long, predicted double", ["time", "x"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "GroupsInPandas" not in plan
