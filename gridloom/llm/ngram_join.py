@@ -354,9 +354,9 @@ def leaf_pairs(leaf: pa.RecordBatch, rule: Rule) -> tuple[np.ndarray, np.ndarray
     i, j = np.concatenate(firsts), np.concatenate(seconds)
     need = rule.least_overlap(n[i], n[j])
     width, keep = pc.binary_length(point).to_numpy(), np.zeros(len(i), bool)
-    width = np.minimum(width[i], width[j])
-    for w in np.unique(width):
-        pairs = np.flatnonzero((width == w) & (n[i] >= need))
+    width, fits = np.minimum(width[i], width[j]), n[i] >= need
+    for w in np.unique(width[fits]):  # of some widths no pair may fit by size
+        pairs = np.flatnonzero((width == w) & fits)
         rows, at = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
         points, at = folded(_points(point.take(pa.array(rows))), int(w)), at.reshape(2, -1)
         step = max(1, (1 << 21) // int(w))

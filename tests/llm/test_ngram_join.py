@@ -223,3 +223,17 @@ def test_leaf_pairs_are_all_that_the_bound_allows():
                     want.add((int(node[i]), int(node[j])))
     a, b = nj.leaf_pairs(leaf, rule)
     assert sorted(zip(a.tolist(), b.tolist())) == sorted(want) and len(want) > 20
+
+
+def test_leaf_pairs_of_a_width_that_no_pair_fits():
+    """Two large sets too unlike in size to link beside small ones that may: the width of the large ones' points has no pair left."""
+    import pyarrow as pa
+
+    rng, rule = np.random.default_rng(5), nj.Rule(5, 80)
+    large = np.unique(rng.integers(0, 2**64, 9000, dtype=np.uint64))
+    small = np.unique(rng.integers(0, 2**64, 40, dtype=np.uint64))
+    for sets, bucket, want in [([large, large[:4200], small, small[:38]], [1, 1, 2, 2], [(3, 2)]), ([large, large[:4200]], [1, 1], []), ([], [], [])]:
+        columns = [pa.array(c, pa.int64()) for c in (bucket, range(len(sets)), range(len(sets)), [len(s) for s in sets])]
+        leaf = pa.record_batch([*columns, pa.array([nj.point(s).tobytes() for s in sets], pa.binary())], names=["bucket", "node", "root", "n", "point"])
+        a, b = nj.leaf_pairs(leaf, rule)
+        assert list(zip(a.tolist(), b.tolist())) == want
