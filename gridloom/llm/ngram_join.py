@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textbytes as tb
-from gridloom.llm.graph import components
+from gridloom.llm.graph import components, extended
 from gridloom.session import arrow_batches, attach, fits_broadcast, materialise, scratch
 
 GROUPS = 256  # coordinates of a small set's point; larger sets have more, so that about two shingles share one
@@ -300,11 +300,13 @@ def set_table(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text_
                 yield pa.record_batch(columns, names=names)
 
     wanted = materialise(wanted, "wanted")
-    reps = wanted.select(F.col("rep").alias("_rep")).distinct()
+    reps = wanted.select(F.col("rep").alias("_rep"))
     reps = F.broadcast(reps) if fits_broadcast(reps, 2_000_000, 64_000_000) else reps
     some = docs.join(reps, docs[id_col].eqNullSafe(F.col("_rep")), "left_semi").select(text_col)
     made = attach(some.mapInArrow(run, shape), wanted.select("node"), "node", "left_semi", max_rows=2_000_000, max_bytes=64_000_000)
-    return materialise(made.dropDuplicates(["node"]), "sets" if whole else "points")
+    made = materialise(made, "sets" if whole else "points")
+    # Each node is there once, unless identifiers repeat: only then are the sets shuffled.
+    return made if made.count() == wanted.count() else materialise(made.dropDuplicates(["node"]), "sets" if whole else "points")
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
@@ -530,12 +532,10 @@ def _classes(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[D
 
     # Each node's likeliest partner first, which joins most of a group of copies; then the pairs that are still apart.
     best = near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = linked(best)
-    roots = components(links)
+    roots = components(linked(best))
     root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = near.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    links = links.unionByName(linked(apart.select("a", "b").join(best, ["a", "b"], "left_anti")))
-    roots = components(links)
+    roots = extended(roots, linked(apart.select("a", "b").join(best, ["a", "b"], "left_anti")))
 
     # Buckets of few pairs give all of them at once. Of the others, nearest points next: they merge what is close, so that few
     # pairs are left for the last round, which takes all.
@@ -544,8 +544,7 @@ def _classes(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[D
         if members is None:
             break
         pairs = materialise(tree_pairs(members, rule, nearest=k < ROUNDS), "tree-pairs")
-        links = links.unionByName(linked(pairs.where("a is not null").select("a", "b")))
-        roots = components(links)
+        roots = extended(roots, linked(pairs.where("a is not null").select("a", "b")))
         # All pairs of the other buckets are settled: each is verified, or was within a component.
         left = pairs.where("open is not null").select(F.col("open").alias("bucket")).distinct()
         if left.isEmpty():

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from gridloom.llm import graph
 from gridloom.llm import ngram_join as nj
 from gridloom.llm.graph import components
 
@@ -144,6 +145,57 @@ def test_components_of_random_graphs(spark):
     assert {r.node for r in rows} == {x for a, b in edges if a != b for x in (a, b)}
 
 
+def test_components_go_on_with_more_edges(spark):
+    rng = random.Random(3)
+    rounds = [[(rng.randrange(300), rng.randrange(300)) for _ in range(n)] for n in (90, 60, 0, 40)] + [[(400 + k, 401 + k) for k in range(6)], [(0, 403), (7, 7)]]
+    roots = components(spark.createDataFrame(rounds[0], "a long, b long"))
+    for edges in rounds[1:]:
+        roots = graph.extended(roots, spark.createDataFrame(edges, "a long, b long"))
+    want = roots_of(500, sum(rounds, []))
+    rows = roots.collect()
+    names = {}
+    for r in rows:
+        names.setdefault(r.root, set()).add(want[r.node])
+    assert all(len(v) == 1 for v in names.values()) and len(names) == len({want[r.node] for r in rows})
+    assert sorted(r.node for r in rows) == sorted({x for edges in rounds for a, b in edges if a != b for x in (a, b)})
+
+
+def test_links_are_worked_through_once(spark, monkeypatch):
+    """After the first links, components get only links between the components that there are."""
+    rows, frame = groups_of_near_copies(spark)
+    monkeypatch.setattr(nj, "LEAF", 2)
+    monkeypatch.setattr(nj, "FEW", 0)
+    seen, plain = [], graph.components
+
+    def counted(edges):
+        seen.append(edges.where("a <> b").count())
+        return plain(edges)
+
+    monkeypatch.setattr(nj, "components", counted)
+    monkeypatch.setattr(graph, "components", counted)
+    assert got(frame, 5, 80) == brute(rows, 5, 80)
+    assert len(seen) > 2 and seen[-1] < seen[0]
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_sets_are_told_apart_only_where_identifiers_repeat(spark, monkeypatch, times):
+    """Sets and points are not shuffled by node if each document is there once; rows that come twice give each node once."""
+    rows, frame = groups_of_near_copies(spark)
+    for _ in range(times - 1):
+        rows, frame = rows + rows, frame.unionByName(frame)
+    written, plain = [], nj.materialise
+
+    def told(df, name="step"):
+        out = plain(df, name)
+        if name in ("sets", "points"):
+            written.append("Deduplicate" in df._jdf.queryExecution().analyzed().toString())
+        return out
+
+    monkeypatch.setattr(nj, "materialise", told)
+    assert got(frame, 5, 80) == brute(rows, 5, 80)
+    assert len(written) > 2 and any(written) == (times > 1)
+
+
 def test_one_of_each_and_odd_tables(spark, odd, no_docs):
     assert nj.join(no_docs).count() == 0
     kept = nj.one_of_each(odd)
