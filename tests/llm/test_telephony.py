@@ -1,4 +1,6 @@
 import hashlib
+import io
+import wave
 import zlib
 
 import numpy as np
@@ -135,6 +137,20 @@ def test_media_and_pcm_fit_the_disk_limit(spark, tmp_path):
     assert size("media") < 1.5 * size("docs")
 
 
+def test_every_sample_of_the_pcm_is_stored(odd, spark, monkeypatch):
+    """What is stored is a PCM file that any reader opens, the interpolated samples in it."""
+    paths, store = [], tel.store_pcm
+    monkeypatch.setattr(tel, "store_pcm", lambda media, path, *a: (paths.append(path), store(media, path, *a)))
+    tel.stored_features(odd).collect()
+    rows = spark.read.parquet(*paths).collect()
+    assert len(rows) == odd.count()
+    for r in rows:
+        heard = tel.samples_of("mulaw", tel.unwav(bytes(r.media))[2])
+        with wave.open(io.BytesIO(bytes(r.pcm))) as f:
+            assert (f.getframerate(), f.getsampwidth(), f.getnchannels(), f.getnframes()) == (16000, 2, 1, 2 * len(heard))
+            assert f.readframes(f.getnframes()) == tel.doubled(heard, np.array([len(heard)])).astype("<i2").tobytes()
+
+
 def test_null_media_beside_others(spark):
     rows = [(1, None), (2, bytearray(tel.wav(bytes(range(64))))), (3, None), (4, bytearray(tel.wav(b""))), (5, bytearray(tel.wav(bytes(64), "adpcm")))]
     got = {r.doc_id: r for r in tel.resampled(spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1)).collect()}
