@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import col, count_le, digamma, interpolate, interpolate_each, trigamma
 from gridloom.functions.gamma import gamma_cdf
+from gridloom.operators import rotations
 from gridloom.operators.ecdf import LARGEST, SMALL, exact_quantiles, quantile_table, ranked_values, small_groups
 from gridloom.session import attach, materialise
 
@@ -195,22 +196,27 @@ def _turned(rows: DataFrame, angle: float) -> DataFrame:
     return rows.withColumns({"u": F.col("u") * c + F.col("v") * s, "v": F.col("v") * c - F.col("u") * s})
 
 
-def fit_mbcn(bundle: DataFrame, keys=CELL, angles=None, n_rotations: int = 6, seed: int = 0, steps: int = 50, minimum: int = MIN_VALUES) -> DataFrame:
+def fit_mbcn(bundle: DataFrame, keys=CELL, angles=None, n_rotations: int = 6, seed: int = 0, steps: int = 50, minimum: int = MIN_VALUES,
+             largest: int = SMALL) -> DataFrame:
     """The chain of a two-variable correction, written, to be kept and applied to any data: (step, angle, keys, period,
     xs_u, zs_u, xs_v, zs_v). Steps from 0 on are rotations with their transfer tables; step -1 maps without rotation.
 
     ``bundle``: (period, time, keys, obs_u, obs_v, sim_u, sim_v), of which the training and the historical test period
     are read. Training uses rows with all four values; gaps of the test period take the median of their variable.
     Cells with fewer than ``minimum`` training rows, or rows with both variables in the test period, get no chain.
-    ``angles`` fixes the rotations; by default they are drawn from ``seed``. Each step is written, as the next is fitted
-    on what it gives.
+    ``angles`` fixes the rotations; by default they are drawn from ``seed``. Where all cells are small they are handed over
+    whole (``rotations``). Else each step is written, as the next is fitted on what it gives.
     """
     keys = list(keys)
+    angles = rotation_angles(n_rotations, seed) if angles is None else list(angles)
     in_train = F.col("period") == TRAIN
     both = F.col("sim_u").isNotNull() & F.col("sim_v").isNotNull()
     four = both & F.col("obs_u").isNotNull() & F.col("obs_v").isNotNull()
     values = ["obs_u", "obs_v", "sim_u", "sim_v"]
-    past = materialise(bundle.where(F.col("period").isin(TRAIN, "test_hist")).select(*keys, "period", "time", *values), "fit-rows")
+    past = bundle.where(F.col("period").isin(TRAIN, "test_hist")).select(*keys, "period", "time", *values)
+    if rotations.fits(past, values) and small_groups(past, keys, largest):
+        return rotations.fit(past, keys, TRAIN, "test_hist", angles, steps, minimum)
+    past = materialise(past, "fit-rows")
     good = past.groupBy(*keys).agg(F.count_if(in_train & four).alias("_nt"), F.count_if(~in_train & both).alias("_nh"))
     kept = attach(past, good.where((F.col("_nt") >= minimum) & (F.col("_nh") >= minimum)).select(*keys), keys, "left_semi", derived=True)
     train, ident = kept.where(in_train & four), [*keys, "period", "time"]
@@ -218,7 +224,7 @@ def fit_mbcn(bundle: DataFrame, keys=CELL, angles=None, n_rotations: int = 6, se
     pair = lambda k: train.select(*ident, F.lit(k).alias("kind"), F.col(f"{k}_u").alias("u"), F.col(f"{k}_v").alias("v"))
     state = materialise(pair("obs").unionByName(pair("sim")).unionByName(test), "mbcn-start")
     chain = materialise(_delta_tables(state, keys, steps), "mbcn-single").select(F.lit(-1).alias("step"), F.lit(0.0).alias("angle"), "*")
-    for i, angle in enumerate(rotation_angles(n_rotations, seed) if angles is None else angles):
+    for i, angle in enumerate(angles):
         turned = _turned(state, angle)
         tables = materialise(_delta_tables(turned, keys, steps), f"mbcn-{i}")
         chain = chain.unionByName(tables.select(F.lit(i).alias("step"), F.lit(angle).alias("angle"), "*"))
@@ -233,14 +239,15 @@ def _filled(rows: DataFrame, keys) -> DataFrame:
     return out.where("u is not null and v is not null")
 
 
-def predict_mbcn(chain: DataFrame, rows: DataFrame, keys=CELL, follows: dict[str, str] | None = None, steps: int = 50) -> DataFrame:
+def predict_mbcn(chain: DataFrame, rows: DataFrame, keys=CELL, follows: dict[str, str] | None = None, steps: int = 50, largest: int = SMALL) -> DataFrame:
     """``rows`` (period, time, keys, sim_u, sim_v) with corrected_u and corrected_v, by a fitted chain.
 
     Rows need not have been part of the fit: a period in ``follows`` (by default the future, after the historical test
     period) is mapped by the tables of the period it follows. The values are those of the one-variable mapping, put
     in the order of the rotated result within cell and period, so that each variable keeps its own corrected
     distribution while the pair takes over the observed dependence. Gaps take the median of their variable while ranks are
-    formed, and rows with a gap, or of a cell without a chain, are NULL in the end.
+    formed, and rows with a gap, or of a cell without a chain, are NULL in the end. Where all cells are small they are handed
+    over whole (``rotations``), and the result is written.
     """
     keys, follows = list(keys), {"test_future": "test_hist"} if follows is None else follows
     ident = [*keys, "period", "time"]
@@ -248,6 +255,8 @@ def predict_mbcn(chain: DataFrame, rows: DataFrame, keys=CELL, follows: dict[str
     for new, old in follows.items():
         fitted = F.when(F.col("period") == new, old).otherwise(fitted)
     plan = sorted((r.step, r.angle) for r in chain.select("step", "angle").distinct().collect())  # one row per step
+    if rotations.fits(rows, ["sim_u", "sim_v"]) and dict(chain.dtypes)["xs_u"] == "array<double>" and small_groups(rows, keys, largest):
+        return rotations.predict(chain, rows, keys, follows, plan)
     tables = lambda k: chain.where(F.col("step") == k).drop("step", "angle")
     known = attach(rows.select(*ident, "sim_u", "sim_v"), tables(-1).select(*keys).distinct(), keys, "left_semi", derived=True)
     start = materialise(_filled(known, [*keys, "period"]).select(*ident, fitted.alias("_fit"), "u", "v"), "mbcn-rows")
@@ -287,12 +296,13 @@ def _reordered(both: DataFrame, keys, largest: int = SMALL) -> DataFrame:
     return out
 
 
-def mbcn(bundle: DataFrame, keys=CELL, n_rotations: int = 6, seed: int = 0, steps: int = 50, angles=None, minimum: int = MIN_VALUES) -> DataFrame:
+def mbcn(bundle: DataFrame, keys=CELL, n_rotations: int = 6, seed: int = 0, steps: int = 50, angles=None, minimum: int = MIN_VALUES,
+         largest: int = SMALL) -> DataFrame:
     """Two-variable correction by rotations and quantile delta mapping, then rank reordering: ``fit_mbcn`` on the training and
     historical periods, ``predict_mbcn`` on all, the future by the historical fit."""
     bundle = materialise(bundle, "bundle")
-    chain = fit_mbcn(bundle, keys, angles, n_rotations, seed, steps, minimum)
-    return predict_mbcn(chain, bundle, keys, steps=steps)
+    chain = fit_mbcn(bundle, keys, angles, n_rotations, seed, steps, minimum, largest)
+    return predict_mbcn(chain, bundle, keys, steps=steps, largest=largest)
 
 
 def rank_rows(df: DataFrame, keys, value: str, largest: int = LARGEST) -> DataFrame:

@@ -167,6 +167,34 @@ def test_a_stored_chain_gives_the_same(spark, tmp_path):
     assert np.array_equal(a.corrected_u, b.corrected_u, equal_nan=True) and np.array_equal(a.corrected_u, c.corrected_u, equal_nan=True)
 
 
+def test_cells_handed_over_whole_give_the_same(spark, monkeypatch):
+    """Small cells by arrays and large ones by counting; null cells, periods and times, periods without values, and other columns."""
+    pdf, df = pair_rows(spark)
+    odd = df.where("ix = 0").limit(6).withColumns({"iy": F.lit(None).cast("int")}).unionByName(
+        df.where("ix = 0").limit(3).withColumn("period", F.lit(None).cast("string"))).unionByName(
+        df.where("ix = 0 and period = 'test_future' and time < '2050-01-03'").withColumn("time", F.lit(None).cast("timestamp"))).unionByName(
+        df.where("ix = 0 and period = 'test_future'").withColumns({"ix": F.lit(2), "sim_u": F.lit(None).cast("double")})).unionByName(
+        df.where("ix = 0").withColumns({"ix": F.lit(2), "sim_v": F.round("sim_v", 0)}).where("period <> 'test_future'"))
+    rows = df.unionByName(odd).withColumn("note", F.concat(F.lit("n"), F.col("ix"))).localCheckpoint()
+    key = ["ix", "iy", "period", "time", "sim_u", "obs_u"]
+    found, written = [], []
+    monkeypatch.setattr(biascorr, "materialise", lambda t, name="step", f=biascorr.materialise: (written.append(name), f(t, name))[1])
+    for largest in (10, 40_000):
+        chain = biascorr.fit_mbcn(rows, angles=[0.3, 1.2], steps=20, largest=largest)
+        tables = chain.orderBy("step", "ix", "period").toPandas()
+        out = biascorr.predict_mbcn(chain, rows, steps=20, largest=largest)
+        found.append((chain.columns, out.dtypes, tables, out.toPandas().sort_values(key).reset_index(drop=True), len(written)))
+    (names, kinds, chain, out, many), (names2, kinds2, chain2, out2, all_of_them) = found
+    assert names == names2 and kinds == kinds2 and all_of_them == many > 6  # small cells need no table between the steps
+    assert len(chain) == len(chain2) == 12 and (chain[["step", "angle", "period", "ix"]] == chain2[["step", "angle", "period", "ix"]]).all(None)
+    for c in ("xs_u", "zs_u", "xs_v", "zs_v"):
+        assert np.allclose(np.stack(chain[c]), np.stack(chain2[c]), rtol=0, atol=1e-12)
+    assert len(out) == len(out2) == rows.count() and out.note.equals(out2.note)
+    assert out2[out2.ix == 2].corrected_u.notna().sum() > 100
+    for c in ("corrected_u", "corrected_v"):
+        assert np.allclose(out[c], out2[c], rtol=0, atol=1e-9, equal_nan=True)
+
+
 def test_groups_are_whole_across_batches(spark):
     """Groups end anywhere in the batches or go on over several; null and NaN keys, and nulls among whole numbers, stay each its own."""
     rows = [(k, None if k % 5 == 0 else k // 7 * 1.5 if k % 5 < 4 else float("nan"), (1 << 60) + k, None if k == 3 else k % 2 == 0) for k in range(90)]
