@@ -58,7 +58,7 @@ def text_view(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             gram = (part[:-2] * np.uint32(2654435761) + part[1:-1] * np.uint32(2246822519) + part[2:] * np.uint32(3266489917))
             gram = ((gram ^ (gram >> np.uint32(15))) * np.uint32(2654435761)) >> np.uint32(24)
             place = low + np.arange(len(gram))
-            doc = np.searchsorted(offsets, place, "right") - 1 if j - i > 1 else np.full(len(gram), i)
+            doc = np.repeat(np.arange(i, j), np.diff(offsets[i : j + 1]))[: len(gram)] if j - i > 1 else np.full(len(gram), i)
             inside = place + 3 <= offsets[doc + 1]
             counts[i:j] += np.bincount((doc[inside] - i) * GRAMS + gram[inside], minlength=(j - i) * GRAMS).reshape(j - i, GRAMS)
     total = counts.sum(1, keepdims=True)

@@ -190,10 +190,14 @@ def mix(
     Documents without tokens have no copies. Null sources and languages form groups of their own; rows that repeat an
     identifier are drawn together; an empty table gives an empty result.
     """
+    return _mixed(described(docs, text_col), docs.columns, id_col, powers, targets, rate, repeats, cycles, seed)
+
+
+def _mixed(full: DataFrame, columns, id_col: str, powers=None, targets=None, rate=1.0, repeats=True, cycles=CYCLES, seed=0) -> DataFrame:
+    """``mix`` of documents that are described; of their own columns those in ``columns`` are kept."""
     powers = powers or {m: 0.7 for m in MARGINS}
     added = ("topic", "tokens", "weight", "expected", "copies")
-    own = [c for c in docs.columns if c not in added]
-    full = described(docs, text_col)
+    own = [c for c in columns if c not in added]
     slim = full.groupBy(F.col("_mix_source").alias("source"), F.col("_mix_lang").alias("lang"), F.col("_mix_topic").alias("topic"))
     cells = materialise(slim.agg(F.sum("_mix_tokens").alias("tokens")), "cells")
     raked = rake(cells, targets or {m: tempered(cells, m, powers[m]) for m in MARGINS}, cycles)
@@ -210,8 +214,12 @@ def mix(
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mixture itself: the rows of ``docs``, columns unchanged, each as often as it was drawn."""
+    """The mixture itself: the rows of ``docs``, columns unchanged, each as often as it was drawn.
+
+    Words and topics are counted once: the described rows are written, as the totals and the draw both read them.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_row")
     slim = docs.select(whole, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), "source", "lang")
-    mixed = mix(slim, "id", "text", **options).where("copies > 0")
+    full = materialise(described(slim).drop("text", "source", "lang"), "described")
+    mixed = _mixed(full, ["_mix_row", "id"], "id", **options).where("copies > 0")
     return mixed.select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_mix_row.*")

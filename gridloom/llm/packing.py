@@ -23,6 +23,8 @@ from gridloom.session import arrow_batches, fits_broadcast, new_path
 END = 0  # token behind each document
 SLICE = 1 << 20  # bytes of text tokenised at once: their positions and hashes take some 50 times as much memory
 BATCH = 2 << 20  # bytes of a batch between Spark and a worker
+KNOWN = 1 << 18  # pieces that an encoder remembers, some 10 MB
+KNOWN_BYTES = 48  # longer pieces are not remembered
 
 _SAFE_NEXT = np.zeros(256, bool)
 _SAFE_NEXT[0x21:0x7F] = True
@@ -33,8 +35,60 @@ _TAIL = np.zeros(256, bool)
 _TAIL[0x80:0xC0] = True
 
 
+class Pieces:
+    """Pieces of text that were encoded before, by hash: their bytes, which are compared, and their ids. When ``most`` are
+    held, no more are taken in."""
+
+    def __init__(self, most: int = KNOWN):
+        self.most = most
+        self.hashes = np.zeros(0, np.uint64)
+        self.rank = np.zeros(0, np.int64)  # of the sorted hashes: which piece
+        self.text, self.text_ends = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)]
+        self.ids, self.id_ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        self._join()
+
+    def _join(self) -> None:
+        for name in ("text", "text_ends", "ids", "id_ends"):
+            setattr(self, name, [np.concatenate(getattr(self, name))])
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 for those that are not known or have only a hash in common with one that is."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = np.where(self.hashes[at] == hashes, self.rank[at], -1)
+        ends = self.text_ends[0]
+        found[(found >= 0) & (ends[found + 1] - ends[found] != lengths)] = -1
+        hit = np.flatnonzero(found >= 0)
+        if len(hit):
+            sizes = lengths[hit]
+            off = tb.gathered(data, starts[hit], sizes) != tb.gathered(self.text[0], ends[found[hit]], sizes)
+            if off.any():
+                found[hit[np.unique(np.repeat(np.arange(len(hit)), sizes)[off])]] = -1
+        return found
+
+    def learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> None:
+        """Take in pieces whose hashes are not held yet, with their ids (``ids[begins:begins + counts]``)."""
+        at = np.searchsorted(self.hashes, hashes)
+        new = at == len(self.hashes)
+        new[~new] = self.hashes[at[~new]] != hashes[~new]
+        take = np.flatnonzero(new & (lengths <= KNOWN_BYTES))[: self.most - len(self.hashes)]
+        if not len(take):
+            return
+        number = len(self.hashes) + np.arange(len(take))
+        self.text.append(tb.gathered(data, starts[take], lengths[take]))
+        self.text_ends.append(self.text_ends[0][-1] + np.cumsum(lengths[take]))
+        self.ids.append(tb.gathered(ids, begins[take], counts[take]))
+        self.id_ends.append(self.id_ends[0][-1] + np.cumsum(counts[take]))
+        self._join()
+        order = np.argsort(hashes[take], kind="stable")
+        where = np.searchsorted(self.hashes, hashes[take][order])
+        self.hashes = np.insert(self.hashes, where, hashes[take][order])
+        self.rank = np.insert(self.rank, where, number[order])
+
+
 class Encoder:
-    """Byte-level BPE of a batch of texts; each distinct piece of text is encoded once.
+    """Byte-level BPE of a batch of texts; each distinct piece of text is encoded once, those of earlier batches not again.
 
     A single space between two visible characters always starts a new piece for the tokenizer's pattern, so the
     pieces between such spaces can be encoded apart. The ranks file holds the vocabulary of the tokenizer file.
@@ -46,6 +100,7 @@ class Encoder:
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.known = Pieces()
         self.sizes = np.zeros(max(table.values()) + 1, np.int64)
         for token, rank in table.items():
             self.sizes[rank] = len(token)
@@ -83,13 +138,22 @@ class Encoder:
                 apart[common] = True
                 common = common[:0]
             else:
-                ids = self._plain(tb.gathered(data, starts[model], lengths[model]).tobytes())
+                found = self.known.find(hashes[first], data, starts[model], lengths[model])
+                fresh = np.flatnonzero(found < 0)
+                own, sizes_of = starts[model][fresh], lengths[model][fresh]
+                ids = self._plain(tb.gathered(data, own, sizes_of).tobytes()) if len(fresh) else np.zeros(0, np.uint32)
                 stops = np.cumsum(self.sizes[ids])
-                bounds = np.searchsorted(stops, np.cumsum(lengths[model]), "left") + 1
-                begins = np.concatenate([[0], bounds[:-1]])
-                counts[common], places[common] = (bounds - begins)[which], begins[which]
-                pool.append(ids)
-                used = len(ids)
+                bounds = np.searchsorted(stops, np.cumsum(sizes_of), "left") + 1
+                begins = np.concatenate([[0], bounds[:-1]]) if len(fresh) else bounds
+                place, count = np.zeros((2, len(model)), np.int64)
+                place[fresh], count[fresh] = begins, bounds - begins
+                hit = np.flatnonzero(found >= 0)
+                ends = self.known.id_ends[0]
+                place[hit], count[hit] = len(ids) + ends[found[hit]], ends[found[hit] + 1] - ends[found[hit]]
+                counts[common], places[common] = count[which], place[which]
+                pool += [ids, self.known.ids[0]]
+                used = len(ids) + len(self.known.ids[0])
+                self.known.learn(hashes[first][fresh], data, own, sizes_of, ids, begins, bounds - begins)
         for k in np.flatnonzero(apart):
             ids = self._plain(data[starts[k] : starts[k] + lengths[k]].tobytes())
             counts[k], places[k] = len(ids), used

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import exact_dedup, mixing, secrets
 
@@ -165,6 +166,21 @@ def test_marginals_of_the_expected_sample(spark):
     assert all(abs(r.target - r.reached) < 1e-5 for m in powers for r in mixing.gaps(raked, m).collect())
 
 
+def test_words_of_the_mixture_are_counted_once(odd, spark, monkeypatch):
+    """Rows are described where they are written, not again for the draw."""
+    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).localCheckpoint()
+    called, tokens_of = spark.sparkContext.accumulator(0), mixing.tokens_of
+
+    def counted(text):
+        seen = F.udf(lambda n: (called.add(1), n)[1], "long").asNondeterministic()
+        return seen(tokens_of(text))
+
+    want = mixing.mix(docs).select("doc_id", "copies").where("copies > 0").toPandas().set_index("doc_id").copies
+    monkeypatch.setattr(mixing, "tokens_of", counted)
+    drawn = mixing.sample(docs).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    assert drawn.sort_index().to_dict() == want.sort_index().to_dict() and called.value == docs.count()
+
+
 @pytest.mark.parametrize("small", [mixing.SMALL, 0])
 def test_margins_that_depend_on_each_other_are_met(spark, small):
     shares = {("en", "relation"): 270, ("en", "state"): 40, ("de", "relation"): 30, ("de", "state"): 90, ("es", "relation"): 20, ("es", "event"): 30, ("es", "state"): 10}

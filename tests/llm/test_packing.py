@@ -84,3 +84,33 @@ def test_memory_of_tokenising_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert counts > 1_200_000 and peak < 90_000_000
+
+
+def as_columns(texts):
+    blobs = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(blobs), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in blobs])])
+
+
+@pytest.mark.parametrize("most", [0, 7, packing.KNOWN])
+def test_pieces_of_earlier_batches_are_not_encoded_again(most, reference):
+    texts = [" ".join(f"w{(k * k) % 23}é{k % 5}" for k in range(i, i + 60)) + (" " + "long" * 20) * 2 + " end" for i in range(4)]
+    encoder = packing.Encoder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
+    encoder.known, asked, plain = packing.Pieces(most), [], encoder._plain
+    encoder._plain = lambda data: (asked.append(len(data)), plain(data))[1]
+    sizes = []
+    for batch in (texts, texts, texts[::-1], ["other words " + texts[0]]):
+        asked.clear()
+        flat, counts = encoder.batch(*as_columns(batch))
+        sizes.append(sum(asked))
+        whole = [np.append(plain(t.encode()), packing.END) for t in batch]
+        assert counts.tolist() == [len(w) for w in whole] and flat.tolist() == np.concatenate(whole).tolist()
+    assert len(encoder.known.hashes) <= most and (sizes[1] < sizes[0] - 150 if most > 7 else sizes[1] <= sizes[0])
+
+
+def test_pieces_with_one_hash_are_told_apart(monkeypatch):
+    """Pieces of other bytes under a hash that is held are encoded for themselves."""
+    encoder = packing.Encoder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
+    monkeypatch.setattr(packing.tb, "segment_hashes", lambda data, starts: np.arange(len(starts)).astype(np.uint64))
+    for text in ("one two three four five", "six seven eight nine ten", "one two thrff four five", "a bb ccc dddd eeeee"):
+        flat, _ = encoder.batch(*as_columns([text]))
+        assert flat.tolist() == [*encoder._plain(text.encode()).tolist(), packing.END]
