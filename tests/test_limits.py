@@ -180,6 +180,31 @@ def test_comparisons_make_their_pairs_once(spark):
     assert compare.comparison_suite(pairs, density_range=(0.0, 20.0), bins=4).count() and made.value == 1800
 
 
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_WEIGHTS": 5, "TASK_ROWS": 20}, {"DENSE_ROWS": 2}])
+def test_samples_on_the_target_grid_are_not_shuffled_again(spark, monkeypatch, limits):
+    """Dealt by block or not, broadcast or not, the same rows; with null and strange cells, repeated targets and times without one."""
+    for name, value in limits.items():
+        monkeypatch.setattr(regrid, name, value)
+    cells = [(y, x) for y in range(6) for x in range(4)]
+    first = spark.createDataFrame([(y, x, y // 3, x // 2, 1 / 6) for y, x in cells], "src_iy int, src_ix int, dst_iy int, dst_ix int, w double")
+    second = spark.createDataFrame([(m, n, y, x, w) for y, x in cells for m, n, w in [(y // 3, x // 2, 0.75), (1 - y // 3, x // 2, 0.25)]], "src_iy int, src_ix int, dst_iy int, dst_ix int, w double")
+    rows = [(dt.datetime(2000, 1, 1 + t), y, x, float(t * 7 + y * 3 + x) if (t + y) % 3 else None) for t in range(5) for y, x in cells if (t * y + x) % 4]
+    rows += [(None, 1, 1, 5.0), (dt.datetime(2000, 1, 2), None, 1, 6.0)]
+    field = spark.createDataFrame(rows, "time timestamp, iy int, ix int, value double")
+    target = spark.createDataFrame([r for r in rows if r[0] is None or r[0].day != 3] + rows[:3] + [(dt.datetime(2000, 1, 1), 77, 0, 1.0)], "time timestamp, iy bigint, ix bigint, value double")
+    static = spark.createDataFrame([(y, x, y * 10.0 + x) for y, x in cells[3:]], "iy int, ix int, value double")
+    chain = regrid.chain_weights(first, second)
+    built = composites.training_samples(target, static, {"a": field, "b": field.withColumn("value", F.col("value") * 2)}, chain)
+    plain = composites.training_samples(target, static, {"a": field, "b": field.withColumn("value", F.col("value") * 2)}, chain.pairs())
+    assert built.columns == plain.columns
+    got, want = (sorted((tuple(str(v) for v in r[:5]) + (r.value is None, round(r.value or 0, 3)) for r in t.collect()), key=str) for t in (built, plain))
+    assert got == want and len(got) > 300 and sum(not r[5] for r in got) > 50
+    if "DENSE_ROWS" not in limits:
+        target = target.withColumns({c: F.col(c).cast("int") for c in ("iy", "ix")})
+        plan = composites.training_samples(target, static, {"a": field}, chain)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[plan.index("Window") : plan.index("Union")]
+
+
 def test_a_field_is_written_in_time_order_without_a_sort_by_partition(spark, tmp_path):
     days = spark.range(400, numPartitions=1).selectExpr("timestamp_ntz'1999-06-01' + make_dt_interval(cast(399 - id as int)) as time")
     both = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("source")
