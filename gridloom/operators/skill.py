@@ -64,9 +64,10 @@ def skill_by_cell(pairs: DataFrame, keys=()) -> DataFrame:
     )
 
 
-def increments(series: DataFrame, keys=(), values=("value",), max_gap_days: int | None = None) -> DataFrame:
-    """Day-to-day change ``d_<value>`` per cell, given to the later day; the first day has none."""
-    prev = previous_row(series, [*keys, *CELL], "time", values)
+def increments(series: DataFrame, keys=(), values=("value",), max_gap_days: int | None = None, unit: str = "month") -> DataFrame:
+    """Day-to-day change ``d_<value>`` per cell, given to the later day; the first day has none. ``unit``: calendar buckets
+    that the series are cut into."""
+    prev = previous_row(series, [*keys, *CELL], "time", values, unit)
     near = F.lit(True) if max_gap_days is None else F.datediff("time", "time_prev") <= max_gap_days
     return prev.select(
         *keys, "time", *CELL, *values, *[F.when(near, F.col(v) - F.col(f"{v}_prev")).alias(f"d_{v}") for v in values]
@@ -77,9 +78,9 @@ def mean_abs_increment(series: DataFrame, keys=(), value: str = "value") -> Data
     return increments(series, keys, [value]).groupBy(*keys, *CELL).agg(F.avg(F.abs(f"d_{value}")).alias("variability"))
 
 
-def variability_bias(pairs: DataFrame, keys=()) -> DataFrame:
+def variability_bias(pairs: DataFrame, keys=(), unit: str = "month") -> DataFrame:
     """Mean absolute increment of the prediction minus that of the observation, per season and cell."""
-    steps = increments(valid_pairs(pairs, "obs", "pred"), keys, ["obs", "pred"])
+    steps = increments(valid_pairs(pairs, "obs", "pred"), keys, ["obs", "pred"], unit=unit)
     return by_tag(steps, [*keys, *CELL], season_tags(), lambda only: {
         "variability": F.avg(F.abs(only("d_pred"))) - F.avg(F.abs(only("d_obs")))})
 
@@ -92,10 +93,10 @@ def seasonal_skill(pairs: DataFrame, keys=()) -> tuple[DataFrame, DataFrame]:
     return by_time, by_cell
 
 
-def skill_summary(pairs: DataFrame, keys=()) -> DataFrame:
+def skill_summary(pairs: DataFrame, keys=(), unit: str = "month") -> DataFrame:
     """Seven metrics by season: three rows per ``keys``, NULL where a season has no data.
 
-    Temporal correlation is given for the whole series only.
+    Temporal correlation is given for the whole series only. ``unit``: calendar buckets that increments are taken in.
     """
     keys = list(keys)
     by_time, by_cell = seasonal_skill(pairs, keys)
@@ -106,7 +107,7 @@ def skill_summary(pairs: DataFrame, keys=()) -> DataFrame:
         F.stddev_pop("bias").alias("bias_spatial_std"),
         F.avg(F.when(F.col("season") == "all", F.col("corr"))).alias("corr_temporal_mean"),
     )
-    v = variability_bias(pairs, keys).groupBy(*group).agg(F.avg("variability").alias("variability_mean"))
+    v = variability_bias(pairs, keys, unit).groupBy(*group).agg(F.avg("variability").alias("variability_mean"))
     # A series without any pair has no row here; one with pairs has all three seasons.
     every = F.explode(F.array(*[F.lit(x) for x in SEASONS])).alias("season")
     frame = t.where("season = 'all'").select(*keys, every)
@@ -121,7 +122,8 @@ def monthly_pairs(pairs: DataFrame, keys=(), skipna: bool = True) -> DataFrame:
 
 
 def monthly_skill_summary(pairs: DataFrame, keys=()) -> DataFrame:
-    return skill_summary(materialise(monthly_pairs(pairs, keys), "months"), keys)
+    # A month is one row of a series: buckets of years, as with months every row would also be carried to the next bucket.
+    return skill_summary(materialise(monthly_pairs(pairs, keys), "months"), keys, unit="year")
 
 
 def window_statistics(pairs: DataFrame, windows, method: str = "method") -> DataFrame:

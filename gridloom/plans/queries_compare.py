@@ -263,7 +263,7 @@ def _block(rel: str, block: str, cols, season: str) -> str:
     UNION ALL SELECT method, 'density', series, 'bin_' || bin, coalesce(n, 0) / (sum(coalesce(n, 0)) OVER (PARTITION BY method, series) * 1.5) FROM (SELECT * FROM (SELECT DISTINCT method FROM method_points), (VALUES ('obs'), ('pred')) s(series), range(40) r(bin))
     LEFT JOIN (SELECT method, series, least(floor(v * 40 / 60)::INT, 39) AS bin, count(*) AS n FROM (SELECT method, 'obs' AS series, obs AS v FROM method_points UNION ALL SELECT method, 'pred', pred FROM method_points) WHERE v BETWEEN 0 AND 60 GROUP BY ALL) USING (method, series, bin)""")
 def comparison_suite(spark, sf):
-    return compare.comparison_suite(S.method_pairs(spark, sf), density_range=(0.0, 60.0), bins=40)
+    return compare.comparison_suite(S.method_pairs(spark, sf, ordered=True), density_range=(0.0, 60.0), bins=40)
 
 
 # --- ordered operators ---------------------------------------------------------------------------------

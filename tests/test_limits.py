@@ -14,8 +14,8 @@ from gridloom import session
 from gridloom.functions.columns import count_le
 from gridloom.functions.gamma import LARGE_SHAPE, regularised_lower_gamma
 from gridloom.functions.labels import variant_source
-from gridloom.operators import biascorr, compare, distrib, geometry, regrid, samples, timeops
-from gridloom.plans import composites
+from gridloom.operators import biascorr, compare, distrib, geometry, regrid, samples, skill, timeops
+from gridloom.plans import composites, standins
 from gridloom.sources import archives, catalog
 from gridloom.streaming import skill_stream
 
@@ -180,6 +180,35 @@ def test_comparisons_make_their_pairs_once(spark):
     assert compare.comparison_suite(pairs, density_range=(0.0, 20.0), bins=4).count() and made.value == 1800
 
 
+def test_points_of_a_year_lie_together_in_order(spark, tmp_path):
+    """The comparison's points: the days as they are, a cell's year in one partition; rows without a date or a cell too."""
+    rows = [(k, k % 3, None if k % 97 == 0 else k % 17, "R" if k % 5 == 0 else "N", "O", float(k % 50), 1.0, 0.01 * (k % 8), 0.01 * (k % 11),
+             None if k % 89 == 0 else dt.datetime(1995 + k % 4, 1 + k % 12, 1 + k % 27), k) for k in range(3000)]
+    names = "l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double, l_tax double, l_discount double, l_shipdate timestamp_ntz, l_partkey long"
+    spark.createDataFrame(rows, names).repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain, ordered = (f(spark, str(tmp_path)) for f in (standins.daily_points, standins.ordered_points))
+    told = lambda t: sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in t.collect()], key=str)
+    assert ordered.columns == plain.columns and told(ordered) == told(plain)
+    with session.settings(spark, spark__sql__adaptive__enabled=False):
+        parts = standins.ordered_points(spark, str(tmp_path)).select("*", F.spark_partition_id().alias("p"), F.year("time").alias("year"))
+        assert parts.groupBy("iy", "ix", "year").agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0
+        kept = [[(r.iy or -1, r.ix if r.ix is not None else -1, str(r.time or "")) for r in rows] for rows in parts.rdd.glom().collect()]
+        assert sum(len(k) > 1 for k in kept) > 1 and all(k == sorted(k) for k in kept)
+
+
+def test_months_are_carried_over_the_borders_of_years_only(spark, monkeypatch):
+    """The same increments as by buckets of months, in which every month would be a border."""
+    rows = [(dt.datetime(2000 + m // 12, 1 + m % 12, 1 + d), 0, x, float((m * 7 + d + x) % 11), float((m * 5 + d) % 13)) for m in range(40) for d in (0, 9) for x in (0, 1) if m % 9 != 4]
+    pairs = spark.createDataFrame(rows, "time timestamp, iy int, ix int, obs double, pred double")
+    used, previous_row = [], skill.previous_row
+    monkeypatch.setattr(skill, "previous_row", lambda df, keys, time, columns, unit="month", *a: (used.append(unit), previous_row(df, keys, time, columns, unit, *a))[1])
+    got = sorted(map(tuple, skill.monthly_skill_summary(pairs).collect()))
+    want = sorted(map(tuple, skill.skill_summary(skill.monthly_pairs(pairs)).collect()))
+    assert used == ["year", "month"]
+    assert [g[0] for g in got] == [w[0] for w in want] == ["all", "summer", "winter"]
+    assert all(a == b or a == pytest.approx(b, rel=1e-12) for g, w in zip(got, want) for a, b in zip(g[1:], w[1:]))
+
+
 @pytest.mark.parametrize("limits", [{}, {"BLOCK_WEIGHTS": 5, "TASK_ROWS": 20}, {"DENSE_ROWS": 2}])
 def test_samples_on_the_target_grid_are_not_shuffled_again(spark, monkeypatch, limits):
     """Dealt by block or not, broadcast or not, the same rows; with null and strange cells, repeated targets and times without one."""
