@@ -42,13 +42,14 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def described(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_mix_source``, ``_mix_lang``, ``_mix_topic`` and ``_mix_tokens``; nulls are a group of their own."""
+def described(docs: DataFrame, text_col: str = "text", counted: bool = True) -> DataFrame:
+    """``docs`` with ``_mix_source``, ``_mix_lang``, ``_mix_topic`` and ``_mix_tokens``; nulls are a group of their own. Tokens that
+    are not ``counted`` are 1 where a text has any, which a draw needs to know."""
     group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
     text = F.col(f"`{text_col}`")
     return docs.select(
         "*", group("source").alias("_mix_source"), group("lang").alias("_mix_lang"), topic_of(text).alias("_mix_topic"),
-        tokens_of(text).alias("_mix_tokens"),
+        (tokens_of(text) if counted else F.coalesce(text.rlike(WORD), F.lit(False)).cast("bigint")).alias("_mix_tokens"),
     )
 
 
@@ -193,8 +194,9 @@ def mix(
     return _mixed(described(docs, text_col), docs.columns, id_col, powers, targets, rate, repeats, cycles, seed)
 
 
-def _mixed(full: DataFrame, columns, id_col: str, powers=None, targets=None, rate=1.0, repeats=True, cycles=CYCLES, seed=0) -> DataFrame:
-    """``mix`` of documents that are described; of their own columns those in ``columns`` are kept."""
+def _mixed(full: DataFrame, columns, id_col: str, powers=None, targets=None, rate=1.0, repeats=True, cycles=CYCLES, seed=0, drawn: DataFrame | None = None) -> DataFrame:
+    """``mix`` of documents that are described; of their own columns those in ``columns`` are kept. ``drawn``: the same documents,
+    described without a count, from which is drawn."""
     powers = powers or {m: 0.7 for m in MARGINS}
     added = ("topic", "tokens", "weight", "expected", "copies")
     own = [c for c in columns if c not in added]
@@ -203,7 +205,7 @@ def _mixed(full: DataFrame, columns, id_col: str, powers=None, targets=None, rat
     raked = rake(cells, targets or {m: tempered(cells, m, powers[m]) for m in MARGINS}, cycles)
     chances = cell_copies(raked, rate, repeats).select(
         *[F.col(m).alias(f"_mix_{m}") for m in MARGINS], F.col("weight").alias("_mix_weight"), F.col("expected").alias("_mix_expected"))
-    out = attach(full, chances, ["_mix_source", "_mix_lang", "_mix_topic"], "left")
+    out = attach(full if drawn is None else drawn, chances, ["_mix_source", "_mix_lang", "_mix_topic"], "left")
     expected = F.when(F.col("_mix_tokens") > 0, F.coalesce(F.col("_mix_expected"), F.lit(0.0))).otherwise(0.0)
     whole = F.floor(expected)
     return out.select(
@@ -216,10 +218,9 @@ def _mixed(full: DataFrame, columns, id_col: str, powers=None, targets=None, rat
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mixture itself: the rows of ``docs``, columns unchanged, each as often as it was drawn.
 
-    Words and topics are counted once: the described rows are written, as the totals and the draw both read them.
+    Words are counted for the totals alone; the draw asks only whether a text has any.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_row")
     slim = docs.select(whole, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), "source", "lang")
-    full = materialise(described(slim).drop("text", "source", "lang"), "described")
-    mixed = _mixed(full, ["_mix_row", "id"], "id", **options).where("copies > 0")
+    mixed = _mixed(described(slim), ["_mix_row", "id"], "id", **options, drawn=described(slim, counted=False)).where("copies > 0")
     return mixed.select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_mix_row.*")

@@ -167,7 +167,7 @@ def test_marginals_of_the_expected_sample(spark):
 
 
 def test_words_of_the_mixture_are_counted_once(odd, spark, monkeypatch):
-    """Rows are described where they are written, not again for the draw."""
+    """They are counted for the totals, not again for the draw."""
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).localCheckpoint()
     called, tokens_of = spark.sparkContext.accumulator(0), mixing.tokens_of
 
